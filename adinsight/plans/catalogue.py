@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from adinsight.plans import registry
 
-FAMILIES = ("trend_queries", "keyword_queries", "term_queries", "ad_queries")
+FAMILIES = ("trend_queries", "keyword_queries", "term_queries", "ad_queries", "expression_queries", "source_queries")
 
 for _family in FAMILIES:
     importlib.import_module(f"adinsight.plans.{_family}")

@@ -107,21 +107,29 @@ def preserve_scores(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def load_files(warehouse: Warehouse, client_id: str, paths: list[str]) -> DataFrame:
-    """Load report files for a client; returns the ledger rows of this load."""
+    """Load report files for a client; returns the ledger rows of this load.
+
+    The header pass picks one file per report type.  Only those names come to
+    the driver, and only those files are parsed, each of them once.
+    """
     spark = warehouse.spark
-    files = describe_files(read_cells(spark, paths, "headers"))
-    chosen = latest_files(files)
-    rows = records(read_cells(spark, paths), chosen, len(paths))
-    tagged = rows.withColumn("client_id", F.lit(client_id)).drop("file")
-    old = warehouse.rows().filter((F.col("client_id") == client_id) & (F.col("report_type") == PRESERVED_REPORT))
-    scored = preserve_scores(tagged.filter(F.col("report_type") == PRESERVED_REPORT), old)
-    landed = land_rows(scored.unionByName(tagged.filter(F.col("report_type") != PRESERVED_REPORT)))
-    names = [c.split(" ")[0] for c in ROWS_SCHEMA.replace("map<string,string>", "map").split(", ")]
-    blank = {"client_id": F.lit(client_id), "source_file": F.col("source_file"), "report_type": F.col("report_type"),
+    chosen = latest_files(describe_files(read_cells(spark, paths, "headers")))
+    types_of = {r["file"]: r["report_type"] for r in chosen.select("file", "report_type").collect()}
+
+    def landed(files: list[str]) -> DataFrame:
+        return records(read_cells(spark, files), chosen, len(types_of)).withColumn("client_id", F.lit(client_id))
+
+    scored = [f for f, t in types_of.items() if t == PRESERVED_REPORT]
+    plain = landed([f for f in types_of if f not in scored]).drop("file")
+    if scored:
+        own = (F.col("client_id") == client_id) & (F.col("report_type") == PRESERVED_REPORT)
+        plain = plain.unionByName(preserve_scores(landed(scored).drop("file"), warehouse.rows().filter(own)))
+    facts = land_rows(plain)
+    types = dict(facts.dtypes)
+    given = {"client_id": F.lit(client_id), "source_file": F.col("source_file"), "report_type": F.col("report_type"),
              "row_index": F.lit(HEADER_ROW)}
-    types = dict(landed.dtypes)
-    markers = chosen.select(*[blank.get(n, F.lit(None)).cast(types[n]).alias(n) for n in names])
-    warehouse.replace(landed.select(*names).unionByName(markers), warehouse.rows_path)
+    markers = chosen.select(*[given.get(n, F.lit(None)).cast(types[n]).alias(n) for n in facts.columns])
+    warehouse.replace(facts.unionByName(markers), warehouse.rows_path)
     return write_ledger(warehouse, client_id, chosen)
 
 

@@ -30,7 +30,7 @@ def watch_folder(warehouse: Warehouse, client_id: str, folder: str, checkpoint:
     )
 
     def load(batch: DataFrame, _: int) -> None:
-        names = sorted(r["path"] for r in batch.limit(files_per_batch).collect())
+        names = sorted(r["path"] for r in batch.collect())
         if names:
             load_files(warehouse, client_id, names)
 
