@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from adinsight.config import ClientConfig
 from adinsight.functions.dates import complete_month, month_abbr, month_of, ym
 from adinsight.functions.matching import nonbrand_category, region_of_campaign, short_name
-from adinsight.functions.numbers import change, ratio0, ratio_null, rounded, total, whole
+from adinsight.functions.numbers import change, ratio0, rounded, total, whole
 from adinsight.operators.common import everything, money, tenth
 
 TOTAL = "TOTAL"
@@ -137,36 +137,51 @@ def kpi_scorecard(campaigns: DataFrame, as_of: Column, compare: str = "yoy", dat
     )
 
 
-def _period_cells(campaigns: DataFrame, current: Column, keys: dict[str, Column], compare: str,
-                  fallback_over: DataFrame | None = None) -> DataFrame:
-    """Spend and conversions per key for the current and the comparison month.
+def _aged(facts: DataFrame, current: Column, back: int) -> DataFrame:
+    """Rows of the last ``back`` months with their ``age`` in months before ``current``.
 
-    One pass reads the three candidate months (current, last year, previous);
-    last year is used unless no row of it exists, then the previous month.
+    The month range is a plain comparison, so partitions and row groups prune on it.
     """
-    last_year, previous = F.add_months(current, -12), F.add_months(current, -1)
     month = F.col("month_start")
-    named = campaigns.filter(month.isin(current, last_year, previous)).select(
-        *[c.alias(k) for k, c in keys.items()], "month_start", "cost", "conversions"
-    )
+    recent = facts.filter(month.between(F.add_months(current, -back), current))
+    return recent.withColumn("age", F.months_between(current, month).cast("int"))
+
+
+def _period_cells(campaigns: DataFrame, current: Column, keys: dict[str, Column], compare: str) -> DataFrame:
+    """Spend and conversions per key for the current and the comparison month.
+
+    One pass sums the three candidate months (current, previous, last year); last
+    year is used unless no row of it exists, then the previous month.  That check
+    runs over the aggregated cells, at most one per campaign of the account.
+    """
+    by_year = compare not in ("mom", "custom")
+    ages = (0, 1, 12) if by_year else (0, 1)
+    aged = _aged(campaigns, current, max(ages)).filter(F.col("age").isin(*ages))
+    named = aged.select(*[c.alias(k) for k, c in keys.items()], "age", "month_start", "cost", "conversions")
     for key in keys:
         named = named.filter(F.col(key).isNotNull())
-    if compare in ("mom", "custom"):
-        prior = previous
-    else:
-        rows_last_year = named.filter(month == last_year).agg(F.count("*") > 0).scalar()
-        prior = F.when(rows_last_year, last_year).otherwise(previous)
-    return (
-        named.filter((month == current) | (month == prior))
-        .groupBy(*keys)
-        .agg(
-            total("cost", month == prior).alias("spend_prior"),
-            total("cost", month == current).alias("spend_cur"),
-            total("conversions", month == prior).alias("conv_prior"),
-            total("conversions", month == current).alias("conv_cur"),
+    sums = [
+        column
+        for age in ages
+        for column in (
+            total("cost", F.col("age") == age).alias(f"cost_{age}"),
+            total("conversions", F.col("age") == age).alias(f"conv_{age}"),
+            F.count(F.when(F.col("age") == age, 1)).alias(f"rows_{age}"),
         )
-        .withColumn("prior_label", month_abbr(prior))
-        .withColumn("cur_label", month_abbr(current))
+    ]
+    cells = named.groupBy(*keys).agg(*sums, F.max(F.expr("add_months(month_start, age)")).alias("month"))
+    last_year = F.sum("rows_12").over(everything()) > 0 if by_year else F.lit(False)
+    cells = cells.withColumn("last_year", last_year)
+
+    def prior(name: str) -> Column:
+        previous = F.col(f"{name}_1")
+        return F.when(F.col("last_year"), F.col(f"{name}_12")).otherwise(previous) if by_year else previous
+
+    back = F.when(F.col("last_year"), -12).otherwise(-1)
+    return cells.filter((F.col("rows_0") > 0) | (prior("rows") > 0)).select(
+        *keys, prior("cost").alias("spend_prior"), F.col("cost_0").alias("spend_cur"),
+        prior("conv").alias("conv_prior"), F.col("conv_0").alias("conv_cur"),
+        month_abbr(F.add_months("month", back)).alias("prior_label"), month_abbr("month").alias("cur_label"),
     )
 
 
@@ -237,17 +252,15 @@ def campaign_snapshot(campaigns: DataFrame, current: Column) -> DataFrame:
     Several rows of one (campaign, month) are summed.  The cost share divides by
     a scalar subquery, so no task sees all campaigns.
     """
-    month, previous = F.col("month_start"), F.add_months(current, -1)
-    now, then = month == current, month == previous
-    spent = campaigns.filter(now).agg(total("cost")).scalar()
+    now, then = F.col("age") == 0, F.col("age") == 1
+    spent = campaigns.filter(F.col("month_start") == current).agg(total("cost")).scalar()
     rows = (
-        campaigns.filter(now | then)
+        _aged(campaigns, current, 1)
         .groupBy("campaign")
         .agg(
             F.max(F.when(now, F.col("campaign_type"))).alias("type"),
             total("clicks", now).alias("clicks"), total("cost", now).alias("cost"),
             total("conversions", now).alias("conv"),
-            F.sum(F.when(then, F.col("conversions"))).alias("seen"),
             total("conversions", then).alias("before"),
             F.count(F.when(now, 1)).alias("n_now"), F.count(F.when(then, 1)).alias("n_then"),
         )
@@ -277,13 +290,12 @@ _YOY = ("cost", "conversions", "web_reservations", "calls")
 
 
 def _yoy_sums(facts: DataFrame, current: Column, keys: Sequence[str]) -> DataFrame:
-    month, prior = F.col("month_start"), F.add_months(current, -12)
     sums = [
-        total(metric, month == period).alias(f"{metric}_{name}")
+        total(metric, F.col("age") == age).alias(f"{metric}_{name}")
         for metric in _YOY
-        for name, period in (("prior", prior), ("cur", current))
+        for name, age in (("prior", 12), ("cur", 0))
     ]
-    return facts.filter(month.isin(current, prior)).groupBy(*keys).agg(*sums)
+    return _aged(facts, current, 12).filter(F.col("age").isin(0, 12)).groupBy(*keys).agg(*sums)
 
 
 def _yoy_columns() -> list[Column]:

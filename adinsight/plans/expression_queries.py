@@ -81,7 +81,7 @@ PLACES = """(select case when n_nationkey%3=0 then n_name when n_nationkey%3=1 t
  from {customer} join {nation} on n_nationkey=c_nationkey join {region} on r_regionkey=n_regionkey)"""
 register("e07_region_value", lambda f: tally(f.spark.sql(f"select * from {PLACES}", customer=f["customer"], nation=f["nation"], region=f["region"]),
                                             region=matching.region_value(["city", "metro", "region"])),
-         tally_sql(PLACES, region="coalesce(nullif(region,''),nullif(metro,''),nullif(city,''))").replace("as region, ", "as value, ").replace("as value", "as region", 1))
+         tally_sql(PLACES, region="coalesce(nullif(region,''),nullif(metro,''),nullif(city,''))"))
 register("e17_matched_competitor", lambda f: tally(f[ST], competitor=matching.matched_competitor("search_term", CONFIG)),
          tally_sql(f"{{{ST}}}", competitor=f"case when {has('search_term', 'rod')} then 'rod' when {has('search_term', 'hot')} then 'hot' end"))
 register("e15_intent_of", lambda f: tally(f[ST], intent=matching.search_intent("search_term", CONFIG)), tally_sql(

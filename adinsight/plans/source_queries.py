@@ -106,7 +106,7 @@ EXPECTED = "(values " + ",".join(f"('{r}')" for r in warehouse.EXPECTED_REPORTS)
 register("s12_coverage_inventory", lambda f: warehouse.coverage(derived(f, UPLOADS)), f"""
 with u as ({UPLOADS.replace(*VARCHAR)}), l as (select client_id, report_type, max(row_count) row_count from u group by 1,2), c as (select client_id, count(*) n from l group by 1),
  x as (select client_id, r from c, {EXPECTED} union select client_id, report_type from l)
-select client_id, r as report_type, row_count is not null as loaded, row_count, r in (select r from {EXPECTED}) as expected, n||'/12' as coverage from x left join l on l.client_id=x.client_id and l.report_type=x.r join c using (client_id)""".replace("x left join l on l.client_id=x.client_id and l.report_type=x.r", "x left join (select client_id cid, report_type rt, row_count from l) l on cid=x.client_id and rt=x.r"))
+select client_id, r as report_type, row_count is not null as loaded, row_count, r in (select r from {EXPECTED}) as expected, n||'/12' as coverage from x left join (select client_id cid, report_type rt, row_count from l) on cid=client_id and rt=r join c using (client_id)""")
 CLIENTS = "select concat('client ', cast(c_custkey as string)) client_id, c_name name from {customer}"
 register("s13_client_rollup", lambda f: warehouse.client_rollup(derived(f, CLIENTS), derived(f, UPLOADS)), f"""
 select client_id, name, count(distinct report_type) as reports_loaded, max(uploaded_at) as last_upload from ({CLIENTS.replace(*VARCHAR)}) left join ({UPLOADS.replace(*VARCHAR)}) using (client_id) group by 1,2""")

@@ -43,12 +43,11 @@ def budget_lines(rows: DataFrame, period: str = "monthly", window_months: int =
 
     ``annual`` amounts are divided by twelve, ``total`` amounts by the window.
     """
-    found = find_header(rows)
-    at = {name: found.select(name).scalar() for name in ("row_index", *HEADER_KEYS)}
+    head = find_header(rows).select(F.struct("row_index", *HEADER_KEYS)).scalar()
     divisor = {"annual": 12.0, "total": float(max(1, window_months))}.get(period, 1.0)
-    cell = lambda role: F.get(F.col("cells"), at[role])
+    cell = lambda role: F.get(F.col("cells"), F.col(f"head.{role}"))
     amount = parse_number(F.nullif(F.trim(cell("amount")), F.lit("--")))
-    lines = rows.filter(F.col("row_index") > at["row_index"]).select(
+    lines = rows.withColumn("head", head).filter(F.col("row_index") > F.col("head.row_index")).select(
         *[F.nullif(F.trim(cell(d)), F.lit("")).alias(d) for d in ("brand", "region", "category")],
         rounded(amount / divisor, 2).alias("monthly"),
     )
