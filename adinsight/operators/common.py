@@ -100,12 +100,12 @@ def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
 def exact_medians(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Exact lower and upper median per group without sorting a group in one task.
 
-    A mergeable quantile sketch brackets the middle ranks (its rank error is at
-    most 1/10000 of the group, the bracket reaches twice as far on both sides).
-    Only distinct values inside the bracket are ranked, offset by the exact
-    number of rows below it, so the result is exact.
+    A mergeable quantile sketch brackets the middle ranks (its rank error is
+    about 1/10000 of the group, the bracket reaches ten times as far on both
+    sides).  Only distinct values inside the bracket are ranked, offset by the
+    exact number of rows below it, so the result is exact.
     """
-    accuracy, reach = 10_000, 0.0002
+    accuracy, reach = 10_000, 0.001
     bracket = F.percentile_approx(value, F.array(F.lit(0.5 - reach), F.lit(0.5 + reach)), F.lit(accuracy))
     edges = df.groupBy(*groups).agg(F.count(value).alias("n"), bracket.alias("edge"))
     near = (

@@ -57,7 +57,8 @@ def _bridge(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
     join from its statistics (broadcast only below the configured threshold).
     """
     empty = F.coalesce(F.col(key), F.lit("")) == ""
-    spread = F.when(empty, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)) + 1).otherwise(F.lit(0))
+    hashable = [name for name, kind in rows.dtypes if not kind.startswith(("map", "variant"))]
+    spread = F.when(empty, F.pmod(F.xxhash64(*hashable), F.lit(SALTS)) + 1).otherwise(F.lit(0))
     left = rows.withColumn("_salt", spread.cast("bigint"))
     right = side.withColumn("_salt", F.lit(0).cast("bigint"))
     return left.join(right, [key, "_salt"], "left").drop("_salt")

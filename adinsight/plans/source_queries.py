@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adinsight.functions import dates, numbers
 from adinsight.operators import screening
-from adinsight.plans.oracle import cnt, rnd
+from adinsight.plans.oracle import cnt, rnd, tot
 from adinsight.plans.registry import register
 from adinsight.plans.sample_facts import Facts, needed
 from adinsight.sources import budget_files, bundle_sink, report_files, warehouse
+from adinsight.streaming.arrivals import watch_folder
 
 VARCHAR = ("as string", "as varchar")
 
@@ -124,3 +128,97 @@ AUCTION = """select concat('domain', cast(s_suppkey as string), '.example') as d
 register("r05_auction_insights", lambda f: screening.auction_insights(derived(f, AUCTION)), """
 select 'domain'||s_suppkey||'.example' as domain, (s_suppkey%100+0.5e0)/100 as impr_share, (s_suppkey%37)/100e0 as overlap_rate, case when s_suppkey%5<>0 then (s_suppkey%61)/100e0 end as position_above,
  (s_suppkey%83)/100e0 as top_of_page, (s_suppkey%29)/100e0 as outranking from {supplier}""")
+
+# --- files on shared storage -----------------------------------------------------------
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    root = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="adinsight-")
+    return f"{root}/adinsight-{uuid.uuid4().hex}"
+
+
+def export(f: Facts, rows: DataFrame, columns: dict[str, str], folder: str, files: int) -> str:
+    """Write rows as ``files`` report exports: title, window, header, data, total row.
+
+    ``rows`` carries ``pick`` (any whole number) that spreads them over the files.
+    """
+    names = [f"c{i}" for i in range(len(columns))]
+    spread = rows.select((F.pmod(F.xxhash64("pick"), F.lit(files))).alias("file"), F.lit(3).alias("line"),
+                         *[F.expr(x).cast("string").alias(c) for c, x in zip(names, columns.values())])
+    fixed = [["Sample report"], ["March 1, 1995 - August 1, 2001"], list(columns), ["Total", "1", "2"]]
+    extra = [
+        F.struct(F.lit(i if i < 3 else 4).alias("line"),
+                 *[F.lit(cells[k] if k < len(cells) else None).cast("string").alias(c) for k, c in enumerate(names)])
+        for i, cells in enumerate(fixed)
+    ]
+    frame = f.spark.range(files).select(F.col("id").alias("file"), F.inline(F.array(*extra)))
+    placed = spread.unionByName(frame).repartition(files, "file").sortWithinPartitions("file", "line")
+    lines = placed.select("file", *names).write.partitionBy("file").mode("overwrite")
+    lines.option("escape", '"').option("emptyValue", "").csv(folder)
+    return folder
+
+
+TERM_COLUMNS = {
+    "Search term": "case when row_index%5=0 then replace(search_term,' ',', ') when row_index%7=0 then replace(search_term,' ','\n') else search_term end",
+    "Match type": "'Broad match'", "Added/Excluded": "case when row_index%3=0 then '--' else added_excluded end", "Clicks": "format_number(clicks,0)",
+    "Impr.": "case when row_index%4=0 then ' < 10%' else cast(impressions as string) end", "Cost": "concat('$', format_number(cost,6))",
+    "Conversions": "cast(conversions as string)", "Clicks ": "'7'",
+}
+
+
+def scanned(f: Facts) -> DataFrame:
+    """Search terms written as exports and read back, one input partition per file."""
+    rows = f["fx_search_terms"].withColumn("pick", F.xxhash64("search_term", "row_index"))
+    folder = export(f, rows, TERM_COLUMNS, scratch(f.spark), 16)
+    paths = report_files.list_reports(folder, recursive=True)
+    files = report_files.describe_files(report_files.read_cells(f.spark, paths, "headers"))
+    return report_files.land_rows(report_files.records(report_files.read_cells(f.spark, paths), files, len(paths)))
+
+
+register("s01_report_scan", lambda f: scanned(f).groupBy("report_type", F.col("record")["added_excluded"].alias("added")).agg(
+    F.count("*").alias("rows"), F.count("impressions").alias("with_impressions"), F.sum(F.size("record")).alias("cells"),
+    F.count(F.when(F.col("entity").contains(","), 1)).alias("with_comma"), F.count(F.when(F.col("entity").contains("\n"), 1)).alias("with_break"),
+    numbers.whole(numbers.total("clicks")).alias("clicks"), numbers.rounded(numbers.total("cost"), 2).alias("cost")), f"""
+select 'search_terms' as report_type, case when row_index%3<>0 then added_excluded end as added, {cnt()} as rows, {cnt('row_index%4<>0')} as with_impressions, cast(count(*)*8 as bigint) as cells,
+ {cnt('row_index%5=0')} as with_comma, {cnt('row_index%5<>0 and row_index%7=0')} as with_break, cast(sum(clicks) as bigint) as clicks, {rnd(tot('cost'), 2)} as cost from {{fx_search_terms}} group by 2""")
+
+CAMPAIGN_COLUMNS = {"Campaign": "campaign", "Campaign type": "campaign_type", "Month": "date_format(month_start,'MMMM yyyy')", "Clicks": "cast(clicks as string)",
+                    "Impr.": "cast(impressions as string)", "Cost": "format_number(cost,6)", "Conversions": "cast(conversions as string)"}
+
+
+def loaded(f: Facts) -> warehouse.Warehouse:
+    """Two clients loaded, one of them again with fewer months (one row per campaign and month)."""
+    home = scratch(f.spark)
+    rows = f["fx_campaign_performance"].withColumn("pick", F.lit(0))
+    first = report_files.list_reports(export(f, rows, CAMPAIGN_COLUMNS, f"{home}/first", 1), recursive=True)
+    again = report_files.list_reports(export(f, rows.filter("month_start >= '2000-01-01'"), CAMPAIGN_COLUMNS, f"{home}/again", 1), recursive=True)
+    house = warehouse.Warehouse(f.spark, f"{home}/house")
+    for client, paths in (("one", first), ("two", first), ("one", again)):
+        warehouse.load_files(house, client, paths)
+    return house
+
+
+CAMP = "fx_campaign_performance"
+register("s09_snapshot_replace", lambda f: loaded(f).rows().groupBy("client_id", "report_type", "campaign").agg(
+    F.count("*").alias("rows"), numbers.rounded(numbers.total("cost"), 2).alias("cost")), " union all ".join(
+    f"select '{c}' as client_id, 'campaign_performance' as report_type, campaign, {cnt()} as rows, {rnd(tot('cost'), 2)} as cost from {{{CAMP}}} where month_start>=date '{d}' group by campaign"
+    for c, d in (("one", "2000-01-01"), ("two", "1900-01-01"))))
+register("s11_write_ledger", lambda f: loaded(f).uploads().select("client_id", "report_type", "window_start", "window_end", "row_count"), " union all ".join(
+    f"select '{c}' as client_id, 'campaign_performance' as report_type, date '1995-03-01' as window_start, date '2001-08-01' as window_end, {cnt()} as row_count from {{{CAMP}}} where month_start>=date '{d}'"
+    for c, d in (("one", "2000-01-01"), ("two", "1900-01-01"))))
+
+
+def arrived(f: Facts) -> DataFrame:
+    """The same campaign report picked up by the arrival stream, run twice."""
+    home = scratch(f.spark)
+    rows = f[CAMP].withColumn("pick", F.lit(0))
+    folder = export(f, rows, CAMPAIGN_COLUMNS, f"{home}/in", 1) + "/file=0"
+    house = warehouse.Warehouse(f.spark, f"{home}/house")
+    for _ in range(2):
+        watch_folder(house, "one", folder, f"{home}/progress").awaitTermination()
+    return house.rows().groupBy("client_id", "date").agg(F.count("*").alias("rows"), numbers.rounded(numbers.total("cost"), 2).alias("cost"))
+
+
+register("r06_file_arrivals", arrived, f"select 'one' as client_id, strftime(month_start,'%B %Y') as date, {cnt()} as rows, {rnd(tot('cost'), 2)} as cost from {{{CAMP}}} group by month_start")

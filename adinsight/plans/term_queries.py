@@ -97,6 +97,8 @@ def classify_even(batch: list[str], context: object) -> dict[str, dict[str, obje
     return {t: {"relevant": True, "category": "product", "reason": "even"} for t in batch if len(t) % 2 == 0}
 
 
+register("t14_classify_relevance", lambda f: relevance.classify(all_terms(f), CONFIG), f"""select distinct search_term as term, {verdict('search_term', 'relevant')} as relevant,
+ {verdict('search_term', 'category')} as category, {verdict('search_term', 'reason')} as reason, 'heuristic' as source from {{{ST}}}""")
 EVEN_LENGTH = "length(search_term)%2=0"
 register("t15_pluggable_classifier", lambda f: relevance.classify_with(all_terms(f), CONFIG, classify_even), f"""select distinct search_term as term,
  case when {EVEN_LENGTH} then true else {verdict('search_term', 'relevant')} end as relevant, case when {EVEN_LENGTH} then 'product' else {verdict('search_term', 'category')} end as category,

@@ -74,13 +74,13 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
-def list_reports(folder: str) -> list[str]:
-    """CSV files directly inside a folder (any filesystem Arrow can open), by name."""
+def list_reports(folder: str, recursive: bool = False) -> list[str]:
+    """CSV files inside a folder (any filesystem Arrow can open), by name."""
     fs, root = _filesystem(folder)
-    found = fs.get_file_info(pafs.FileSelector(root, recursive=False))
+    found = fs.get_file_info(pafs.FileSelector(root, recursive=recursive))
     names = sorted(i.path for i in found if i.type == pafs.FileType.File and i.path.endswith(".csv"))
     scheme = folder.split("://", 1)[0] + "://" if "://" in folder else ""
-    return [scheme + n if scheme and scheme != "file://" else n for n in names]
+    return names if scheme in ("", "file://") else [scheme + n for n in names]
 
 
 def window_text(line: str) -> str:
