@@ -109,12 +109,15 @@ def preserve_scores(new: DataFrame, old: DataFrame) -> DataFrame:
 def load_files(warehouse: Warehouse, client_id: str, paths: list[str]) -> DataFrame:
     """Load report files for a client; returns the ledger rows of this load.
 
-    The header pass picks one file per report type.  Only those names come to
-    the driver, and only those files are parsed, each of them once.
+    The header pass picks one file per report type.  Its result, one row per
+    loaded file, passes through the driver, which listed the files anyway; the
+    files themselves are then parsed once each.
     """
     spark = warehouse.spark
-    chosen = latest_files(describe_files(read_cells(spark, paths, "headers")))
-    types_of = {r["file"]: r["report_type"] for r in chosen.select("file", "report_type").collect()}
+    headers = latest_files(describe_files(read_cells(spark, paths, "headers")))
+    found = headers.collect()
+    chosen = spark.createDataFrame(found, headers.schema)
+    types_of = {r["file"]: r["report_type"] for r in found}
 
     def landed(files: list[str]) -> DataFrame:
         return records(read_cells(spark, files), chosen, len(types_of)).withColumn("client_id", F.lit(client_id))
