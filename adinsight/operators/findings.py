@@ -175,18 +175,21 @@ def trend_evidence(campaigns: DataFrame, as_of: Column) -> DataFrame:
 # --- keywords ----------------------------------------------------------------------
 
 
-def match_type_mix(keywords: DataFrame) -> DataFrame:
-    """Keywords, cost and conversions per match type bucket, with the idle flag."""
+def _match_type_sums(keywords: DataFrame) -> DataFrame:
     sums = keywords.groupBy(match_type_bucket("search_keyword_match_type").alias("match")).agg(
         F.count("*").alias("keywords"), total("cost").alias("cost"), total("conversions").alias("conv")
     )
-    idle = (F.col("match") != "Other") & (F.col("cost") < 1)
-    return sums.select("match", "keywords", idle.alias("idle"), money("cost"), tenth("conv"))
+    return sums.withColumn("idle", (F.col("match") != "Other") & (F.col("cost") < 1))
+
+
+def match_type_mix(keywords: DataFrame) -> DataFrame:
+    """Keywords, cost and conversions per match type bucket, with the idle flag."""
+    return _match_type_sums(keywords).select("match", "keywords", "idle", money("cost"), tenth("conv"))
 
 
 def match_types(keywords: DataFrame) -> DataFrame:
     """Match-type allocation; the four bucket rows fit one array."""
-    rows = match_type_mix(keywords)
+    rows = _match_type_sums(keywords)
     entry = F.struct((-F.col("cost")).alias("c"), F.col("match"), F.col("keywords"), F.col("conv"), F.col("idle"))
     one = rows.agg(F.sort_array(F.collect_list(entry)).alias("mix"), F.sum("keywords").alias("n")).filter("n > 0")
     named = F.filter("mix", lambda x: x["match"] != "Other")
@@ -302,15 +305,20 @@ def waste_totals(terms: DataFrame, cfg: ClientConfig) -> DataFrame:
     return sums.withColumn("pct", ratio0("waste", "cost") * 100)
 
 
-def waste_themes(terms: DataFrame, cfg: ClientConfig, top: int | None = 6) -> DataFrame:
-    """Cost per distinct token of the wasted terms.
+def _theme_costs(terms: DataFrame, cfg: ClientConfig) -> DataFrame:
+    """Unrounded cost per distinct token of the wasted terms.
 
     Rows of one text are summed before the token explosion, so a head term is
     tokenised once; tokens are then combined map-side before the shuffle.
     """
     texts = wasted_terms(terms, cfg).groupBy("search_term").agg(F.sum(units("cost")).alias("u"))
     tokens = texts.select(F.explode(theme_tokens("search_term")).alias("token"), "u")
-    sums = tokens.groupBy("token").agg((F.sum("u") / 1e6).alias("cost"))
+    return tokens.groupBy("token").agg((F.sum("u") / 1e6).alias("cost"))
+
+
+def waste_themes(terms: DataFrame, cfg: ClientConfig, top: int | None = 6) -> DataFrame:
+    """The costliest tokens of the wasted terms; all of them when ``top`` is None."""
+    sums = _theme_costs(terms, cfg)
     if top is not None:
         sums = sums.orderBy(F.col("cost").desc(), "token").limit(top)
     return sums.select("token", money("cost"))
@@ -319,7 +327,7 @@ def waste_themes(terms: DataFrame, cfg: ClientConfig, top: int | None = 6) -> Da
 def waste(terms: DataFrame, cfg: ClientConfig) -> DataFrame:
     """Spend on search terms without conversions; critical from 40 % of the spend."""
     order = [F.col("cost").desc(), F.col("token")]
-    themes = _named_top(waste_themes(terms, cfg), order, say(F.col("token"), " (", money_text("cost"), ")"), 6)
+    themes = _named_top(_theme_costs(terms, cfg), order, say(F.col("token"), " (", money_text("cost"), ")"), 6)
     rows = waste_totals(terms, cfg).filter("waste > 0").withColumn("themes", themes)
     severe = F.col("pct") >= 40
     shield = F.when(F.col("protected") > 0, say(" (", money_text("protected"), " in protected terms left out)"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +95,9 @@ def all_terms(f: Facts) -> DataFrame:
     return f[ST].select(F.col("search_term").alias("term")).distinct()
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not import this module
+
+
 def classify_even(batch: list[str], context: object) -> dict[str, dict[str, object]]:
     """A stand-in classifier: answers for terms of even length and drops the others."""
     return {t: {"relevant": True, "category": "product", "reason": "even"} for t in batch if len(t) % 2 == 0}

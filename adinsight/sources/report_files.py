@@ -11,11 +11,13 @@ from __future__ import annotations
 import csv
 import io
 import itertools
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -62,6 +64,9 @@ METRICS = {"clicks": "clicks", "impr": "impressions", "cost": "cost", "conversio
 FORMAT = "ad_report"
 HEADER_ROW = -1
 BATCH_ROWS = 8192
+
+# The reader travels to the workers by value, so they need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BROADCAST_FILES = 10_000
 
 

@@ -1,5 +1,7 @@
 """From report files to sections: the path a user takes."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from adinsight.config import ClientConfig
@@ -42,8 +44,10 @@ def loaded(spark, tmp_path_factory):
 def test_files_to_sections(loaded):
     uploads, views = loaded
     assert len(views) == len(FILES)
-    with build_bundle(CONFIG, uploads, views) as bundle:
-        got = {name: [r.asDict() for r in df.collect()] for name, df in bundle.sections.items()}
+    sections = build_bundle(CONFIG, uploads, views).sections
+    with ThreadPoolExecutor(6) as pool:
+        found = pool.map(lambda name: [r.asDict() for r in sections[name].collect()], sections)
+        got = dict(zip(sections, found))
     assert [(r["month"], r["spend"], r["main_conv"]) for r in got["total_trend"]] == [("2025-01", 50.0, 10.0), ("2025-02", 90.0, 29.0)]
     assert got["kpis"][0]["prior"] == 50.0 and got["regions"][0]["region"] == "North"
     assert {r["segment"]: r["terms"] for r in got["intent_segments"]} == {"Relevant": 1, "Competitor": 1, "Needs Review": 0, "Irrelevant": 0}

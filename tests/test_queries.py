@@ -1,5 +1,7 @@
 """Every registered query against its SQL twin on the smallest tables."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import duckdb
 import pytest
 
@@ -25,19 +27,29 @@ def test_every_oracle_has_a_query():
     assert not [n for n in QUERIES if n not in ORACLES and n != "n11_evidence"]
 
 
+@pytest.fixture(scope="module")
+def results(spark):
+    """Futures of (columns, rows) per query; a few queries run at a time."""
+
+    def run(name):
+        df = QUERIES[name](spark, SF)
+        columns = sorted(df.columns)
+        return columns, sorted(repr(tuple(r)) for r in df.select(*[f"`{c}`" for c in columns]).collect())
+
+    with ThreadPoolExecutor(6) as pool:
+        yield {name: pool.submit(run, name) for name in sorted(QUERIES)}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_matches_its_oracle(spark, duck, name):
-    df = QUERIES[name](spark, SF)
-    columns = sorted(df.columns)
-    got = sorted(repr(tuple(r)) for r in df.select(*[f"`{c}`" for c in columns]).collect())
+def test_query_matches_its_oracle(results, duck, name):
+    columns, got = results[name].result(timeout=600)
     if name not in ORACLES:
         assert got
         return
     cursor = duck.execute(ORACLES[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
-    want = sorted(repr(tuple(row[names.index(c)] for c in columns)) for row in cursor.fetchall())
-    assert got == want
+    assert got == sorted(repr(tuple(row[names.index(c)] for c in columns)) for row in cursor.fetchall())
 
 
 def test_entry_has_rows(spark):
