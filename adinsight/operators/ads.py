@@ -35,29 +35,38 @@ def _filled(ads: DataFrame, prefix: str, count: int) -> Column:
     return F.filter(F.array(*cells), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
 
 
-def graded(ads: DataFrame, cfg: ClientConfig) -> DataFrame:
-    """Served ads with texts, URL, segment, category, rates and both grades."""
+def served(ads: DataFrame, cfg: ClientConfig) -> DataFrame:
+    """Served ads (impressions or cost) with texts, URL and segment."""
     zero = F.lit(0.0)
     campaign, group = text_column(ads, "campaign"), text_column(ads, "ad_group")
     lead = F.array_join(_filled(ads, "headline", 3), " | ")
     plain, long = text_column(ads, "headline"), text_column(ads, "long_headline")
     headline = F.when(lead != "", lead).when(plain != "", plain).otherwise(long)
+    branded = is_brand(F.concat_ws(" ", campaign, group), cfg)
     base = ads.select(
         campaign.alias("campaign"), group.alias("ad_group"), text_column(ads, "ad_type").alias("type"),
         final_url(ads).alias("final_url"), F.size(_filled(ads, "headline", 15)).alias("headlines"),
         F.size(_filled(ads, "description", 5)).alias("descriptions"), headline.alias("headline"),
-        is_brand(F.concat_ws(" ", campaign, group), cfg).alias("branded"),
+        F.when(branded, SEGMENTS[0]).otherwise(SEGMENTS[1]).alias("segment"),
         *[F.coalesce(F.col(m).cast("double"), zero).alias(m) for m in ("impressions", "clicks", "cost", "conversions")],
         "row_index",
-    ).filter((F.col("impressions") > 0) | (F.col("cost") > 0))
-    return base.withColumns({
-        "segment": F.when(F.col("branded"), SEGMENTS[0]).otherwise(SEGMENTS[1]),
+    )
+    return base.filter((F.col("impressions") > 0) | (F.col("cost") > 0))
+
+
+def annotate(rows: DataFrame, cfg: ClientConfig) -> DataFrame:
+    """Add the category and both grades."""
+    return rows.withColumns({
         "category": category_of(F.concat_ws(" ", F.col("ad_group"), F.col("headline")), cfg, UNCATEGORIZED),
-        "grade": grade_ad("clicks", "impressions", F.col("branded")),
+        "grade": grade_ad("clicks", "impressions", F.col("segment") == SEGMENTS[0]),
         "lp_grade": grade_page("clicks", "impressions", "conversions"),
     })
 
 
+def graded(ads: DataFrame, cfg: ClientConfig) -> DataFrame:
+    return annotate(served(ads, cfg), cfg)
+
+
 def by_cost() -> list[Column]:
     return [F.col("cost").desc(), F.col("ad_group"), F.col("headline"), F.col("final_url"), F.col("row_index")]
 
@@ -72,11 +81,11 @@ def _ad_columns() -> list[Column | str]:
 
 
 def inventory(ads: DataFrame, cfg: ClientConfig, top: int = 100) -> DataFrame:
-    """Largest ads by cost; ``served`` counts all served ads."""
-    rows = graded(ads, cfg)
-    served = rows.agg(F.count("*")).scalar()
-    best = rows.orderBy(*by_cost()).limit(top)
-    return best.select(*_ad_columns(), "campaign", "type", "headlines", "descriptions", served.alias("served"))
+    """Largest ads by cost; ``served`` counts all served ads.  Only the listed ads are graded."""
+    rows = served(ads, cfg)
+    found = rows.agg(F.count("*")).scalar()
+    best = annotate(rows.orderBy(*by_cost()).limit(top), cfg)
+    return best.select(*_ad_columns(), "campaign", "type", "headlines", "descriptions", found.alias("served"))
 
 
 def grade_summary(ads: DataFrame, cfg: ClientConfig) -> DataFrame:
@@ -95,8 +104,8 @@ def grade_summary(ads: DataFrame, cfg: ClientConfig) -> DataFrame:
 
 def detail(ads: DataFrame, cfg: ClientConfig, top: int = 100) -> DataFrame:
     """Largest ads per segment.  A segment may hold nearly all ads, hence the salted ranking."""
-    best = top_per_group(graded(ads, cfg), ["segment"], by_cost(), top, ["headline", "final_url", "row_index"])
-    return best.select(*_ad_columns(), "rank")
+    best = top_per_group(served(ads, cfg), ["segment"], by_cost(), top, ["headline", "final_url", "row_index"])
+    return annotate(best, cfg).select(*_ad_columns(), "rank")
 
 
 def pairing_cells(ads: DataFrame, cfg: ClientConfig) -> DataFrame:

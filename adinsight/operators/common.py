@@ -103,13 +103,14 @@ def exact_medians(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame
     A mergeable quantile sketch brackets the middle ranks (its rank error is
     about 1/10000 of the group, the bracket reaches ten times as far on both
     sides).  Only distinct values inside the bracket are ranked, offset by the
-    exact number of rows below it, so the result is exact.
+    exact number of rows below it, so the result is exact.  The groups must be a
+    short label list (categories of the configuration): their edges are broadcast.
     """
     accuracy, reach = 10_000, 0.001
     bracket = F.percentile_approx(value, F.array(F.lit(0.5 - reach), F.lit(0.5 + reach)), F.lit(accuracy))
     edges = df.groupBy(*groups).agg(F.count(value).alias("n"), bracket.alias("edge"))
     near = (
-        df.join(edges, list(groups))
+        df.join(F.broadcast(edges), list(groups))
         .withColumn("_low", F.col(value) < F.col("edge")[0])
         .filter(F.col(value).isNotNull() & (F.col(value) <= F.col("edge")[1]))
         .groupBy(*groups, "n", F.when(~F.col("_low"), F.col(value)).alias("v"))

@@ -36,13 +36,14 @@ def _typed(terms: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def graded(terms: DataFrame, cfg: ClientConfig, keep: Sequence[str] = (), brand_terms_too: bool = False) -> DataFrame:
-    """Non-brand terms with grade, intent segment, category, competitor and status."""
-    rows = _typed(terms, keep)
-    if not brand_terms_too:
-        rows = rows.filter(~is_brand("term", cfg))
-    rows = rows.withColumn("grade", grade_term("clicks", "conversions"))
-    return rows.withColumns({
+def nonbrand(terms: DataFrame, cfg: ClientConfig, keep: Sequence[str] = ()) -> DataFrame:
+    """Typed rows of the terms that hold no brand term."""
+    return _typed(terms, keep).filter(~is_brand("term", cfg))
+
+
+def annotate(rows: DataFrame, cfg: ClientConfig) -> DataFrame:
+    """Add grade, intent segment, category, competitor and status."""
+    return rows.withColumn("grade", grade_term("clicks", "conversions")).withColumns({
         "segment": search_intent("term", cfg),
         "category": category_of("term", cfg),
         "competitor": matched_competitor("term", cfg),
@@ -50,6 +51,16 @@ def graded(terms: DataFrame, cfg: ClientConfig, keep: Sequence[str] = (), brand_
     })
 
 
+def graded(terms: DataFrame, cfg: ClientConfig, keep: Sequence[str] = (), brand_terms_too: bool = False) -> DataFrame:
+    """Annotated terms, without the brand terms unless asked for."""
+    return annotate(_typed(terms, keep) if brand_terms_too else nonbrand(terms, cfg, keep), cfg)
+
+
+def _leading(rows: DataFrame, cfg: ClientConfig, top: int) -> DataFrame:
+    """The costliest rows; only they are annotated."""
+    return annotate(rows.orderBy(*by_cost()).limit(top), cfg)
+
+
 def _share(by: Sequence[str], name: str = "spend") -> Column:
     """Share of the group total; the window runs over the few label rows."""
     return rounded(ratio0(F.col(name), F.sum(name).over(Window.partitionBy(*by))), 4)
@@ -134,18 +145,18 @@ def _cpa() -> Column:
 
 
 def competitor_terms(terms: DataFrame, cfg: ClientConfig, top: int = 75) -> DataFrame:
-    rows = graded(terms, cfg).filter(F.col("competitor").isNotNull())
-    return rows.orderBy(*by_cost()).limit(top).select(*_detail("competitor"), _cpa())
+    rows = nonbrand(terms, cfg).filter(matched_competitor("term", cfg).isNotNull())
+    return _leading(rows, cfg, top).select(*_detail("competitor"), _cpa())
 
 
 def relevant_terms(terms: DataFrame, cfg: ClientConfig, top: int = 150) -> DataFrame:
-    rows = graded(terms, cfg).filter(F.col("segment") == "Relevant").orderBy(*by_cost()).limit(top)
+    rows = _leading(nonbrand(terms, cfg).filter(search_intent("term", cfg) == "Relevant"), cfg, top)
     category = F.coalesce("category", F.lit("Uncategorized")).alias("category")
     return rows.select(*_detail(category, "grade", "status"), rounded(ratio0("cost", "clicks"), 2).alias("cpc"))
 
 
 def flagged_terms(terms: DataFrame, cfg: ClientConfig, top: int = 75) -> DataFrame:
-    rows = graded(terms, cfg).filter(F.col("segment") == "Needs Review").orderBy(*by_cost()).limit(top)
+    rows = _leading(nonbrand(terms, cfg).filter(search_intent("term", cfg) == "Needs Review"), cfg, top)
     return rows.select(*_detail("segment", "status"), _cpa())
 
 
@@ -157,7 +168,7 @@ def _head(terms: DataFrame, cfg: ClientConfig, top: int = 60, cache: DataFrame |
 
     Both inputs of the join are bounded by the limits, so it is a broadcast.
     """
-    best = graded(terms, cfg).orderBy(*by_cost()).limit(top)
+    best = _leading(nonbrand(terms, cfg), cfg, top)
     verdicts = verdicts_for(first_terms(best, by_cost()), cache, cfg)
     return best.join(F.broadcast(verdicts.withColumnRenamed("category", "verdict")), "term", "left")
 
@@ -187,9 +198,9 @@ def relevant_top(terms: DataFrame, cfg: ClientConfig, top: int = 25, cache: Data
 
 def competitor_top(terms: DataFrame, cfg: ClientConfig, top: int = 25, cache: DataFrame | None = None) -> DataFrame:
     """Largest terms with any competitor; verdicts exist for the account's first 40."""
-    ranked = graded(terms, cfg)
-    rows = ranked.filter(F.col("competitor").isNotNull()).orderBy(*by_cost()).limit(top)
-    head = ranked.orderBy(*by_cost()).limit(60)
+    candidates = nonbrand(terms, cfg)
+    rows = _leading(candidates.filter(matched_competitor("term", cfg).isNotNull()), cfg, top)
+    head = candidates.orderBy(*by_cost()).limit(60)
     verdicts = verdicts_for(first_terms(head, by_cost()), cache, cfg).withColumnRenamed("category", "verdict")
     return rows.join(F.broadcast(verdicts), "term", "left").select(*_listed())
 
@@ -204,8 +215,12 @@ def flagged_top(terms: DataFrame, cfg: ClientConfig, top: int = 30, cache: DataF
 # --- waste against converting ------------------------------------------------------
 
 
+def _is_waste() -> Column:
+    return (F.col("cost") > 0) & (F.col("conversions") <= 0)
+
+
 def _waste(terms: DataFrame) -> DataFrame:
-    return _typed(terms).filter((F.col("cost") > 0) & (F.col("conversions") <= 0))
+    return _typed(terms).filter(_is_waste())
 
 
 def top_waste(terms: DataFrame, cfg: ClientConfig, top: int = 20, cache: DataFrame | None = None) -> DataFrame:
@@ -226,8 +241,8 @@ def top_converting(terms: DataFrame, top: int = 20) -> DataFrame:
 
 def waste_split(terms: DataFrame, cfg: ClientConfig, cache: DataFrame | None = None) -> DataFrame:
     """Total waste, and the top-40 waste split into relevant and irrelevant."""
-    all_waste = _waste(terms).agg(total("cost")).scalar()
-    all_terms = terms.agg(F.count("*")).scalar()
+    everything = _typed(terms).agg(F.count("*").alias("terms"), total("cost", _is_waste()).alias("waste"))
+    all_terms, all_waste = everything.select("terms").scalar(), everything.select("waste").scalar()
     best = _waste(terms).orderBy(*by_cost()).limit(40)
     verdicts = verdicts_for(first_terms(best, by_cost()), cache, cfg)
     joined = best.join(F.broadcast(verdicts), "term", "left")
