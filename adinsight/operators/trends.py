@@ -125,6 +125,7 @@ def kpi_scorecard(campaigns: DataFrame, as_of: Column, compare: str = "yoy", dat
         then = F.col(f"pri_{num}") if den is None else ratio0(f"pri_{num}", f"pri_{den}")
         return F.struct(F.lit(metric).alias("metric"), then.alias("p"), now.alias("c"))
 
+    # Metric labels of the scorecard.
     rows = F.array(
         row("Total Spend", "cost", None),
         row("Main Conversions", "conv", None),

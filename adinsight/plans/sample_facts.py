@@ -11,6 +11,7 @@ import re
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from adinsight.config import ClientConfig
 
@@ -36,10 +37,12 @@ from {lineitem} l""",
 select case c_mktsegment when 'BUILDING' then 'Search | Brand Defense'
   when 'MACHINERY' then concat('PMax | Tier A - ', r_name) when 'AUTOMOBILE' then concat('Search | Conquest | Tier B - ', r_name)
   when 'FURNITURE' then concat('Search | Non-Brand | Tier A - ', r_name) else concat('Search | Widgets | Tier C - ', r_name) end as campaign,
- case c_mktsegment when 'MACHINERY' then 'Performance Max' else 'Search' end as campaign_type,
- cast(date_trunc('month', o_orderdate) as date) as month_start,
+ case c_mktsegment when 'MACHINERY' then 'Performance Max' else 'Search' end as campaign_type, month_start,
  sum(qty*20) as impressions, sum(qty) as clicks, sum(cost_u)/1e6 as cost, sum(conv_n) as conversions, sum(conv_n)*25 as conv_value
-from {orders} join {customer} on o_custkey=c_custkey join {nation} on n_nationkey=c_nationkey join {region} on r_regionkey=n_regionkey join {li} on l_orderkey=o_orderkey
+from (select c_mktsegment, r_name, cast(date_trunc('month', o_orderdate) as date) as month_start,
+  cast(sum(qty) as bigint) as qty, cast(sum(cost_u) as bigint) as cost_u, cast(sum(conv_n) as bigint) as conv_n
+ from {orders} join {customer} on o_custkey=c_custkey join {nation} on n_nationkey=c_nationkey join {region} on r_regionkey=n_regionkey join {li} on l_orderkey=o_orderkey
+ group by 1,2,3) segments
 group by 1,2,3""",
     "fx_months": """
 select cast(date_trunc('month', o_orderdate) as date) as month_start from {orders} group by 1""",
@@ -129,6 +132,14 @@ from {li} join {part} on p_partkey=l_partkey group by 1""",
 }
 
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A sample table; its footer is read for the schema only the first time."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 class Facts:
@@ -142,7 +153,7 @@ class Facts:
         if name not in self._frames:
             text = VIEWS.get(name)
             if text is None:
-                self._frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._frames[name] = read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
             else:
                 self._frames[name] = self.spark.sql(text, **{n: self[n] for n in needed(text)})
         return self._frames[name]
