@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adinsight.llm import token_codes
+from adinsight.llm import bpe, token_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_directly_addressable_codes": token_codes.op1_directly_addressable_codes,
+    "op2_rank_array_bpe": bpe.op2_rank_array_bpe,
 }
 ORACLES: dict[str, str] = {}
 
