@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adinsight.llm import bpe, token_codes
+from adinsight.llm import bpe, decontamination, token_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_directly_addressable_codes": token_codes.op1_directly_addressable_codes,
     "op2_rank_array_bpe": bpe.op2_rank_array_bpe,
+    "op9_suffix_automaton": decontamination.op9_suffix_automaton,
 }
 ORACLES: dict[str, str] = {}
 
