@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adinsight.llm import bpe, decontamination, secrets, token_codes
+from adinsight.llm import bpe, decontamination, quality_rules, secrets, token_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_directly_addressable_codes": token_codes.op1_directly_addressable_codes,
     "op2_rank_array_bpe": bpe.op2_rank_array_bpe,
     "op9_suffix_automaton": decontamination.op9_suffix_automaton,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op6_ngram_ratio_rules": quality_rules.op6_ngram_ratio_rules,
 }
 ORACLES: dict[str, str] = {}
 
