@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import sys
 import unicodedata
 import zlib
@@ -199,22 +200,28 @@ class WordBpe:
         late = "".join(sorted(set(newer) - {c for c, _ in known}))
         lowered = normalizers.Lowercase().normalize_str("\n".join(newer)).split("\n")
         self.lower = str.maketrans({c: x for c, x in zip(newer, lowered) if c != x})
-        self.late = regex.compile(f"[{regex.escape(late)}]" if late else "(?!)")
+        self.newer = frozenset(newer)
+        self.pieces = regex.compile(self.PIECES)
+        self.ascii_pieces = re.compile(self.PIECES.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r\x20"))
         pattern = self.PIECES
         if late:
             late = regex.escape(late)
             pattern = (pattern.replace(r"[\p{L}]", rf"[\p{{L}}--[{late}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{late}]]")
                        .replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{late}]]"))
-        self.pieces = regex.compile(pattern, regex.V1)
+        self.exact_pieces = regex.compile(pattern, regex.V1)
         strings = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.special.items()}
         self.strings = [strings.get(i, "") for i in range(max(strings) + 1)]
         self.words = Generations(lambda w: self._new([w])[0], MEMO)
         self.parts = Generations(lambda p: self.array.encode([p.encode()])[0].astype("<u4").tobytes(), MEMO)
 
     def _split(self, word: str) -> list[str]:
-        if not word.isascii():
-            word = word.translate(self.lower)
-        return [word] if word.isalpha() and not self.late.search(word) else self.pieces.findall(word)
+        if word.isalpha():  # no letter that is newer than Python's tables
+            return [word]
+        if word.isascii():
+            return self.ascii_pieces.findall(word)
+        if self.newer.isdisjoint(word):
+            return self.pieces.findall(word)
+        return self.exact_pieces.findall(word.translate(self.lower))
 
     def _new(self, words: list[str]) -> list[bytes]:
         """Ids of words that are not in the memo, their new pieces merged together."""
@@ -223,9 +230,7 @@ class WordBpe:
         made = {p: ids.astype("<u4").tobytes() for p, ids in zip(new, self.array.encode([p.encode() for p in new]))}
         out = [b"".join([made.get(p) or self.parts[p] for p in s]) for s in split]
         for p, ids in made.items():
-            self.parts.make, make = (lambda _, ids=ids: ids), self.parts.make
-            self.parts[p]
-            self.parts.make = make
+            self.parts.put(p, ids)
         return out
 
     def normal(self, text: str) -> str:
@@ -236,7 +241,7 @@ class WordBpe:
     def _words(self, text: str) -> list[str]:
         text = self.normal(text)
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for split(), not for the pattern
-            return self.pieces.findall(text.translate(self.lower))
+            return self.exact_pieces.findall(text.translate(self.lower))
         return text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -246,11 +251,10 @@ class WordBpe:
             split = [self._sections(t) for t in texts[start:stop]]
             seen = set().union(*(w for s in split for w in s if isinstance(w, list)))
             new = [w for w in seen if w not in self.words and w not in self.words.old]
-            made = dict(zip(new, self._new(new)))
-            make, self.words.make = self.words.make, lambda w: made[w] if w in made else make(w)
+            for w, ids in zip(new, self._new(new)):
+                self.words.put(w, ids)
             for i, s in enumerate(split, start):
                 out[i] = b"".join([w if isinstance(w, bytes) else b"".join(map(self.words.__getitem__, w)) for w in s])
-            self.words.make = make
         return out
 
     def _sections(self, text: str) -> list:
