@@ -18,6 +18,7 @@ Further columns are ignored.
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -199,7 +200,7 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     base = list(rows.schema) if carry else [docs.schema[id_col]]
     for k, part in enumerate(parts):
         shipped = docs.sparkSession.sparkContext.broadcast(part)  # at most part_bytes of text, see above
-        key = f"matcher-{shipped.id}-{window}"
+        key = f"matcher-{window}-{zlib.crc32(repr(part).encode())}-{k}"
         last, first = k == len(parts) - 1, k == 0
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped, key=key, first=first, last=last) -> Iterator[pa.RecordBatch]:
