@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adinsight.llm import bpe, decontamination, html_text, jaccard_join, quality_rules, secrets, suffix_tree_lm, token_codes
+from adinsight.llm import bpe, decontamination, html_text, jaccard_join, pii, quality_rules, secrets, suffix_tree_lm, token_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_directly_addressable_codes": token_codes.op1_directly_addressable_codes,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_signature_tree_join": jaccard_join.op8_signature_tree_join,
     "op4_template_removal": html_text.op4_template_removal,
     "op5_suffix_tree_score": suffix_tree_lm.op5_suffix_tree_score,
+    "op3_surrogates": pii.op3_surrogates,
 }
 ORACLES: dict[str, str] = {}
 
