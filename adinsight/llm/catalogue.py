@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adinsight.llm import bpe, decontamination, html_text, jaccard_join, pii, quality_rules, secrets, suffix_tree_lm, token_codes
+import corpus_pipeline
+from adinsight.llm import bpe, decontamination, html_text, jaccard_join, pii, quality_rules, quotes, secrets, suffix_tree_lm, token_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_directly_addressable_codes": token_codes.op1_directly_addressable_codes,
@@ -18,8 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_template_removal": html_text.op4_template_removal,
     "op5_suffix_tree_score": suffix_tree_lm.op5_suffix_tree_score,
     "op3_surrogates": pii.op3_surrogates,
+    "pipeline": corpus_pipeline.run,
+    "op7_quote_linking": quotes.op7_quote_linking,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

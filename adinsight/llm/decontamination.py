@@ -17,6 +17,7 @@ Further columns are ignored.
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from collections.abc import Iterable, Iterator
@@ -244,6 +245,45 @@ def n_hit(spans: str = "__spans") -> F.Column:
         (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["to"]))).alias("n")), lambda a: a["n"].cast("long"))
 
 
+def contaminated(spans: str = "__spans", n_words: str = "__n_words") -> F.Column:
+    """A twentieth of the words or more is hit."""
+    return (n_hit(spans) > 0) & (20 * n_hit(spans) >= F.col(n_words))
+
+
+_WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def without_spans(text: str, spans: list[dict], least: int) -> str:
+    """The text without the words of spans of ``least`` words or more, from the first one's start to the last one's end."""
+    if not any(s["end"] - s["start"] >= least for s in spans):
+        return text
+    places = [m.span() for m in _WORD.finditer(text)]
+    parts, at = [], 0
+    for s in spans:
+        if s["end"] - s["start"] >= least:
+            parts.append(text[at : max(at, places[s["start"]][0])])
+            at = max(at, places[s["end"] - 1][1])
+    return "".join([*parts, text[at:]])
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                  item_text_col: str = "text", window: int = WINDOW, least_span: int = WINDOW) -> DataFrame:
+    """``docs`` without contaminated documents, and the others without their hit spans of ``least_span`` words or more."""
+    found = find_hits(docs, items, id_col, text_col, item_col, item_text_col, window, carry=True).filter(~contaminated())
+    at = docs.columns.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns[:-1])
+            spans = batch.column(batch.num_columns - 1).to_pylist()
+            if any(spans):
+                texts = [t if not s or t is None else without_spans(t, s, least_span) for t, s in zip(columns[at].to_pylist(), spans)]
+                columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return found.select(*docs.columns, "__spans").mapInArrow(cut, docs.schema)
+
+
 def op9_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of 13-word benchmark windows in all documents."""
     found = find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

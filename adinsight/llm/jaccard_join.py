@@ -29,11 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adinsight.llm.common import Generations, binary, table, worker_cache, written
+from adinsight.llm.common import WORD, Generations, binary, erased, table, worker_cache, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -362,6 +362,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = texts.select(F.explode("cells").alias("at"), "cls", "text").select("at.*", "cls", "text")
     dealt = dealt.repartition("label", "left", "right").sortWithinPartitions("label", "left", "right", "cls")
     edges = written(_block_links(dealt, n, num, den), "jaccard-links").distinct()
+    erased(keys)
 
     roots = components(edges)
     least = roots.join(classes.select(F.col("cls").alias("node"), "least"), "node")
@@ -370,10 +371,26 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = classes.select("cls", "least").join(linked, "cls", "left").select("cls", F.coalesce("component", "least").alias("component"))
     # copies of one class may be a third of all rows: their join is one that Spark can split
     return rows.join(named, "cls", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "cls",
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "cls", "thash",
         F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the one with the smallest id stays.
+
+    Ties of the id are broken by the hash of the text, the same row twice stays once; rows without words all stay.
+    """
+    found = similarity_classes(docs.select(id_col, text_col), id_col, text_col, n, num, den)
+    first = found.filter("cls is not null").groupBy("component").agg(F.min(F.struct(F.col(id_col).alias("i"), F.col("thash").alias("h"))).alias("f"))
+    keep = first.select("f.i", "f.h")
+    marked = docs.withColumn("__h", F.xxhash64(F.col(text_col)))
+    wordless = ~F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    kept = marked.filter(~wordless).join(keep, F.col(id_col).eqNullSafe(F.col("i")) & (F.col("__h") == F.col("h"))).drop("i", "h")
+    once = Window.partitionBy(id_col, "__h").orderBy(F.lit(0))  # rows of one id and one text
+    kept = kept.withColumn("__k", F.row_number().over(once)).filter("__k = 1").drop("__k")
+    return kept.union(marked.filter(wordless)).drop("__h")
+
+
 def op8_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents that share nine tenths of their three-word shingles."""
     found = similarity_classes(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
