@@ -48,15 +48,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def erased(df: DataFrame) -> None:
-    """Delete a table of :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def discard(spark: SparkSession) -> None:
     """Delete every table that :func:`written` made for this application."""
     jvm = spark.sparkContext._jvm

@@ -7,8 +7,9 @@
    such an n-gram are put in one block, named by the smallest class of that n-gram.
 3. In each block the sets become the leaves of a signature tree: every node holds the OR of the token bitmaps and the
    range of sizes below it. A dual traversal from (root, root) drops each pair of nodes whose largest possible
-   overlap is below the smallest one that a link needs. Pairs of leaves that stay are checked on the exact sets, unless
-   they are connected already; a block returns a spanning forest of its links.
+   overlap is below the smallest one that a link needs. It runs twice: over the bitmaps of the first pass alone, which
+   leaves the sets that may have a partner at all, and then over those with their texts. Pairs of leaves that stay are
+   checked on the exact sets, unless they are connected already; a block returns a spanning forest of its links.
 4. Blocks beyond ``BLOCK_SETS`` sets or ``BLOCK_BYTES`` bytes are dealt over tasks for all pairs of their parts, so
    no task holds more than two parts and no pair of sets is left out.
 5. Links of all blocks are merged to components with large-star and small-star rounds.
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adinsight.llm.common import WORD, Generations, binary, erased, table, worker_cache, written
+from adinsight.llm.common import WORD, Generations, binary, table, worker_cache, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -83,15 +84,34 @@ def _short(cls: bytes) -> int:
     return int.from_bytes(cls[:8], "little", signed=True)
 
 
+def width_of(size: int) -> int:
+    """Bits of a set's bitmap: a power of two, twice its size or more."""
+    return min(1 << 16, max(512, 1 << (2 * size - 1).bit_length()))
+
+
+def bitmap(shingles: np.ndarray, width: int) -> np.ndarray:
+    """A bit for each n-gram; the first half OR the second one is the bitmap of half the width."""
+    flags = np.zeros(width, bool)
+    flags[(shingles >> np.uint64(40)).astype(np.int64) & (width - 1)] = True
+    return np.packbits(flags)
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    while len(bits) * 8 > width:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
 def _shingler(n: int) -> Shingler:
     return worker_cache(f"shingler-{n}", lambda: Shingler(n))
 
 
 def _first_pass(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (id, thash, cls, c, n) of documents and rows (block, counts) of hashed counters."""
+    """Rows (id, thash, cls, c, n, low, bits) of documents and rows (block, counts) of hashed counters."""
     schema = T.StructType([
         T.StructField("id", docs.schema["id"].dataType), T.StructField("thash", T.LongType()), T.StructField("cls", T.BinaryType()),
-        T.StructField("c", T.LongType()), T.StructField("n", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType()),
+        T.StructField("c", T.LongType()), T.StructField("n", T.LongType()), T.StructField("low", T.LongType()),
+        T.StructField("bits", T.BinaryType()), T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,17 +120,19 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
         arrow, shingle = to_arrow_schema(schema), _shingler(n)
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            classes, sizes = [], []
+            classes, sizes, lows, maps = [], [], [], []
             for text in binary(batch.column(2)):
                 s = shingle(text)
                 np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
                 classes.append(_class(s) if len(s) else None)
                 sizes.append(len(s))
+                lows.append(int(s[:1].view(np.int64)[0]) if len(s) else None)
+                maps.append(bitmap(s, width_of(len(s))).tobytes() if len(s) else None)
             size = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(classes, pa.binary()),
                  pa.array([c and _short(c) for c in classes], pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=arrow)
+                 pa.array(lows, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=arrow)
         used = np.flatnonzero(counts.reshape(-1, _COUNTER_BLOCK).any(1))
         for b in used:
             data = counts[b * _COUNTER_BLOCK : (b + 1) * _COUNTER_BLOCK].astype("<i8").tobytes()
@@ -149,16 +171,19 @@ def _prefixes(docs: DataFrame, counters: np.ndarray, n: int, num: int, den: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, counts = _shingler(n), shared.value
+        told = Generations(lambda _: False, 200_000)  # classes of this task: copies add nothing
         for batch in batches:
             keys, classes = [], []
             for text in binary(batch.column(0)):
                 s = shingle(text)
-                if not len(s):
+                c = _short(_class(s))
+                if not len(s) or told[c]:
                     continue
+                told.put(c, True)
                 order = np.lexsort((s, counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))
                 first = s[order[: prefix_size(len(s), num, den)]]
                 keys.append(first.view(np.int64))
-                classes.append(np.full(len(first), _short(_class(s)), np.int64))
+                classes.append(np.full(len(first), c, np.int64))
             if keys:
                 yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys), "c": np.concatenate(classes)})
 
@@ -168,42 +193,20 @@ def _prefixes(docs: DataFrame, counters: np.ndarray, n: int, num: int, den: int)
 # --- signature trees -----------------------------------------------------------------------------------------------
 
 class SignatureTree:
-    """Sets under nodes of OR-combined token bitmaps and size ranges."""
+    """Bitmaps under nodes of OR-combined bitmaps and size ranges; leaves stand in the order ``order``."""
 
-    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, lows: np.ndarray, num: int, den: int):
         self.num, self.den = num, den
-        sizes = np.array([len(s) for s in sets], np.int64)
         # Alike sets stand side by side: by size class, then by their smallest hash.
-        order = np.lexsort(([int(s[0]) for s in sets], (np.log(sizes) / np.log(den / num) / 2).astype(int)))
-        self.order, sets = order, [sets[i] for i in order]
-        sizes = sizes[order]
-        width = 512
-        while width < 8 * np.median(sizes) and width < 1 << 14:
-            width *= 2
-        flags = np.zeros((len(sets), width), bool)
-        for i, s in enumerate(sets):
-            flags[i, (s >> np.uint64(40)).astype(np.int64) & (width - 1)] = True
-        hidden = sizes - flags.sum(1)  # tokens that share a bit with another of their set
-        bits = np.packbits(flags, axis=1).view(np.uint64)
+        self.order = np.lexsort((lows, (np.log(sizes) / np.log(den / num) / 2).astype(int)))
+        bits, sizes = np.ascontiguousarray(bits[self.order]).view(np.uint64), sizes[self.order]
+        hidden = sizes - np.bitwise_count(bits).sum(1, dtype=np.int64)  # tokens that share a bit with another of their set
         self.levels = [(bits, sizes, sizes, hidden)]
         while len(self.levels[-1][0]) > FAN_OUT:
             bits, low, high, hidden = self.levels[-1]
             cuts = np.arange(0, len(bits), FAN_OUT)
             self.levels.append((np.bitwise_or.reduceat(bits, cuts), np.minimum.reduceat(low, cuts),
                                 np.maximum.reduceat(high, cuts), np.maximum.reduceat(hidden, cuts)))
-        self.sets = sets
-        tokens = np.concatenate(sets)
-        names, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-        shared = counts > 1
-        place = np.cumsum(shared) - 1
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        kept = shared[inverse]
-        self.exact = None
-        words = -(-int(shared.sum()) // 64) or 1
-        if len(sets) * words * 8 <= 128 << 20:
-            column, owner = place[inverse[kept]], owner[kept]
-            self.exact = np.zeros((len(sets), words), np.uint64)
-            np.bitwise_or.at(self.exact, (owner, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
 
     def _possible(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Node pairs that may hold a link: largest possible overlap against the smallest one needed."""
@@ -220,22 +223,10 @@ class SignatureTree:
         ok[ok] = (num + den) * most >= num * (low[a] + low[b])
         return ok
 
-    def _overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if self.exact is None:
-            return np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for i, j in zip(a, b)], np.int64)
-        step = max(1, (1 << 20) // self.exact.shape[1])
-        return np.concatenate([np.bitwise_count(self.exact[a[s : s + step]] & self.exact[b[s : s + step]]).sum(1, dtype=np.int64)
-                               for s in range(0, len(a), step)])
-
-    def forest(self, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-        """A spanning forest of all links; with ``side``, of the links between different sides."""
-        sizes = self.levels[0][1]
-        group = np.arange(len(self.sets))
-        side = None if side is None else side[self.order]
-        edges: list[tuple[int, int]] = []
+    def pairs(self, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of leaves that may be similar, of those that are still wanted, some thousand at a time."""
         top = len(self.levels) - 1
-        a, b = np.triu_indices(len(self.levels[top][0]))
-        stack = [(top, a, b)]
+        stack = [(top, *np.triu_indices(len(self.levels[top][0])))]
         while stack:
             level, a, b = stack.pop()
             if len(a) > PAIRS_AT_ONCE:
@@ -243,34 +234,92 @@ class SignatureTree:
                 stack += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
                 continue
             if level == 0:
-                ok = (a < b) & (group[a] != group[b])
-                if side is not None:
-                    ok &= side[a] != side[b]
+                ok = a < b
+                ok[ok] = wanted(a[ok], b[ok])
                 a, b = a[ok], b[ok]
             ok = self._possible(level, a, b)
             a, b = a[ok], b[ok]
-            if not len(a):
-                continue
-            if level:
-                below = len(self.levels[level - 1][0])
-                kids = np.arange(FAN_OUT)
+            if level == 0:
+                for start in range(0, len(a), 4096):  # what is found so far spares later pairs
+                    x, y = a[start : start + 4096], b[start : start + 4096]
+                    ok = wanted(x, y)
+                    if ok.any():
+                        yield x[ok], y[ok]
+            elif len(a):
+                below, kids = len(self.levels[level - 1][0]), np.arange(FAN_OUT)
                 x = (a[:, None, None] * FAN_OUT + kids[:, None]).repeat(FAN_OUT, 2).ravel()
                 y = (b[:, None, None] * FAN_OUT + kids[None, :]).repeat(FAN_OUT, 1).ravel()
                 ok = (x < below) & (y < below) & (x <= y)
                 stack.append((level - 1, x[ok], y[ok]))
-                continue
-            for start in range(0, len(a), 4096):  # links found so far spare later checks
-                i, j = a[start : start + 4096], b[start : start + 4096]
-                ok = group[i] != group[j]
-                i, j = i[ok], j[ok]
-                if not len(i):
-                    continue
-                linked = (self.num + self.den) * self._overlap(i, j) >= self.num * (sizes[i] + sizes[j])
-                for x, y in zip(i[linked], j[linked]):
-                    if group[x] != group[y]:
-                        edges.append((int(self.order[x]), int(self.order[y])))
-                        group[group == group[y]] = group[x]
-        return edges
+
+
+def may_have_partner(bits: list[bytes], sizes: np.ndarray, lows: np.ndarray, num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
+    """Which sets have a possible partner (on another side, where sides are given), by their bitmaps alone."""
+    marked = np.zeros(len(bits), bool)
+    widths = np.array([len(b) * 8 for b in bits])
+    for width in np.unique(widths):
+        longest = sizes[widths == width].max()
+        # a set of twice the width is folded if it can be similar to one of this width
+        chosen = np.flatnonzero((widths == width) | (widths > width) & (num * sizes <= den * longest))
+        if len(chosen) < 2:
+            continue
+        rows = np.stack([folded(np.frombuffer(bits[i], np.uint8), width) for i in chosen])
+        tree = SignatureTree(rows, sizes[chosen], lows[chosen], num, den)
+        place = chosen[tree.order]
+
+        def wanted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            ok = ~(marked[place[a]] & marked[place[b]])
+            return ok if side is None else ok & (side[place[a]] != side[place[b]])
+
+        for a, b in tree.pairs(wanted):
+            marked[place[a]] = marked[place[b]] = True
+    return marked
+
+
+class Exact:
+    """Overlaps of sets that stand together, by bitmaps over the tokens that two of them share."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = counts > 1
+        kept = shared[inverse]
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[kept]
+        column = (np.cumsum(shared) - 1)[inverse[kept]]
+        words = -(-int(shared.sum()) // 64) or 1
+        self.bits = None
+        if len(sets) * words * 8 <= 128 << 20:
+            self.bits = np.zeros((len(sets), words), np.uint64)
+            np.bitwise_or.at(self.bits, (owner, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+
+    def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for i, j in zip(a, b)], np.int64)
+        step = max(1, (1 << 20) // self.bits.shape[1])
+        return np.concatenate([np.bitwise_count(self.bits[a[s : s + step]] & self.bits[b[s : s + step]]).sum(1, dtype=np.int64)
+                               for s in range(0, len(a), step)])
+
+
+def forest(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of all links; with ``side``, of the links between different sides."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    width = min(1 << 14, width_of(4 * int(np.median(sizes))))
+    tree = SignatureTree(np.stack([bitmap(s, width) for s in sets]), sizes, np.array([int(s[0]) for s in sets], np.uint64), num, den)
+    exact, group, place = Exact(sets), np.arange(len(sets)), tree.order
+    edges: list[tuple[int, int]] = []
+
+    def wanted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ok = group[place[a]] != group[place[b]]
+        return ok if side is None else ok & (side[place[a]] != side[place[b]])
+
+    for a, b in tree.pairs(wanted):
+        i, j = place[a], place[b]
+        linked = (num + den) * exact.overlap(i, j) >= num * (sizes[i] + sizes[j])
+        for x, y in zip(i[linked], j[linked]):
+            if group[x] != group[y]:
+                edges.append((int(x), int(y)))
+                group[group == group[y]] = group[x]
+    return edges
 
 
 # --- the join ------------------------------------------------------------------------------------------------------
@@ -286,7 +335,7 @@ def _block_links(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
             if len(sets) < 2:
                 return None
             side = None if block[1] == block[2] else np.array(parts)
-            found = SignatureTree(sets, num, den).forest(side)
+            found = forest(sets, num, den, side)
             if not found:
                 return None
             return pa.RecordBatch.from_pydict({"a": pa.array([max(classes[i], classes[j]) for i, j in found], pa.binary()),
@@ -312,6 +361,37 @@ def _block_links(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return members.mapInArrow(run, "a binary, b binary")
 
 
+def _with_partners(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Of rows (label, left, right, part, cls, of, hash, size, low, bits), sorted by block, those that may have a partner."""
+    schema = T.StructType(members.schema[:7])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        block, rows = None, []
+
+        def found():
+            if len(rows) < 2:
+                return None
+            side = None if block[1] == block[2] else np.array([r[3] for r in rows])
+            ok = may_have_partner([r[9] for r in rows], np.array([r[7] for r in rows], np.int64), np.array([r[8] for r in rows], np.int64), num, den, side)
+            kept = [rows[i] for i in np.flatnonzero(ok)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept), arrow)], schema=arrow) if kept else None
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != block:
+                    if out := found():
+                        yield out
+                    block, rows = row[:3], []
+                rows.append(row)
+        if out := found():
+            yield out
+
+    return members.mapInArrow(run, schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b) with a > b; root is the smallest node that can be reached."""
 
@@ -341,28 +421,32 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Per row: id, n_shingles, cls (hash of the set) and component (smallest id); similar means num / den or more."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("thash", F.xxhash64("text"))
     first = written(_first_pass(docs, n), "jaccard-sets")
-    rows = first.filter("block is null").select("id", "thash", "cls", "c", "n")
-    keys = written(_prefixes(docs, _counters(first), n, num, den), "jaccard-prefixes")
-    several = keys.groupBy("key").agg(F.min("c").alias("label"), F.max("c").alias("other")).filter("label < other").select("key", "label")
-    asked = keys.join(several, "key").select("label", "c").distinct()
+    rows = first.filter("block is null").select("id", "thash", "cls", "c", "n", "low", "bits")
+    keys = _prefixes(docs, _counters(first), n, num, den)
+    same = Window.partitionBy("key")
+    asked = keys.withColumns({"label": F.min("c").over(same), "other": F.max("c").over(same)}).filter("label < other")
+    asked = written(asked.select("label", "c").distinct(), "jaccard-blocks")
 
     classes = rows.filter("cls is not null").groupBy("cls").agg(
-        F.min("c").alias("c"), F.min("n").alias("size"), F.min(F.struct("id", "thash")).alias("one"), F.min("id").alias("least"))
+        F.min("c").alias("c"), F.min("n").alias("size"), F.min("low").alias("low"), F.first("bits").alias("bits"),
+        F.min(F.struct("id", "thash")).alias("one"), F.min("id").alias("least"))
     classes = written(classes, "jaccard-classes")
-    members = asked.join(classes.select("c", "cls", "size", "one"), "c").drop("c")
+    members = asked.join(classes.drop("least"), "c").drop("c")
     blocks = members.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("tokens"))
     parts = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, 8 * F.col("tokens") / BLOCK_BYTES)).cast("int")
     blocks = blocks.filter("sets > 1").select("label", parts.alias("parts"))
     members = members.join(blocks, "label").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(
-        "label", F.least("part", j).alias("left"), F.greatest("part", j).alias("right"), "part"))
-    asked_of = members.groupBy("cls", "one").agg(F.flatten(F.collect_set(cells)).alias("cells"))  # blocks of one set
-    wanted = asked_of.select("cls", "cells", F.col("one.id").alias("of"), F.col("one.thash").alias("hash"))
-    texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("thash") == F.col("hash")))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("left"), F.greatest("part", j).alias("right")))
+    dealt = members.withColumn("cell", F.explode(cells)).select(
+        "label", "cell.left", "cell.right", "part", "cls", F.col("one.id").alias("of"), F.col("one.thash").alias("hash"), "size", "low", "bits")
+    dealt = dealt.repartition("label", "left", "right").sortWithinPartitions("label", "left", "right")
+    hopeful = written(_with_partners(dealt, num, den), "jaccard-partners")
+
+    cells_of = hopeful.groupBy("cls", "of", "hash").agg(F.collect_list(F.struct("label", "left", "right", "part")).alias("cells"))  # cells of one set
+    texts = docs.join(cells_of, F.col("id").eqNullSafe(F.col("of")) & (F.col("thash") == F.col("hash")))
     dealt = texts.select(F.explode("cells").alias("at"), "cls", "text").select("at.*", "cls", "text")
     dealt = dealt.repartition("label", "left", "right").sortWithinPartitions("label", "left", "right", "cls")
     edges = written(_block_links(dealt, n, num, den), "jaccard-links").distinct()
-    erased(keys)
 
     roots = components(edges)
     least = roots.join(classes.select(F.col("cls").alias("node"), "least"), "node")
