@@ -114,6 +114,14 @@ def assess(docs: DataFrame, model: DataFrame, text_col: str = "text", threshold:
     return rows.withColumn("__base_failed", failed).withColumn("__kept", ~F.col("__base_failed") & (F.col("__score") >= threshold))
 
 
+def kept(docs: DataFrame, model: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the rules keep."""
+    rows = assess(docs, model, text_col, threshold).withColumn("__row", F.monotonically_increasing_id())
+    # A filter on the verdict alone would be pushed below the projections that build it, each of which would then be
+    # repeated for every use of its result; one that needs a row number stays where it stands.
+    return rows.filter("__kept and __row >= 0").select(*docs.columns)
+
+
 def op6_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdicts of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
