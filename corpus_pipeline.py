@@ -29,8 +29,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.assess(docs, model).filter("__kept").select(*docs.columns)
+    return quality_rules.kept(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
