@@ -18,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import re
 import sys
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adinsight.llm.common import binary, table
+from adinsight.llm.common import binary, table, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -205,29 +206,31 @@ def _host(url: str) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def find_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtree) of recurring subtrees, from rows (host, html)."""
-    import numpy as np
+def _outlines(pages: DataFrame) -> DataFrame:
+    """(key, host, content, subtrees) of each page of the rows (key, host, html): a hash of its text, and of its candidates."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, subtrees, contents = [], [], []
-            for host, source in zip(batch.column(0).to_pylist(), binary(batch.column(1))):
+            contents, subtrees = [], []
+            for source in binary(batch.column(2)):
                 page = parse(source.decode())
-                content = xxhash.xxh3_64_intdigest("\n".join(blocks(page))) - 2**63
-                found = {page.hashes[i] for i in candidates(page)} | {-1}  # -1 counts the pages of the host
-                hosts += [host] * len(found)
-                subtrees += found
-                contents += [content] * len(found)
-            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "subtree": pa.array(subtrees, pa.int64()),
-                                              "content": pa.array(np.array(contents, np.int64))})
-
-    seen = pages.select("host", "html").mapInArrow(run, "host string, subtree long, content long").distinct()
-    counts = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    often = counts.filter((F.col("n") >= min_pages) & (F.col("subtree") >= 0))
+                contents.append(xxhash.xxh3_64_intdigest("\n".join(blocks(page))) - 2**63)
+                subtrees.append(sorted({page.hashes[i] for i in candidates(page)}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(contents, pa.int64()), pa.array(subtrees, pa.list_(pa.int64()))],
+                                             names=["key", "host", "content", "subtrees"])
+
+    return pages.select("key", "host", "html").mapInArrow(run, "key long, host string, content long, subtrees array<long>")
+
+
+def find_templates(outlines: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, subtree) of the subtrees that recur on different pages of a host."""
+    every = F.concat("subtrees", F.array(F.lit(-1).cast("long")))  # -1 counts the pages of the host
+    seen = outlines.select("host", F.explode(every).alias("subtree"), "content").distinct()
+    counts = written(seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= min_pages) | (F.col("subtree") < 0)), "subtree-counts")
     totals = counts.filter("subtree = -1").select("host", F.col("n").alias("of"))
-    return often.join(totals, "host").filter(F.col("n") >= min_share * F.col("of")).select("host", "subtree")
+    often = counts.filter("subtree >= 0").join(totals, "host")
+    return often.filter(F.col("n") >= min_share * F.col("of")).select("host", "subtree")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES,
@@ -235,34 +238,28 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """Per page: its id and URL and ``text``."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), _host(url_col).alias("host"),
                         F.coalesce(html_col, F.lit("")).alias("html")).withColumn("key", F.xxhash64("id", "url", "html"))
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, hosts, subtrees = [], [], []
-            for key, host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary(batch.column(2))):
-                page = parse(source.decode())
-                found = {page.hashes[i] for i in candidates(page)}
-                keys += [key] * len(found)
-                hosts += [host] * len(found)
-                subtrees += found
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "host": pa.array(hosts, pa.string()),
-                                              "subtree": pa.array(subtrees, pa.int64())})
-
-    templates = find_templates(rows, min_pages, min_share)
-    own = rows.select("key", "host", "html").mapInArrow(listed, "key long, host string, subtree long")
+    outlines = written(_outlines(rows), "page-outlines")
+    own = outlines.select("key", "host", F.explode("subtrees").alias("subtree"))
     # a template of the largest host is on a third of all pages: this join is one that Spark can split
-    hit = own.join(templates, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("recurring"))
-    joined = rows.select("id", "url", "key", "html").join(hit, "key", "left").select("id", "url", "html", "recurring")
-    schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField(url_col, pages.schema[url_col].dataType),
-                           T.StructField("text", T.StringType())])
+    hit = own.join(find_templates(outlines, min_pages, min_share), ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("recurring"))
+    carried = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField(url_col, pages.schema[url_col].dataType)])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # pages move once; packed, they are a third as large
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([zlib.compress(x, 1) for x in binary(batch.column(3))], pa.binary())],
+                                             names=["id", "url", "key", "html"])
+
+    light = rows.select("id", "url", "key", "html").mapInArrow(
+        packed, T.StructType([rows.schema["id"], rows.schema["url"], T.StructField("key", T.LongType()), T.StructField("html", T.BinaryType())]))
+    joined = light.join(hit, "key", "left").select("id", "url", "html", "recurring")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ["\n".join(blocks(parse(source.decode()), set(recurring or ())))
-                     for source, recurring in zip(binary(batch.column(2)), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=schema.names)
+            texts = ["\n".join(blocks(parse(zlib.decompress(source).decode()), set(recurring or ())))
+                     for source, recurring in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[*carried.names, "text"])
 
-    return joined.mapInArrow(extract, schema)
+    return joined.mapInArrow(extract, T.StructType([*carried, T.StructField("text", T.StringType())]))
 
 
 def op4_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
