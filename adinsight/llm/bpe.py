@@ -273,7 +273,7 @@ class WordBpe:
 
 
 def _coder(definition: str) -> WordBpe:
-    return worker_cache(f"word-bpe-{zlib.crc32(definition.encode())}", lambda: WordBpe(definition))
+    return worker_cache("word-bpe", lambda: WordBpe(definition), zlib.crc32(definition.encode()))
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:

@@ -69,12 +69,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def worker_cache(name: str, make: Callable[[], Any]) -> Any:
-    """``make()``, kept for the life of a Python worker, whatever task asks for it."""
+def worker_cache(name: str, make: Callable[[], Any], version: object = None) -> Any:
+    """``make()``, kept for the life of a Python worker, whatever task asks for it; another version takes its place."""
     store = sys.modules.setdefault("_adinsight_worker_cache", types.ModuleType("_adinsight_worker_cache")).__dict__
-    if name not in store:
-        store[name] = make()
-    return store[name]
+    if name not in store or store[name][0] != version:
+        store.pop(name, None)
+        store[name] = version, make()
+    return store[name][1]
 
 
 def binary(column: pa.Array) -> list[bytes]:

@@ -201,7 +201,7 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     base = list(rows.schema) if carry else [docs.schema[id_col]]
     for k, part in enumerate(parts):
         shipped = docs.sparkSession.sparkContext.broadcast(part)  # at most part_bytes of text, see above
-        key = f"matcher-{window}-{zlib.crc32(repr(part).encode())}-{k}"
+        key = f"{window}-{zlib.crc32(repr(part).encode())}-{k}"
         last, first = k == len(parts) - 1, k == 0
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped, key=key, first=first, last=last) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
 
             from pyspark.sql.pandas.types import to_arrow_schema
 
-            matcher, ids = worker_cache(key, build)
+            matcher, ids = worker_cache("matcher", build, key)
             arrow = to_arrow_schema(T.StructType(found))
             added = set(arrow.names)
             for batch in batches:

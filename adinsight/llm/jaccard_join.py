@@ -103,7 +103,7 @@ def folded(bits: np.ndarray, width: int) -> np.ndarray:
 
 
 def _shingler(n: int) -> Shingler:
-    return worker_cache(f"shingler-{n}", lambda: Shingler(n))
+    return worker_cache("shingler", lambda: Shingler(n), n)
 
 
 def _first_pass(docs: DataFrame, n: int) -> DataFrame:

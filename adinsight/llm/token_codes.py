@@ -197,7 +197,7 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        coder = worker_cache(f"word-memo-{zlib.crc32(definition.value.encode())}", lambda: WordMemo(definition.value))
+        coder = worker_cache("word-memo", lambda: WordMemo(definition.value), zlib.crc32(definition.value.encode()))
         arrow = to_arrow_schema(schema)
         part, shard, first, ids, members = TaskContext.get().partitionId(), 0, 0, [], []
         held = 0
