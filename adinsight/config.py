@@ -6,8 +6,9 @@ stays on the driver and enters plans as literals, so Catalyst can fold it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, field, fields, replace
+import re
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,7 @@ TERM_LISTS = (
     "waste_exclusions",
 )
 
+BUDGET_DIMENSIONS = ("brand", "region", "category")
 BUDGET_SCHEMA = "brand string, region string, category string, monthly double"
 
 
@@ -67,7 +69,7 @@ class ClientConfig:
         return spark.createDataFrame(rows, BUDGET_SCHEMA)
 
     def updated(self, payload: Mapping[str, Any]) -> ClientConfig:
-        """A copy with the accepted keys of ``payload`` merged in.
+        """A copy with the known keys of ``payload`` merged in.
 
         Partial payloads leave other fields alone, thresholds merge key by key.
         Callers drop the client's relevance cache afterwards, because its
@@ -83,49 +85,78 @@ class ClientConfig:
         return cls(**identity).updated(raw or {})
 
 
-def _number(value: Any) -> float | None:
+class Rejected(ValueError):
+    """A config value that its field cannot hold."""
+
+
+def _as_terms(value: Any) -> tuple[str, ...]:
+    """Trimmed non-empty texts; one text is split at commas and line breaks."""
+    parts = re.split(r"[,\n]", value) if isinstance(value, str) else value
+    if not isinstance(parts, Sequence):
+        raise Rejected("a list or a comma-separated text is expected")
+    return tuple(t for p in parts if (t := str(p).strip()))
+
+
+def _as_amount(value: Any) -> float:
     try:
         return float(value)
     except (TypeError, ValueError):
-        return None
+        raise Rejected(f"{value!r} is no number") from None
+
+
+def _as_thresholds(value: Any) -> dict[str, float | None]:
+    """Known thresholds; blank ones return to the default."""
+    if not isinstance(value, Mapping):
+        raise Rejected("a mapping of thresholds is expected")
+    return {k: None if v in (None, "") else _as_amount(v) for k, v in value.items() if k in DEFAULT_THRESHOLDS}
+
 
+def _as_budget_line(value: Any) -> dict[str, Any]:
+    if not isinstance(value, Mapping):
+        raise Rejected("a budget line is a mapping")
+    line: dict[str, Any] = dict.fromkeys(BUDGET_DIMENSIONS)
+    line |= {d: str(value[d]).strip() or None for d in BUDGET_DIMENSIONS if value.get(d) is not None}
+    return line | {"monthly": round(_as_amount(value.get("monthly")), 2)}
 
-def _text(value: Any) -> str | None:
-    return (str(value).strip() or None) if value is not None else None
 
+def _as_pair(value: Any) -> tuple[str, str]:
+    if isinstance(value, str) or not isinstance(value, Sequence) or len(value) != 2:
+        raise Rejected("a pair of URL part and brand is expected")
+    return str(value[0]), str(value[1])
 
-def _terms(value: Any) -> tuple[str, ...]:
-    if isinstance(value, str):
-        value = value.replace("\n", ",").split(",")
-    items = (str(item).strip() for item in (value if isinstance(value, (list, tuple)) else ()))
-    return tuple(item for item in items if item)
+
+def _as_mapping(value: Any) -> Mapping[str, Any]:
+    if not isinstance(value, Mapping):
+        raise Rejected("a mapping is expected")
+    return value
+
+
+def _each(one: Callable[[Any], Any]) -> Callable[[Any], tuple]:
+    """A coercion of every entry of a list."""
+    def every(value: Any) -> tuple:
+        if isinstance(value, str) or not isinstance(value, Sequence):
+            raise Rejected("a list is expected")
+        return tuple(map(one, value))
+
+    return every
+
+
+#: How a client's own values become field values.  Identity fields are set by the caller.
+COERCIONS: dict[str, Callable[[Any], Any]] = dict.fromkeys(TERM_LISTS, _as_terms) | {
+    "thresholds": _as_thresholds, "seasonality": _each(_as_mapping), "budget_lines": _each(_as_budget_line),
+    "url_brands": _each(_as_pair), "notes": str,
+}
 
 
 def sanitize(payload: Mapping[str, Any]) -> dict[str, Any]:
-    """Keep known keys of a config payload, coerced to the stored types."""
-    known = {f.name for f in fields(ClientConfig)}
-    clean: dict[str, Any] = {key: _terms(payload[key]) for key in TERM_LISTS if key in payload}
-    if isinstance(payload.get("thresholds"), Mapping):
-        offered = payload["thresholds"]
-        clean["thresholds"] = {
-            key: _number(offered[key])
-            for key in DEFAULT_THRESHOLDS
-            if key in offered and (offered[key] in (None, "") or _number(offered[key]) is not None)
-        }
-    if isinstance(payload.get("seasonality"), (list, tuple)):
-        clean["seasonality"] = tuple(payload["seasonality"])
-    if "notes" in payload:
-        clean["notes"] = str(payload["notes"])[:4000]
-    if isinstance(payload.get("budget_lines"), (list, tuple)):
-        lines = [line for line in payload["budget_lines"] if isinstance(line, Mapping)]
-        clean["budget_lines"] = tuple(
-            {
-                **{dim: _text(line.get(dim)) for dim in ("brand", "region", "category")},
-                "monthly": round(_number(line.get("monthly")), 2),
-            }
-            for line in lines
-            if _number(line.get("monthly")) is not None
-        )
-    if isinstance(payload.get("url_brands"), (list, tuple)):
-        clean["url_brands"] = tuple((str(a), str(b)) for a, b in payload["url_brands"])
-    return {key: value for key, value in clean.items() if key in known}
+    """Field values of a config payload; keys that are no fields are left out.
+
+    A value that does not fit its field raises :class:`Rejected` with the name of the field.
+    """
+    clean = {}
+    for name in COERCIONS.keys() & payload.keys():
+        try:
+            clean[name] = COERCIONS[name](payload[name])
+        except Rejected as why:
+            raise Rejected(f"{name}: {why}") from None
+    return clean

@@ -118,6 +118,12 @@ def exact_medians(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame
     )
     upto = Window.partitionBy(*groups).orderBy(F.col("v").asc_nulls_first())
     ranked = near.withColumn("last", F.sum("rows").over(upto))
+    # The bracket must hold the middle: fewer rows below it than the lower rank, enough rows up to its end.
+    below = F.when(F.col("v").isNull(), F.col("rows")).otherwise(0)
+    held = ranked.groupBy(*groups).agg(F.sum(below).alias("below"), F.max("last").alias("upto"), F.max("n").alias("n"))
+    missed = (F.col("n") > 0) & ((F.col("below") >= F.floor((F.col("n") + 1) / 2)) | (F.col("upto") < F.floor(F.col("n") / 2) + 1))
+    checked = held.select(*groups, F.when(missed, F.raise_error(F.lit("the quantile bracket misses the median"))).otherwise(F.lit(True)).alias("held"))
+    ranked = ranked.join(F.broadcast(checked), list(groups)).filter("held")
     return ranked.groupBy(*groups).agg(
         F.min(F.when(F.col("last") >= F.floor((F.col("n") + 1) / 2), F.col("v"))).alias("lower_median"),
         F.min(F.when(F.col("last") >= F.floor(F.col("n") / 2) + 1, F.col("v"))).alias("upper_median"),

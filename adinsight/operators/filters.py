@@ -15,7 +15,6 @@ from adinsight.operators.common import text_column
 # The fields that make up the searchable text of a row.
 TEXT_FIELDS = ("campaign", "ad_group", "search_keyword", "search_term", "landing_page", "ad_final_url", "final_url",
                "state_matched")
-CAMPAIGN_OPTIONS = 300
 SALTS = 1024
 
 
@@ -120,11 +119,13 @@ def apply_filters(df: DataFrame, filters: Filters, cfg: ClientConfig, *, ad_grou
 
 
 def filter_options(campaigns: DataFrame, cfg: ClientConfig, geographic: DataFrame | None = None,
-                   keyword_geo: DataFrame | None = None) -> DataFrame:
-    """Option lists as (kind, value): first 300 campaigns, regions, categories, brand."""
+                   keyword_geo: DataFrame | None = None, top: int | None = None) -> DataFrame:
+    """Option lists as (kind, value): campaigns (all, or the first ``top``), regions, categories, brand."""
     spark = campaigns.sparkSession
     names = campaigns.filter(F.col("campaign") != "").select("campaign").distinct().orderBy("campaign")
-    out = names.limit(CAMPAIGN_OPTIONS).select(F.lit("campaign").alias("kind"), F.col("campaign").alias("value"))
+    if top is not None:
+        names = names.limit(top)
+    out = names.select(F.lit("campaign").alias("kind"), F.col("campaign").alias("value"))
     geo = [g for g in (geographic, keyword_geo) if g is not None]
     if geo:
         regions = geo[0].select(region_value(geo[0].columns).alias("value"))

@@ -83,7 +83,7 @@ def density(campaigns: DataFrame, current: Column, cfg: ClientConfig) -> DataFra
     camps = campaign_density(campaigns, current)
     name = short_name("campaign")
     leaders = _named_top(camps, [F.col("conv").desc(), F.col("campaign")],
-                         say(F.substring(name, 1, 22), ": ", _n("conv")))
+                         say(name, ": ", _n("conv")))
     costly = _named_top(camps.filter(_low_volume(cfg)), [F.col("cost").desc(), F.col("campaign")],
                         say(name, " (", _n("conv"), " conv, ", money_text("cost"), ")"))
     sums = camps.agg(
@@ -199,7 +199,7 @@ def match_types(keywords: DataFrame) -> DataFrame:
     rows = one.select("n", F.col("mix")[0]["match"].alias("lead"), parts.alias("parts"), lazy.alias("lazy"))
     idle_note = F.when(F.col("lazy") != "", say(" Idle: ", F.col("lazy"), ".")).otherwise("")
     return rows.select(*_finding(
-        "match_types", "K", severity="IMPORTANT", title="Match-type allocation and idle keywords",
+        "match_types", "K", severity="IMPORTANT", title="How keywords and spend divide over match types",
         observation=say(F.col("parts"), ". Most spend runs on ", F.col("lead"), ".", idle_note),
         magnitude=say(grouped_text("n"), " keywords · most spend on ", F.col("lead")),
         impact="Idle layers add no signal; a wide layer without negatives leaks spend.",
@@ -228,7 +228,7 @@ def brand_split(keywords: DataFrame, cfg: ClientConfig) -> DataFrame:
     share = lambda a, b: _n(ratio0(F.col(a), F.col(a) + F.col(b)) * 100)
     return rows.select(*_finding(
         "brand_split", "K", severity="OPPORTUNITY", title=say("Brand against non-brand: CPA gap ", gap, "x"),
-        observation=say("Brand (", ", ".join(cfg.brand_terms[:3]), "): ", money_text("bc"), " / ", _n("bv"),
+        observation=say("Brand (", ", ".join(cfg.brand_terms), "): ", money_text("bc"), " / ", _n("bv"),
                         " conv / $", fixed_text("bcpa", 2), " CPA. Non-brand: ", money_text("nc"), " / ", _n("nv"),
                         " conv / $", fixed_text("ncpa", 2), " CPA."),
         magnitude=say("Brand has ", share("bv", "nv"), "% of conversions on ", share("bc", "nc"), "% of spend"),
@@ -259,9 +259,9 @@ def three_bucket(campaigns: DataFrame, cfg: ClientConfig) -> DataFrame:
     )
     notes = ""
     if cfg.competitors_conquest:
-        notes += f" Conquest targets: {', '.join(cfg.competitors_conquest[:5])}."
+        notes += f" Conquest names: {', '.join(cfg.competitors_conquest)}."
     if cfg.competitors_friendly:
-        notes += f" Never conquest or negate: {', '.join(cfg.competitors_friendly[:5])}."
+        notes += f" Kept out of conquest and negatives: {', '.join(cfg.competitors_friendly)}."
     ok = F.col("n") >= 2
     missing = F.when(F.col("lack") != "", say(" Missing: ", F.col("lack"), ".")).otherwise("")
     have = F.when(F.col("have") != "", F.col("have")).otherwise("none")
@@ -447,9 +447,22 @@ def run_analyzers(cfg: ClientConfig, current: Column, *, campaigns: DataFrame, k
     return reduce(DataFrame.unionByName, parts)
 
 
+def _long(finding: str, evidence: DataFrame) -> DataFrame:
+    """A row per value of an evidence table; its first column names the entity, numbers and texts have columns of their own."""
+    entity, *rest = evidence.columns
+    kinds = dict(evidence.dtypes)
+
+    def value(c: str) -> Column:
+        written = kinds[c] in ("string", "boolean")
+        return F.struct(F.lit(c).alias("key"), F.when(F.lit(written), F.col(c).cast("string")).alias("text"),
+                        F.lit(None).cast("double").alias("number") if written else F.col(c).cast("double").alias("number"))
+
+    return evidence.select(F.lit(finding).alias("finding"), F.col(entity).cast("string").alias("entity"), F.inline(F.array(*map(value, rest))))
+
+
 def run_evidence(cfg: ClientConfig, current: Column, *, campaigns: DataFrame, keywords: DataFrame | None = None,
                  terms: DataFrame | None = None, placements: DataFrame | None = None) -> DataFrame:
-    """Evidence of all findings as (finding, record), the record being JSON."""
+    """Evidence of the findings that were raised, in long form: (finding, entity, key, text, number)."""
     camps = density_evidence(campaigns, current, cfg)
     parts = {"density": camps, "low_volume": camps.filter("low_volume"), "trend": trend_evidence(campaigns, current)}
     if keywords is not None:
@@ -461,8 +474,9 @@ def run_evidence(cfg: ClientConfig, current: Column, *, campaigns: DataFrame, ke
         parts["waste"] = waste_evidence(terms, cfg)
     if placements is not None:
         parts["placements"] = placement_evidence(placements)
-    rows = [df.select(F.lit(key).alias("finding"), F.to_json(F.struct("*")).alias("record")) for key, df in parts.items()]
-    return reduce(DataFrame.unionByName, rows)
+    rows = reduce(DataFrame.unionByName, [_long(key, df) for key, df in parts.items()])
+    raised = run_analyzers(cfg, current, campaigns=campaigns, keywords=keywords, terms=terms, placements=placements).select("finding")
+    return rows.join(F.broadcast(raised), "finding", "left_semi")  # at most one row a finding
 
 
 def _position(values: tuple[str, ...], c: str) -> Column:

@@ -124,8 +124,9 @@ RATED = ("lp_exp", "ad_rel", "ectr")
 def _weighted_mean(name: str) -> Column:
     """Impression-weighted mean over the rows that carry a value and a weight."""
     usable = F.col(name).isNotNull() & (F.col("impressions") > 0)
-    weighted = F.sum(F.when(usable, units(name) * F.col("impressions").cast("bigint")))
-    return F.try_divide(weighted, F.sum(F.when(usable, F.col("impressions").cast("bigint")))) / 1e6
+    weight = F.when(usable, F.col("impressions").cast("decimal(19,0)"))
+    weighted = F.sum(weight * units(name).cast("decimal(18,0)"))  # beyond the range of bigint: up to 38 digits
+    return F.try_divide(weighted.cast("double"), F.sum(weight).cast("double")) / 1e6
 
 
 def overall_values(facts: DataFrame) -> DataFrame:

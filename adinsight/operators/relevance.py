@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from adinsight.config import ClientConfig
 from adinsight.functions.matching import CATEGORY_STOP_WORDS, category_words, contains_any, lowered
 
-# Fixed value: terms classified per run.
-MAX_TERMS = 40
+# Fixed value: terms of one call of an injected classifier.
+BATCH_TERMS = 40
+
+#: Source of a rule verdict that stands in for a failed batch.
+AFTER_ERROR = "heuristic-after-error"
 
 CACHE_SCHEMA = "client_id string, term string, relevant boolean, category string, reason string, source string"
 VERDICT_SCHEMA = "term string, relevant boolean, category string, reason string, source string"
@@ -54,13 +57,13 @@ def classify(terms: DataFrame, cfg: ClientConfig, term: str = "term") -> DataFra
     return terms.select(F.col(term).alias("term"), heuristic(term, cfg).alias("v")).select("term", "v.*")
 
 
-def classify_with(terms: DataFrame, cfg: ClientConfig, classifier: Classifier, batch: int = MAX_TERMS,
+def classify_with(terms: DataFrame, cfg: ClientConfig, classifier: Classifier, batch: int = BATCH_TERMS,
                   source: str = "model") -> DataFrame:
     """Verdicts of an injected classifier, the rules filling every gap.
 
     Partitions are classified in batches of at most ``batch`` terms.  Terms the
-    classifier drops, and whole batches it fails on, come back without a verdict
-    and take the rule verdict instead.
+    classifier drops take the rule verdict; so do batches it fails on, whose
+    ``source`` says so.
     """
     context = {
         "product_categories": cfg.product_categories,
@@ -72,31 +75,43 @@ def classify_with(terms: DataFrame, cfg: ClientConfig, classifier: Classifier, b
         for frame in frames:
             names = frame["term"].tolist()
             for start in range(0, len(names), batch):
-                part = names[start:start + batch]
+                part, failed = names[start:start + batch], False
                 try:
                     answers = dict(classifier(part, context))
                 except Exception:  # any classifier failure falls back to the rules
-                    answers = {}
+                    answers, failed = {}, True
                 rows = [(t, answers.get(t)) for t in part]
                 yield pd.DataFrame({
                     "term": [t for t, _ in rows],
                     "relevant": pd.array([None if a is None else bool(a.get("relevant")) for _, a in rows], "boolean"),
-                    "category": [None if a is None else str(a.get("category", "unrelated"))[:64] for _, a in rows],
-                    "reason": [None if a is None else str(a.get("reason", ""))[:512] for _, a in rows],
-                    "source": [None if a is None else source for _, a in rows],
+                    "category": [None if a is None else str(a.get("category", "unrelated")) for _, a in rows],
+                    "reason": [None if a is None else str(a.get("reason", "")) for _, a in rows],
+                    "source": [AFTER_ERROR if failed else None if a is None else source for _, a in rows],
                 })
 
     answered = terms.select(F.col("term")).distinct().mapInPandas(run, VERDICT_SCHEMA)
     fallback = heuristic("term", cfg)
     missing = F.col("relevant").isNull()
-    filled = [F.when(missing, fallback[c]).otherwise(F.col(c)).alias(c)
-              for c in ("relevant", "category", "reason", "source")]
-    return answered.select("term", *filled)
+    filled = [F.when(missing, fallback[c]).otherwise(F.col(c)).alias(c) for c in ("relevant", "category", "reason")]
+    return answered.select("term", *filled, F.coalesce("source", fallback["source"]).alias("source"))
+
 
+def known_verdicts(cache: DataFrame, client_id: str, wanted: DataFrame) -> DataFrame:
+    """One cached verdict per wanted term of the client; among repeats the largest, whatever their order."""
+    own = cache.filter(F.col("client_id") == client_id).join(wanted.select("term").distinct(), "term", "left_semi")
+    verdict = F.struct("source", "relevant", "category", "reason")
+    return own.groupBy("term").agg(F.max(verdict).alias("v")).select("term", "v.relevant", "v.category", "v.reason", "v.source")
 
-def first_terms(terms: DataFrame, order: list[Column], limit: int = MAX_TERMS) -> DataFrame:
-    """Distinct texts among the first ``limit`` non-empty terms of an ordered list."""
-    return terms.filter(F.col("term") != "").orderBy(*order).limit(limit).select("term").distinct()
+
+def with_verdicts(rows: DataFrame, cfg: ClientConfig, cache: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``verdict`` and ``relevant`` of every non-empty term: cached where known, else by the rules."""
+    rule = F.when(F.col("term") != "", heuristic("term", cfg))
+    if cache is None:
+        ruled = rows.withColumn("_rule", rule)
+        return ruled.select(*rows.columns, F.col("_rule.category").alias("verdict"), F.col("_rule.relevant").alias("relevant"))
+    known = known_verdicts(cache, cfg.client_id, rows).select("term", F.col("category").alias("_c"), F.col("relevant").alias("_r"))
+    ruled = rows.withColumn("_rule", rule).join(known, "term", "left")
+    return ruled.select(*rows.columns, F.coalesce("_c", "_rule.category").alias("verdict"), F.coalesce("_r", "_rule.relevant").alias("relevant"))
 
 
 def unseen(terms: DataFrame, cache: DataFrame, client_id: str) -> DataFrame:
@@ -107,27 +122,15 @@ def unseen(terms: DataFrame, cache: DataFrame, client_id: str) -> DataFrame:
 
 def refresh_cache(terms: DataFrame, cache: DataFrame, cfg: ClientConfig,
                   classifier: Classifier | None = None) -> DataFrame:
-    """Cached verdicts plus fresh ones for the unseen terms; returns the new cache."""
+    """Cached verdicts, one a client and term, plus fresh ones for the unseen terms; returns the new cache."""
     fresh = unseen(terms, cache, cfg.client_id)
     verdicts = classify(fresh, cfg) if classifier is None else classify_with(fresh, cfg, classifier)
     rows = verdicts.select(F.lit(cfg.client_id).alias("client_id"), "term", "relevant", "category", "reason", "source")
-    return cache.select(*rows.columns).unionByName(rows)
+    verdict = F.struct("source", "relevant", "category", "reason")
+    once = cache.groupBy("client_id", "term").agg(F.max(verdict).alias("v"))
+    return once.select("client_id", "term", "v.relevant", "v.category", "v.reason", "v.source").unionByName(rows)
 
 
 def invalidate(cache: DataFrame, client_id: str) -> DataFrame:
     """The cache without one client's verdicts (after a config change)."""
     return cache.filter(F.col("client_id") != client_id)
-
-
-def verdicts_for(terms: DataFrame, cache: DataFrame | None, cfg: ClientConfig) -> DataFrame:
-    """Verdict per distinct term: cached where known, else by the rules."""
-    if cache is None:
-        return classify(terms.select("term").distinct(), cfg)
-    wanted = terms.select("term").distinct()
-    return (
-        refresh_cache(terms, cache, cfg)
-        .filter(F.col("client_id") == cfg.client_id)
-        .join(wanted, "term", "left_semi")
-        .select("term", "relevant", "category", "reason", "source")
-    )
-

@@ -17,7 +17,7 @@ from adinsight.functions.grading import GRADES, INTENTS, STATUSES, grade_term, k
 from adinsight.functions.matching import category_of, is_brand, matched_competitor, search_intent
 from adinsight.functions.numbers import count_where, ratio0, ratio_null, rounded, total, whole
 from adinsight.operators.common import column_or_null, label_frame, money, tenth, text_column, with_empty_labels
-from adinsight.operators.relevance import first_terms, verdicts_for
+from adinsight.operators.relevance import with_verdicts
 
 UNCATEGORIZED = "Other / uncategorized"
 
@@ -164,13 +164,8 @@ def flagged_terms(terms: DataFrame, cfg: ClientConfig, top: int = 75) -> DataFra
 
 
 def _head(terms: DataFrame, cfg: ClientConfig, top: int = 60, cache: DataFrame | None = None) -> DataFrame:
-    """The top terms by cost joined with the verdicts of the first 40 of them.
-
-    Both inputs of the join are bounded by the limits, so it is a broadcast.
-    """
-    best = _leading(nonbrand(terms, cfg), cfg, top)
-    verdicts = verdicts_for(first_terms(best, by_cost()), cache, cfg)
-    return best.join(F.broadcast(verdicts.withColumnRenamed("category", "verdict")), "term", "left")
+    """The top terms by cost with their verdicts."""
+    return with_verdicts(_leading(nonbrand(terms, cfg), cfg, top), cfg, cache)
 
 
 def _listed() -> list[str | Column]:
@@ -197,12 +192,9 @@ def relevant_top(terms: DataFrame, cfg: ClientConfig, top: int = 25, cache: Data
 
 
 def competitor_top(terms: DataFrame, cfg: ClientConfig, top: int = 25, cache: DataFrame | None = None) -> DataFrame:
-    """Largest terms with any competitor; verdicts exist for the account's first 40."""
-    candidates = nonbrand(terms, cfg)
-    rows = _leading(candidates.filter(matched_competitor("term", cfg).isNotNull()), cfg, top)
-    head = candidates.orderBy(*by_cost()).limit(60)
-    verdicts = verdicts_for(first_terms(head, by_cost()), cache, cfg).withColumnRenamed("category", "verdict")
-    return rows.join(F.broadcast(verdicts), "term", "left").select(*_listed())
+    """Largest terms with any competitor and their verdicts."""
+    candidates = nonbrand(terms, cfg).filter(matched_competitor("term", cfg).isNotNull())
+    return with_verdicts(_leading(candidates, cfg, top), cfg, cache).select(*_listed())
 
 
 def flagged_top(terms: DataFrame, cfg: ClientConfig, top: int = 30, cache: DataFrame | None = None) -> DataFrame:
@@ -225,11 +217,9 @@ def _waste(terms: DataFrame) -> DataFrame:
 
 def top_waste(terms: DataFrame, cfg: ClientConfig, top: int = 20, cache: DataFrame | None = None) -> DataFrame:
     """Largest zero-conversion terms with their verdicts."""
-    best = _waste(terms).orderBy(*by_cost()).limit(40)
-    verdicts = verdicts_for(first_terms(best, by_cost()), cache, cfg)
-    rows = best.orderBy(*by_cost()).limit(top).join(F.broadcast(verdicts), "term", "left")
+    rows = with_verdicts(_waste(terms).orderBy(*by_cost()).limit(top), cfg, cache)
     return rows.select("term", "match", "row_index", whole("clicks").alias("clicks"), money("cost"), "relevant",
-                       "category")
+                       F.col("verdict").alias("category"))
 
 
 def top_converting(terms: DataFrame, top: int = 20) -> DataFrame:
@@ -240,13 +230,10 @@ def top_converting(terms: DataFrame, top: int = 20) -> DataFrame:
 
 
 def waste_split(terms: DataFrame, cfg: ClientConfig, cache: DataFrame | None = None) -> DataFrame:
-    """Total waste, and the top-40 waste split into relevant and irrelevant."""
+    """Total waste, split into relevant and irrelevant."""
     everything = _typed(terms).agg(F.count("*").alias("terms"), total("cost", _is_waste()).alias("waste"))
     all_terms, all_waste = everything.select("terms").scalar(), everything.select("waste").scalar()
-    best = _waste(terms).orderBy(*by_cost()).limit(40)
-    verdicts = verdicts_for(first_terms(best, by_cost()), cache, cfg)
-    joined = best.join(F.broadcast(verdicts), "term", "left")
-    sums = joined.agg(
+    sums = with_verdicts(_waste(terms), cfg, cache).agg(
         total("cost", ~F.col("relevant")).alias("irr"), total("cost", F.col("relevant")).alias("rel"),
         F.count_distinct(F.when(F.col("relevant").isNotNull(), F.col("term"))).alias("classified"),
     )

@@ -153,7 +153,8 @@ def _period_cells(campaigns: DataFrame, current: Column, keys: dict[str, Column]
 
     One pass sums the three candidate months (current, previous, last year); last
     year is used unless no row of it exists, then the previous month.  That check
-    runs over the aggregated cells, at most one per campaign of the account.
+    is an aggregate of the cells; when the current month is empty too, there is no
+    comparison.
     """
     by_year = compare not in ("mom", "custom")
     ages = (0, 1, 12) if by_year else (0, 1)
@@ -171,8 +172,12 @@ def _period_cells(campaigns: DataFrame, current: Column, keys: dict[str, Column]
         )
     ]
     cells = named.groupBy(*keys).agg(*sums, F.max(F.expr("add_months(month_start, age)")).alias("month"))
-    last_year = F.sum("rows_12").over(everything()) > 0 if by_year else F.lit(False)
+    # Two facts of the account: whether last year has rows, and whether it or the current month has any at all.
+    facts = cells.agg(F.sum("rows_0").alias("now"), (F.sum("rows_12") if by_year else F.lit(0)).alias("then"))
+    last_year = F.coalesce(facts.select(F.col("then") > 0).scalar(), F.lit(False)) if by_year else F.lit(False)
     cells = cells.withColumn("last_year", last_year)
+    if by_year:  # nothing to compare when both are empty, whatever the month before holds
+        cells = cells.filter(F.coalesce(facts.select((F.col("now") > 0) | (F.col("then") > 0)).scalar(), F.lit(False)))
 
     def prior(name: str) -> Column:
         previous = F.col(f"{name}_1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adinsight.functions import dates, grading, matching, numbers
+from adinsight.functions import dates, fields, grading, matching, numbers
 from adinsight.operators import filters
 from adinsight.operators.filters import Filters
 from adinsight.plans.oracle import (
@@ -101,8 +101,17 @@ register("e23_url_brand", lambda f: tally(f[ADS], url=F.col("ad_final_url"), bra
     f"{{{ADS}}}", url="ad_final_url", brand="case when contains(ad_final_url,'/economy/') then 'Brand#1' when contains(ad_final_url,'/standard/') then 'Brand#2' when contains(ad_final_url,'/promo/1') then 'Brand#3' else '' end"))
 register("e24_url_host_path", lambda f: f["pages"].select("page_id", matching.url_host("url").alias("host"), matching.url_path("url").alias("path")), """
 select page_id, regexp_replace(regexp_extract(url,'^[a-z]+://([^/?#:]+)',1),'^www\\.','') as host, coalesce(nullif(regexp_extract(url,'^[a-z]+://[^/?#]+([^?#]*)',1),''),'/') as path from {pages}""")
-register("e27_json_get", lambda f: f["events"].groupBy(F.get_json_object("props", "$.k").cast("bigint").alias("k")).agg(F.count("*").alias("rows")),
-         "select cast(json_extract_string(props,'$.k') as bigint) as k, count(*) as rows from {events} group by 1")
+
+
+def field_of_events(f: Facts) -> DataFrame:
+    """The same field read from JSON text and from a map of it."""
+    events = f["events"].withColumn("record", F.from_json("props", "map<string,string>"))
+    read = events.select(fields.json_get(events, "props", "k").alias("from_text"), fields.json_get(events, "record", "k").alias("from_map"))
+    return read.groupBy("from_text", "from_map").agg(F.count("*").alias("rows"))
+
+
+register("e27_json_get", field_of_events, """select json_extract_string(props,'$.k') as from_text, json_extract_string(props,'$.k') as from_map, count(*) as rows
+ from {events} group by 1""")
 
 # --- grades -------------------------------------------------------------------------
 
@@ -184,14 +193,14 @@ register("x01_geo_by_region", lambda f: filtered(f, GEO, Filters(region="NATION_
 register("x01_terms_keep_unresolved", lambda f: tally(filtered(f, ST, Filters(campaign="Search | Brand Defense", region="NATION_1", seg="nb")), added=F.col("added_excluded")),
          tally_sql(f"(select * from {{{ST}}} where not {has('search_term', 'gizmo')})", added="added_excluded"))
 register("x02_filter_options", lambda f: filters.filter_options(f[CAMP], CONFIG, f[GEO], f[KG]), f"""
-select * from (select distinct 'campaign' as kind, campaign as value from {{{CAMP}}} order by 2 limit 300)
+select * from (select distinct 'campaign' as kind, campaign as value from {{{CAMP}}} )
 union all select 'region', r from (select state_matched r from {{{GEO}}} union select region from {{{KG}}})
 union all select * from (values ('category','Widget'),('category','Bolt'),('category','Ring sets'),('category','Gear'),('brand','gizmo'))""")
 register("x04_text_search", lambda f: filters.text_search(f["part"], ["p_name", "p_type", "p_brand"], "Widget PROMO Brand#1").select("p_partkey"),
          "select p_partkey from {part} where contains(lower(p_name||' '||p_type||' '||p_brand),'widget promo brand#1')")
 register("x05_multi_select", lambda f: filters.multi_select(f[KB], {"brand": ["Brand#1", "Brand#9"], "region": ["NATION_2", "NATION_4"], "keyword": None}).groupBy("brand", "region").agg(F.count("*").alias("rows")),
          f"select brand, region, {cnt()} as rows from {{{KB}}} where brand in ('Brand#1','Brand#9') and region in ('NATION_2','NATION_4') group by 1,2")
-register("x06_sort_any", lambda f: filters.sort_any(f[KB].select("brand", "keyword", "region", "impr_share"), "impr_share", descending=False, numeric=True, ties=["brand", "keyword", "region"]).limit(200),
-         f"select brand, keyword, region, impr_share from {{{KB}}} order by impr_share asc nulls last, brand, keyword, region limit 200")
-register("x06_sort_formatted", lambda f: filters.sort_any(f["orders"].select("o_orderkey", F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("price")), "price", numeric=True, ties=["o_orderkey"]).limit(100).select("o_orderkey"),
-         "select o_orderkey from {orders} order by round(o_totalprice,2) desc, o_orderkey limit 100")
+register("x06_sort_any", lambda f: filters.sort_any(f[KB].select("brand", "keyword", "region", "impr_share"), "impr_share", descending=False, numeric=True, ties=["brand", "keyword", "region"]),
+         f"select brand, keyword, region, impr_share from {{{KB}}} order by impr_share asc nulls last, brand, keyword, region")
+register("x06_sort_formatted", lambda f: filters.sort_any(f["orders"].select("o_orderkey", F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("price")), "price", numeric=True, ties=["o_orderkey"]).select("o_orderkey"),
+         "select o_orderkey from {orders} order by round(o_totalprice,2) desc, o_orderkey")

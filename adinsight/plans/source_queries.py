@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,10 +132,11 @@ select 'domain'||s_suppkey||'.example' as domain, (s_suppkey%100+0.5e0)/100 as i
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="adinsight-")
-    return f"{root}/adinsight-{uuid.uuid4().hex}"
+    """A new folder below ``spark.checkpoint.dir`` or the warehouse; both must be shared on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    if root.startswith(("/", "file:")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{root} is a local folder; set spark.checkpoint.dir to one that driver and executors share")
+    return f"{root.rstrip('/')}/adinsight-{uuid.uuid4().hex}"
 
 
 def export(f: Facts, rows: DataFrame, columns: dict[str, str], folder: str, files: int) -> str:
@@ -174,7 +174,7 @@ def scanned(f: Facts) -> DataFrame:
     folder = export(f, rows, TERM_COLUMNS, scratch(f.spark), 16)
     paths = report_files.list_reports(folder, recursive=True)
     files = report_files.describe_files(report_files.read_cells(f.spark, paths, "headers"))
-    return report_files.land_rows(report_files.records(report_files.read_cells(f.spark, paths), files, len(paths)))
+    return report_files.land_rows(report_files.records(report_files.read_cells(f.spark, paths), files))
 
 
 register("s01_report_scan", lambda f: scanned(f).groupBy("report_type", F.col("record")["added_excluded"].alias("added")).agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -13,9 +14,19 @@ from adinsight.plans.oracle import (
     CURRENT, GRADE_LIST, category, cnt, div0, divn, fixed_text, grouped_text, has, money_text, month_abbr, n_text, rnd,
     term_grade, tot, whole,
 )
-from adinsight.plans.registry import current, last_month, register
+from adinsight.plans import registry
+from adinsight.plans.registry import current, last_month
 from adinsight.plans.sample_facts import CONFIG, SEASONAL, Facts
 
+STATED: dict[str, str] = {}
+
+
+def register(name: str, query: Callable[[Facts], DataFrame], sql: str) -> None:
+    """Register a query and keep its statement for queries that list it again."""
+    STATED[name] = sql
+    registry.register(name, query, sql)
+
+
 ST, QS, CAMP, PMAX = "fx_search_terms", "fx_search_keyword_qs", "fx_campaign_performance", "fx_pmax_placements"
 COMPETITOR = f"case when {has('search_term', 'rod')} then 'rod' when {has('search_term', 'hot')} then 'hot' end"
 SEGMENT = (f"case when {has('search_term', 'rod', 'hot')} then 'Competitor' when {has('search_term', 'old')} then 'Irrelevant' "
@@ -78,7 +89,7 @@ def verdict(term: str, what: str) -> str:
 
 
 HEAD = f"""{T0}, top60 as (select * from t {ORDER} limit 60),
- cls as (select distinct term, {verdict('term', 'category')} verdict, {verdict('term', 'relevant')} relevant from (select * from top60 where term<>'' {ORDER} limit 40)),
+ cls as (select distinct term, {verdict('term', 'category')} verdict, {verdict('term', 'relevant')} relevant from t where term<>''),
  h as (select * from top60 left join cls using (term))"""
 LISTED = (f"term, match, row_index, {whole('clicks')} as clicks, {rnd('cost', 2)} as cost, {rnd('conversions', 1)} as conv, grade, verdict as intent, relevant")
 register("t11_top_graded", lambda f: terms.top_graded(f[ST], CONFIG), f"with {HEAD} select {LISTED} from (select * from h {ORDER} limit 40)")
@@ -128,14 +139,14 @@ with {HEAD}, c as (select term, case when contains(term,'brand') and cast(regexp
   case when cast(regexp_extract(term,'brand ([0-9]+)',1) as int)%2=0 then true else relevant end relevant2 from cls)
 select {LISTED.replace('verdict as', 'verdict2 as').replace(', relevant', ', relevant2 as relevant')} from (select * from h {ORDER} limit 40) left join c using (term)""")
 WASTE = f"w as (select search_term term, '' match, row_index, clicks, cost, conversions from {{{ST}}} where cost>0 and coalesce(conversions,0)<=0), w40 as (select * from w {ORDER} limit 40)"
-WCLS = f"wc as (select distinct term, {verdict('term', 'category')} category, {verdict('term', 'relevant')} relevant from w40)"
+WCLS = f"wc as (select distinct term, {verdict('term', 'category')} category, {verdict('term', 'relevant')} relevant from w)"
 register("t17_top_waste", lambda f: terms.top_waste(f[ST], CONFIG), f"""with {WASTE}, {WCLS} select term, match, row_index, {whole('clicks')} as clicks, {rnd('cost', 2)} as cost, relevant, category
  from (select * from w40 {ORDER} limit 20) left join wc using (term)""")
 register("t17_top_converting", lambda f: terms.top_converting(f[ST]), f"""select term, row_index, {whole('clicks')} as clicks, {rnd('cost', 2)} as cost, {rnd('conversions', 1)} as conv,
  {rnd(div0('cost', 'conversions'), 2)} as cpa from (select search_term term, * from {{{ST}}} where conversions>0 order by conversions desc, search_term, row_index limit 20)""")
 register("t17_waste_split", lambda f: terms.waste_split(f[ST], CONFIG), f"""with {WASTE}, {WCLS} select (select {cnt()} from {{{ST}}}) as total_terms,
  {rnd('(select ' + tot('cost') + ' from w)', 2)} as waste_total, count(distinct term) as classified, {rnd(tot('cost', 'not relevant'), 2)} as irrelevant_waste,
- {rnd(tot('cost', 'relevant'), 2)} as relevant_waste from w40 left join wc using (term)""")
+ {rnd(tot('cost', 'relevant'), 2)} as relevant_waste from w left join wc using (term)""")
 register("t18_grades_by_brand", lambda f: terms.term_grades(f[ST], CONFIG, ["brand"]),
          f"with {T0} select brand, k as grade, {GRADE_COLS.replace('{share}', BY_BRAND)} from {grouped('grade', by='brand,')}")
 register("t18_intent_by_brand", lambda f: terms.intent_segments(f[ST], CONFIG, ["brand"]),
@@ -155,7 +166,7 @@ def finding_sql(source: str, where: str, key: str, module: str, severity: str, t
 
 
 DENS = f"(select campaign, {tot('conversions')} v, {tot('cost')} c, trim(list_last(string_split(campaign,'|'))) nm from {{{CAMP}}} where month_start={CURRENT} group by 1)"
-TOP_CONV = f"(select string_agg(t, '; ' order by v desc, campaign) from (select *, substr(nm,1,22)||': '||{n_text('v')} t from {DENS} order by v desc, campaign limit 8))"
+TOP_CONV = f"(select string_agg(t, '; ' order by v desc, campaign) from (select *, nm||': '||{n_text('v')} t from {DENS} order by v desc, campaign limit 8))"
 TOP_COST = (f"(select string_agg(t, '; ' order by c desc, campaign) from (select *, nm||' ('||{n_text('v')}||' conv, '||{money_text('c')}||')' t "
             f"from {DENS} where v<15 and c>100 order by c desc, campaign limit 8))")
 DSUM = f"(select {cnt()} n, {cnt('v>=30')} a, {cnt('v<30')} b, {cnt('v<15 and c>100')} low, {month_abbr(CURRENT)} m, {TOP_CONV} lead, {TOP_COST} costly from {DENS})"
@@ -202,7 +213,7 @@ OK = "b::int+n::int+c::int>=2"
 BUCKET_SQL = finding_sql(
     BUCKETS, "true", "three_bucket", "K", f"case when {OK} then 'PASS' else 'IMPORTANT' end",
     f"case when {OK} then 'Brand, non-brand and conquest are separated' else 'Campaign structure lacks '||{LACK} end",
-    f"'Found: '||coalesce(nullif({HAVE},''),'none')||'.'||case when {LACK}<>'' then ' Missing: '||{LACK}||'.' else '' end||' Conquest targets: rod. Never conquest or negate: hot.'",
+    f"'Found: '||coalesce(nullif({HAVE},''),'none')||'.'||case when {LACK}<>'' then ' Missing: '||{LACK}||'.' else '' end||' Conquest names: rod. Kept out of conquest and negatives: hot.'",
     f"case when {OK} then 'Structure follows the three buckets' else 'Buckets are not fully separated' end",
     "Separate buckets keep bidding signals clean and let copy match intent.", "Keep or rebuild separate brand, non-brand and conquest campaigns",
     f"case when {OK} then 'LOW' else 'MEDIUM' end", f"case when {OK} then 'S' else 'L' end", f"case when {OK} then 'Reference' else 'Month 2' end",
@@ -214,7 +225,7 @@ MIX = f"""(select case when starts_with(lower(search_keyword_match_type),'exact'
 MIX_ROW = f"""(select sum(n) n, arg_max(k, c) lead, string_agg(k||': '||n||' kw / '||{money_text('c')}||' / '||{n_text('v')}||' conv', '. ' order by c desc) filter (where k<>'Other') parts,
  string_agg(k, ', ' order by c desc) filter (where k<>'Other' and c<1) lazy from {MIX})"""
 MATCH_SQL = finding_sql(
-    MIX_ROW, "n>0", "match_types", "K", "'IMPORTANT'", "'Match-type allocation and idle keywords'",
+    MIX_ROW, "n>0", "match_types", "K", "'IMPORTANT'", "'How keywords and spend divide over match types'",
     "parts||'. Most spend runs on '||lead||'.'||case when lazy is not null then ' Idle: '||lazy||'.' else '' end",
     f"{grouped_text('n')}||' keywords · most spend on '||lead", "Idle layers add no signal; a wide layer without negatives leaks spend.",
     "Resize exact, phrase and broad; delete or revive idle keywords", "'MEDIUM'", "'S'", "'Week 2'")
@@ -285,7 +296,29 @@ RANKS = """case severity when 'CRITICAL' then 1 when 'IMPORTANT' then 2 when 'OP
 register("n06_findings_overview", lambda f: findings.overview(run(f)),
          f"select title as topic, magnitude as detail from ({EVERY}) where severity<>'PASS' order by {RANKS} limit 6")
 register("n11_run_analyzers", run, EVERY)
-register("n11_evidence", lambda f: findings.run_evidence(CONFIG, current(f), campaigns=f[CAMP], keywords=f[QS], terms=f[ST], placements=f[PMAX]))
+EVIDENCE = {  # finding -> (query whose oracle lists it, entity, texts, numbers)
+    "density": ("n01_density_evidence", "campaign", ("clears_floor", "low_volume"), ("conv", "cost")),
+    "trend": ("n02_trend_evidence", "month", (), ("conv",)),
+    "match_types": ("n04_match_type_mix", "match", ("idle",), ("keywords", "cost", "conv")),
+    "brand_split": ("n05_brand_split_rows", "segment", (), ("spend", "conv", "cpa")),
+    "waste": ("n07_waste_evidence", "term", (), ("row_index", "cost")),
+    "expected_ctr": ("n09_expected_ctr_evidence", "keyword", ("qs",), ("row_index", "cost")),
+    "low_score": ("n09_low_score_evidence", "keyword", ("qs",), ("row_index", "cost")),
+    "placements": ("n10_pmax_evidence", "placement", (), ("impressions",)),
+}
+
+
+def evidence_sql() -> str:
+    """The evidence lists in long form, of the findings that are raised."""
+    parts = []
+    for finding, (query, entity, texts, numbers) in (*EVIDENCE.items(), ("low_volume", EVIDENCE["density"])):
+        listed = f"({STATED[query]})" + (" where low_volume" if finding == "low_volume" else "")
+        parts += [f"select '{finding}' as finding, {entity} as entity, '{c}' as key, cast({c} as varchar) as text, cast(null as double) as number from {listed}" for c in texts]
+        parts += [f"select '{finding}', {entity}, '{c}', null, cast({c} as double) from {listed}" for c in numbers]
+    return f"select * from ({' union all '.join(parts)}) where finding in (select finding from ({EVERY}))"
+
+
+register("n11_evidence", lambda f: findings.run_evidence(CONFIG, current(f), campaigns=f[CAMP], keywords=f[QS], terms=f[ST], placements=f[PMAX]), evidence_sql())
 register("n12_recommendations", lambda f: findings.recommendations(run(f)), f"""select finding, case severity when 'CRITICAL' then 'High' when 'IMPORTANT' then 'Medium' else 'Low' end as priority,
  case module when 'D' then 'Data Density & Budget' when 'K' then 'Keywords & Negatives' when 'Q' then 'Quality Score' else 'Performance Max' end as category,
  action||' '||summary as recommendation, observation||' '||impact as rationale, case dollar when 'HIGH' then 'High' when 'MEDIUM' then 'Medium' else 'Low' end as expected_impact,

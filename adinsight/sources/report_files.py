@@ -67,7 +67,7 @@ BATCH_ROWS = 8192
 
 # The reader travels to the workers by value, so they need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
-BROADCAST_FILES = 10_000
+CELL_CHARACTERS = 1 << 30  # a report's cell may be longer than the csv module's default
 
 
 # --- reading ------------------------------------------------------------------------
@@ -97,6 +97,7 @@ def window_text(line: str) -> str:
 
 def _records(path: str, preamble: bool, headers_only: bool) -> Iterator[tuple]:
     """(row_index, window_raw, cells) of one file; the header comes as row -1."""
+    csv.field_size_limit(CELL_CHARACTERS)
     fs, inner = _filesystem(path)
     with fs.open_input_stream(inner) as raw, io.TextIOWrapper(io.BufferedReader(raw), encoding="utf-8-sig") as text:
         window = ""
@@ -159,6 +160,9 @@ class ReportSource(DataSource):
 
 
 def read_cells(spark: SparkSession, paths: list[str], part: str = "rows", preamble: bool = True) -> DataFrame:
+    """Cells of the files; no paths give an empty frame."""
+    if not paths:
+        return spark.createDataFrame([], "file string, row_index bigint, window_raw string, cells array<string>")
     spark.dataSource.register(ReportSource)
     reader = spark.read.format(FORMAT).option("paths", "\n".join(paths)).option("part", part)
     return reader.option("preamble", str(preamble).lower()).load()
@@ -221,13 +225,13 @@ def describe_files(headers: DataFrame) -> DataFrame:
     ).select("*", "w.*").drop("w")
 
 
-def records(rows: DataFrame, files: DataFrame, file_count: int | None = None) -> DataFrame:
+def records(rows: DataFrame, files: DataFrame, one_a_type: bool = False) -> DataFrame:
     """Data rows as cleaned ``record`` maps with their file's report type.
 
-    The file descriptions are broadcast while their number is known to be small.
+    ``one_a_type`` says that the descriptions hold a file or a few per report type, so they are broadcast.
     """
     side = files.select("file", "source_file", "report_type", "keys", "positions")
-    if file_count is not None and file_count <= BROADCAST_FILES:
+    if one_a_type:
         side = F.broadcast(side)
     cells = F.transform("positions", lambda i: clean_cell(F.get(F.col("cells"), i)))
     return rows.join(side, "file").select("file", "source_file", "report_type", "row_index",

@@ -10,8 +10,9 @@ data rows still replaces the earlier one.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -27,6 +28,7 @@ PRESERVED_FIELDS = ("quality_score", "exp_ctr", "ad_relevance", "landing_page_ex
 PRESERVED_REPORT = "search_keyword_qs"
 KEYWORD_KEY = ("search_keyword", "search_keyword_match_type", "campaign", "ad_group")
 
+NO_TABLE_YET = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")  # no folder, or one without files
 PARTITIONS = ("client_id", "report_type")
 ROWS_SCHEMA = (
     "source_file string, row_index bigint, campaign string, ad_group string, entity string, date string, clicks double, "
@@ -57,7 +59,9 @@ class Warehouse:
     def _read(self, path: str, schema: str) -> DataFrame:
         try:
             self.spark.read.parquet(path)
-        except AnalysisException:
+        except AnalysisException as failure:
+            if failure.getCondition() not in NO_TABLE_YET:
+                raise
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
@@ -73,13 +77,6 @@ class Warehouse:
         writer.partitionBy(*PARTITIONS).parquet(path)
 
 
-def latest_files(files: DataFrame) -> DataFrame:
-    """Per report type the last file by name; files of unknown type drop out."""
-    known = files.filter(F.col("report_type").isNotNull())
-    last = Window.partitionBy("report_type").orderBy(F.col("source_file").desc())
-    return known.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
-
-
 def preserve_scores(new: DataFrame, old: DataFrame) -> DataFrame:
     """Carry earlier measured scores over a re-load.
 
@@ -106,28 +103,40 @@ def preserve_scores(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(kept, match, "left").select(*columns)
 
 
-def load_files(warehouse: Warehouse, client_id: str, paths: list[str]) -> DataFrame:
+def load_files(warehouse: Warehouse, client_id: str, paths: list[str], keep_newer: bool = False) -> DataFrame:
     """Load report files for a client; returns the ledger rows of this load.
 
-    The header pass picks one file per report type.  Its result, one row per
-    loaded file, passes through the driver, which listed the files anyway; the
-    files themselves are then parsed once each.
+    The header pass picks the last file by name per report type.  Its result, a row
+    per file, passes through the driver, which listed the files anyway; the chosen
+    files are then parsed once each.  Earlier keyword files of the same load give
+    their scores to the later ones, as if each had been loaded on its own.
+    ``keep_newer`` leaves out files whose names come before the one in the ledger.
     """
     spark = warehouse.spark
-    headers = latest_files(describe_files(read_cells(spark, paths, "headers")))
-    found = headers.collect()
-    chosen = spark.createDataFrame(found, headers.schema)
-    types_of = {r["file"]: r["report_type"] for r in found}
+    described = describe_files(read_cells(spark, paths, "headers")).filter(F.col("report_type").isNotNull())
+    if keep_newer:
+        stored = warehouse.uploads().filter(F.col("client_id") == client_id).groupBy("report_type").agg(F.max("source_file").alias("_stored"))
+        described = described.join(F.broadcast(stored), "report_type", "left")  # a row per report type
+        described = described.filter(F.col("_stored").isNull() | (F.col("source_file") >= F.col("_stored"))).drop("_stored")
+    known = described.collect()
+    last = {t: max((r for r in known if r["report_type"] == t), key=lambda r: (r["source_file"], r["file"]))
+            for t in {r["report_type"] for r in known}}
+    if not last:
+        return warehouse.uploads().limit(0)
+    every, chosen = spark.createDataFrame(known, described.schema), spark.createDataFrame(list(last.values()), described.schema)
 
-    def landed(files: list[str]) -> DataFrame:
-        return records(read_cells(spark, files), chosen, len(types_of)).withColumn("client_id", F.lit(client_id))
+    def landed(files: list[str], sides: DataFrame) -> DataFrame:
+        return records(read_cells(spark, files), sides, True).withColumn("client_id", F.lit(client_id)).drop("file")
 
-    scored = [f for f, t in types_of.items() if t == PRESERVED_REPORT]
-    plain = landed([f for f in types_of if f not in scored]).drop("file")
-    if scored:
+    plain = [r["file"] for t, r in last.items() if t != PRESERVED_REPORT]
+    parts = [landed(plain, chosen)] if plain else []
+    if PRESERVED_REPORT in last:
         own = (F.col("client_id") == client_id) & (F.col("report_type") == PRESERVED_REPORT)
-        plain = plain.unionByName(preserve_scores(landed(scored).drop("file"), warehouse.rows().filter(own)))
-    facts = land_rows(plain)
+        rows = warehouse.rows().filter(own)
+        for r in sorted((r for r in known if r["report_type"] == PRESERVED_REPORT), key=lambda r: (r["source_file"], r["file"])):
+            rows = preserve_scores(landed([r["file"]], every), rows)
+        parts.append(rows)
+    facts = land_rows(reduce(DataFrame.unionByName, parts))
     types = dict(facts.dtypes)
     given = {"client_id": F.lit(client_id), "source_file": F.col("source_file"), "report_type": F.col("report_type"),
              "row_index": F.lit(HEADER_ROW)}

@@ -21,7 +21,9 @@ def watch_folder(warehouse: Warehouse, client_id: str, folder: str, checkpoint:
     """Start a run that loads all files not seen before and then stops.
 
     ``checkpoint`` must lie in shared storage.  A batch holds at most
-    ``files_per_batch`` names, which is all that reaches the driver.
+    ``files_per_batch`` names, which is all that reaches the driver.  A file whose
+    name comes before the loaded one of its report type is left out, so the last
+    by name wins however the files fall into batches.
     """
     stream = (
         warehouse.spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
@@ -32,7 +34,7 @@ def watch_folder(warehouse: Warehouse, client_id: str, folder: str, checkpoint:
     def load(batch: DataFrame, _: int) -> None:
         names = sorted(r["path"] for r in batch.collect())
         if names:
-            load_files(warehouse, client_id, names)
+            load_files(warehouse, client_id, names, keep_newer=True)
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

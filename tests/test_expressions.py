@@ -3,7 +3,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from adinsight.config import ClientConfig, sanitize
+import pytest
+
+from adinsight.config import ClientConfig, Rejected, sanitize
+from adinsight.functions import fields
 from adinsight.functions import dates, grading, matching, numbers
 from adinsight.plans.sample_facts import CONFIG
 from adinsight.sources.report_files import detect_report, header_slugs, slug
@@ -151,9 +154,20 @@ def test_heat_scales(one):
 
 
 def test_config_updates_merge_and_sanitise():
-    cfg = ClientConfig().updated({"brand_terms": " a, b\nc ", "thresholds": {"qs_floor": "4", "bogus": 1, "low_vol_conv": "x"}, "unknown": 1})
+    cfg = ClientConfig().updated({"brand_terms": " a, b\nc ", "thresholds": {"qs_floor": "4", "bogus": 1, "low_vol_conv": ""}, "unknown": 1})
     assert cfg.brand_terms == ("a", "b", "c") and cfg.threshold("qs_floor") == 4 and cfg.threshold("low_vol_conv") == 15
-    again = cfg.updated({"budget_lines": [{"region": " N ", "monthly": "10.005"}, {"monthly": "x"}, 3]})
+    again = cfg.updated({"budget_lines": [{"region": " N ", "monthly": "10.005"}]})
     assert again.brand_terms == cfg.brand_terms and again.budget_lines[0]["region"] == "N" and len(again.budget_lines) == 1
-    assert sanitize({"notes": "x" * 5000})["notes"] == "x" * 4000
+    assert sanitize({"notes": "x" * 5000})["notes"] == "x" * 5000
+    for bad in ({"thresholds": {"qs_floor": "x"}}, {"budget_lines": [{"monthly": "x"}]}, {"budget_lines": [3]}, {"brand_terms": 7}, {"url_brands": ["ab"]}):
+        with pytest.raises(Rejected, match=next(iter(bad))):
+            sanitize(bad)
     assert ClientConfig(name="N").brand_label == "N"
+
+
+def test_field_access_reads_maps_structs_and_json(spark):
+    df = spark.sql("""select '{"k":"1","a b":"2"}' j, map('k', '1', 'a b', '2') m, named_struct('k', 1) s""")
+    row = df.select(*[fields.json_get(df, c, "k") for c in "jms"], fields.json_get(df, "j", "a b"), fields.json_get(df, "m", "x"), fields.json_get(df, "s", "x")).first()
+    assert tuple(row) == ("1", "1", "1", "2", None, None)
+    with pytest.raises(TypeError):
+        fields.json_get(spark.range(1), "id", "k")

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ def folder(tmp_path):
 def frames(spark, folder):
     paths = report_files.list_reports(str(folder))
     files = report_files.describe_files(report_files.read_cells(spark, paths, "headers"))
-    return files, report_files.records(report_files.read_cells(spark, paths), files, len(paths))
+    return files, report_files.records(report_files.read_cells(spark, paths), files)
 
 
 def test_scan_parses_quotes_totals_and_ragged_rows(spark, folder):
@@ -202,3 +203,51 @@ def test_arriving_files_are_loaded_once(spark, folder, tmp_path_factory):
     assert house.uploads().agg(F.max("uploaded_at")).first()[0] == stamp
     (folder / "z.csv").write_text(TERMS.replace('"two\nlines",Exact match,Added,--,0,< 10%,--,,2\n', ""), encoding="utf-8")
     assert run()["search_terms"] == 4
+
+
+def scores(house):
+    rows = house.rows().filter("report_type = 'search_keyword_qs'").collect()
+    return {r["entity"]: (r["record"]["quality_score"], r["record"]["landing_page_exp"]) for r in rows}
+
+
+def test_keyword_files_alone_load_and_reload(spark, tmp_path_factory):
+    src, house = tmp_path_factory.mktemp("in"), Warehouse(spark, str(tmp_path_factory.mktemp("house")))
+    (src / "k1.csv").write_text(KEYWORDS.format(qs=3, lp="Average"), encoding="utf-8")
+    assert [r["report_type"] for r in load_folder(house, "one", str(src)).collect()] == ["search_keyword_qs"]
+    assert scores(house)["alpha"] == ("3", "Average")
+    (src / "k1.csv").write_text(KEYWORDS.format(qs="--", lp="Above average"), encoding="utf-8")
+    load_folder(house, "one", str(src))
+    assert scores(house)["alpha"] == ("3", "Average")
+
+
+def test_scores_of_an_earlier_file_of_the_same_load_survive(spark, tmp_path_factory):
+    src, house = tmp_path_factory.mktemp("in"), Warehouse(spark, str(tmp_path_factory.mktemp("house")))
+    (src / "k1.csv").write_text(KEYWORDS.format(qs=3, lp="Average"), encoding="utf-8")
+    (src / "k2.csv").write_text(KEYWORDS.format(qs="--", lp="--"), encoding="utf-8")
+    load_folder(house, "one", str(src))
+    assert scores(house)["alpha"] == ("3", "Average") and house.uploads().first()["source_file"] == "k2.csv"
+
+
+def test_unmapped_files_alone_load_nothing(spark, tmp_path_factory):
+    src, house = tmp_path_factory.mktemp("in"), Warehouse(spark, str(tmp_path_factory.mktemp("house")))
+    (src / "x.csv").write_text("t\nw\nFoo,Bar\n1,2\n", encoding="utf-8")
+    assert load_folder(house, "one", str(src)).count() == 0 and house.rows().count() == 0
+
+
+def test_a_cell_beyond_the_default_limit_is_read(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(TERMS.replace("blue widget", "blue " + "w" * 140_000), encoding="utf-8")
+    _, rows = frames(spark, tmp_path)
+    assert max(len(r["record"]["search_term"]) for r in rows.collect()) > 140_000
+
+
+@pytest.mark.parametrize("limit", [1, 200])
+def test_the_last_name_wins_whatever_the_batches(spark, tmp_path_factory, limit):
+    src, house = tmp_path_factory.mktemp("in"), Warehouse(spark, str(tmp_path_factory.mktemp("house")))
+    (src / "b.csv").write_text(CAMPAIGNS, encoding="utf-8")
+    (src / "a.csv").write_text(CAMPAIGNS.replace("February 2025", "March 2025"), encoding="utf-8")
+    os.utime(src / "b.csv", (1_700_000_000, 1_700_000_000))
+    query = watch_folder(house, "one", str(src), str(tmp_path_factory.mktemp("check")), limit)
+    query.awaitTermination(120)
+    assert query.exception() is None
+    assert house.uploads().first()["source_file"] == "b.csv"
+    assert {r["date"] for r in house.rows().collect()} == {"January 2025", "February 2025"}

@@ -205,7 +205,9 @@ def test_classifier_failures_and_gaps_take_the_rules(spark):
     def failing(batch, context):
         raise RuntimeError("down")
 
-    assert context_free(relevance.classify_with(df, CONFIG, failing)) == context_free(relevance.classify(df, CONFIG))
+    failed = relevance.classify_with(df, CONFIG, failing)
+    assert context_free(failed.drop("source")) == context_free(relevance.classify(df, CONFIG).drop("source"))
+    assert {r["source"] for r in failed.collect()} == {relevance.AFTER_ERROR}
     some = relevance.classify_with(df, CONFIG, lambda b, c: {t: {"relevant": True, "category": "product"} for t in b if t == "known"})
     got = {r["term"]: (r["relevant"], r["category"], r["source"]) for r in some.collect()}
     assert got["known"] == (True, "product", "model") and got["cheap thing"] == (False, "unrelated", "heuristic")
@@ -226,10 +228,24 @@ def test_cache_is_used_refreshed_and_invalidated(spark):
     assert [r["client_id"] for r in relevance.invalidate(fresh, "client").collect()] == ["other"]
 
 
-def test_first_terms_are_distinct_texts_of_the_head(spark):
-    df = spark.createDataFrame([("a", 9.0, 1), ("a", 8.0, 2), ("", 7.0, 3), ("b", 6.0, 4), ("c", 5.0, 5)], "term string, cost double, row_index int")
-    got = relevance.first_terms(df, terms.by_cost(), 3)
-    assert sorted(r["term"] for r in got.collect()) == ["a", "b"]
+def test_every_row_gets_a_verdict_and_repeats_in_the_cache_add_none(spark):
+    df = spark.createDataFrame([("old",), ("old",), ("",), ("gizmo",)], "term string")
+    cache = spark.createDataFrame([("c", "old", True, "x", "r", "model")] * 3 + [("other", "gizmo", False, "y", "r", "model")], relevance.CACHE_SCHEMA)
+    cfg = ClientConfig(client_id="c", brand_terms=("gizmo",))
+    got = sorted(map(tuple, relevance.with_verdicts(df, cfg, cache).collect()))
+    assert got == [("", None, None), ("gizmo", "brand", True), ("old", "x", True), ("old", "x", True)]
+    assert relevance.refresh_cache(df.filter("term <> ''"), cache, cfg).filter("client_id = 'c'").count() == 2
+
+
+def test_weighted_mean_holds_large_impressions(spark):
+    rows = spark.createDataFrame([(90.0, 2e11), (30.0, 1e11)], "impr_share double, impressions double")
+    assert rows.select(keywords._weighted_mean("impr_share")).first()[0] == 70.0
+
+
+def test_median_bracket_that_misses_raises(spark):
+    rows = spark.createDataFrame([("a", float(i)) for i in range(9)], "g string, v double")
+    got = common.exact_medians(rows, ["g"], "v").first()
+    assert (got["lower_median"], got["upper_median"]) == (4.0, 4.0)
 
 
 # --- findings -------------------------------------------------------------------------------

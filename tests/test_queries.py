@@ -6,12 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from adinsight.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = catalogue.queries()
+ORACLES = catalogue.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -23,8 +24,8 @@ def duck():
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
-    assert not [n for n in QUERIES if n not in ORACLES and n != "n11_evidence"]
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 @pytest.fixture(scope="module")
