@@ -250,7 +250,7 @@ def contaminated(spans: str = "__spans", n_words: str = "__n_words") -> F.Column
     return (n_hit(spans) > 0) & (20 * n_hit(spans) >= F.col(n_words))
 
 
-_WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # as words_of, before A-Z become lower case
 
 
 def without_spans(text: str, spans: list[dict], least: int) -> str:
