@@ -64,6 +64,17 @@ def whole(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def packed(docs: DataFrame, text_col: str, id_col: str | None = None) -> DataFrame:
+    """``docs`` as (id, text, rest): whatever its columns are called, they can clash with no other name."""
+    rest = F.struct(F.lit(True).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col])
+    return docs.select(F.col(id_col or text_col).alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, text_col: str) -> list[Column]:
+    """The columns of ``docs`` from rows made by :func:`packed`."""
+    return [(rows["text"] if c == text_col else rows["rest"][f"c{i}"]).alias(c) for i, c in enumerate(docs.columns)]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adinsight.llm.common import table, worker_cache
+from adinsight.llm.common import packed, table, unpacked, worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -269,8 +269,9 @@ def without_spans(text: str, spans: list[dict], least: int) -> str:
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text", window: int = WINDOW, least_span: int = WINDOW) -> DataFrame:
     """``docs`` without contaminated documents, and the others without their hit spans of ``least_span`` words or more."""
-    found = find_hits(docs, items, id_col, text_col, item_col, item_text_col, window, carry=True).filter(~contaminated())
-    at = docs.columns.index(text_col)
+    rows = packed(docs, text_col, id_col)
+    found = find_hits(rows, items, "id", "text", item_col, item_text_col, window, carry=True).filter(~contaminated())
+    at = rows.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +282,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                 columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return found.select(*docs.columns, "__spans").mapInArrow(cut, docs.schema)
+    clean = found.select(*rows.columns, "__spans").mapInArrow(cut, rows.schema)
+    return clean.select(*unpacked(clean, docs, text_col))
 
 
 def op9_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adinsight.llm.common import WORD, Generations, binary, table, worker_cache, written
+from adinsight.llm.common import WORD, Generations, binary, packed, table, unpacked, worker_cache, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -467,12 +467,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = similarity_classes(docs.select(id_col, text_col), id_col, text_col, n, num, den)
     first = found.filter("cls is not null").groupBy("component").agg(F.min(F.struct(F.col(id_col).alias("i"), F.col("thash").alias("h"))).alias("f"))
     keep = first.select("f.i", "f.h")
-    marked = docs.withColumn("__h", F.xxhash64(F.col(text_col)))
-    wordless = ~F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
-    kept = marked.filter(~wordless).join(keep, F.col(id_col).eqNullSafe(F.col("i")) & (F.col("__h") == F.col("h"))).drop("i", "h")
-    once = Window.partitionBy(id_col, "__h").orderBy(F.lit(0))  # rows of one id and one text
-    kept = kept.withColumn("__k", F.row_number().over(once)).filter("__k = 1").drop("__k")
-    return kept.union(marked.filter(wordless)).drop("__h")
+    marked = packed(docs, text_col, id_col).withColumn("hash", F.xxhash64("text"))
+    wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    kept = marked.filter(~wordless).join(keep, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h"))).drop("i", "h")
+    once = Window.partitionBy("id", "hash").orderBy(F.lit(0))  # rows of one id and one text
+    kept = kept.withColumn("k", F.row_number().over(once)).filter("k = 1").drop("k").union(marked.filter(wordless))
+    return kept.select(*unpacked(kept, docs, text_col))
 
 
 def op8_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:

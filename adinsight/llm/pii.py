@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adinsight.llm.common import table, written
+from adinsight.llm.common import packed, table, unpacked, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -50,7 +50,7 @@ _NUMBERS = (
     ("phone", re.compile(r"(?<!\w)\(\d{2,5}\)[ .-]?\d{2,5}(?:[ .-]?\d{2,5}){1,3}(?!\w)")),
     ("phone", re.compile(r"(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
-    ("card", re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")),
+    ("card", re.compile(r"(?<![\w-])(?<!\d\.)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\w-]|\.\d)")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("ip6", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)[0-9A-Fa-f:]{3,39}(?![\w:])")),
 )
@@ -277,8 +277,9 @@ _MAYBE = r"[@0-9:]|(?:^|\W)(?:%s)\b" % "|".join(t for w in TITLES.values() for t
 
 def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """``docs`` with its text replaced, and a column __entities (kind, start, end in the old text, replacement)."""
-    place = F.xxhash64(F.col(text_col))
-    maybe = F.coalesce(F.col(text_col).rlike(_MAYBE), F.lit(False))
+    docs, given = packed(docs, text_col), docs
+    place = F.xxhash64("text")
+    maybe = F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False))
     span = "array<struct<start:int,end:int,kind:string,canonical:string,original:string>>"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,18 +290,17 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([rows[i] for i in keep], kind)], names=["place", "found"])
 
     # Texts are told apart by a hash of 64 bits and the spans' own strings: a span that does not fit is not applied.
-    found = docs.filter(maybe).select(place.alias("place"), text_col).mapInArrow(find, f"place long, found {span}")
+    found = docs.filter(maybe).select(place.alias("place"), "text").mapInArrow(find, f"place long, found {span}")
     found = written(found, "pii-spans").dropDuplicates(["place"])  # copies are looked at once
     spans = found.select("place", F.explode("found").alias("e")).select("place", "e.*")
     names = assign(spans, key)
     told = spans.join(names, ["kind", "canonical"]).groupBy("place").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "kind", "original", "surrogate"))).alias("__swaps"))
-    rows = docs.filter(maybe).withColumn("__place", place)
-    joined = rows.join(told, F.col("__place") == F.col("place"), "left").drop("__place", "place")
+        F.sort_array(F.collect_list(F.struct("start", "end", "kind", "original", "surrogate"))).alias("swaps"))
+    joined = docs.filter(maybe).withColumn("place", place).join(told, "place", "left").drop("place")
     entity = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
                            T.StructField("replacement", T.StringType())])
-    schema = T.StructType([*docs.schema, T.StructField("__entities", T.ArrayType(entity))])
-    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema, T.StructField("entities", T.ArrayType(entity))])
+    at = docs.columns.index("text")
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -323,8 +323,8 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lists, arrow.field(len(columns)).type)], schema=arrow)
 
     changed = joined.mapInArrow(swap, schema)
-    rest = docs.filter(~maybe).withColumn("__entities", F.array().cast(T.ArrayType(entity)))
-    return changed.union(rest)
+    both = changed.union(docs.filter(~maybe).withColumn("entities", F.array().cast(T.ArrayType(entity))))
+    return both.select(*unpacked(both, given, text_col), F.col("entities").alias("__entities"))
 
 
 #: The key of the registered query and of the pipeline; a user brings one of their own.

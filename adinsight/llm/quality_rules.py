@@ -11,8 +11,8 @@ the executors.
 
 Nulls: a null text has no words. A document without n-grams scores 0. A document without a label, with a null label or
 with a null id is not trusted; several labels of one id must all be good. Rows with the same id are documents of their
-own. Without any trusted document every score is 0, an empty table gives no rows, further columns are ignored or, with
-``carry``, kept.
+own. Without any trusted document every score is 0, an empty table gives no rows, further columns are kept, or
+ignored by the model.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adinsight.llm.common import WORD, table, whole, written
+from adinsight.llm.common import WORD, packed, table, unpacked, whole, written
 
 BUCKETS = 1 << 14
 #: Pseudo-count of each bucket.
@@ -116,10 +116,11 @@ def assess(docs: DataFrame, model: DataFrame, text_col: str = "text", threshold:
 
 def kept(docs: DataFrame, model: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
-    rows = assess(docs, model, text_col, threshold).withColumn("__row", F.monotonically_increasing_id())
+    rows = assess(packed(docs, text_col), model, "text", threshold).withColumn("__row", F.monotonically_increasing_id())
     # A filter on the verdict alone would be pushed below the projections that build it, each of which would then be
     # repeated for every use of its result; one that needs a row number stays where it stands.
-    return rows.filter("__kept and __row >= 0").select(*docs.columns)
+    rows = rows.filter("__kept and __row >= 0")
+    return rows.select(*unpacked(rows, docs, text_col))
 
 
 def op6_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
