@@ -91,9 +91,9 @@ select cast(l_orderkey*8+l_linenumber as bigint) as row_index, case l_linenumber
  cast(cast(l_extendedprice as decimal(14,2)) as double) as cost, case when l_suppkey%4<>0 then 1.5e0 end as conversions, cast(null as double) as impressions from {lineitem}""")
 
 
-def keyword_rows(f: Facts, score: str, where: str = "true") -> DataFrame:
+def keyword_rows(f: Facts, score: str, measured: str = "true") -> DataFrame:
     return derived(f, f"""select 'k.csv' source_file, 'search_keyword_qs' report_type, p_partkey row_index, map('search_keyword', p_name, 'search_keyword_match_type',
- case when p_size%5=0 then null else p_type end, 'campaign', p_brand, 'ad_group', null, 'quality_score', {score}, 'exp_ctr', case when p_size%4=0 then null else 'Average' end) record from {{part}} where {where}""")
+ case when p_size%5=0 then null else p_type end, 'campaign', p_brand, 'ad_group', null, 'quality_score', case when {measured} then {score} end, 'exp_ctr', case when p_size%4<>0 and {measured} then 'Average' end) record from {{part}}""")
 
 
 NEW = "case when p_size%2=0 then cast(p_size%10 as string) end"
