@@ -431,7 +431,11 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.min("c").alias("c"), F.min("n").alias("size"), F.min("low").alias("low"), F.first("bits").alias("bits"),
         F.min(F.struct("id", "thash")).alias("one"), F.min("id").alias("least"))
     classes = written(classes, "jaccard-classes")
-    members = asked.join(classes.drop("least"), "c").drop("c")
+    # Only a set with another of a like size in its block can have a partner there: most chance meetings end here.
+    by_size = Window.partitionBy("label").orderBy("size")
+    sized = asked.join(classes.select("c", "size"), "c").withColumns({"below": F.lag("size").over(by_size), "above": F.lead("size").over(by_size)})
+    sized = sized.filter((num * F.col("size") <= den * F.col("below")) | (num * F.col("above") <= den * F.col("size")))
+    members = sized.select("label", "c").join(classes.drop("least"), "c").drop("c")
     blocks = members.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("tokens"))
     parts = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, 8 * F.col("tokens") / BLOCK_BYTES)).cast("int")
     blocks = blocks.filter("sets > 1").select("label", parts.alias("parts"))
@@ -443,7 +447,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hopeful = written(_with_partners(dealt, num, den), "jaccard-partners")
 
     cells_of = hopeful.groupBy("cls", "of", "hash").agg(F.collect_list(F.struct("label", "left", "right", "part")).alias("cells"))  # cells of one set
-    texts = docs.join(cells_of, F.col("id").eqNullSafe(F.col("of")) & (F.col("thash") == F.col("hash")))
+    texts = docs.join(cells_of.hint("merge"), F.col("id").eqNullSafe(F.col("of")) & (F.col("thash") == F.col("hash")))
     dealt = texts.select(F.explode("cells").alias("at"), "cls", "text").select("at.*", "cls", "text")
     dealt = dealt.repartition("label", "left", "right").sortWithinPartitions("label", "left", "right", "cls")
     edges = written(_block_links(dealt, n, num, den), "jaccard-links").distinct()
