@@ -34,10 +34,15 @@ def as_of(f: Facts) -> Column:
 
 
 def current(f: Facts) -> Column:
-    """The month under review, from the small table of months the account covers."""
-    return trends.current_month(f["fx_months"], as_of(f)).scalar()
+    """The month under review, as a literal.
+
+    It is one row of the small table of months the account covers, resolved once:
+    as a subquery it would be planned anew for every use.
+    """
+    row = trends.current_month(f["fx_months"], as_of(f)).first()
+    return F.lit(row[0] if row else None).cast("date")
 
 
 def last_month(f: Facts) -> Column:
-    """The newest month of the series, even if it is only partly covered."""
-    return f["fx_months"].agg(F.max("month_start")).scalar()
+    """The newest month of the series, even if it is only partly covered; as a literal, too."""
+    return F.lit(f["fx_months"].agg(F.max("month_start")).first()[0]).cast("date")
