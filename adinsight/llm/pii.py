@@ -107,9 +107,9 @@ def detect(text: str) -> list[Entity]:
     at = text.find("@")
     while at >= 0:
         start = at
-        while start and (text[start - 1].isalnum() or text[start - 1] in _LOCAL) and at - start < 64:
+        while start and (text[start - 1].isalnum() or text[start - 1] in _LOCAL or unicodedata.category(text[start - 1])[0] == "M"):
             start -= 1
-        while start < at and text[start] in _LOCAL:
+        while start < at and not text[start].isalnum():
             start += 1
         if start < at and (m := _DOMAIN.match(text, at + 1)):
             found.append(Entity(start, m.end(), "email", unicodedata.normalize("NFC", text[start : m.end()]).casefold()))
@@ -180,6 +180,14 @@ def _script(text: str) -> str:
     return unicodedata.name(text[0], "").split(" ")[0]
 
 
+def _letter(draw: Draw, letter: str) -> str:
+    """A letter of the same script and case as one of a canonical form, from the same row of the code chart."""
+    row = ord(letter) & ~63
+    near = [x for x in map(chr, range(row, row + 64)) if unicodedata.category(x) == unicodedata.category(letter)
+            and _script(x) == _script(letter) and unicodedata.normalize("NFC", x).casefold() == x]
+    return draw.one(near or letter)
+
+
 def _name(draw: Draw, kind: str, canonical: str, attempt: int) -> str:
     script = _script(canonical)
     if script not in _SYLLABLES:  # letters of the same rows of the code chart
@@ -199,7 +207,7 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
     if kind == "email":
         local = canonical.split("@")[0]
         local = "".join(draw.digits(1) if c.isdigit() else draw.one("abcdefghijklmnopqrstuvwxyz") if c.isascii() and c.isalpha()
-                        else _name(draw, kind, c, 0) if c.isalpha() else c for c in local)
+                        else _letter(draw, c) if c.isalpha() else c for c in local)
         host = Draw(key, "domain", canonical.split("@")[1], 0)  # one domain, one replacement, all under reserved names
         return f"{local}@{''.join(host.one('bcdfghklmnprstvwz') + host.one('aeiou') for _ in range(3))}.example.{host.one(['com', 'net', 'org'])}"
     if kind == "ip":

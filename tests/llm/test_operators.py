@@ -168,6 +168,23 @@ def test_surrogates_are_distinct_and_consistent(spark):
     assert pii.replace(df.limit(0), b"key").count() == 0
 
 
+def test_addresses_with_any_letters_and_of_any_length():
+    long = "x" * 70 + "@b.de"
+    for address in ("josé@site.es", "müller.3@x.de", "иван.п@почта.example.ru", "νίκος@x.gr", "JOSÉ@site.es", "jose\u0301@site.es", long):
+        text = f"write to {address} today"
+        found = [e for e in pii.detect(text) if e.kind == "email"]
+        if "почта" in address:  # a domain is ASCII
+            assert not found
+            continue
+        assert [text[e.start : e.end] for e in found] == [address]
+        new = pii.surrogate(b"k", "email", found[0].canonical, 0)
+        old, local = found[0].canonical.split("@")[0], new.split("@")[0]
+        assert new != found[0].canonical and len(local) == len(old)
+        for a, b in zip(old, local):
+            assert a == b if not a.isalnum() else (a.isalpha(), a.islower(), a.isalpha() and pii._script(a)) == (b.isalpha(), b.islower(), b.isalpha() and pii._script(b))
+    assert pii.detect("иван@x.de")[0].start == 0 and pii._script(pii.surrogate(b"k", "email", "иван@x.de", 0)) == "CYRILLIC"
+
+
 # --- 4: pages ------------------------------------------------------------------------------------------------------
 
 
