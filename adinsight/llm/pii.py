@@ -7,7 +7,9 @@ it has the form of what it replaces: digits stay digits between the same separat
 they were right, case is kept, names keep their script and gender.
 
 Draws are checked in Spark over all entities of the corpus: no two entities of a kind may share a surrogate, and no
-surrogate may be an entity that occurs. Who loses a place draws again, until there is no clash.
+surrogate may be an entity that occurs. Who loses a place draws again, until there is no clash. Every third attempt
+widens the form, so that rounds end where a form has too few places: names get syllables, local parts letters, numbers
+digits at their end, IP addresses digits in their groups, and after ``RESERVED`` attempts an address of 2001:db8::/32.
 
 Nulls: a null text stays null and has no entities. Rows with the same id, or the same row twice, are replaced alike.
 An empty table gives no rows. All columns of the input are kept; only the text changes.
@@ -55,6 +57,8 @@ _NUMBERS = (
     ("ip6", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)[0-9A-Fa-f:]{3,39}(?![\w:])")),
 )
 _LOCAL = frozenset("._%+-")
+#: Attempts after which an IP address is drawn from the range reserved for documentation.
+RESERVED = 12
 
 
 class Entity(NamedTuple):
@@ -196,41 +200,47 @@ def _name(draw: Draw, kind: str, canonical: str, attempt: int) -> str:
             row = ord(c) & ~63
             near = [x for x in map(chr, range(row, row + 64)) if unicodedata.category(x) == unicodedata.category(c)]
             letters.append(draw.one(near) if c.isalpha() else c)
-        return "".join(letters)
+        return "".join(letters + [_letter(draw, letters[0]) for _ in range(attempt // 3)])
     count = max(1, min(4, len(canonical) // 3)) + attempt // 3
     return "".join(draw.one(_SYLLABLES[script]) for _ in range(count)) + draw.one(_ENDINGS[script, kind.removeprefix("given-")])
 
 
 def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
     """The canonical form of draw number ``attempt`` for an entity."""
-    draw = Draw(key, kind, canonical, attempt)
+    draw, wider = Draw(key, kind, canonical, attempt), attempt // 3
+    if kind in ("ip", "ip6") and attempt >= RESERVED:
+        return "2001:db8:" + ":".join("".join(draw.one("123456789abcdef") for _ in range(4)) for _ in range(6))
     if kind == "email":
         local = canonical.split("@")[0]
         local = "".join(draw.digits(1) if c.isdigit() else draw.one("abcdefghijklmnopqrstuvwxyz") if c.isascii() and c.isalpha()
                         else _letter(draw, c) if c.isalpha() else c for c in local)
+        local += "".join(draw.one("abcdefghijklmnopqrstuvwxyz") for _ in range(wider))
         host = Draw(key, "domain", canonical.split("@")[1], 0)  # one domain, one replacement, all under reserved names
         return f"{local}@{''.join(host.one('bcdfghklmnprstvwz') + host.one('aeiou') for _ in range(3))}.example.{host.one(['com', 'net', 'org'])}"
     if kind == "ip":
         octets = []
         for octet in canonical.split("."):
-            low, high = {1: (0, 9), 2: (10, 99), 3: (100, 255)}[len(str(int(octet)))]
+            size = len(str(int(octet)))
+            low = (0, 10, 100)[size - 1] if not wider else 0
+            high = (9, 99, 255)[min(3, size + wider) - 1]
             octets.append(str(low + draw.below(high - low + 1)).rjust(len(octet), "0"))
         return ".".join(octets)
     if kind == "ip6":
-        return "".join(draw.one("123456789abcdef") if c != ":" else c for c in canonical)
+        sized = (len(group) and min(4, len(group) + wider) for group in canonical.split(":"))
+        return ":".join("".join(draw.one("123456789abcdef") for _ in range(size)) for size in sized)
     if kind == "iban":
-        body = "".join(draw.digits(1) if c.isdigit() else draw.one("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in canonical[4:])
+        body = "".join(draw.digits(1) if c.isdigit() else draw.one("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in canonical[4:]) + draw.digits(wider)
         rest = 98 - int("".join(str(int(c, 36)) for c in body + canonical[:2] + "00")) % 97
         return f"{canonical[:2]}{rest:02d}{body}"
     if kind == "card":
-        digits = canonical[0] + draw.digits(len(canonical) - 2)
+        digits = canonical[0] + draw.digits(len(canonical) - 2 + wider)
         last = next(d for d in "0123456789" if _luhn(digits + d))
         return digits + (last if _luhn(canonical) else str((int(last) + 1 + draw.below(9)) % 10))
     if kind == "phone":
         code = 1 if canonical[0] != "+" else 2 if canonical[1] in "17" else 3  # the sign and the country's digits stay
-        return canonical[:code] * (canonical[0] == "+") + draw.digits(len(canonical) - code * (canonical[0] == "+"))
+        return canonical[:code] * (canonical[0] == "+") + draw.digits(len(canonical) - code * (canonical[0] == "+") + wider)
     if kind == "ssn":
-        return draw.digits(len(canonical))
+        return draw.digits(len(canonical) + wider)
     return _name(draw, kind, canonical, attempt)
 
 
@@ -238,10 +248,10 @@ def dressed(kind: str, original: str, canonical: str) -> str:
     """A surrogate's canonical form with the separators and the case of what it replaces."""
     if kind in ("card", "phone", "ssn"):
         digits = iter(canonical.lstrip("+"))
-        return "".join(next(digits) if c.isdigit() else c for c in original)
+        return "".join(next(digits) if c.isdigit() else c for c in original) + "".join(digits)
     if kind == "iban":
         letters = iter(canonical)
-        return "".join(c if c == " " else next(letters) for c in original)
+        return "".join(c if c == " " else next(letters) for c in original) + "".join(letters)
     if original.isupper():
         return canonical.upper()
     if kind.startswith(("given", "surname")) and original[:1].isupper():

@@ -185,6 +185,25 @@ def test_addresses_with_any_letters_and_of_any_length():
     assert pii.detect("иван@x.de")[0].start == 0 and pii._script(pii.surrogate(b"k", "email", "иван@x.de", 0)) == "CYRILLIC"
 
 
+def test_full_forms_widen_until_no_draw_clashes(spark):
+    every = [("ip6", f"::{x}") for x in "123456789abcdef"] + [("email", f"{x}@a.de") for x in "0123456789"]
+    every += [("ip6", f"::{x:x}") for x in range(16, 256)] + [("phone", f"+1234{x:03d}") for x in range(1000)] + [("surname", "աբ"), ("surname", "բա")]
+    df = spark.createDataFrame(every, "kind string, canonical string")
+    got = {(r.kind, r.canonical): r.surrogate for r in pii.assign(df, b"key").collect()}
+    assert got.keys() == set(every)
+    assert len({(kind, new) for (kind, _), new in got.items()}) == len(every) and not {(kind, new) for (kind, _), new in got.items()} & set(every)
+    text = " ".join(f"[::{x}]" for x in "123456789abcdef") + " 1.2.3.4"
+    new = pii.replace(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"key").first()
+    assert len(new["__entities"]) == 16 and not {e.canonical for e in pii.detect(text)} & {e.canonical for e in pii.detect(new.text)}
+    for kind, old in [("ip", "1.2.3.4"), ("ip", "255.255.255.255"), ("ip6", "::1"), ("ip6", "2001:db8::1"), ("ssn", "123456789"), ("phone", "+1234567"),
+                      ("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("email", "1@a.de"), ("surname", "smith"), ("surname", "աբգ")]:
+        draws = {attempt: pii.surrogate(b"k", kind, old, attempt) for attempt in range(20)}
+        assert len(set(draws.values())) > 15 and all(pii._number(kind, new) for new in draws.values() if kind in ("ip6", "iban"))
+        assert all(pii._number("ip" if attempt < pii.RESERVED else "ip6", new) for attempt, new in draws.items() if kind == "ip")
+        assert kind != "card" or all(map(pii._luhn, draws.values()))
+    assert pii.dressed("ssn", "123-45-6789", "1112233334") == "111-22-33334" and pii.dressed("phone", "+12 345", "+987651") == "+98 7651"
+
+
 # --- 4: pages ------------------------------------------------------------------------------------------------------
 
 
