@@ -2,8 +2,8 @@
 
 Every element of a page gets a hash of its whole subtree (tag, class and id, text and children). The hashes of all
 elements that may be template are counted per host in Spark, once for each different main text, so copies of one page
-do not make a template of it. Subtrees on ``MIN_PAGES`` or more different pages of their host (and on ``MIN_SHARE`` of
-them) are deleted. Paragraph-like blocks of the article itself never are template: passages that many articles share
+do not make a template of it. Subtrees on ``MIN_PAGES`` or more different pages of their host, however large it is, are
+deleted. Paragraph-like blocks of the article itself never are template: passages that many articles share
 are text. What is left is cleaned by element names and class words, and the blocks of the article are returned, or of
 the whole body where a page marks no article.
 
@@ -32,9 +32,8 @@ from adinsight.llm.common import binary, table, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Different pages of a host that share a template subtree, and their least share of the host's different pages.
+#: Different pages of a host that share a template subtree.
 MIN_PAGES = 5
-MIN_SHARE = 0.01
 
 # Element names of HTML by role.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -223,25 +222,21 @@ def _outlines(pages: DataFrame) -> DataFrame:
     return pages.select("key", "host", "html").mapInArrow(run, "key long, host string, content long, subtrees array<long>")
 
 
-def find_templates(outlines: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def find_templates(outlines: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, subtree) of the subtrees that recur on different pages of a host."""
-    every = F.concat("subtrees", F.array(F.lit(-1).cast("long")))  # -1 counts the pages of the host
-    seen = outlines.select("host", F.explode(every).alias("subtree"), "content").distinct()
-    counts = written(seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= min_pages) | (F.col("subtree") < 0)), "subtree-counts")
-    totals = counts.filter("subtree = -1").select("host", F.col("n").alias("of"))
-    often = counts.filter("subtree >= 0").join(totals, "host")
-    return often.filter(F.col("n") >= min_share * F.col("of")).select("host", "subtree")
+    seen = outlines.select("host", F.explode("subtrees").alias("subtree"), "content").distinct()
+    counts = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter(F.col("n") >= min_pages).select("host", "subtree")
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES,
-              min_share: float = MIN_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """Per page: its id and URL and ``text``."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), _host(url_col).alias("host"),
                         F.coalesce(html_col, F.lit("")).alias("html")).withColumn("key", F.xxhash64("id", "url", "html"))
     outlines = written(_outlines(rows), "page-outlines")
     own = outlines.select("key", "host", F.explode("subtrees").alias("subtree"))
     # a template of the largest host is on a third of all pages: this join is one that Spark can split
-    hit = own.join(find_templates(outlines, min_pages, min_share), ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("recurring"))
+    hit = own.join(find_templates(outlines, min_pages), ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("recurring"))
     carried = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField(url_col, pages.schema[url_col].dataType)])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -220,6 +220,16 @@ def test_main_text_of_marked_and_unmarked_pages(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_templates_do_not_depend_on_the_size_of_the_host(spark):
+    page = lambda i, extra: (i, f"http://h.example/{i}", f"<html><body><div><p>Story {i} of its own</p></div>{extra}</body></html>")
+    pages = [page(i, "<div><span>Closed on Monday</span></div>" if i < 5 else "<div><span>Seen four times</span></div>" if i < 9 else "") for i in range(600)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    few = {r.page_id: r.text for r in html_text.main_text(df.filter("page_id < 9")).collect()}
+    assert got[0] == "Story 0 of its own" and got[6] == "Story 6 of its own\nSeen four times"
+    assert few == {i: got[i] for i in range(9)}
+
+
 def test_articles_of_the_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
