@@ -1,10 +1,11 @@
 """Conversations without quotes, in the order of replies; DataFrame functions only.
 
 Every line of a message has a quote level: the number of leading ``>`` marks, one more below a forwarding rule
-("Original Message"). Lines that introduce a quote ("... wrote:") go with it. Quoted passages (runs of one level, and
-their longer lines) are normalised to lower-case letters and digits, hashed, and joined to the latest earlier message
-of the conversation that says the same in its own lines. The message quoted at the lowest level, with the most
-passages, is what is replied to; a message that quotes nothing known replies to the one before it.
+("Original Message"). Lines that introduce a quote ("... wrote:") go with it. Quoted passages (runs of one level, their
+paragraphs and their lines) are normalised to lower-case letters and digits, hashed, and joined to the latest earlier
+message of the conversation that says the same in its own lines. The message quoted at the lowest level, with the most
+passages of ``LINE_WORDS`` words or more, is what is replied to; shorter passages decide where those do not. A message
+that quotes nothing known replies to the one before it.
 
 Messages come out in the order of the reply tree: a message, then what answers it, each answer with all that follows
 from it. Chains of plain answers share one branch, so sort keys grow with the nesting of branches, not with turns.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from adinsight.llm.common import table, whole, written
 
-#: Words of a line that is a passage of its own.
+#: Words of a passage that counts before all shorter ones.
 LINE_WORDS = 4
 #: Turns of one block.
 BLOCK_TURNS = 1024
@@ -65,21 +66,27 @@ def normal(text: Column) -> Column:
 
 
 def passages(rows: DataFrame) -> DataFrame:
-    """(conv, turn, level, hash): runs of one level as a whole, and their longer lines, of all messages."""
+    """(conv, turn, level, hash, short): runs of one level as a whole, their paragraphs and their lines, of all messages."""
     lines = rows.select("conv", "turn", F.filter("__lines", lambda x: ~F.coalesce(x["skip"], F.lit(False))).alias("l"))
     # runs: neighbouring lines of one level, joined by a space, told apart by two control characters
 
-    def piece(x: Column, i: Column) -> Column:
-        same = F.coalesce(F.get("l", i - 1)["level"] == x["level"], F.lit(False))
-        mark = F.when(same, " ").otherwise(F.concat(F.lit("\x02"), x["level"].cast("string"), F.lit("\x01")))
-        return F.concat(mark, F.translate(x["body"], "\x01\x02", "  "))
+    def runs(paragraphs: bool) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            before = F.get("l", i - 1)
+            same = F.coalesce(before["level"] == x["level"], F.lit(False))
+            if paragraphs:
+                same = same & (normal(x["body"]) != "") & F.coalesce(normal(before["body"]) != "", F.lit(False))
+            mark = F.when(same, " ").otherwise(F.concat(F.lit("\x02"), x["level"].cast("string"), F.lit("\x01")))
+            return F.concat(mark, F.translate(x["body"], "\x01\x02", "  "))
 
-    marked = F.filter(F.split(F.array_join(F.transform("l", piece), ""), "\x02"), lambda x: x != "")
-    runs = F.transform(marked, lambda x: F.struct(F.substring_index(x, "\x01", 1).cast("int").alias("level"), F.substring_index(x, "\x01", -1).alias("body")))
-    long = F.filter("l", lambda x: F.size(F.split(normal(x["body"]), " ")) >= LINE_WORDS)
-    singles = F.transform(long, lambda x: F.struct(x["level"].alias("level"), x["body"].alias("body")))
-    both = lines.select("conv", "turn", F.explode(F.array_union(runs, singles)).alias("p")).select("conv", "turn", "p.level", normal(F.col("p.body")).alias("t"))
-    return both.filter("t != ''").select("conv", "turn", "level", F.xxhash64("t", F.length("t")).alias("hash"))
+        marked = F.filter(F.split(F.array_join(F.transform("l", piece), ""), "\x02"), lambda x: x != "")
+        return F.transform(marked, lambda x: F.struct(F.substring_index(x, "\x01", 1).cast("int").alias("level"), F.substring_index(x, "\x01", -1).alias("body")))
+
+    singles = F.transform("l", lambda x: F.struct(x["level"].alias("level"), x["body"].alias("body")))
+    every = F.array_union(F.array_union(runs(False), runs(True)), singles)
+    both = lines.select("conv", "turn", F.explode(every).alias("p")).select("conv", "turn", "p.level", normal(F.col("p.body")).alias("t"))
+    short = F.size(F.split("t", " ")) < LINE_WORDS
+    return both.filter("t != ''").select("conv", "turn", "level", F.xxhash64("t", F.length("t")).alias("hash"), short.alias("short"))
 
 
 def latest(rows: DataFrame, keys: list[str], flag: Column, out: str, strict: bool) -> DataFrame:
@@ -98,13 +105,13 @@ def latest(rows: DataFrame, keys: list[str], flag: Column, out: str, strict: boo
 
 def linked(found: DataFrame) -> DataFrame:
     """(conv, turn, reply_to, n_linked) of messages with a quote that an earlier message says itself."""
-    quoted = found.filter("level > 0").groupBy("conv", "turn", "hash").agg(F.min("level").alias("level"))
+    quoted = found.filter("level > 0").groupBy("conv", "turn", "hash").agg(F.min("level").alias("level"), F.min("short").alias("short"))
     asked = quoted.select("conv", "hash").distinct()
     own = found.filter("level = 0").join(asked, ["conv", "hash"], "left_semi").select("conv", "turn", "hash").distinct()
-    both = quoted.withColumn("own", F.lit(False)).unionByName(own.withColumn("level", F.lit(0)).withColumn("own", F.lit(True)))
+    both = quoted.withColumn("own", F.lit(False)).unionByName(own.withColumn("level", F.lit(0)).withColumn("short", F.lit(False)).withColumn("own", F.lit(True)))
     placed = latest(both, ["conv", "hash"], F.col("own"), "source", strict=True).filter("not own and source is not null")
-    votes = placed.groupBy("conv", "turn", "level", "source").agg(F.count(F.lit(1)).alias("n"))
-    return votes.groupBy("conv", "turn").agg(F.max(F.struct(-F.col("level"), F.col("n"), F.col("source").alias("source")))["source"].alias("reply_to"),
+    votes = placed.groupBy("conv", "turn", "level", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("short")).alias("long"))
+    return votes.groupBy("conv", "turn").agg(F.max(F.struct(-F.col("level"), F.col("long"), F.col("n"), F.col("source").alias("source")))["source"].alias("reply_to"),
                                              F.sum("n").alias("n_linked"))
 
 

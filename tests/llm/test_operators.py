@@ -345,6 +345,17 @@ def test_quotes_link_and_order(spark):
     assert quotes.reply_ordered(df.limit(0)).count() == 0
 
 
+def test_partial_wrapped_and_short_quotes_link(spark):
+    first = "Hello Ann,\n\nThe first paragraph of this message was\nwrapped by hand after some words.\n\nThe second paragraph speaks of other\nmatters and goes on.\nSee you Monday"
+    rows = [(0, first), (1, "Something else\nof no importance.\nSee you Friday"), (2, "A third message\nHello Ann,\nfrom here"),
+            (3, "> See you Monday\nFine."), (4, "> The first paragraph of this\n> message was wrapped by\n> hand after some words.\nReally?"),
+            (5, "> Hello Ann,\n>\n> The first paragraph of this message\n> was wrapped by hand after some words.\n>\n> [...]\nBoth."),
+            (6, "> nobody said this\nNo link.")]
+    df = spark.createDataFrame([(1, turn, "u", text) for turn, text in rows], "conv_id long, turn int, role string, text string")
+    got = {r.turn: r.reply_to for r in quotes.reply_ordered(df).collect()}
+    assert got == {0: None, 1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 5}
+
+
 def test_blocks_of_turns_do_not_change_what_is_latest(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(rng.randint(0, 2), rng.randint(0, 60), rng.random() < 0.3) for _ in range(300)]
