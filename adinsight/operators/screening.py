@@ -14,8 +14,8 @@ from adinsight.operators.common import money, tenth
 from adinsight.operators.findings import wasted_terms
 
 
-def ngram_themes(terms: DataFrame, cfg: ClientConfig, n: int = 2, top: int = 50) -> DataFrame:
-    """Cost per distinct word n-gram of the wasted terms.
+def ngram_themes(terms: DataFrame, cfg: ClientConfig, n: int = 2, top: int | None = None) -> DataFrame:
+    """Cost per distinct word n-gram of the wasted terms, of all or of the ``top`` by cost.
 
     Equal texts are summed first; n-grams combine map-side before the shuffle.
     """
@@ -25,7 +25,9 @@ def ngram_themes(terms: DataFrame, cfg: ClientConfig, n: int = 2, top: int = 50)
     grams = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(F.col("w"), i, n), " ")))
     rows = words.filter(F.size("w") >= n).select(F.explode(grams).alias("ngram"), "u")
     sums = rows.groupBy("ngram").agg((F.sum("u") / 1e6).alias("cost"), F.count("*").alias("terms"))
-    return sums.orderBy(F.col("cost").desc(), "ngram").limit(top).select("ngram", "terms", money("cost"))
+    if top is not None:
+        sums = sums.orderBy(F.col("cost").desc(), "ngram").limit(top)
+    return sums.select("ngram", "terms", money("cost"))
 
 
 def near_duplicates(keywords: DataFrame) -> DataFrame:

@@ -328,9 +328,12 @@ register("n13_complexity_profile", lambda f: findings.complexity_profile(f[PMAX]
 # --- screening ----------------------------------------------------------------------
 
 WTEXT = f"(select search_term, {tot('cost')} c from {{{ST}}} where {IDLE} and not {SAFE} group by 1)"
-register("r01_ngram_themes", lambda f: screening.ngram_themes(f[ST], CONFIG, 2), f"""with w as (select c, regexp_extract_all(lower(search_term),'[a-z0-9]+') l from {WTEXT}),
+register("r01_ngram_themes", lambda f: screening.ngram_themes(f[ST], CONFIG, 2, 50), f"""with w as (select c, regexp_extract_all(lower(search_term),'[a-z0-9]+') l from {WTEXT}),
  g as (select unnest(list_distinct(list_transform(range(1, len(l)), lambda i: l[i]||' '||l[i+1]))) ngram, c from w where len(l)>=2)
 select ngram, {cnt()} as terms, {rnd(tot('c'), 2)} as cost from g group by 1 order by {tot('c')} desc, 1 limit 50""")
+register("r01_ngram_themes_all", lambda f: screening.ngram_themes(f[ST], CONFIG, 2), f"""with w as (select c, regexp_extract_all(lower(search_term),'[a-z0-9]+') l from {WTEXT}),
+ g as (select unnest(list_distinct(list_transform(range(1, len(l)), lambda i: l[i]||' '||l[i+1]))) ngram, c from w where len(l)>=2)
+select ngram, {cnt()} as terms, {rnd(tot('c'), 2)} as cost from g group by 1""")
 register("r02_near_duplicates", lambda f: screening.near_duplicates(f[QS]), f"""with k as (select array_to_string(list_sort(list_distinct(regexp_extract_all(lower(search_keyword),'[a-z0-9]+'))),' ') word_key, search_keyword, cost from {{{QS}}})
 select word_key, {cnt()} as keywords, count(distinct search_keyword) as spellings, min(search_keyword) as first, {rnd(tot('cost'), 2)} as cost from k group by 1 having count(*)>1""")
 register("r03_cpa_breaches", lambda f: screening.cpa_breaches(f[ST], 25.0, ["search_term"]), f"""select search_term, {rnd(divn('c', 'v'), 2)} as cpa, {rnd('c', 2)} as cost, {rnd('v', 1)} as conv

@@ -331,3 +331,10 @@ def test_ratings_take_the_last_row_of_a_keyword(spark):
     df = spark.createDataFrame([("Alpha", 1, "Average", None, None), ("alpha", 2, "Below average", "x", None)], schema)
     got = rows(geo.latest_ratings(df))
     assert got == [{"kw": "alpha", "exp_ctr": "Below average", "ad_relevance": None, "landing_page_exp": None}]
+
+
+def test_ngram_themes_have_no_limit_of_their_own(facts):
+    wasted = facts["fx_search_terms"].sparkSession.createDataFrame(
+        [(f"word{i} thing{i}", 0.0, float(i + 1)) for i in range(80)], "search_term string, conversions double, cost double")
+    assert screening.ngram_themes(wasted, CONFIG).count() == 80
+    assert [r["ngram"] for r in rows(screening.ngram_themes(wasted, CONFIG, top=2))] == ["word79 thing79", "word78 thing78"]
