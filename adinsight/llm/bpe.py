@@ -35,8 +35,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NONE = np.int32(2**31 - 1)
 #: Bytes beyond which a word is not scanned again for each merge.
 LONG = 128
-#: Entries of each generation of a worker's memos.
-MEMO = 250_000
+#: Bytes of each generation of a worker's two memos.
+MEMO = 40 << 20
 #: Bytes of text whose new words are encoded together.
 TOGETHER = 1 << 21
 

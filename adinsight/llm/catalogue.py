@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from adinsight.llm import bpe, decontamination, html_text, jaccard_join, pii, quality_rules, quotes, secrets, suffix_tree_lm, token_codes, whitening
+from adinsight.llm import bpe, decontamination, html_text, jaccard_join, packing, pii, quality_rules, quotes, secrets, suffix_tree_lm, token_codes, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_directly_addressable_codes": token_codes.op1_directly_addressable_codes,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_surrogates": pii.op3_surrogates,
     "pipeline": corpus_pipeline.run,
     "op7_quote_linking": quotes.op7_quote_linking,
+    "op11_vector_best_fit": packing.op11_vector_best_fit,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
 }
 ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

@@ -40,11 +40,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/adinsight-llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,12 +81,15 @@ def ascii_lower(text: Column) -> Column:
 
 
 def worker_cache(name: str, make: Callable[[], Any], version: object = None) -> Any:
-    """``make()``, kept for the life of a Python worker, whatever task asks for it; another version takes its place."""
+    """``make()``, kept by a Python worker for all its tasks until another name or version is asked for.
+
+    A worker holds one entry in all, so that the stages of a pipeline do not add up in its memory.
+    """
     store = sys.modules.setdefault("_adinsight_worker_cache", types.ModuleType("_adinsight_worker_cache")).__dict__
-    if name not in store or store[name][0] != version:
-        store.pop(name, None)
-        store[name] = version, make()
-    return store[name][1]
+    if "entry" not in store or store["entry"][0] != (name, version):
+        store.pop("entry", None)
+        store["entry"] = (name, version), make()
+    return store["entry"][1]
 
 
 def binary(column: pa.Array) -> list[bytes]:
@@ -111,11 +114,17 @@ def groups(items: list, size_of: Callable[[Any], int], most: int) -> Iterator[tu
 
 
 class Generations(dict):
-    """A bounded memo: a full generation becomes the old one, and what is asked for again moves to the new one."""
+    """A memo bounded by bytes: a full generation becomes the old one, and what is asked for again moves to the new one.
+
+    Two generations of ``limit`` bytes are held at most; an entry counts its key, its value if that is text, and the
+    table's own share.
+    """
+
+    ENTRY = 150
 
     def __init__(self, make: Callable[[Any], Any], limit: int):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.held, self.old = make, limit, 0, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -124,8 +133,16 @@ class Generations(dict):
         self.put(key, value)
         return value
 
+    def known(self, key):
+        """The value if it is held, else None."""
+        value = self.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
     def put(self, key, value) -> None:
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        if self.held >= self.limit:
+            self.old, self.held = dict(self), 0
             self.clear()
+        self.held += self.ENTRY + (0 if type(key) is int else len(key)) + (len(value) if type(value) is bytes else 0)
         self[key] = value

@@ -41,6 +41,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Hashed n-gram counters: 4 bytes each, sent to every worker.
 COUNTERS = 1 << 20
 _COUNTER_BLOCK = 1 << 16
+#: Bytes of each generation of a worker's memos.
+MEMO = 48 << 20
 BLOCK_SETS = 4096
 BLOCK_BYTES = 32 << 20
 #: Children of a tree node, and node pairs looked at together.
@@ -57,7 +59,7 @@ class Shingler:
         import xxhash
 
         self.n = n
-        self.words = Generations(xxhash.xxh64_intdigest, 300_000)
+        self.words = Generations(xxhash.xxh64_intdigest, MEMO)
 
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.lower().split()  # both on ASCII only, as bytes
@@ -171,7 +173,7 @@ def _prefixes(docs: DataFrame, counters: np.ndarray, n: int, num: int, den: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, counts = _shingler(n), shared.value
-        told = Generations(lambda _: False, 200_000)  # classes of this task: copies add nothing
+        told = Generations(lambda _: False, MEMO)  # classes of this task: copies add nothing
         for batch in batches:
             keys, classes = [], []
             for text in binary(batch.column(0)):

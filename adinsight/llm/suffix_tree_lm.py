@@ -45,8 +45,8 @@ ADDED = 0.1
 #: The end of a document as a word; words hold no white space.
 END = b" end"
 TOGETHER = 2 << 20
-#: Values that are counted together, and words of each generation of a worker's memo.
-COUNTED, MEMO = 3_000_000, 150_000
+#: Values that are counted together, and bytes of each generation of a worker's memo.
+COUNTED, MEMO = 3_000_000, 24 << 20
 
 
 class Tree(NamedTuple):

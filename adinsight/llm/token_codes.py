@@ -10,26 +10,31 @@ Layout, little-endian: ``DAC1``, uint32 levels, uint64 ids; then for each level
 (for all levels but the last) the bitmap padded to 64 bits and the uint64 rank directory.
 
 Nulls: a null text is encoded as an empty one, so it has the end id only. Documents are written in ascending id
-order, null ids first, repeated ids as documents of their own in the order of their texts. An empty table gives no
-shards and no rows. Further columns are ignored.
+order, null ids first, repeated ids as documents of their own in the order of the first 64 characters, then of the hash
+of their texts. An empty table gives no shards and no rows. A text of any length is encoded as a whole; one longer than
+a shard makes its shard longer. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import sys
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adinsight.llm.common import Generations, new_path, whole, worker_cache
+from adinsight.llm.common import Generations, groups, new_path, whole, worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -37,8 +42,10 @@ MAGIC = b"DAC1"
 BLOCK = 512
 #: Ids of a shard, after which the document being written is its last.
 SHARD_IDS = 1 << 20
-#: Distinct words a worker remembers, twice (a new and an old generation).
-MEMO = 300_000
+#: Bytes of each generation of a worker's two memos, of segments and of their parts.
+MEMO = 64 << 20
+#: Characters of text that are split and looked up together.
+TOGETHER = 8 << 20
 
 
 # --- the codes -----------------------------------------------------------------------------------------------------
@@ -127,47 +134,138 @@ class Codes:
 
 # --- encoding ------------------------------------------------------------------------------------------------------
 
-class Irregular(Exception):
-    """White space runs across the end of a segment."""
-
-
 class WordMemo:
     """Whole-text encoding by the tokenizers library that asks it for each distinct word once.
 
     A byte-level pattern with ``use_regex`` starts a token at every single space before a word and at every single
-    line break between words, so the ids of a text are those of its segments. Where a white space run is longer, the
-    library gets the whole text. Other tokenizers always get whole texts.
+    line break between words, so the ids of a text are those of its segments; likewise a run of ASCII letters ends
+    before an ASCII punctuation mark other than an apostrophe. Where a white space run is longer, the library gets the
+    whole text. Other tokenizers always get whole texts. Segments are split, numbered and gathered a batch at a time.
     """
 
+    LETTERS = re.compile(r"( ?[A-Za-z]+)([!-&(-/:-@\[-`{-~].*)?", re.DOTALL)
+
     def __init__(self, definition: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
+        self.model = self.library.model
         self.library.no_truncation()
         self.library.no_padding()
         pre = self.library.pre_tokenizer
         plain = self.library.normalizer is None and type(pre).__name__ == "ByteLevel" and "use_regex=True" in repr(pre)
         self.segmented = plain and not pre.add_prefix_space
-        self.memo = Generations(self._segment, MEMO)
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _segment(self, segment: str) -> bytes:
-        if not segment or segment[-1].isspace() or segment[-1] == "\u180e":
-            raise Irregular
-        return self._ids(segment if segment[0] == "\n" else " " + segment)
+        added = self.library.get_added_tokens_decoder().values()
+        # a token that is matched in the text before the pattern may neither reach into words nor swallow white space
+        self.segmented &= all(re.match(r"[!-&(-/:-@\[-`{-~]", a.content) and not re.search(r"\s", a.content) and not a.lstrip and not a.rstrip
+                              for a in added)
+        self.memo, self.parts = Generations(lambda _: None, MEMO), Generations(lambda _: None, MEMO)
+        self.line = self._ids(["\n"])[0] if self.segmented else b""
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        every = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = list(accumulate(map(len, every), initial=0))
+        data = np.fromiter(chain.from_iterable(every), "<u4", ends[-1]).tobytes()
+        return [data[4 * a : 4 * b] for a, b in pairwise(ends)]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of ASCII letters, after a space or not: what the pattern leaves whole goes straight to the model."""
+        return struct.pack("<%dI" % len(found := self.model.tokenize(word.replace(" ", "\u0120"))), *[t.id for t in found])
+
+    def _parts(self, text: str) -> tuple[str, ...]:
+        """Pieces of a segment that are encoded on their own; a line break stands for itself."""
+        if text[0] == "\n":
+            found = self.LETTERS.fullmatch(text, 1)
+            if not found or text[1] == " ":
+                return (text,)
+            return ("\n", found[1], found[2]) if found[2] else ("\n", found[1])
+        found = self.LETTERS.fullmatch(text)
+        return (found[1], found[2]) if found and found[2] else (text,)
+
+    def _resolve(self, texts: list[str]) -> list[bytes]:
+        """Ids of segments, new parts of them encoded in one call."""
+        every = [self._parts(t) for t in texts]
+        held: dict[str, bytes | None] = {"\n": self.line}
+        for names in every:
+            for name in names:
+                if name not in held:
+                    held[name] = self.parts.known(name)
+        new = [name for name, value in held.items() if value is None]
+        words = [name for name in new if name.isalpha() and name.isascii() or name[0] == " " and name[1:].isalpha() and name.isascii()]
+        others = list(set(new).difference(words))
+        for name, value in chain(zip(words, map(self._word, words)), zip(others, self._ids(others))):
+            held[name] = value
+            self.parts.put(name, value)
+        return [b"".join([held[name] for name in names]) for names in every]
+
+    def _units(self, names: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """Ids of segments inside a text, and which of them are irregular: white space runs across their end."""
+        get, odd = self.memo.get, np.zeros(len(names), bool)
+        units = [get(n) for n in names]
+        new = []
+        for k in [k for k, ids in enumerate(units) if ids is None]:
+            name = names[k]
+            if (ids := self.memo.known(name)) is not None:
+                units[k] = ids
+            elif not name or name[-1].isspace() or name[-1] == "\u180e":
+                units[k], odd[k] = b"", True
+            else:
+                new.append(k)
+        for k, ids in zip(new, self._resolve([names[k] if names[k][0] == "\n" else " " + names[k] for k in new])):
+            units[k] = ids
+            self.memo.put(names[k], ids)
+        return units, odd
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each text has."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if not self.segmented:
+            every = self._ids(texts.to_pylist())
+            return np.frombuffer(b"".join(every), "<u4"), np.array([len(e) // 4 for e in every], np.int64)
+        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " \n"), " ")
+        starts = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
+        numbered = split.flatten().dictionary_encode()
+        unit, names = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_pylist()
+        units, odd = self._units(names)
+        ends = np.append(starts[1:], len(unit))
+        irregular = np.flatnonzero(np.logical_or.reduceat(odd[unit], starts))
+        heads, head = np.unique(unit[starts], return_inverse=True)
+        # units: a segment after a space or line break; a segment at a text's start; a whole irregular text; nothing
+        whole_heads = [k for k in heads.tolist() if not odd[k]]
+        first = dict(zip(whole_heads, self._resolve([names[k] for k in whole_heads])))
+        units += [first.get(k, b"") for k in heads.tolist()]
+        unit[starts] = len(names) + head
+        nothing = len(units)
+        units.append(b"")
+        for i, ids in zip(irregular.tolist(), self._ids(texts.take(pa.array(irregular)).to_pylist())):
+            unit[starts[i] : ends[i]] = nothing
+            unit[starts[i]] = len(units)
+            units.append(ids)
+        lengths = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        flat, at = np.frombuffer(b"".join(units), "<u4"), np.cumsum(lengths) - lengths
+        sizes = lengths[unit]
+        before = np.cumsum(sizes) - sizes
+        out = flat[np.repeat(at[unit] - before, sizes) + np.arange(int(sizes.sum()))]
+        return out, np.add.reduceat(sizes, starts)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.segmented and text:
-            head, *segments = text.replace("\n", " \n").split(" ")
-            if head and not head[-1].isspace() and head[-1] != "\u180e":
-                try:
-                    return self._ids(head) + b"".join(map(self.memo.__getitem__, segments))
-                except Irregular:
-                    pass
-        return self._ids(text)
+        return self.encode_all(pa.array([text], pa.large_string()))[0].astype("<u4").tobytes()
+
+    def batches(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Bounds of consecutive texts (without nulls), their ids, each followed by the end id, and the ids of each."""
+        sizes = pc.binary_length(texts).to_pylist()
+        for start, stop in groups(sizes, lambda n: n, TOGETHER):
+            ids, lengths = self.encode_all(texts.slice(start, stop - start))
+            if end_id is not None:
+                ids, lengths = np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
+            yield start, stop, ids, lengths
+
+
+def word_memo(definition: str) -> WordMemo:
+    return worker_cache("word-memo", lambda: WordMemo(definition), zlib.crc32(definition.encode()))
 
 
 # --- writing and reading -------------------------------------------------------------------------------------------
@@ -192,33 +290,44 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
     definition = spark.sparkContext.broadcast(Path(tokenizer).read_text())
     schema = _shard_schema(docs.schema[id_col].dataType)
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # Rows of one id may be many: they are ranged by the start and the hash of their texts, equal ones by their place.
+    order = ["id", F.substring("text", 1, 64), F.xxhash64("text"), "place"]
+    ordered = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        coder = worker_cache("word-memo", lambda: WordMemo(definition.value), zlib.crc32(definition.value.encode()))
-        arrow = to_arrow_schema(schema)
-        part, shard, first, ids, members = TaskContext.get().partitionId(), 0, 0, [], []
-        held = 0
+        coder, arrow = word_memo(definition.value), to_arrow_schema(schema)
+        part, shard, first = TaskContext.get().partitionId(), 0, 0
+        ids: list[np.ndarray] = []
+        keys: list[pa.Array] = []
+        sizes: list[np.ndarray] = []
 
-        def flush():
-            values = np.frombuffer(b"".join(ids), "<u4")
-            row = {"part": part, "shard": shard, "first": first, "n_tokens": len(values), "docs": members,
-                   "codes": pack(values)}
-            return pa.RecordBatch.from_pylist([row], schema=arrow)
+        def flush() -> pa.RecordBatch:
+            values, lengths = np.concatenate(ids), np.concatenate(sizes)
+            members = pa.StructArray.from_arrays([pa.chunked_array(keys).combine_chunks(), pa.array(lengths)], fields=list(arrow.field("docs").type.value_type))
+            docs = pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), members)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([first]), pa.array([len(values)]),
+                                               docs.cast(arrow.field("docs").type), pa.array([pack(values)], pa.binary())], schema=arrow)
 
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        held = 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                code = coder.encode(text.as_py()) + end
-                ids.append(code)
-                members.append({"id": key, "n_tokens": len(code) // 4})
-                held += len(code) // 4
-                if held >= shard_ids:
-                    yield flush()
-                    shard, first, ids, members, held = shard + 1, first + held, [], [], 0
-        if members:
+            for start, stop, values, lengths in coder.batches(batch.column(1), end_id):
+                ends = np.cumsum(lengths)
+                at = 0
+                while at < stop - start:  # documents up to the one that fills the shard
+                    before = int(ends[at - 1]) if at else 0
+                    to = min(int(np.searchsorted(ends, before + shard_ids - held)) + 1, stop - start)
+                    ids.append(values[before : ends[to - 1]])
+                    keys.append(batch.column(0).slice(start + at, to - at))
+                    sizes.append(lengths[at:to])
+                    held += int(ends[to - 1]) - before
+                    at = to
+                    if held >= shard_ids:
+                        yield flush()
+                        shard, first, held = shard + 1, first + held, 0
+                        ids, keys, sizes = [], [], []
+        if keys:
             yield flush()
 
     ordered.mapInArrow(encode, schema).write.parquet(f"{path}/shards")

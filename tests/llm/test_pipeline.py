@@ -18,13 +18,14 @@ COLUMNS = {
     "op1": "doc_id start n_tokens ids_crc32", "op2": "doc_id n_tokens ids_sha256 decoded_sha256", "op4": "page_id url text n_chars",
     "op5": "doc_id held_out n_tokens n_known train_tokens base_score score", "op8": "doc_id n_shingles component_id",
     "op6": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op9": "doc_id n_words n_hit n_items items_sha256 contaminated",
-    "op10": "doc_id n_assign n_access n_hex base_sha256 spans",
+    "op11": "doc_id piece start length ids_crc32 sequence_id offset", "op12": "vec_id component n deviation whitened explained identity_error",
+    "op13": "lang rank phrase a l r n score", "op10": "doc_id n_assign n_access n_hex base_sha256 spans",
 }
 
 
 def test_every_operator_is_registered_once():
     names = [n for n in entry.queries() if n in catalogue.queries()]
-    assert sorted(n.split("_")[0] for n in names) == sorted([*(f"op{i}" for i in range(1, 11)), "pipeline"])
+    assert sorted(n.split("_")[0] for n in names) == sorted([*(f"op{i}" for i in range(1, 14)), "pipeline"])
 
 
 def test_registered_queries_have_their_columns(spark):
