@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from adinsight.llm import bpe, decontamination, html_text, jaccard_join, packing, pii, quality_rules, quotes, secrets, suffix_tree_lm, token_codes, whitening
+from adinsight.llm import bpe, collocations, decontamination, html_text, jaccard_join, packing, pii, quality_rules, quotes, secrets, suffix_tree_lm, token_codes, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_directly_addressable_codes": token_codes.op1_directly_addressable_codes,
@@ -22,9 +22,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op7_quote_linking": quotes.op7_quote_linking,
     "op11_vector_best_fit": packing.op11_vector_best_fit,
+    "op13_dynamic_itemset_counting": collocations.op13_dynamic_itemset_counting,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
 }
-ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+ORACLES: dict[str, str] = {"op13_dynamic_itemset_counting": collocations.ORACLE}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -40,19 +40,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/adinsight-llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
+def written(df: DataFrame, name: str, compression: str | None = None, path: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage.
+
+    The caller may name the path, to :func:`remove` the table when its reader is done.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def discard(spark: SparkSession) -> None:
     """Delete every table that :func:`written` made for this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/adinsight-llm/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{shared_folder(spark)}/adinsight-llm/{spark.sparkContext.applicationId}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
