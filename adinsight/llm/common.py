@@ -127,7 +127,7 @@ class Generations(dict):
     table's own share.
     """
 
-    ENTRY = 150
+    ENTRY = 220
 
     def __init__(self, make: Callable[[Any], Any], limit: int):
         super().__init__()

@@ -42,10 +42,12 @@ MAGIC = b"DAC1"
 BLOCK = 512
 #: Ids of a shard, after which the document being written is its last.
 SHARD_IDS = 1 << 20
-#: Bytes of each generation of a worker's two memos, of segments and of their parts.
-MEMO = 64 << 20
+#: Bytes of each of the two generations of a worker's memo of units.
+MEMO = 56 << 20
 #: Characters of text that are split and looked up together.
 TOGETHER = 8 << 20
+#: What stands between units while a text is split; a text that holds it is encoded as a whole.
+_CUT = "\x01"
 
 
 # --- the codes -----------------------------------------------------------------------------------------------------
@@ -137,14 +139,13 @@ class Codes:
 class WordMemo:
     """Whole-text encoding by the tokenizers library that asks it for each distinct word once.
 
-    A byte-level pattern with ``use_regex`` starts a token at every single space before a word and at every single
-    line break between words, so the ids of a text are those of its segments; likewise a run of ASCII letters ends
-    before an ASCII punctuation mark other than an apostrophe. Where a white space run is longer, the library gets the
-    whole text. Other tokenizers always get whole texts. Segments are split, numbered and gathered a batch at a time.
+    A byte-level pattern with ``use_regex`` ends a token before every single space that a word follows, around every
+    single line break between words, and between an ASCII letter and an ASCII punctuation mark other than an apostrophe,
+    so the ids of a text are those of its units. Where a white space run is longer, and where a text holds an added
+    token, the library gets the whole text. Other tokenizers always get whole texts. Units are split, numbered and
+    gathered a batch at a time.
     """
 
-    LETTERS = re.compile(r"( ?[A-Za-z]+)([!-&(-/:-@\[-`{-~].*)?", re.DOTALL)
-
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
@@ -156,12 +157,8 @@ class WordMemo:
         pre = self.library.pre_tokenizer
         plain = self.library.normalizer is None and type(pre).__name__ == "ByteLevel" and "use_regex=True" in repr(pre)
         self.segmented = plain and not pre.add_prefix_space
-        added = self.library.get_added_tokens_decoder().values()
-        # a token that is matched in the text before the pattern may neither reach into words nor swallow white space
-        self.segmented &= all(re.match(r"[!-&(-/:-@\[-`{-~]", a.content) and not re.search(r"\s", a.content) and not a.lstrip and not a.rstrip
-                              for a in added)
-        self.memo, self.parts = Generations(lambda _: None, MEMO), Generations(lambda _: None, MEMO)
-        self.line = self._ids(["\n"])[0] if self.segmented else b""
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.memo = Generations(lambda _: None, MEMO)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         every = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -171,48 +168,26 @@ class WordMemo:
 
     def _word(self, word: str) -> bytes:
         """Ids of ASCII letters, after a space or not: what the pattern leaves whole goes straight to the model."""
-        return struct.pack("<%dI" % len(found := self.model.tokenize(word.replace(" ", "\u0120"))), *[t.id for t in found])
-
-    def _parts(self, text: str) -> tuple[str, ...]:
-        """Pieces of a segment that are encoded on their own; a line break stands for itself."""
-        if text[0] == "\n":
-            found = self.LETTERS.fullmatch(text, 1)
-            if not found or text[1] == " ":
-                return (text,)
-            return ("\n", found[1], found[2]) if found[2] else ("\n", found[1])
-        found = self.LETTERS.fullmatch(text)
-        return (found[1], found[2]) if found and found[2] else (text,)
-
-    def _resolve(self, texts: list[str]) -> list[bytes]:
-        """Ids of segments, new parts of them encoded in one call."""
-        every = [self._parts(t) for t in texts]
-        held: dict[str, bytes | None] = {"\n": self.line}
-        for names in every:
-            for name in names:
-                if name not in held:
-                    held[name] = self.parts.known(name)
-        new = [name for name, value in held.items() if value is None]
-        words = [name for name in new if name.isalpha() and name.isascii() or name[0] == " " and name[1:].isalpha() and name.isascii()]
-        others = list(set(new).difference(words))
-        for name, value in chain(zip(words, map(self._word, words)), zip(others, self._ids(others))):
-            held[name] = value
-            self.parts.put(name, value)
-        return [b"".join([held[name] for name in names]) for names in every]
+        found = self.model.tokenize(word.replace(" ", "\u0120"))
+        return struct.pack("<%dI" % len(found), *[t.id for t in found])
 
     def _units(self, names: list[str]) -> tuple[list[bytes], np.ndarray]:
-        """Ids of segments inside a text, and which of them are irregular: white space runs across their end."""
-        get, odd = self.memo.get, np.zeros(len(names), bool)
-        units = [get(n) for n in names]
-        new = []
+        """Ids of units, and which of them are irregular: white space runs across their ends."""
+        odd, known, old = np.zeros(len(names), bool), self.memo.get, self.memo.old.get
+        units = [known(n) for n in names]
+        words, others = [], []
         for k in [k for k, ids in enumerate(units) if ids is None]:
             name = names[k]
-            if (ids := self.memo.known(name)) is not None:
+            if (ids := old(name)) is not None:
                 units[k] = ids
-            elif not name or name[-1].isspace() or name[-1] == "\u180e":
+                self.memo.put(name, ids)
+            elif name.isascii() and (name[1:] if name[:1] == " " else name).isalpha():
+                words.append(k)
+            elif name != "\n" and (not name or name[-1].isspace() or name[-1] == "\u180e" or name[:1] != " " and name[0].isspace() or name[1:2].isspace()):
                 units[k], odd[k] = b"", True
             else:
-                new.append(k)
-        for k, ids in zip(new, self._resolve([names[k] if names[k][0] == "\n" else " " + names[k] for k in new])):
+                others.append(k)
+        for k, ids in chain(((k, self._word(names[k])) for k in words), zip(others, self._ids([names[k] for k in others]))):
             units[k] = ids
             self.memo.put(names[k], ids)
         return units, odd
@@ -224,19 +199,19 @@ class WordMemo:
         if not self.segmented:
             every = self._ids(texts.to_pylist())
             return np.frombuffer(b"".join(every), "<u4"), np.array([len(e) // 4 for e in every], np.int64)
-        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " \n"), " ")
+        texts = texts.cast(pa.large_string())
+        special = pc.match_substring(texts, _CUT)
+        for content in self.added:
+            special = pc.or_(special, pc.match_substring(texts, content))
+        cut = pc.replace_substring_regex(texts, r"([A-Za-z])([!-&(-/:-@\[-`{-~])", r"\1%s\2" % _CUT)
+        cut = pc.replace_substring(pc.replace_substring(cut, " ", _CUT + " "), "\n", _CUT + "\n" + _CUT)
+        split = pc.split_pattern(cut, _CUT)
         starts = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
         numbered = split.flatten().dictionary_encode()
-        unit, names = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_pylist()
-        units, odd = self._units(names)
+        unit = numbered.indices.to_numpy().astype(np.int64)
+        units, odd = self._units(numbered.dictionary.to_pylist())
         ends = np.append(starts[1:], len(unit))
-        irregular = np.flatnonzero(np.logical_or.reduceat(odd[unit], starts))
-        heads, head = np.unique(unit[starts], return_inverse=True)
-        # units: a segment after a space or line break; a segment at a text's start; a whole irregular text; nothing
-        whole_heads = [k for k in heads.tolist() if not odd[k]]
-        first = dict(zip(whole_heads, self._resolve([names[k] for k in whole_heads])))
-        units += [first.get(k, b"") for k in heads.tolist()]
-        unit[starts] = len(names) + head
+        irregular = np.flatnonzero(np.logical_or.reduceat(odd[unit], starts) | special.to_numpy(zero_copy_only=False))
         nothing = len(units)
         units.append(b"")
         for i, ids in zip(irregular.tolist(), self._ids(texts.take(pa.array(irregular)).to_pylist())):
