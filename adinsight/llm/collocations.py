@@ -4,7 +4,8 @@ The texts become arrays of word hashes and are dealt into ``SHARDS`` shards, whi
 cycles. Words are counted from the first scan on. After every scan, what has reached the least count so far is marked; a
 longer phrase is active as soon as its first and its last words (all but one each) are marked, and is counted from the
 next scan on until each shard has been scanned with it active, so that lengths are interleaved and each phrase is
-counted over one full cycle. The scans end when a whole cycle has marked nothing new.
+counted over one full cycle. Sums over scans go on for what has its share of the least count already; the rest is added
+up once a cycle. The scans end with a cycle that has marked nothing new.
 
 Marks are bits of a fixed-size table of phrase hashes, which is broadcast. Different phrases on one bit may make a phrase
 active too early, never too late: an occurrence is counted in the first scan of its shard that finds its phrase active,
@@ -32,19 +33,20 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast, TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from adinsight.llm.common import Generations, binary, groups, new_path, remove, table, whole, written
+from adinsight.llm.common import binary, groups, new_path, remove, table, whole, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHARDS = 3
 #: Bits of the table of marks: at least, at most, and for each word.
 LEAST_BITS, MOST_BITS, BITS_PER_WORD = 1 << 20, 1 << 29, 1
-#: Bytes of text, or of hashes, that are worked on together, and of each generation of a task's memo of words.
-TOGETHER, MEMO = 8 << 20, 64 << 20
+#: Bytes of text, or of hashes, that are worked on together, and words that a task remembers to have told.
+TOGETHER, TOLD = 8 << 20, 400_000
 #: Places of a stored part of a text.
 PART = 1 << 14
 #: Marks travel in pieces of this many bytes.
@@ -70,26 +72,10 @@ def words_of(text: bytes) -> list[bytes]:
 
 def word_hash(word: bytes, seed: int = 0) -> int:
     """A word as a signed 64-bit number other than 0, which stands for the end of a piece."""
-    import xxhash
-
     value = xxhash.xxh64_intdigest(word, seed) or 1
     return value - (1 << 64) if value >> 63 else value
 
 
-class _Hashes:
-    """A task's memo of word hashes, which also tells the words that were new to it."""
-
-    def __init__(self, seed: int):
-        self.new: list[tuple[int, bytes]] = []
-        self.of = Generations(lambda word: self._make(word, seed), MEMO)
-
-    def _make(self, word: bytes, seed: int) -> int:
-        if word == b".":
-            return 0
-        self.new.append((value := word_hash(word, seed), word))
-        return value
-
-
 def _dealt(docs: DataFrame, path: str, shards: int, longest: int, seed: int) -> None:
     """Write rows (shard, g, lang, starts, tokens) of the documents (lang, text), and in shard -1 rows (h, word).
 
@@ -97,7 +83,7 @@ def _dealt(docs: DataFrame, path: str, shards: int, longest: int, seed: int) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, number = _Hashes(seed), TaskContext.get().partitionId()
+        number, told = TaskContext.get().partitionId(), set()
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), binary(batch.column(1))
             for start, stop in groups(texts, len, TOGETHER):
@@ -106,7 +92,10 @@ def _dealt(docs: DataFrame, path: str, shards: int, longest: int, seed: int) ->
                     words += words_of(text)
                     words.append(b".")
                     ends.append(len(words))
-                data = np.fromiter(map(hashes.of.__getitem__, words), np.int64, len(words))
+                numbered = pa.array(words, pa.large_binary()).dictionary_encode()
+                distinct = numbered.dictionary.to_pylist()
+                hashes = [0 if w == b"." else word_hash(w, seed) for w in distinct]
+                data = np.array(hashes, np.int64)[numbered.indices.to_numpy()]
                 rows = []
                 for lang, first, end in zip(langs[start:stop], [0, *ends], ends):
                     for at in range(first, end, PART):
@@ -118,13 +107,15 @@ def _dealt(docs: DataFrame, path: str, shards: int, longest: int, seed: int) ->
                 yield pa.RecordBatch.from_arrays([
                     pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.binary()])] + [
                     pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names=names)
-                if hashes.new:
-                    h, word = zip(*hashes.new)
-                    hashes.new.clear()
-                    n = len(h)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()),
-                        pa.nulls(n, pa.binary()), pa.array(h, pa.int64()), pa.array(word, pa.binary()).cast(pa.string())], names=names)
+                # a word is told once a task, or again after so many others
+                new = [k for k, h in enumerate(hashes) if h and h not in told]
+                if len(told) > TOLD:
+                    told.clear()
+                told.update(hashes)
+                n = len(new)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                    pa.array([hashes[k] for k in new], pa.int64()), numbered.dictionary.take(pa.array(new, pa.int64())).cast(pa.binary()).cast(pa.string())], names=names)
 
     names = ["shard", "g", "lang", "starts", "tokens", "h", "word"]
     rows = docs.mapInArrow(run, _DEALT)
@@ -289,36 +280,48 @@ def counted(docs: DataFrame, least: int = 30, longest: int = LONGEST, lang_col:
     size = min(MOST_BITS, max(LEAST_BITS, 1 << int(size).bit_length())) // 8
     # The marks before each scan of the last cycle, oldest first, as arrays and as broadcasts of a fixed size.
     marks: list[tuple[np.ndarray, Broadcast | None]] = [(np.zeros(size, np.uint8), None)]
-    counts: list[DataFrame] = []
-    undecided, scan, quiet = None, 0, 0
-    while quiet < shards:
+    likely, totals, by_lang, scan = None, None, None, 0
+    while scan == 0 or scan % shards or marks[0][0] is not marks[-1][0]:
+        cycle = scan // shards
+        if scan % shards == 0:
+            counts: list[DataFrame] = []
+            paths: list[str] = []
         data, now = marks[-1]
         before = marks[0][1] if len(marks) > shards else None
         new = data
-        if scan < shards or marks[0][0] is not data:  # otherwise the last scan of this shard found the same
-            found = _scan(texts.filter(F.col("shard") == scan % shards), longest, now, before, scan < shards)
-            found = found.select(*KEY, "n", F.col("n").alias("here"), F.lit(scan).alias("since"))
-            if undecided is not None:
-                found = found.unionByName(undecided)
-            sums = found.groupBy(*KEY).agg(F.sum("n").alias("n"), F.sum("here").alias("here"), F.min("since").alias("since"))
-            found = written(sums, "phrase-counts", "zstd")
+        if cycle == 0 or marks[0][0] is not data:  # otherwise the last scan of this shard found the same
+            found = _scan(texts.filter(F.col("shard") == scan % shards), longest, now, before, cycle == 0).select(*KEY, "n", F.col("n").alias("here"))
+            if likely is not None:
+                found = found.unionByName(likely)
+            paths.append(new_path(spark, "phrase-counts"))
+            found = written(found.groupBy(*KEY).agg(F.sum("n").alias("n"), F.sum("here").alias("here")), "", "zstd", paths[-1])
             counts.append(found.filter("here > 0").select(*KEY, F.col("here").alias("n")))
             shorter = found.filter(F.col(f"w{longest}") == 0)
             new = _marked(shorter.filter(F.col("n") >= least), data)
-            # What was first seen a cycle ago is counted in full by now; what is marked needs no more attention.
-            undecided = shorter.filter((F.col("n") < least) & (F.col("since") > scan - shards + 1)).withColumn("here", F.lit(0).cast("long"))
-        quiet = quiet + 1 if new is data else 0
+            # Sums go on with what is on its way to the least count; the others are added up at the end of the cycle.
+            likely = shorter.filter((F.col("n") < least) & (F.col("n") >= -(-least // shards))).withColumn("here", F.lit(0).cast("long"))
+        if scan % shards == shards - 1 and counts:
+            every = reduce(DataFrame.unionByName, counts).withColumn("cycle", F.lit(cycle))
+            if totals is not None:  # what came up before this cycle and has stayed below the least count is counted in full
+                every = every.unionByName(totals.filter((F.col("n") >= least) | (F.col("cycle") >= cycle - 1)))
+            old_totals, totals_path = totals_path if totals is not None else None, new_path(spark, "phrase-totals")
+            totals = written(every.groupBy(*KEY).agg(F.sum("n").alias("n"), F.min("cycle").alias("cycle")), "", "zstd", totals_path)
+            if cycle == 0:
+                by_lang = written(totals.filter("w2 = 0").groupBy("g").agg(F.sum("n").alias("n")), "phrase-languages")
+            new = _marked(totals.filter((F.col("n") >= least) & (F.col(f"w{longest}") == 0)), new)
+            likely = None  # these sums are in the totals; a new cycle begins its own
+            for path in [*paths, *([old_totals] if old_totals else [])]:
+                remove(spark, path)
         marks.append((data, now) if new is data else (new, spark.sparkContext.broadcast(new)))
         if len(marks) > shards + 1:
             (_, old), *marks = marks
             if old is not None and all(old is not b for _, b in marks):
                 old.unpersist()
         scan += 1
-    totals = reduce(DataFrame.unionByName, counts).groupBy(*KEY).agg(F.sum("n").alias("a"))
-    by_lang = totals.filter("w2 = 0").groupBy("g").agg(F.sum("a").alias("n"))
-    phrases = written(totals.filter(F.col("a") >= least), "phrase-totals", "zstd")
+    remove(spark, dealt)
+    phrases = totals.filter(F.col("n") >= least).select(*KEY, F.col("n").alias("a"))
     names = spark.createDataFrame([(x.g, x.lang) for x in languages], "g long, lang string")
-    return Counted(phrases, words.drop("other"), written(by_lang.join(names, "g"), "phrase-languages"))
+    return Counted(phrases, words.drop("other"), by_lang.join(names, "g"))
 
 
 # --- scores ----------------------------------------------------------------------------------------------------------
