@@ -3,8 +3,9 @@
 1. Every text becomes its set of hashed n-grams; texts with equal sets form one class, so copies never meet in pairs.
    The same pass counts n-grams in a fixed table of hashed counters.
 2. A set that must overlap others by a share of its size has to share one of its first few n-grams in any common
-   order with them. The order here is by counter, then hash, so that frequent n-grams come last. Classes that share
-   such an n-gram are put in one block, named by the smallest class of that n-gram.
+   order with them. The order here is by counter, then hash, so that frequent n-grams come last. Similar sets are of
+   similar size, so a set meets others in the band of its size (and in the next one, if larger similar sets may lie
+   there): classes that share such an n-gram in one band are put in one block, named by the smallest of them.
 3. In each block the sets become the leaves of a signature tree: every node holds the OR of the token bitmaps and the
    range of sizes below it. A dual traversal from (root, root) drops each pair of nodes whose largest possible
    overlap is below the smallest one that a link needs. It runs twice: over the bitmaps of the first pass alone, which
@@ -24,6 +25,7 @@ An empty table gives no rows. Further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import sys
 from collections.abc import Callable, Iterator
 
@@ -34,15 +36,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adinsight.llm.common import WORD, Generations, binary, packed, table, unpacked, worker_cache, written
+from adinsight.llm.common import WORD, Generations, binary, new_path, packed, remove, table, unpacked, worker_cache, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Hashed n-gram counters: 4 bytes each, sent to every worker.
-COUNTERS = 1 << 20
+#: Hashed n-gram counters, 8 bytes each, sent to every worker: at least, at most, and bytes of input for each.
+LEAST_COUNTERS, MOST_COUNTERS, BYTES_PER_COUNTER = 1 << 16, 1 << 22, 256
 _COUNTER_BLOCK = 1 << 16
+#: Size ratios between similar sets that a band is wide.
+BAND = 2
 #: Bytes of each generation of a worker's memos.
 MEMO = 48 << 20
+#: Parts of the rows of one class when they get its name.
+SALTS = 16
 BLOCK_SETS = 4096
 BLOCK_BYTES = 32 << 20
 #: Children of a tree node, and node pairs looked at together.
@@ -108,8 +114,17 @@ def _shingler(n: int) -> Shingler:
     return worker_cache("shingler", lambda: Shingler(n), n)
 
 
-def _first_pass(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (id, thash, cls, c, n, low, bits) of documents and rows (block, counts) of hashed counters."""
+def counters_for(docs: DataFrame) -> int:
+    """How many counters the input calls for, by Spark's estimate of its size."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (size // BYTES_PER_COUNTER).bit_length()))
+
+
+def _first_pass(docs: DataFrame, n: int, counters: int) -> DataFrame:
+    """Rows (id, thash, cls, c, n, low, bits) of documents and rows (block, counts) of hashed counters.
+
+    A task's counts stop at 65,535: the order of the n-grams asks no more.
+    """
     schema = T.StructType([
         T.StructField("id", docs.schema["id"].dataType), T.StructField("thash", T.LongType()), T.StructField("cls", T.BinaryType()),
         T.StructField("c", T.LongType()), T.StructField("n", T.LongType()), T.StructField("low", T.LongType()),
@@ -120,12 +135,12 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, shingle = to_arrow_schema(schema), _shingler(n)
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(counters, np.int64)
         for batch in batches:
             classes, sizes, lows, maps = [], [], [], []
             for text in binary(batch.column(2)):
                 s = shingle(text)
-                np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+                np.add.at(counts, (s & np.uint64(counters - 1)).astype(np.int64), 1)
                 classes.append(_class(s) if len(s) else None)
                 sizes.append(len(s))
                 lows.append(int(s[:1].view(np.int64)[0]) if len(s) else None)
@@ -137,26 +152,26 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
                  pa.array(lows, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=arrow)
         used = np.flatnonzero(counts.reshape(-1, _COUNTER_BLOCK).any(1))
         for b in used:
-            data = counts[b * _COUNTER_BLOCK : (b + 1) * _COUNTER_BLOCK].astype("<i8").tobytes()
+            data = np.minimum(counts[b * _COUNTER_BLOCK : (b + 1) * _COUNTER_BLOCK], 65535).astype("<u2").tobytes()
             yield pa.RecordBatch.from_pylist([{"block": int(b), "counts": data}], schema=arrow)
 
     return docs.select("id", "thash", "text").mapInArrow(run, schema)
 
 
-def _counters(first: DataFrame) -> np.ndarray:
+def _counters(first: DataFrame, counters: int) -> np.ndarray:
     """All counters, summed over tasks block by block; their number is fixed."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}  # at most COUNTERS / _COUNTER_BLOCK arrays
+        sums: dict[int, np.ndarray] = {}  # no more than there are blocks
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                more = np.frombuffer(data, "<i8")
+                more = np.frombuffer(data, "<u2").astype(np.int64)
                 sums[block] = sums[block] + more if block in sums else more
         for block, values in sums.items():
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([values.tobytes()], pa.binary())})
 
-    rows = first.filter("block is not null").select("block", "counts").repartition(COUNTERS // _COUNTER_BLOCK, "block")
-    out = np.zeros(COUNTERS, np.int64)
+    rows = first.filter("block is not null").select("block", "counts").repartition(min(8, counters // _COUNTER_BLOCK), "block")
+    out = np.zeros(counters, np.int64)
     for row in rows.mapInArrow(add, "block int, counts binary").collect():
         out[row.block * _COUNTER_BLOCK : (row.block + 1) * _COUNTER_BLOCK] = np.frombuffer(row.counts, "<i8")
     return out
@@ -167,29 +182,41 @@ def prefix_size(size: int, num: int, den: int) -> int:
     return size - -(-size * num // den) + 1
 
 
+def bands(size: int, num: int, den: int) -> list[int]:
+    """The bands of sizes in which a set looks for others: its own, and the next one if larger similar sets lie there.
+
+    Of two similar sets the smaller one looks in the other's own band. A band is a little wider than ``BAND`` ratios, so
+    that rounding loses no pair.
+    """
+    place = math.log(size) / (math.log(den / num) * (1 + 1e-9)) / BAND
+    return [int(place), int(place) + 1] if place % 1 >= 1 - 1 / BAND - 1e-6 else [int(place)]
+
+
 def _prefixes(docs: DataFrame, counters: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """Rows (key, c): the first n-grams of each set in the common order."""
-    shared = docs.sparkSession.sparkContext.broadcast(counters)  # COUNTERS numbers
+    """Rows (key, band, c): the first n-grams of each set in the common order, in the bands of its size."""
+    shared = docs.sparkSession.sparkContext.broadcast(counters)  # at most MOST_COUNTERS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, counts = _shingler(n), shared.value
         told = Generations(lambda _: False, MEMO)  # classes of this task: copies add nothing
         for batch in batches:
-            keys, classes = [], []
+            keys, places, classes = [], [], []
             for text in binary(batch.column(0)):
                 s = shingle(text)
                 c = _short(_class(s))
                 if not len(s) or told[c]:
                     continue
                 told.put(c, True)
-                order = np.lexsort((s, counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+                order = np.lexsort((s, counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)]))
                 first = s[order[: prefix_size(len(s), num, den)]]
-                keys.append(first.view(np.int64))
-                classes.append(np.full(len(first), c, np.int64))
+                for band in bands(len(s), num, den):
+                    keys.append(first.view(np.int64))
+                    places.append(np.full(len(first), band, np.int32))
+                    classes.append(np.full(len(first), c, np.int64))
             if keys:
-                yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys), "c": np.concatenate(classes)})
+                yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys), "band": np.concatenate(places), "c": np.concatenate(classes)})
 
-    return docs.select("text").mapInArrow(run, "key long, c long")
+    return docs.select("text").mapInArrow(run, "key long, band int, c long")
 
 
 # --- signature trees -----------------------------------------------------------------------------------------------
@@ -410,10 +437,14 @@ def components(edges: DataFrame) -> DataFrame:
     def state(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    pairs, before = edges, None
+    spark, pairs, before, old = edges.sparkSession, edges, None, None
     while True:
-        pairs = written(stars(stars(pairs, True), False), "stars")
+        path = new_path(spark, "stars")
+        pairs = written(stars(stars(pairs, True), False), "", None, path)
         now = state(pairs)
+        if old:
+            remove(spark, old)
+        old = path
         if now == before:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(pairs.select("b", "b")).distinct()
         before = now
@@ -422,22 +453,22 @@ def components(edges: DataFrame) -> DataFrame:
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Per row: id, n_shingles, cls (hash of the set) and component (smallest id); similar means num / den or more."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("thash", F.xxhash64("text"))
-    first = written(_first_pass(docs, n), "jaccard-sets")
+    spark, counters = docs.sparkSession, counters_for(docs)
+    first = written(_first_pass(docs, n, counters), "jaccard-sets")
     rows = first.filter("block is null").select("id", "thash", "cls", "c", "n", "low", "bits")
-    keys = _prefixes(docs, _counters(first), n, num, den)
-    same = Window.partitionBy("key")
-    asked = keys.withColumns({"label": F.min("c").over(same), "other": F.max("c").over(same)}).filter("label < other")
-    asked = written(asked.select("label", "c").distinct(), "jaccard-blocks")
+    keys_path, asked_path = new_path(spark, "jaccard-keys"), new_path(spark, "jaccard-blocks")
+    keys = written(_prefixes(docs, _counters(first, counters), n, num, den), "", "zstd", keys_path)
+    # The sets of one n-gram and band are a block, named by the smallest; equal blocks of several n-grams are one.
+    meetings = keys.groupBy("key", "band").agg(F.min("c").alias("least"), F.max("c").alias("other")).filter("least < other")
+    asked = keys.join(meetings.drop("other"), ["key", "band"]).select(F.xxhash64("least", "band").alias("label"), "c")
+    asked = written(asked.distinct(), "", "zstd", asked_path)
+    remove(spark, keys_path)
 
     classes = rows.filter("cls is not null").groupBy("cls").agg(
         F.min("c").alias("c"), F.min("n").alias("size"), F.min("low").alias("low"), F.first("bits").alias("bits"),
-        F.min(F.struct("id", "thash")).alias("one"), F.min("id").alias("least"))
+        F.min(F.struct("id", "thash")).alias("one"), F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
     classes = written(classes, "jaccard-classes")
-    # Only a set with another of a like size in its block can have a partner there: most chance meetings end here.
-    by_size = Window.partitionBy("label").orderBy("size")
-    sized = asked.join(classes.select("c", "size"), "c").withColumns({"below": F.lag("size").over(by_size), "above": F.lead("size").over(by_size)})
-    sized = sized.filter((num * F.col("size") <= den * F.col("below")) | (num * F.col("above") <= den * F.col("size")))
-    members = sized.select("label", "c").join(classes.drop("least"), "c").drop("c")
+    members = asked.join(classes.drop("least", "rows"), "c").drop("c")
     blocks = members.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("tokens"))
     parts = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, 8 * F.col("tokens") / BLOCK_BYTES)).cast("int")
     blocks = blocks.filter("sets > 1").select("label", parts.alias("parts"))
@@ -458,11 +489,15 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = roots.join(classes.select(F.col("cls").alias("node"), "least"), "node")
     merged = least.groupBy("root").agg(F.min("least").alias("component"))
     linked = roots.join(merged, "root").select(F.col("node").alias("cls"), "component")
-    named = classes.select("cls", "least").join(linked, "cls", "left").select("cls", F.coalesce("component", "least").alias("component"))
-    # copies of one class may be a third of all rows: their join is one that Spark can split
-    return rows.join(named, "cls", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "cls", "thash",
-        F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+    # Only classes of several rows or with links have another id than their row's. One class may be a third of all rows:
+    # its rows are spread over salts, each of which gets its name.
+    named = classes.join(linked, "cls", "left").filter(F.col("component").isNotNull() | (F.col("rows") > 1))
+    named = named.select("cls", F.coalesce("component", "least").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    alone = F.col("cls").isNull() | F.col("salt_of").isNull()
+    named = named.withColumn("salt_of", F.col("salt"))
+    return salted.join(named, ["cls", "salt"], "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "cls", "thash", F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
