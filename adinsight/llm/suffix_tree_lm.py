@@ -1,342 +1,326 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-States are word contexts of up to ``DEPTH`` words. A context is a candidate if it makes up ``CONTEXT_SHARE`` of the
-training tokens or more; a next word is tested in it if the pair makes up ``PAIR_SHARE`` or more. The word keeps a
-probability of its own there if it diverges from what the next shorter context says (ratio and likelihood gain), and
-a context without such a word is not retained. Kept probabilities are discounted; the mass that is left goes to all
+States are word contexts of up to ``DEPTH`` words. A context is a candidate if it occurs ``LEAST_CONTEXT`` times in
+training, whatever the size of the corpus; a next word is tested in it if the pair occurs ``LEAST_PAIR`` times. The word
+keeps a probability of its own there if it diverges from what the next shorter context says (ratio and likelihood gain),
+and a context without such a word is not retained. Kept probabilities are discounted; the mass that is left goes to all
 other words in proportion to the shorter context, down to the smoothed unigrams. A word is scored by the longest
 retained suffix of what stands before it in its document.
 
-The shares bound the tree: at most 1 / share entries a level, whatever the corpus, and only these are broadcast. The
-unigram counts have no bound: words below ``PAIR_SHARE`` never appear in the tree, and their counts reach the documents
-by a join on the word. Counts are taken over all training documents, scores over all documents.
+The tree lives in Spark tables of phrases (64-bit hashes of up to ``DEPTH`` + 1 words), grown a level at a time by joins
+of counts: what a phrase may add to a score is a weight, as a context for the word after it and as a pair of context and
+last word, so that a text's score is the sum of its unigram terms and of the weights of its phrases. Documents are scored
+by slices of the weights: phrases are dealt by their hashes into slices of about ``SLICE`` entries, each is broadcast,
+and the sums of all slices are added up. The number of slices follows the tree, their size does not.
+
+Training emits a phrase only where bits of a fixed-size table say that its parts may be frequent enough; the joins
+decide, so that a fuller table costs work, not phrases. The unigrams of the words that make up ``SHARE`` of the tokens or
+more (at most 1 / share words) are broadcast, those of all others reach the documents by a join on the word.
 
 Nulls: a null text has its end only. A document with a null id is held out. Rows with the same id are documents of
-their own. An empty table gives no rows; without training documents every token is unknown. Further columns are
-ignored.
+their own. A text of any length is read as a whole. An empty table gives no rows; without training documents every token
+is unknown. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext, cloudpickle
+import xxhash
+from pyspark import Broadcast, TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adinsight.llm.common import Generations, binary, groups, table, whole, worker_cache, written
+from adinsight.llm.common import binary, groups, table, whole, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DEPTH = 3
-CONTEXT_SHARE = 1e-5
-PAIR_SHARE = 1e-6
-#: Fewest occurrences of a context and of a pair, in small corpora.
+#: Fewest occurrences of a context and of a pair.
 LEAST_CONTEXT, LEAST_PAIR = 32, 8
 #: Least ratio to the shorter context (or its inverse), and least gain in nats over all occurrences.
 RATIO, GAIN = 1.25, 6.0
 DISCOUNT = 0.5
 ADDED = 0.1
+#: Share of the tokens from which a word's unigram is broadcast instead of joined.
+SHARE = 1e-6
 #: The end of a document as a word; words hold no white space.
 END = b" end"
-TOGETHER = 2 << 20
-#: Values that are counted together, and bytes of each generation of a worker's memo.
-COUNTED, MEMO = 3_000_000, 24 << 20
-
-
-class Tree(NamedTuple):
-    """Everything that scoring needs, bounded by the shares."""
+#: Bytes of text, or of tokens, that are worked on together.
+TOGETHER = 4 << 20
+#: Weights that are broadcast together (16 bytes each).
+SLICE = 3_000_000
+#: Bits of the tables of marks: at least, at most, and for each token.
+LEAST_BITS, MOST_BITS, BITS_PER_TOKEN = 1 << 18, 1 << 29, 1
 
-    hashes: np.ndarray  # of frequent words, sorted; their place is their id
-    base: np.ndarray  # log10 of their unigram probabilities
-    end: int  # id of the end
-    contexts: tuple[np.ndarray, ...]  # by level: sorted codes of (shorter context's index, word)
-    rest: tuple[np.ndarray, ...]  # by level: log10 of the factor for words without their own probability
-    kept: tuple[np.ndarray, ...]  # by level: sorted codes of (context's index, word)
-    own: tuple[np.ndarray, ...]  # log10 of their probabilities
-
-
-def _hash(word: bytes) -> int:
-    import xxhash
 
+def word_hash(word: bytes) -> int:
     value = xxhash.xxh64_intdigest(word)
     return value - (1 << 64) if value >> 63 else value
 
 
-def _find(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of wanted codes in sorted ones, -1 where missing."""
-    if not len(codes):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
-    return np.where(codes[at] == wanted, at, -1)
-
-
-def _levels(ids: np.ndarray, ends: np.ndarray, contexts: tuple[np.ndarray, ...], size: int) -> list[np.ndarray]:
-    """By level, the index of the context before each token, -1 where it is none or would cross a document's start."""
-    out = []
-    before = np.concatenate([[-1], ids[:-1]])
-    before[np.minimum(ends[:-1] + 1, len(ids) - 1)] = -1  # the first token of the next document
-    for level, codes in enumerate(contexts):
-        found = np.full(len(ids), -1, np.int64)
-        if level == 0:  # single words
-            place = np.full(size + 1, -1, np.int64)  # the last one for no word
-            place[codes] = np.arange(len(codes))
-            found = place[before]
-        elif len(codes):
-            longer = np.concatenate([[-1], out[-1][:-1]])  # the context before the word before
-            ok = np.flatnonzero((before >= 0) & (longer >= 0))
-            found[ok] = _find(codes, longer[ok] * size + before[ok])
-        out.append(found)
-    return out
+def _longer(phrases: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Hashes of phrases with one more word in front."""
+    x = phrases.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + before.view(np.uint64)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
-def _counted(values: Iterator[np.ndarray], name: str) -> Iterator[pa.RecordBatch]:
-    """Counts (name, n) of the values, of some millions at a time."""
-    held: list[np.ndarray] = []
+def phrases(tokens: np.ndarray, ends: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For 1 to ``most`` words: hashes of the phrases that end at each token, and whether they lie in one document."""
+    place = np.arange(len(tokens)) - np.repeat(np.concatenate([[0], ends[:-1] + 1]), np.diff(ends, prepend=-1))
+    out = [(tokens, place >= 0)]
+    for k in range(1, most):
+        longer = np.zeros(len(tokens), np.int64)
+        if len(tokens) > k:
+            longer[k:] = _longer(out[-1][0][k:], tokens[:-k])
+        out.append((longer, place >= k))
+    return out
+
 
-    def flush() -> pa.RecordBatch:
-        distinct, n = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return pa.RecordBatch.from_pydict({name: distinct, "n": n.astype(np.int64)})
+# --- words -----------------------------------------------------------------------------------------------------------
 
-    for part in values:
-        held.append(part)
-        if sum(map(len, held)) >= COUNTED:
-            yield flush()
-    if held:
-        yield flush()
+def _numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct word hashes of some texts, the number of each token's, and the places of the ends."""
+    words: list[bytes] = []
+    ends = []
+    for text in texts:
+        words += text.lower().split()
+        ends.append(len(words))
+        words.append(END)
+    numbered = pa.array(words, pa.large_binary()).dictionary_encode()
+    return np.array([word_hash(w) for w in numbered.dictionary.to_pylist()], np.int64), numbered.indices.to_numpy(), np.array(ends, np.int64)
 
 
 def _count_words(docs: DataFrame) -> DataFrame:
     """(hash, n) of all words of the rows (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = worker_cache("word-hash", lambda: Generations(_hash, MEMO))
-        end = _hash(END)
+        for batch in batches:
+            texts = binary(batch.column(0))
+            for start, stop in groups(texts, len, TOGETHER):
+                hashes, number, _ = _numbered(texts[start:stop])
+                yield pa.RecordBatch.from_pydict({"hash": hashes, "n": np.bincount(number, minlength=len(hashes)).astype(np.int64)})
 
-        def values() -> Iterator[np.ndarray]:
-            for batch in batches:
-                texts = binary(batch.column(0))
-                for start, stop in groups(texts, len, TOGETHER):
-                    words = [w for t in texts[start:stop] for w in t.lower().split()]
-                    yield np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-                    yield np.full(stop - start, end, np.int64)
+    return docs.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
-        yield from _counted(values(), "hash")
 
-    return docs.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+class Counts(NamedTuple):
+    """Unigram counts: all of them in a table, those of the most frequent words in arrays."""
 
+    words: DataFrame
+    tokens: int
+    distinct: int
+    hashes: np.ndarray
+    counts: np.ndarray
 
-def _tokens(ids: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Bounds of groups of documents, their ids in one array, and the places of their ends."""
-    texts = ids.to_pylist()
-    for start, stop in groups(texts, len, TOGETHER):
-        lengths = np.array([len(t) // 4 for t in texts[start:stop]])
-        yield start, stop, np.frombuffer(b"".join(texts[start:stop]), "<i4").astype(np.int64), np.cumsum(lengths) - 1
+    @property
+    def unit(self) -> float:
+        return self.tokens + ADDED * (self.distinct + 1)
 
 
-def _encoded(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """Per document the ids of its tokens (-1 for infrequent words) and its infrequent words with their multiplicities."""
-    shared = docs.sparkSession.sparkContext.broadcast(hashes)  # at most 1 / pair_share words
+def count_words(training: DataFrame, share: float = SHARE) -> Counts:
+    """Counts over the rows (text)."""
+    words = written(_count_words(training), "lm-words")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    often = words.filter(F.col("n") >= max(1, share * total.n)).toArrow()  # at most 1 / share words
+    hashes, counts = (often.column(c).to_numpy() for c in ("hash", "n"))
+    order = np.argsort(hashes)
+    return Counts(words, total.n, total.v, hashes[order], counts[order])
+
+
+def _encoded(docs: DataFrame, known: Counts) -> DataFrame:
+    """Per document its tokens as hashes, the unigram terms of its frequent words, and its other words with multiplicities."""
+    shared = docs.sparkSession.sparkContext.broadcast((known.hashes, np.log10((known.counts + ADDED) / known.unit)))
     rare = T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("m", T.LongType())]))
     schema = T.StructType([
         T.StructField("row", T.LongType()), docs.schema["id"], docs.schema["held_out"], T.StructField("n_tokens", T.LongType()),
-        T.StructField("ids", T.BinaryType()), T.StructField("rare", rare),
+        T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("tokens", T.BinaryType()), T.StructField("rare", rare),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, known = to_arrow_schema(schema), dict(zip(shared.value.tolist(), range(len(shared.value))))
-        id_of = Generations(lambda w: known.get(_hash(w), -1), MEMO)
+        arrow, (frequent, terms) = to_arrow_schema(schema), shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = binary(batch.column(2))
             for start, stop in groups(texts, len, TOGETHER):
-                words: list[bytes] = []
-                ends = []
-                for text in texts[start:stop]:
-                    words += text.lower().split()
-                    ends.append(len(words))
-                    words.append(END)
-                ids = np.fromiter(map(id_of.__getitem__, words), np.int32, len(words))
-                ends = np.array(ends, np.int64)
-                starts = np.concatenate([[0], ends[:-1] + 1])
-                missing = np.flatnonzero(ids < 0)
-                owner = np.searchsorted(ends, missing)
-                hashed = np.fromiter((_hash(words[i]) for i in missing.tolist()), np.int64, len(missing))
-                order = np.lexsort((hashed, owner))
-                owner, hashed = owner[order], hashed[order]
-                new = np.ones(len(owner), bool)
-                new[1:] = (owner[1:] != owner[:-1]) | (hashed[1:] != hashed[:-1])
-                first = np.flatnonzero(new)
+                hashes, number, ends = _numbered(texts[start:stop])
+                starts, n = np.concatenate([[0], ends[:-1] + 1]), stop - start
+                at = np.minimum(np.searchsorted(frequent, hashes), max(len(frequent) - 1, 0))
+                often = frequent[at] == hashes if len(frequent) else np.zeros(len(hashes), bool)
+                term = np.where(often, terms[at], 0.0) if len(frequent) else np.zeros(len(hashes))
+                missing = np.flatnonzero(~often[number])
+                code, m = np.unique(np.searchsorted(ends, missing) * len(hashes) + number[missing], return_counts=True)
                 lists = pa.ListArray.from_arrays(
-                    pa.array(np.searchsorted(owner[first], np.arange(stop - start + 1)).astype(np.int32)),
-                    pa.StructArray.from_arrays([pa.array(hashed[first]), pa.array(np.diff(np.append(first, len(owner))).astype(np.int64))], names=["hash", "m"]))
-                n = stop - start
+                    pa.array(np.searchsorted(code // max(len(hashes), 1), np.arange(n + 1)).astype(np.int32)),
+                    pa.StructArray.from_arrays([pa.array(hashes[code % max(len(hashes), 1)]), pa.array(m.astype(np.int64))], names=["hash", "m"]))
+                tokens = hashes[number]
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(8 * np.append(starts, len(tokens))), pa.py_buffer(tokens)])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + n)), batch.column(0).slice(start, n), batch.column(1).slice(start, n), pa.array(ends - starts + 1),
-                    pa.array([ids[a : b + 1].tobytes() for a, b in zip(starts, ends)], pa.binary()), lists.cast(arrow.field("rare").type)], schema=arrow)
+                    pa.array(np.add.reduceat(often[number].astype(np.int64), starts)), pa.array(np.add.reduceat(term[number], starts)),
+                    data.cast(pa.binary()), lists.cast(arrow.field("rare").type)], schema=arrow)
                 row += n
 
     return docs.select("id", "held_out", "text").mapInArrow(run, schema)
 
 
-def _count_pairs(encoded: DataFrame, shared, level: int) -> DataFrame:
-    """(code, n) of (context of this level, frequent next word) over the rows (ids)."""
+def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Bounds of groups of documents, their tokens in one array, and the places of their ends."""
+    texts = column.to_pylist()
+    for start, stop in groups(texts, len, 4 * TOGETHER):
+        lengths = np.array([len(t) // 8 for t in texts[start:stop]])
+        yield start, stop, np.frombuffer(b"".join(texts[start:stop]), np.int64), np.cumsum(lengths) - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, contexts = shared.value
 
-        def codes() -> Iterator[np.ndarray]:
-            for batch in batches:
-                for _, _, ids, ends in _tokens(batch.column(0)):
-                    at = _levels(ids, ends, contexts, size)[level]
-                    ok = (at >= 0) & (ids >= 0)
-                    yield at[ok] * size + ids[ok]
+# --- the tree --------------------------------------------------------------------------------------------------------
 
-        yield from _counted(codes(), "code")
+def _marked(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A table of so many bits with those of the rows (q)."""
 
-    return encoded.select("ids").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = np.zeros(bits, bool)
+        for batch in batches:
+            data[batch.column(0).to_numpy() & (bits - 1)] = True
+        if data.any():
+            packed = np.packbits(data).reshape(-1, LEAST_BITS // 8)
+            used = np.flatnonzero(packed.any(1))
+            yield pa.RecordBatch.from_pydict({"piece": pa.array(used.astype(np.int32)), "data": pa.array([packed[i].tobytes() for i in used], pa.binary())})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}  # no more than the table has
+        for batch in batches:
+            for i, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                more = np.frombuffer(more, np.uint8)
+                pieces[i] = pieces[i] | more if i in pieces else more
+        for i, held in pieces.items():
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int32()), "data": pa.array([held.tobytes()], pa.binary())})
 
+    out = np.zeros((bits // LEAST_BITS, LEAST_BITS // 8), np.uint8)
+    for row in hashes.mapInArrow(run, "piece int, data binary").repartition(2, "piece").mapInArrow(merge, "piece int, data binary").toLocalIterator():
+        out[row.piece] = np.frombuffer(row.data, np.uint8)
+    return out.ravel()
 
-def _arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
-    """Columns of a bounded table on the driver, sorted by the first."""
-    out = df.select(*names).toArrow()
-    arrays = [out.column(n).to_numpy() for n in names]
-    order = np.argsort(arrays[0], kind="stable")
-    return [a[order] for a in arrays]
 
+def _has(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & (8 * len(marks) - 1)
+    return (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
-class Counts(NamedTuple):
-    """Unigram counts: all of them in a table, those of frequent words in arrays."""
 
-    words: DataFrame
-    tokens: int
-    distinct: int
-    hashes: np.ndarray
-    counts: np.ndarray
+def _count_phrases(encoded: DataFrame, marks: Broadcast, level: int) -> DataFrame:
+    """(q, context, shorter, n) of the phrases of level + 1 words whose parts are marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts, pairs = marks.value
+        for batch in batches:
+            for _, _, tokens, ends in _tokens(batch.column(0)):
+                found = phrases(tokens, ends, level + 1)
+                (q, inside), (shorter, _) = found[level], found[level - 1]
+                at = np.flatnonzero(inside[1:]) + 1
+                at = at[_has(contexts, shorter[at - 1])]
+                at = at[_has(pairs, shorter[at])]
+                distinct, first, n = np.unique(q[at], return_index=True, return_counts=True)
+                at = at[first]
+                yield pa.RecordBatch.from_pydict({"q": distinct, "context": shorter[at - 1], "shorter": shorter[at], "n": n.astype(np.int64)})
+
+    rows = encoded.select("tokens").mapInArrow(run, "q long, context long, shorter long, n long")
+    return rows.groupBy("q", "context", "shorter").agg(F.sum("n").alias("n"))
+
+
+def grow(encoded: DataFrame, known: Counts, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_pair: int = LEAST_PAIR) -> DataFrame:
+    """Weights (q, weight) of phrases, learned from the training rows (tokens): a phrase's part as a context and as a pair."""
+    spark = encoded.sparkSession
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(known.tokens * BITS_PER_TOKEN).bit_length()))
+    # Phrases of the level below with their count and log10 probability there: at first the words.
+    tested = known.words.filter(F.col("n") >= least_pair).select(
+        F.col("hash").alias("q"), "n", F.log10((F.col("n") + ADDED) / known.unit).alias("p"))
+    weights = []
+    for level in range(1, depth + 1):
+        marks = spark.sparkContext.broadcast((_marked(tested.filter(F.col("n") >= least_context).select("q"), bits), _marked(tested.select("q"), bits)))
+        pairs = _count_phrases(encoded, marks, level).filter(F.col("n") >= least_pair)
+        contexts = tested.filter((F.col("n") >= least_context) & (F.col("q") != word_hash(END))).select(F.col("q").alias("context"), F.col("n").alias("all"))
+        below = tested.select(F.col("q").alias("shorter"), F.col("p").alias("low"))
+        joined = pairs.join(contexts, "context").join(below, "shorter")
+        own = F.log10((F.col("n") - DISCOUNT) / F.col("all"))
+        far = F.abs(F.col("own") - F.col("low")) * np.log(10.0)
+        diverges = (far >= float(np.log(RATIO))) & (F.col("n") * far >= GAIN)
+        joined = written(joined.withColumn("own", own).withColumn("kept", diverges).drop("all", "shorter"), "lm-pairs")
+        power = lambda c: F.pow(F.lit(10.0), F.col(c))
+        rest = joined.filter("kept").groupBy("context").agg(F.sum(power("own")).alias("mass"), F.sum(power("low")).alias("below"))
+        least = F.lit(1e-9)
+        rest = rest.select("context", F.log10(F.greatest(1 - F.col("mass"), least) / F.greatest(1 - F.col("below"), least)).alias("rest"))
+        rest = written(rest, "lm-contexts")
+        with_rest = joined.join(rest, "context", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
+        tested = written(with_rest.select("q", "n", F.when(F.col("kept"), F.col("own")).otherwise(F.col("rest") + F.col("low")).alias("p"),
+                                          F.when(F.col("kept"), F.col("own") - F.col("low") - F.col("rest")).alias("more")), "lm-level")
+        weights += [rest.select(F.col("context").alias("q"), F.col("rest").alias("weight")), tested.filter("more is not null").select("q", F.col("more").alias("weight"))]
+        tested = tested.select("q", "n", "p")
+        marks.unpersist()
+    return reduce(DataFrame.unionByName, weights).groupBy("q").agg(F.sum("weight").alias("weight"))
+
+
+def token_scores(hashes: np.ndarray, weights: np.ndarray, tokens: np.ndarray, ends: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """What the given weights (in the order of their hashes) add to the unigram term of each token."""
+    out = np.zeros(len(tokens))
+    if not len(hashes):
+        return out
+    for q, inside in phrases(tokens, ends, depth + 1):
+        at = np.flatnonzero(inside)
+        place = np.minimum(np.searchsorted(hashes, q[at]), len(hashes) - 1)
+        out[at] += np.where(hashes[place] == q[at], weights[place], 0.0)
+    return out
 
 
-def count_words(training: DataFrame, pair_share: float = PAIR_SHARE) -> Counts:
-    """Counts over the rows (text)."""
-    words = written(_count_words(training), "lm-words")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    # at most 1 / pair_share words, and the end
-    often = words.filter((F.col("n") >= max(1, pair_share * total.n)) | (F.col("hash") == _hash(END)))
-    return Counts(words, total.n, total.v, *_arrays(often, "hash", "n"))
-
-
-def grow(encoded: DataFrame, known: Counts, depth: int = DEPTH, context_share: float = CONTEXT_SHARE, pair_share: float = PAIR_SHARE) -> Tree:
-    """The tree of the training rows (ids)."""
-    hashes, counts, tokens = known.hashes, known.counts, known.tokens
-    size = len(hashes)
-    base = np.log10((counts + ADDED) / (tokens + ADDED * (known.distinct + 1)))
-    least_context, least_pair = max(LEAST_CONTEXT, context_share * tokens), max(LEAST_PAIR, pair_share * tokens)
-    end_id = int(_find(hashes, np.array([_hash(END)]))[0])
-    # Level 0 contexts are single words: their code is the word, as that of the empty context is 0.
-    frequent = np.flatnonzero((counts >= least_context) & (np.arange(size) != end_id)) if size else np.zeros(0, np.int64)
-    contexts, occurrences = [frequent.astype(np.int64)], [counts[frequent] if size else np.zeros(0)]
-    suffix: list[np.ndarray] = [np.zeros(len(frequent), np.int64)]
-    kept, own, rest = [], [], []
-
-    def probability(level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 p(word | context of this level); level -1 is that of the unigrams."""
-        if level < 0:
-            return base[word]
-        p = np.where(context >= 0, rest[level][np.maximum(context, 0)] if len(rest[level]) else 0.0, 0.0)
-        below = np.where(context >= 0, suffix[level][np.maximum(context, 0)] if len(suffix[level]) else -1, -1)
-        p = p + probability(level - 1, below, word)
-        at = _find(kept[level], np.where(context >= 0, context * size + word, -1))
-        return np.where(at >= 0, own[level][np.maximum(at, 0)] if len(own[level]) else 0.0, p)
-
-    for level in range(depth):
-        if not len(contexts[level]):
-            kept.append(np.zeros(0, np.int64)), own.append(np.zeros(0)), rest.append(np.zeros(0))
-        else:
-            shared = encoded.sparkSession.sparkContext.broadcast((size, tuple(contexts)))  # at most 1 / context_share a level
-            pairs = _count_pairs(encoded, shared, level).filter(F.col("n") >= least_pair)
-            code, n = _arrays(pairs, "code", "n")  # at most 1 / pair_share
-            context, word = code // size, code % size
-            p = (n - DISCOUNT) / occurrences[level][context]
-            shorter = 10 ** probability(level - 1, suffix[level][context] if level else np.full(len(code), -1), word)
-            ratio = p / shorter
-            diverges = ((ratio >= RATIO) | (ratio <= 1 / RATIO)) & (n * np.abs(np.log(ratio)) >= GAIN)
-            mass = np.bincount(context[diverges], p[diverges], len(contexts[level]))
-            below = np.bincount(context[diverges], shorter[diverges], len(contexts[level]))
-            kept.append(code[diverges]), own.append(np.log10(p[diverges]))
-            rest.append(np.log10(np.maximum(1 - mass, 1e-9) / np.maximum(1 - below, 1e-9)))
-            longer = (n >= least_context) & (word != end_id)
-            if level + 1 < depth:
-                contexts.append(code[longer])
-                occurrences.append(n[longer])
-                # the suffix of (context, word) is (suffix of context, word) one level down
-                up = word[longer] if level == 0 else suffix[level][context[longer]] * size + word[longer]
-                suffix.append(_find(contexts[level], up))
-            continue
-        if level + 1 < depth:
-            contexts.append(np.zeros(0, np.int64)), occurrences.append(np.zeros(0)), suffix.append(np.zeros(0, np.int64))
-    return Tree(hashes, base, end_id, tuple(contexts), tuple(rest), tuple(kept), tuple(own))
-
-
-def token_scores(tree: Tree, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """log10 probabilities of all tokens; those of infrequent words lack their unigram term."""
-    size = len(tree.hashes)
-    word = np.maximum(ids, 0)
-    p = np.where(ids >= 0, tree.base[word] if size else 0.0, 0.0)
-    if not size:
-        return p
-    for level, at in enumerate(_levels(ids, ends, tree.contexts, size)):
-        if not len(tree.contexts[level]):
-            break
-        p = p + np.where(at >= 0, tree.rest[level][np.maximum(at, 0)], 0.0)
-        if len(tree.kept[level]):
-            found = _find(tree.kept[level], np.where((at >= 0) & (ids >= 0), at * size + word, -1))
-            p = np.where(found >= 0, tree.own[level][np.maximum(found, 0)], p)
-    return p
-
-
-def _score_frequent(encoded: DataFrame, tree: Tree) -> DataFrame:
-    """Per document what the tree says: known frequent words, their unigram terms, and the score without the others'."""
-    shared = encoded.sparkSession.sparkContext.broadcast(tree)  # bounded, see the module's text
-    kept = ["row", "id", "held_out", "n_tokens"]
-    schema = T.StructType([*(encoded.schema[n] for n in kept), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()),
-                           T.StructField("tree", T.DoubleType())])
+def _added(encoded: DataFrame, shared: Broadcast, depth: int) -> DataFrame:
+    """(row, tree): what a slice of the weights adds to the score of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
         for batch in batches:
-            for start, stop, ids, ends in _tokens(batch.column(4)):
-                starts = np.concatenate([[0], ends[:-1] + 1])
-                unigram = np.where(ids >= 0, tree.base[np.maximum(ids, 0)] if len(tree.base) else 0.0, 0.0)
-                known = np.add.reduceat((ids >= 0).astype(np.int64), starts)
-                yield pa.RecordBatch.from_arrays([
-                    *(batch.column(k).slice(start, stop - start) for k in range(4)), pa.array(known), pa.array(np.add.reduceat(unigram, starts)),
-                    pa.array(np.add.reduceat(token_scores(tree, ids, ends), starts))], names=schema.names)
+            for start, stop, tokens, ends in _tokens(batch.column(1)):
+                added = token_scores(*shared.value, tokens, ends, depth)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(np.add.reduceat(added, np.concatenate([[0], ends[:-1] + 1])))],
+                                                 names=["row", "tree"])
 
-    return encoded.select(*kept, "ids").mapInArrow(run, schema)
+    return encoded.select("row", "tokens").mapInArrow(run, "row long, tree double")
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, context_share: float = CONTEXT_SHARE,
-          pair_share: float = PAIR_SHARE) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_context: int = LEAST_CONTEXT,
+          least_pair: int = LEAST_PAIR, slice_size: int = SLICE) -> DataFrame:
     """Learn from the rows where ``train`` holds and score all: the columns of the contract."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), (~F.coalesce(train, F.lit(False))).alias("held_out"), whole(text_col).alias("text"))
-    known = count_words(docs.filter(~F.col("held_out")).select("text"), pair_share)
-    encoded = written(_encoded(docs, known.hashes), "lm-tokens")  # texts are read twice in all, their ids as often as the tree has levels
-    tree = grow(encoded.filter(~F.col("held_out")), known, depth, context_share, pair_share)
+    known = count_words(docs.filter(~F.col("held_out")).select("text"))
+    encoded = written(_encoded(docs, known), "lm-tokens", "zstd")  # texts are read twice in all
+    weights = written(grow(encoded.filter(~F.col("held_out")), known, depth, least_context, least_pair), "lm-weights")
+    slices = -(-weights.count() // slice_size)
+    sums: list[DataFrame] = []
+    for k in range(slices):
+        part = weights.filter(F.pmod(F.xxhash64("q"), F.lit(slices)) == k).toArrow()  # about slice_size entries
+        hashes, values = part.column("q").to_numpy(), part.column("weight").to_numpy()
+        order = np.argsort(hashes)
+        shared = spark.sparkContext.broadcast((hashes[order], values[order]))
+        sums.append(_added(encoded, shared, depth) if slices == 1 else written(_added(encoded, shared, depth), "lm-slice"))
     asked = encoded.select("row", F.explode("rare").alias("w")).select("row", "w.hash", "w.m")
-    p = F.log10((F.coalesce("n", F.lit(0)) + ADDED) / F.lit(known.tokens + ADDED * (known.distinct + 1)))
+    p = F.log10((F.coalesce("n", F.lit(0)) + ADDED) / F.lit(known.unit))
     found = asked.join(known.words, "hash", "left").groupBy("row").agg(
         F.sum(F.col("m") * p).alias("rare_p"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("rare_known"))
-    rest = F.coalesce("rare_p", F.lit(0.0))
-    return _score_frequent(encoded, tree).join(found, "row", "left").select(
+    rows = encoded.drop("tokens", "rare").join(found, "row", "left")
+    if sums:
+        rows = rows.join(reduce(DataFrame.unionByName, sums).groupBy("row").agg(F.sum("tree").alias("tree")), "row", "left")
+    else:
+        rows = rows.withColumn("tree", F.lit(0.0))
+    base = F.col("base") + F.coalesce("rare_p", F.lit(0.0))
+    return rows.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(known.tokens).cast("long").alias("train_tokens"), (F.col("base") + rest).alias("base_score"), (F.col("tree") + rest).alias("score"))
+        F.lit(known.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.coalesce("tree", F.lit(0.0))).alias("score"))
 
 
 def op5_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,25 +256,74 @@ def test_scores_and_probabilities(spark, docs, rows, nothing):
     assert suffix_tree_lm.score(docs, F.lit(False)).agg(F.min("held_out"), F.max("n_known")).first() == (True, 0)
 
 
-def test_probabilities_after_every_context_sum_to_one(spark):
-    rng = random.Random(2)
-    texts = [" ".join(rng.choice(["a b", "c d e", "f", "g a"]) for _ in range(60)) for _ in range(60)]
-    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+def lm_corpus(rng, n=60):
+    return [" ".join(rng.choice(["a b", "c d e", "f", "g a"]) for _ in range(60)) for _ in range(n)]
+
+
+class BruteTree:
+    """The suffix tree by plain counting: probabilities of any word after any context."""
+
+    def __init__(self, texts, depth=suffix_tree_lm.DEPTH):
+        docs = [self.tokens(t) for t in texts]
+        self.counts = collections.Counter(tuple(d[i - k : i]) for d in docs for k in range(1, depth + 2) for i in range(k, len(d) + 1))
+        self.words = [w for (w, *more) in self.counts if not more]
+        self.unit = sum(map(len, docs)) + 0.1 * (len(self.words) + 1)
+        self.depth, self.states = depth, {}
+
+    @staticmethod
+    def tokens(text):
+        return (text or "").encode().lower().split() + [suffix_tree_lm.END]
+
+    def state(self, context):
+        if context not in self.states:
+            lm, n, kept, below = suffix_tree_lm, self.counts[context], {}, 0.0
+            for w in self.words:
+                pair = self.counts[(*context, w)]
+                if pair >= lm.LEAST_PAIR:
+                    own, low = (pair - lm.DISCOUNT) / n, self.p(context[1:], w)
+                    if max(own / low, low / own) >= lm.RATIO and pair * abs(math.log(own / low)) >= lm.GAIN:
+                        kept[w], below = own, below + low
+            self.states[context] = kept, max(1 - sum(kept.values()), 1e-9) / max(1 - below, 1e-9)
+        return self.states[context]
+
+    def p(self, context, word):
+        if not context:
+            return (self.counts[(word,)] + 0.1) / self.unit
+        if self.counts[context] < suffix_tree_lm.LEAST_CONTEXT or context[-1] == suffix_tree_lm.END:
+            return self.p(context[1:], word)
+        kept, rest = self.state(context)
+        return kept[word] if word in kept else rest * self.p(context[1:], word)
+
+    def score(self, text):
+        tokens = self.tokens(text)
+        return sum(math.log10(self.p(tuple(tokens[max(0, i - self.depth) : i]), w)) for i, w in enumerate(tokens))
+
+
+def lm_weights(rows):
     known = suffix_tree_lm.count_words(rows)
     docs = rows.select(F.lit(1).alias("id"), F.lit(False).alias("held_out"), "text")
-    tree = suffix_tree_lm.grow(suffix_tree_lm._encoded(docs, known.hashes), known)
-    assert len(tree.kept[0]) and len(tree.kept[1])
-    size, unknown = len(tree.hashes), 0.1 / (known.tokens + 0.1 * (known.distinct + 1))
-    for before in ([], [0], [1], [0, 1], [2, 3], [4, 0], [1, 2, 3], [5, 5, 5]):
-        p = 0.0
-        for word in [*range(size), -1]:
-            ids = np.array([*before, word], np.int64)
-            last = suffix_tree_lm.token_scores(tree, ids, np.array([len(ids) - 1]))[-1]
-            p += 10 ** (last + (math.log10(unknown) if word < 0 else 0.0))
-        assert abs(p - 1) < 1e-6
-    scored = suffix_tree_lm.score(rows.withColumn("doc_id", F.monotonically_increasing_id()), F.col("doc_id") % 5 > 0).filter("held_out")
-    base, own = scored.agg(F.sum("base_score"), F.sum("score")).first()
-    assert own > base + 100
+    return dict(map(tuple, suffix_tree_lm.grow(suffix_tree_lm._encoded(docs, known), known).collect()))
+
+
+@pytest.mark.parametrize("slice_size", [suffix_tree_lm.SLICE, 7])
+def test_scores_equal_a_brute_force_suffix_tree(spark, slice_size):
+    rng = random.Random(2)
+    texts = [*lm_corpus(rng), None, "", "x y z", "a b c", "A B\tC d e " * 3000, "a b"]
+    docs = spark.createDataFrame([(i, t, 1, "r", 0.5) for i, t in enumerate(texts)], "doc_id long, text string, tokens int, row string, base double").repartition(3)
+    got = {r.doc_id: r.score for r in suffix_tree_lm.score(docs, F.col("doc_id") % 5 > 0, slice_size=slice_size).collect()}
+    tree = BruteTree([t for i, t in enumerate(texts) if i % 5])
+    for i, t in enumerate(texts):
+        assert math.isclose(got[i], tree.score(t), rel_tol=1e-9), i
+    assert sum(bool(kept) for kept, _ in tree.states.values()) > 5 and max(map(len, tree.states)) == 3
+    for context in ((), (b"a",), (b"a", b"b"), (b"c", b"d"), (b"e", b"a"), (b"b", b"c", b"d"), (b"f", b"f", b"f"), (b"zz", b"a")):
+        assert abs(sum(tree.p(context, w) for w in [*tree.words, b"unknown"]) - 1) < 1e-6
+
+
+def test_more_of_the_same_keeps_every_context(spark):
+    texts = lm_corpus(random.Random(4))
+    small = lm_weights(spark.createDataFrame([(t,) for t in texts], "text string"))
+    large = lm_weights(spark.createDataFrame([(t,) for t in texts * 40], "text string").repartition(8))
+    assert len(small) > 30 and set(small) <= set(large)
 
 
 # --- 6: quality rules ----------------------------------------------------------------------------------------------
