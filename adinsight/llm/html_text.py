@@ -19,6 +19,7 @@ import html as entities
 import re
 import sys
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -77,6 +78,7 @@ def parse(source: str) -> Page:
     tags, parents, marks, content = ["#page"], [-1], [""], [[]]
     runs: list[tuple[int, int, str]] = []
     open_ = [0]
+    opened: Counter[str] = Counter()  # open elements by name
     block = at = 0
     closed: list[int] = []
     hashes = [0]
@@ -93,8 +95,11 @@ def parse(source: str) -> Page:
         content[i] = []
         content[open_[-1]].append(f"\0{hashes[i]}\0")
         closed.append(i)
+        opened[tags[i]] -= 1
 
     def close_upto(names: set[str] | frozenset[str], stop: frozenset[str]) -> None:
+        if not any(opened[name] for name in names):
+            return
         for k in range(len(open_) - 1, 0, -1):
             if tags[open_[k]] in names:
                 while len(open_) > k:
@@ -112,7 +117,7 @@ def parse(source: str) -> Page:
             name = m[1].lower()
             if name in BLOCK:
                 block += 1
-            if any(tags[i] == name for i in open_[1:]):
+            if opened[name]:
                 while tags[open_[-1]] != name:
                     close()
                 close()
@@ -138,6 +143,7 @@ def parse(source: str) -> Page:
         content.append([])
         hashes.append(0)
         open_.append(len(tags) - 1)
+        opened[name] += 1
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
             stop = end.start() if end else len(source)
@@ -176,9 +182,9 @@ def _furniture(page: Page, areas: list[int], i: int) -> bool:
 def candidates(page: Page) -> list[int]:
     """Elements that may be template: all outside the article, and containers inside it."""
     areas = _areas(page)
-    return [i for i in range(1, len(page.tags)) if areas[i] != i and page.tags[i] not in ("html", "body", "#page", "br")
-            and not (areas[i] and (page.tags[i] in TEXTUAL or page.tags[i] in INLINE_PART))
-            and not any(page.tags[k] in ("article", "main") and page.parents[k] == i for k in range(i + 1, min(i + 40, len(page.tags))))]
+    wrappers = {page.parents[k] for k in range(1, len(page.tags)) if page.tags[k] in ("article", "main")}
+    return [i for i in range(1, len(page.tags)) if areas[i] != i and i not in wrappers and page.tags[i] not in ("html", "body", "#page", "br")
+            and not (areas[i] and (page.tags[i] in TEXTUAL or page.tags[i] in INLINE_PART))]
 
 
 def blocks(page: Page, recurring: frozenset[int] | set[int] = frozenset()) -> list[str]:

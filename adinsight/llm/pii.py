@@ -274,8 +274,24 @@ def _drawn(entities: DataFrame, key: bytes) -> DataFrame:
 
 
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, canonical, surrogate) for distinct entities, without clashes."""
-    entities = written(entities.select("kind", "canonical").distinct(), "pii-entities")
+    """(kind, canonical, surrogate) for distinct entities, without clashes.
+
+    A given name has one surrogate, whatever titles it stands after: of the gender that they state, or of none if they
+    state none or both.
+    """
+    found = written(entities.select("kind", "canonical").distinct(), "pii-entities")
+    stated = F.array_remove(F.collect_set("kind"), "given-x")  # at most two
+    gender = found.filter(F.col("kind").startswith("given-")).groupBy("canonical").agg(stated.alias("stated")).select(
+        "canonical", F.when(F.size("stated") == 1, F.col("stated")[0]).otherwise("given-x").alias("settled"))
+    settled = F.when(F.col("kind").startswith("given-"), F.col("settled")).otherwise(F.col("kind"))
+    found = written(found.join(gender, "canonical", "left").select("kind", "canonical", settled.alias("settled")), "pii-settled")
+    drawn = _settled(found.select(F.col("settled").alias("kind"), "canonical").distinct(), key)
+    return found.join(drawn.withColumnRenamed("kind", "settled"), ["settled", "canonical"]).select("kind", "canonical", "surrogate")
+
+
+def _settled(entities: DataFrame, key: bytes) -> DataFrame:
+    """(kind, canonical, surrogate) of distinct entities: losers of a clash are drawn again until there is none."""
+    entities = written(entities, "pii-distinct")
     real = entities.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
     now = written(_drawn(entities.withColumn("attempt", F.lit(0)), key), "pii-draws")
     while True:

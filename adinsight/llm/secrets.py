@@ -77,6 +77,7 @@ class Kind(NamedTuple):
     least: int = 1
     valid: Callable[[str], bool] | None = None
     any_case: bool = False
+    run: str | None = None  # where what follows a run decides, a refused hit rules out the later ones in it
 
 
 # The contract's expressions and the published shapes of the added kinds, in order of their names in ties.
@@ -87,7 +88,7 @@ KINDS = (
     Kind("hex", (), r"[0-9a-f]+", 0, 32),
     Kind("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])", 0, 1, _github),
     Kind("npm", ("npm_",), r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])", 0, 1, _github),
-    Kind("jwt", ("eyJ",), r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 1, _jwt),
+    Kind("jwt", ("eyJ",), r"eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", 0, 1, _jwt, run=r"[A-Za-z0-9_-]+"),
     Kind("stripe", ("sk_live_", "rk_live_"), r"[sr]k_live_[A-Za-z0-9]{24,}"),
     Kind("slack", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), r"xox[abprs]-[0-9]+-[0-9]+-[A-Za-z0-9-]+"),
     Kind("google", ("AIza",), r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])"),
@@ -104,6 +105,7 @@ class Scanner:
 
         self.kinds = kinds
         self.patterns = [re.compile(k.pattern) for k in kinds]
+        self.runs = [k.run and re.compile(k.run) for k in kinds]
         self.automaton = ahocorasick.Automaton()
         words: dict[str, list[int]] = {}
         for n, kind in enumerate(kinds):
@@ -128,7 +130,11 @@ class Scanner:
         for n, places in starts.items():
             kind, pattern = self.kinds[n], self.patterns[n]
             for at in sorted(places):
-                if at < free[n] or not (m := pattern.match(text, at)):
+                if at < free[n]:
+                    continue
+                if not (m := pattern.match(text, at)):
+                    if self.runs[n]:  # what follows the run refused this hit and would refuse every later one in it
+                        free[n] = self.runs[n].match(text, at).end()
                     continue
                 free[n] = m.end()
                 if m.end(kind.group) - m.start(kind.group) >= kind.least and (kind.valid is None or kind.valid(m[0])):
