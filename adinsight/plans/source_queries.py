@@ -119,6 +119,13 @@ BUDGET = """select cast(n_nationkey+3 as bigint) row_index, array(n_name, c_mkts
 register("s14_budget_scan", lambda f: budget_files.budget_lines(derived(f, BUDGET), "annual"), f"""
 select cast(null as varchar) as brand, n_name as region, c_mktsegment as category, {rnd('(count(*)*1000+0.6)/12e0', 2)} as monthly
  from {{customer}} join {{nation}} on n_nationkey=c_nationkey where n_nationkey%6<>0 group by 1,2,3""")
+DEEP_BUDGET = """select cast(n_nationkey+9 as bigint) row_index, array(c_mktsegment, n_name, concat(cast(count(*) as string), '.50')) cells
+ from {customer} join {nation} on n_nationkey=c_nationkey group by n_nationkey, n_name, c_mktsegment
+ union all select cast(r_regionkey as bigint), array(concat('Notes on ', r_name)) from {region} union all select cast(r_regionkey+5 as bigint), array() from {region} where r_regionkey<3
+ union all select cast(min(n_nationkey)+8 as bigint), array('Product','Region','Monthly Budget') from {nation}"""
+register("s14_deep_header", lambda f: budget_files.budget_lines(derived(f, DEEP_BUDGET), header_rows=12), f"""
+select cast(null as varchar) as brand, n_name as region, c_mktsegment as category, {rnd('count(*)+0.5e0', 2)} as monthly
+ from {{customer}} join {{nation}} on n_nationkey=c_nationkey group by 1,2,3""")
 register("s15_bundle_rows", lambda f: bundle_sink.bundle_rows({"regions": f["region"], "nations": f["nation"]}, "sample"), """
 select 'sample' as client_id, 'regions' as section, '{"r_regionkey":'||r_regionkey||',"r_name":"'||r_name||'"}' as row from {region}
 union all select 'sample', 'nations', '{"n_nationkey":'||n_nationkey||',"n_name":"'||n_name||'","n_regionkey":'||n_regionkey||'}' from {nation}""")

@@ -175,6 +175,13 @@ def test_budget_short_keys_match_whole_words(spark):
     assert budget_lines(rows).collect()[0]["monthly"] == 10.0
 
 
+def test_budget_header_depth(spark):
+    rows = budget_rows(spark, [["note"]] * 8 + [["Region", "Budget"], ["N", "10"]])
+    assert [r.monthly for r in budget_lines(rows, header_rows=9).collect()] == [10.0]
+    with pytest.raises(Exception, match="no budget header in the first 5 rows"):
+        budget_lines(rows).collect()
+
+
 def test_budget_without_header_is_an_error(spark, tmp_path):
     path = tmp_path / "bad.csv"
     path.write_text("Foo,Bar\n1,2\n")
