@@ -140,13 +140,6 @@ class Generations(dict):
         self.put(key, value)
         return value
 
-    def known(self, key):
-        """The value if it is held, else None."""
-        value = self.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
-        return value
-
     def put(self, key, value) -> None:
         if self.held >= self.limit:
             self.old, self.held = dict(self), 0
