@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adinsight.functions import dates, numbers
@@ -175,21 +175,35 @@ TERM_COLUMNS = {
 }
 
 
-def scanned(f: Facts) -> DataFrame:
-    """Search terms written as exports and read back, one input partition per file."""
+def scanned(f: Facts, count: int, split_bytes: int = report_files.SPLIT_BYTES) -> DataFrame:
+    """Search terms written as ``count`` exports and read back, files beyond ``split_bytes`` by several tasks."""
     rows = f["fx_search_terms"].withColumn("pick", F.xxhash64("search_term", "row_index"))
-    folder = export(f, rows, TERM_COLUMNS, scratch(f.spark), 16)
+    folder = export(f, rows, TERM_COLUMNS, scratch(f.spark), count)
     paths = report_files.list_reports(folder, recursive=True)
     files = report_files.describe_files(report_files.read_cells(f.spark, paths, "headers"))
-    return report_files.land_rows(report_files.records(report_files.read_cells(f.spark, paths), files))
+    return report_files.land_rows(report_files.records(report_files.read_cells(f.spark, paths, split_bytes=split_bytes), files))
 
 
-register("s01_report_scan", lambda f: scanned(f).groupBy("report_type", F.col("record")["added_excluded"].alias("added")).agg(
-    F.count("*").alias("rows"), F.count("impressions").alias("with_impressions"), F.sum(F.size("record")).alias("cells"),
-    F.count(F.when(F.col("entity").contains(","), 1)).alias("with_comma"), F.count(F.when(F.col("entity").contains("\n"), 1)).alias("with_break"),
-    numbers.whole(numbers.total("clicks")).alias("clicks"), numbers.rounded(numbers.total("cost"), 2).alias("cost")), f"""
+def scan_sums(rows: DataFrame, *more: Column) -> DataFrame:
+    return rows.groupBy("report_type", F.col("record")["added_excluded"].alias("added")).agg(
+        F.count("*").alias("rows"), F.count("impressions").alias("with_impressions"), F.sum(F.size("record")).alias("cells"),
+        F.count(F.when(F.col("entity").contains(","), 1)).alias("with_comma"), F.count(F.when(F.col("entity").contains("\n"), 1)).alias("with_break"),
+        numbers.whole(numbers.total("clicks")).alias("clicks"), numbers.rounded(numbers.total("cost"), 2).alias("cost"), *more)
+
+
+SCAN_SQL = f"""
 select 'search_terms' as report_type, case when row_index%3<>0 then added_excluded end as added, {cnt()} as rows, {cnt('row_index%4<>0')} as with_impressions, cast(count(*)*8 as bigint) as cells,
- {cnt('row_index%5=0')} as with_comma, {cnt('row_index%5<>0 and row_index%7=0')} as with_break, cast(sum(clicks) as bigint) as clicks, {rnd(tot('cost'), 2)} as cost from {{fx_search_terms}} group by 2""")
+ {cnt('row_index%5=0')} as with_comma, {cnt('row_index%5<>0 and row_index%7=0')} as with_break, cast(sum(clicks) as bigint) as clicks, {rnd(tot('cost'), 2)} as cost from {{fx_search_terms}} group by 2"""
+register("s01_report_scan", lambda f: scan_sums(scanned(f, 16)), SCAN_SQL)
+
+
+def split_scanned(f: Facts) -> DataFrame:
+    """Search terms in files of some 250,000 rows, read in pieces of 256 KiB; ``places`` counts file and row number."""
+    rows = scanned(f, 1 + f["fx_search_terms"].count() // 250_000, 256 << 10)
+    return scan_sums(rows, F.count_distinct("source_file", "row_index").alias("places"))
+
+
+register("s01_split_scan", split_scanned, SCAN_SQL.replace("as rows,", f"as rows, {cnt()} as places,"))
 
 CAMPAIGN_COLUMNS = {"Campaign": "campaign", "Campaign type": "campaign_type", "Month": "date_format(month_start,'MMMM yyyy')", "Clicks": "cast(clicks as string)",
                     "Impr.": "cast(impressions as string)", "Cost": "format_number(cost,6)", "Conversions": "cast(conversions as string)"}

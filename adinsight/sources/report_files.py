@@ -2,8 +2,15 @@
 
 An export is a CSV file: a title line, a window line, a header line, data rows
 (cells may hold quoted line breaks) and total rows.  :class:`ReportSource` only
-turns bytes into cells, one input partition per file, streaming record by record;
-typing, slugs, detection and cleaning are Column expressions on its output.
+turns bytes into cells, streaming record by record; typing, slugs, detection and
+cleaning are Column expressions on its output.
+
+A file beyond ``split_bytes`` is read by several tasks.  A byte range may begin
+anywhere inside a quoted cell, so two passes find the record starts first: every
+block is read once for each state it may begin in (:func:`scan_block`), the states
+are chained from block to block, and each range then begins behind the first line
+break that ends a record.  The second pass counts the records of the ranges, so
+that rows carry the numbers that one task would have given them.
 """
 
 from __future__ import annotations
@@ -11,8 +18,10 @@ from __future__ import annotations
 import csv
 import io
 import itertools
+import json
+import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -64,6 +73,18 @@ METRICS = {"clicks": "clicks", "impr": "impressions", "cost": "cost", "conversio
 FORMAT = "ad_report"
 HEADER_ROW = -1
 BATCH_ROWS = 8192
+SPLIT_BYTES = 64 << 20  # files up to this size are read by one task
+SPLIT_TASKS = 10_000  # tasks of a pass over blocks; beyond, a task takes several
+CHUNK_BYTES = 1 << 16
+
+# What a byte of a file may follow: the start of a cell, plain text of a cell, quoted
+# text, or a quotation mark inside quoted text (its end, or the first of a pair).
+CELL_START, PLAIN, QUOTED, AFTER_QUOTE = range(4)
+_PLAIN = re.compile(rb"[^,\r\n]*+")
+_QUOTED = re.compile(rb'(?:[^"]++|"")*+')
+_CELL = rb'(?:"(?:[^"]++|"")*+"[^,\r\n]*+|(?!")[^,\r\n]*+)'
+_CELLS = re.compile(rb"(?:" + _CELL + rb"[,\r\n])*+")
+_RECORD = re.compile(rb"(?:" + _CELL + rb",)*+" + _CELL + rb"[\r\n]")
 
 # The reader travels to the workers by value, so they need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -95,47 +116,81 @@ def window_text(line: str) -> str:
     return (first[0] if bare.startswith('"') and first else bare).strip('"')
 
 
-def _records(path: str, preamble: bool, headers_only: bool) -> Iterator[tuple]:
-    """(row_index, window_raw, cells) of one file; the header comes as row -1."""
-    csv.field_size_limit(CELL_CHARACTERS)
+@dataclass
+class Piece(InputPartition):
+    """A file, or the records of one between two record starts; ``first`` is the number of its first row."""
+
+    path: str
+    start: int | None = None
+    end: int | None = None
+    first: int = 0
+
+
+def _head(path: str) -> tuple[list[str], int]:
+    """The first lines of a file, four at most, and where the fourth begins."""
     fs, inner = _filesystem(path)
-    with fs.open_input_stream(inner) as raw, io.TextIOWrapper(io.BufferedReader(raw), encoding="utf-8-sig") as text:
-        window = ""
-        if preamble:
-            head = list(itertools.islice(text, 4))
-            if len(head) < 4:
-                return
-            window = window_text(head[1])
-            yield HEADER_ROW, window, next(csv.reader([head[2]]), [])
-            if headers_only:
-                return
-            text = itertools.chain([head[3]], text)
-        index = 0
-        for cells in csv.reader(text):
-            blank = all(not c.strip() for c in cells)
-            if not cells or blank or (preamble and cells[0].strip().lower() == "total"):
-                continue
-            yield index, window, cells
-            index += 1
+    found = b""
+    with fs.open_input_stream(inner) as raw:
+        while chunk := raw.read(CHUNK_BYTES):
+            found += chunk
+            if len(re.findall(rb"\r\n?|\n", found[:-1])) > 3:
+                break
+    breaks = [m.end() for m in re.finditer(rb"\r\n?|\n", found)]
+    start = breaks[2] if len(breaks) > 2 else len(found)
+    text = io.TextIOWrapper(io.BytesIO(found[:start]), encoding="utf-8-sig")
+    return list(text) + (["..."] if start < len(found) else []), start
+
+
+def _data_start(path: str, preamble: bool) -> int | None:
+    """Where the records of a file begin; None where it has none."""
+    if preamble:
+        lines, start = _head(path)
+        return start if len(lines) == 4 else None
+    fs, inner = _filesystem(path)
+    with fs.open_input_stream(inner) as raw:
+        return 3 if raw.read(3) == b"\xef\xbb\xbf" else 0
 
 
-@dataclass
-class FilePartition(InputPartition):
-    path: str
+def _kept(cells: list[str], preamble: bool) -> bool:
+    blank = all(not c.strip() for c in cells)
+    return not blank and not (preamble and cells[0].strip().lower() == "total")
+
+
+def _records(piece: Piece, preamble: bool, headers_only: bool) -> Iterator[tuple]:
+    """(row_index, window_raw, cells) of a piece; the header comes as row -1."""
+    csv.field_size_limit(CELL_CHARACTERS)
+    window = ""
+    start = piece.start
+    if preamble:
+        lines, begin = _head(piece.path)
+        if len(lines) < 4:
+            return
+        window = window_text(lines[1])
+        if headers_only:
+            yield HEADER_ROW, window, next(csv.reader([lines[2]]), [])
+            return
+        start = begin if start is None else start
+    fs, inner = _filesystem(piece.path)
+    with fs.open_input_file(inner) as file:
+        end = file.size() if piece.end is None else piece.end
+        with file.get_stream(start or 0, end - (start or 0)) as raw, \
+                io.TextIOWrapper(io.BufferedReader(raw), encoding="utf-8" if start else "utf-8-sig") as text:
+            kept = (cells for cells in csv.reader(text) if _kept(cells, preamble))
+            for index, cells in enumerate(kept, piece.first):
+                yield index, window, cells
 
 
 class ReportReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.paths = [p for p in options.get("paths", "").split("\n") if p]
+        self.pieces = [Piece(*p) for p in json.loads(options.get("pieces", "[]"))]
         self.preamble = options.get("preamble", "true") == "true"
         self.part = options.get("part", "rows")
 
-    def partitions(self) -> list[FilePartition]:
-        return [FilePartition(p) for p in self.paths]
+    def partitions(self) -> list[Piece]:
+        return self.pieces
 
-    def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
-        wanted = self.part == "headers"
-        rows = (r for r in _records(partition.path, self.preamble, wanted) if (r[0] == HEADER_ROW) == wanted)
+    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+        rows = _records(partition, self.preamble, self.part == "headers")
         schema = pa.schema([("file", pa.string()), ("row_index", pa.int64()), ("window_raw", pa.string()),
                             ("cells", pa.list_(pa.string()))])
         while batch := list(itertools.islice(rows, BATCH_ROWS)):
@@ -159,12 +214,112 @@ class ReportSource(DataSource):
         return ReportReader(dict(self.options))
 
 
-def read_cells(spark: SparkSession, paths: list[str], part: str = "rows", preamble: bool = True) -> DataFrame:
+# --- splitting ----------------------------------------------------------------------
+
+
+def _from_cell(block: bytes, at: int) -> tuple[int, int | None]:
+    end = _CELLS.match(block, at).end()
+    record = _RECORD.match(block, at)
+    if end == len(block):
+        state = CELL_START
+    elif block[end:end + 1] != b'"':
+        state = PLAIN
+    else:
+        mark = _QUOTED.match(block, end + 1).end()
+        left = len(block) - mark
+        state = QUOTED if left == 0 else AFTER_QUOTE if left == 1 else PLAIN
+    return state, record.end() if record else None
+
+
+def _from_plain(block: bytes, at: int) -> tuple[int, int | None]:
+    end = _PLAIN.match(block, at).end()
+    if end == len(block):
+        return PLAIN, None
+    state, cut = _from_cell(block, end + 1)
+    return state, cut if block[end:end + 1] == b"," else end + 1
+
+
+def _from_quoted(block: bytes, at: int) -> tuple[int, int | None]:
+    end = _QUOTED.match(block, at).end()
+    if end == len(block):
+        return QUOTED, None
+    return _from_plain(block, end + 1) if end + 1 < len(block) else (AFTER_QUOTE, None)
+
+
+def scan_block(block: bytes) -> list[tuple[int, int | None]]:
+    """For each state the block may begin in: the state behind it, and the end of its first record, if any.
+
+    The states are those of the csv module, so a quotation mark inside plain text
+    does not open a quotation, as it would if marks were merely counted.
+    """
+    after = _from_quoted(block, 1) if block[:1] == b'"' else _from_plain(block, 0)
+    return [_from_cell(block, 0), _from_plain(block, 0), _from_quoted(block, 0), after]
+
+
+def _over_pieces(spark: SparkSession, pieces: list[Piece], found: Callable[[Piece], list[int]]) -> list:
+    """One result per piece, computed by tasks; the rows come back in the order of file and start."""
+    schema = "path string, start bigint, end bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([{**row, "found": found(Piece(**row))}], schema=out)
+
+    out = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("found", pa.list_(pa.int64()))])
+    frame = spark.createDataFrame([(p.path, p.start, p.end) for p in pieces], schema)
+    rows = frame.repartition(min(len(pieces), SPLIT_TASKS)).mapInArrow(run, schema + ", found array<bigint>").collect()
+    return sorted(rows, key=lambda r: (r["path"], r["start"]))
+
+
+def split_files(spark: SparkSession, paths: list[str], preamble: bool, split_bytes: int) -> list[Piece]:
+    """Files as pieces of about ``split_bytes`` that begin at record starts.
+
+    Whole files up to that size cost nothing but the listing.  Of larger ones a row
+    per block reaches the driver, which keeps the list of input partitions anyway.
+    """
+    sizes = {p: fs.get_file_info(inner).size for p in paths for fs, inner in [_filesystem(p)]}
+    large = {p: _data_start(p, preamble) for p in sorted(set(paths)) if sizes[p] > split_bytes}
+    blocks = [Piece(p, at, min(at + split_bytes, sizes[p])) for p, start in large.items() if start is not None
+              for at in range(start, sizes[p], split_bytes)]
+    if not blocks:
+        return [Piece(p) for p in paths]
+
+    def scanned(piece: Piece) -> list[int]:
+        fs, inner = _filesystem(piece.path)
+        with fs.open_input_file(inner) as file:
+            pairs = scan_block(file.read_at(piece.end - piece.start, piece.start))
+        return [x for state, cut in pairs for x in (state, -1 if cut is None else piece.start + cut)]
+
+    def counted(piece: Piece) -> list[int]:
+        return [sum(1 for _ in _records(piece, preamble, False))]
+
+    starts = {p: [start] for p, start in large.items() if start is not None}
+    path, state = None, CELL_START
+    for row in _over_pieces(spark, blocks, scanned):
+        begins = row["path"] != path
+        path, state = row["path"], CELL_START if begins else state
+        state, cut = row["found"][2 * state:2 * state + 2]
+        if not begins and starts[path][-1] < cut < sizes[path]:
+            starts[path].append(cut)
+    ranges = [Piece(p, a, b) for p, found in starts.items() for a, b in zip(found, [*found[1:], sizes[p]])]
+    numbered: dict[str, list[Piece]] = {p: [] for p in starts}
+    first = 0
+    for row in _over_pieces(spark, ranges, counted):
+        first = first if numbered[row["path"]] else 0
+        numbered[row["path"]].append(Piece(row["path"], row["start"], row["end"], first))
+        first += row["found"][0]
+    return [piece for p in paths for piece in numbered.get(p, [Piece(p)])]
+
+
+def read_cells(spark: SparkSession, paths: list[str], part: str = "rows", preamble: bool = True,
+               split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Cells of the files; no paths give an empty frame."""
     if not paths:
         return spark.createDataFrame([], "file string, row_index bigint, window_raw string, cells array<string>")
     spark.dataSource.register(ReportSource)
-    reader = spark.read.format(FORMAT).option("paths", "\n".join(paths)).option("part", part)
+    pieces = [Piece(p) for p in paths] if part == "headers" else split_files(spark, paths, preamble, split_bytes)
+    listed = json.dumps([(p.path, p.start, p.end, p.first) for p in pieces])
+    reader = spark.read.format(FORMAT).option("pieces", listed).option("part", part)
     return reader.option("preamble", str(preamble).lower()).load()
 
 

@@ -258,3 +258,63 @@ def test_the_last_name_wins_whatever_the_batches(spark, tmp_path_factory, limit)
     assert query.exception() is None
     assert house.uploads().first()["source_file"] == "b.csv"
     assert {r["date"] for r in house.rows().collect()} == {"January 2025", "February 2025"}
+
+
+ODD = ("t\nw\nSearch term,Clicks\n\"a \"\"b\"\", c\",1\n\"two\n\"\"lines\"\"\n\",2\n5\" pipe,\"3\"\n\"x\"y\"z,4\n\n,\nTotal,9\n"
+       "\"\",\"\"\n\u00e9\u00df\"\u4e2d,5\r\n\"cr\r\nlf\",6\rlone,7\n\",\n,\",8\nlast \"open,9\nq,\"no end\n,")
+
+
+def serial_states(data):
+    """States behind every byte and record ends, by the rules of the csv module a byte at a time."""
+    cell, plain, quoted, after = range(4)
+    for start in range(4):
+        state, cut = start, None
+        for at, byte in enumerate(data):
+            c = chr(byte)
+            if state == quoted:
+                state = after if c == '"' else quoted
+            elif state == cell and c == '"' or state == after and c == '"':
+                state = quoted
+            elif c in ",\r\n":
+                cut = at + 1 if cut is None and c != "," else cut
+                state = cell
+            else:
+                state = plain
+        yield state, cut
+
+
+def test_block_states_follow_the_csv_rules():
+    data = ODD.encode()
+    for start in range(len(data)):
+        for end in (start + 1, start + 2, start + 7, start + 30, len(data)):
+            block = data[start:end]
+            assert report_files.scan_block(block) == list(serial_states(block)), block
+
+
+@pytest.mark.parametrize("preamble", [True, False])
+def test_split_file_equals_the_serial_reader_at_every_cut(spark, tmp_path, preamble):
+    path, bare = tmp_path / "odd.csv", tmp_path / "odd2.csv"
+    path.write_bytes(b"\xef\xbb\xbf" + ODD.encode())
+    bare.write_bytes(ODD.replace("\n", "\r\n").encode())
+    short = tmp_path / "short.csv"
+    short.write_bytes(b"one line that is longer than a block of the test, and no other")
+    paths = [str(path), str(short), str(bare)]
+
+    def read(split):
+        rows = report_files.read_cells(spark, paths, preamble=preamble, split_bytes=split)
+        return rows.rdd.getNumPartitions(), sorted(map(tuple, rows.collect()))
+
+    tasks, serial = read(1 << 20)
+    assert tasks == 3 and len(serial) > 15
+    for split in (1, 3, 10, 25, 40, 64):
+        tasks, rows = read(split)
+        assert rows == serial and (split > 40 or tasks > 6), split
+
+
+def test_long_quoted_cells_split_without_record_starts(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("t\nw\nSearch term,Clicks\n" + "".join(f'"{"a,\n" * n}",{n}\n' for n in (5, 9000, 0, 4000)), encoding="utf-8")
+    whole = report_files.read_cells(spark, [str(path)]).collect()
+    parts = report_files.read_cells(spark, [str(path)], split_bytes=1000)
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole)) and len(whole) == 4
+    assert 1 < parts.rdd.getNumPartitions() < 5
