@@ -231,6 +231,26 @@ register("s11_write_ledger", lambda f: loaded(f).uploads().select("client_id", "
     for c, d in (("one", "2000-01-01"), ("two", "1900-01-01"))))
 
 
+def interrupted(f: Facts) -> DataFrame:
+    """Rows and ledger of two clients after a second load of each, of which one is lost before its commit."""
+    home = scratch(f.spark)
+    rows = f[CAMP].withColumn("pick", F.xxhash64("campaign", "month_start"))
+    first = report_files.list_reports(export(f, rows, CAMPAIGN_COLUMNS, f"{home}/first", 1), recursive=True)
+    again = report_files.list_reports(export(f, rows.filter("month_start >= '2000-01-01'"), CAMPAIGN_COLUMNS, f"{home}/again", 1), recursive=True)
+    house = warehouse.Warehouse(f.spark, f"{home}/house")
+    for client, paths in (("one", first), ("two", first), ("one", again)):
+        warehouse.load_files(house, client, paths)
+    house.stage(house.rows().filter("client_id = 'one'").withColumn("client_id", F.lit("two")))
+    sums = house.rows().groupBy("client_id", "report_type").agg(
+        F.count("*").alias("rows"), F.count_distinct("row_index").alias("places"), numbers.rounded(numbers.total("cost"), 2).alias("cost"))
+    return sums.join(house.uploads().select("client_id", "report_type", "row_count"), ["client_id", "report_type"])
+
+
+register("s09_versioned_commit", interrupted, " union all ".join(
+    f"select '{c}' as client_id, 'campaign_performance' as report_type, {cnt()} as rows, {cnt()} as places, {rnd(tot('cost'), 2)} as cost, {cnt()} as row_count from {{{CAMP}}} where month_start>=date '{d}'"
+    for c, d in (("one", "2000-01-01"), ("two", "1900-01-01"))))
+
+
 def arrived(f: Facts) -> DataFrame:
     """The same campaign report picked up by the arrival stream, run twice."""
     home = scratch(f.spark)

@@ -94,7 +94,8 @@ CELL_CHARACTERS = 1 << 30  # a report's cell may be longer than the csv module's
 # --- reading ------------------------------------------------------------------------
 
 
-def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+def open_filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The filesystem of a path, and the path within it."""
     if "://" in path or path.startswith("file:"):
         return pafs.FileSystem.from_uri(path)
     return pafs.LocalFileSystem(), path
@@ -102,7 +103,7 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 def list_reports(folder: str, recursive: bool = False) -> list[str]:
     """CSV files inside a folder (any filesystem Arrow can open), by name."""
-    fs, root = _filesystem(folder)
+    fs, root = open_filesystem(folder)
     found = fs.get_file_info(pafs.FileSelector(root, recursive=recursive))
     names = sorted(i.path for i in found if i.type == pafs.FileType.File and i.path.endswith(".csv"))
     scheme = folder.split("://", 1)[0] + "://" if "://" in folder else ""
@@ -128,7 +129,7 @@ class Piece(InputPartition):
 
 def _head(path: str) -> tuple[list[str], int]:
     """The first lines of a file, four at most, and where the fourth begins."""
-    fs, inner = _filesystem(path)
+    fs, inner = open_filesystem(path)
     found = b""
     with fs.open_input_stream(inner) as raw:
         while chunk := raw.read(CHUNK_BYTES):
@@ -146,7 +147,7 @@ def _data_start(path: str, preamble: bool) -> int | None:
     if preamble:
         lines, start = _head(path)
         return start if len(lines) == 4 else None
-    fs, inner = _filesystem(path)
+    fs, inner = open_filesystem(path)
     with fs.open_input_stream(inner) as raw:
         return 3 if raw.read(3) == b"\xef\xbb\xbf" else 0
 
@@ -170,7 +171,7 @@ def _records(piece: Piece, preamble: bool, headers_only: bool) -> Iterator[tuple
             yield HEADER_ROW, window, next(csv.reader([lines[2]]), [])
             return
         start = begin if start is None else start
-    fs, inner = _filesystem(piece.path)
+    fs, inner = open_filesystem(piece.path)
     with fs.open_input_file(inner) as file:
         end = file.size() if piece.end is None else piece.end
         with file.get_stream(start or 0, end - (start or 0)) as raw, \
@@ -277,7 +278,7 @@ def split_files(spark: SparkSession, paths: list[str], preamble: bool, split_byt
     Whole files up to that size cost nothing but the listing.  Of larger ones a row
     per block reaches the driver, which keeps the list of input partitions anyway.
     """
-    sizes = {p: fs.get_file_info(inner).size for p in paths for fs, inner in [_filesystem(p)]}
+    sizes = {p: fs.get_file_info(inner).size for p in paths for fs, inner in [open_filesystem(p)]}
     large = {p: _data_start(p, preamble) for p in sorted(set(paths)) if sizes[p] > split_bytes}
     blocks = [Piece(p, at, min(at + split_bytes, sizes[p])) for p, start in large.items() if start is not None
               for at in range(start, sizes[p], split_bytes)]
@@ -285,7 +286,7 @@ def split_files(spark: SparkSession, paths: list[str], preamble: bool, split_byt
         return [Piece(p) for p in paths]
 
     def scanned(piece: Piece) -> list[int]:
-        fs, inner = _filesystem(piece.path)
+        fs, inner = open_filesystem(piece.path)
         with fs.open_input_file(inner) as file:
             pairs = scan_block(file.read_at(piece.end - piece.start, piece.start))
         return [x for state, cut in pairs for x in (state, -1 if cut is None else piece.start + cut)]

@@ -1,22 +1,25 @@
 """The landing warehouse: snapshot replacement, preserved scores, ledger and coverage.
 
-Both tables are Parquet, partitioned by client and report type.  A load replaces
-exactly the partitions of the reports it brings (dynamic partition overwrite), so
-loading twice equals loading once and other clients are never touched.  Every
-partition also holds one marker row (row_index -1): a report that arrives without
-data rows still replaces the earlier one.
+Both tables are Parquet.  A load first writes its rows below a version of its own,
+where no reader looks, and then appends its ledger rows, which name that version, as
+one file.  That file is the commit: the newest ledger row of a client and report type
+says which version holds its rows.  A load that is lost on the way leaves the earlier
+snapshot and its ledger as they were, loading twice equals loading once, other clients
+are never touched, and a report that arrives without data rows replaces the earlier one.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from adinsight.sources.report_files import HEADER_ROW, describe_files, land_rows, list_reports, read_cells, records
+from adinsight.sources.report_files import describe_files, land_rows, list_reports, open_filesystem, read_cells, records
 
 # The reports expected of an account, and the fields a re-load keeps.
 EXPECTED_REPORTS = (
@@ -29,15 +32,16 @@ PRESERVED_REPORT = "search_keyword_qs"
 KEYWORD_KEY = ("search_keyword", "search_keyword_match_type", "campaign", "ad_group")
 
 NO_TABLE_YET = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")  # no folder, or one without files
-PARTITIONS = ("client_id", "report_type")
+SNAPSHOT = ("client_id", "report_type")
+PARTITIONS = (*SNAPSHOT, "version")
 ROWS_SCHEMA = (
     "source_file string, row_index bigint, campaign string, ad_group string, entity string, date string, clicks double, "
     "impressions double, cost double, conversions double, conv_value double, record map<string,string>, "
-    "client_id string, report_type string"
+    "client_id string, report_type string, version string"
 )
 UPLOADS_SCHEMA = (
     "upload_id bigint, source_file string, window_raw string, window_start date, window_end date, row_count bigint, "
-    "uploaded_at timestamp, client_id string, report_type string"
+    "uploaded_at timestamp, report_type string, version string, commit bigint, client_id string"
 )
 
 
@@ -65,16 +69,59 @@ class Warehouse:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
+    def _ledger(self) -> DataFrame:
+        """The newest ledger row per client and report type."""
+        every = self._read(self.uploads_path, UPLOADS_SCHEMA)
+        fields = F.struct(*[c for c in every.columns if c not in SNAPSHOT])
+        newest = every.groupBy(*SNAPSHOT).agg(F.max_by(fields, F.struct("commit", "version")).alias("newest"))
+        return newest.select("newest.*", *SNAPSHOT)
+
     def rows(self) -> DataFrame:
-        """Landed data rows without the markers."""
-        return self._read(self.rows_path, ROWS_SCHEMA).filter(F.col("row_index") > HEADER_ROW)
+        """Rows of the committed snapshots.  The broadcast versions, one a client and report type, prune the scan."""
+        stored = self._read(self.rows_path, ROWS_SCHEMA)
+        committed = F.broadcast(self._ledger().select(*PARTITIONS))
+        return stored.join(committed, list(PARTITIONS), "left_semi").select(*[c for c in stored.columns if c != "version"])
 
     def uploads(self) -> DataFrame:
-        return self._read(self.uploads_path, UPLOADS_SCHEMA)
-
-    def replace(self, df: DataFrame, path: str) -> None:
-        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(*PARTITIONS).parquet(path)
+        ledger = self._ledger()
+        return ledger.drop("version", "commit")
+
+    def stage(self, rows: DataFrame) -> str:
+        """Write rows below a new version, which no reader sees before it is published."""
+        version = uuid.uuid4().hex
+        staged = rows.withColumn("version", F.lit(version))
+        staged.write.mode("append").partitionBy(*PARTITIONS).parquet(self.rows_path)
+        return version
+
+    def publish(self, client_id: str, version: str, files: DataFrame) -> DataFrame:
+        """Commit a staged version for the report types of ``files``; returns its ledger rows.
+
+        All rows of the commit go into one file, so they appear together or not at all.
+        """
+        staged = self._read(self.rows_path, ROWS_SCHEMA).filter((F.col("client_id") == client_id) & (F.col("version") == version))
+        counts = staged.groupBy("report_type").agg(F.count("*").alias("row_count"))
+        mine = self._read(self.uploads_path, UPLOADS_SCHEMA).filter(F.col("client_id") == client_id)
+        commit = mine.agg(F.coalesce(F.max("commit"), F.lit(0))).first()[0] + 1
+        now = F.current_timestamp()
+        ledger = files.join(counts, "report_type", "left").select(
+            F.xxhash64(F.lit(client_id), "report_type", now).alias("upload_id"), "source_file", "window_raw", "window_start",
+            "window_end", F.coalesce("row_count", F.lit(0)).alias("row_count"), now.alias("uploaded_at"), "report_type",
+            F.lit(version).alias("version"), F.lit(commit).cast("bigint").alias("commit"), F.lit(client_id).alias("client_id"),
+        )
+        ledger.coalesce(1).write.mode("append").partitionBy("client_id").parquet(self.uploads_path)
+        return self._ledger().filter((F.col("client_id") == client_id) & (F.col("version") == version)).drop("version", "commit")
+
+    def vacuum(self, client_id: str) -> int:
+        """Delete a client's replaced and unpublished versions; returns how many.  No load of the client may be running."""
+        fs, root = open_filesystem(f"{self.rows_path}/client_id={client_id}")
+        ledger = self._ledger().filter(F.col("client_id") == client_id)
+        keep = {(f"report_type={r['report_type']}", f"version={r['version']}") for r in ledger.collect()}  # a row a report type
+        found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=True))
+        parts = [(i.path, tuple(i.path.split("/")[-2:])) for i in found if i.type == pafs.FileType.Directory]
+        stale = [path for path, names in parts if names[1].startswith("version=") and names not in keep]
+        for path in stale:
+            fs.delete_dir(path)
+        return len(stale)
 
 
 def preserve_scores(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -137,27 +184,7 @@ def load_files(warehouse: Warehouse, client_id: str, paths: list[str], keep_newe
             rows = preserve_scores(landed([r["file"]], every), rows)
         parts.append(rows)
     facts = land_rows(reduce(DataFrame.unionByName, parts))
-    types = dict(facts.dtypes)
-    given = {"client_id": F.lit(client_id), "source_file": F.col("source_file"), "report_type": F.col("report_type"),
-             "row_index": F.lit(HEADER_ROW)}
-    markers = chosen.select(*[given.get(n, F.lit(None)).cast(types[n]).alias(n) for n in facts.columns])
-    warehouse.replace(facts.unionByName(markers), warehouse.rows_path)
-    return write_ledger(warehouse, client_id, chosen)
-
-
-def write_ledger(warehouse: Warehouse, client_id: str, files: DataFrame) -> DataFrame:
-    """Ledger rows of the loaded files, with the row counts found in the table."""
-    stored = warehouse.rows().filter(F.col("client_id") == client_id)
-    counts = stored.groupBy("report_type").agg(F.count("*").alias("row_count"))
-    now = F.current_timestamp()
-    ledger = files.join(counts, "report_type", "left").select(
-        F.xxhash64(F.lit(client_id), "report_type", now).alias("upload_id"), "source_file", "window_raw", "window_start",
-        "window_end", F.coalesce("row_count", F.lit(0)).alias("row_count"), now.alias("uploaded_at"),
-        F.lit(client_id).alias("client_id"), "report_type",
-    )
-    warehouse.replace(ledger, warehouse.uploads_path)
-    loaded = warehouse.uploads().filter(F.col("client_id") == client_id)
-    return loaded.join(files.select("report_type", "source_file"), ["report_type", "source_file"], "left_semi")
+    return warehouse.publish(client_id, warehouse.stage(facts), chosen)
 
 
 def load_folder(warehouse: Warehouse, client_id: str, folder: str) -> DataFrame:

@@ -318,3 +318,30 @@ def test_long_quoted_cells_split_without_record_starts(spark, tmp_path):
     parts = report_files.read_cells(spark, [str(path)], split_bytes=1000)
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole)) and len(whole) == 4
     assert 1 < parts.rdd.getNumPartitions() < 5
+
+
+def test_a_load_lost_before_its_commit_leaves_the_old_snapshot(spark, folder, tmp_path_factory, monkeypatch):
+    house = Warehouse(spark, str(tmp_path_factory.mktemp("house")))
+    load_folder(house, "one", str(folder))
+    load_folder(house, "two", str(folder))
+
+    def content(client):
+        rows = house.rows().filter(F.col("client_id") == client).withColumn("record", F.to_json("record"))
+        ledger = house.uploads().filter(F.col("client_id") == client)
+        return sorted(map(repr, rows.collect())), sorted(map(repr, ledger.collect()))
+
+    before, other = content("one"), content("two")
+    (folder / "m.csv").write_text(CAMPAIGNS.replace("February", "March").replace("50.5", "7"), encoding="utf-8")
+    (folder / "a_terms.csv").write_text("t\nJan 1, 2025 - Jan 31, 2025\nSearch term,Clicks\nTotal,5\n", encoding="utf-8")
+    with monkeypatch.context() as patch:
+        patch.setattr(Warehouse, "publish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            load_folder(house, "one", str(folder))
+    assert content("one") == before and content("two") == other
+
+    load_folder(house, "one", str(folder))
+    rows, ledger = content("one")
+    assert any("March 2025" in r for r in rows) and not any("February" in r or "search_terms" in r for r in rows)
+    assert len(ledger) == 3 and content("two") == other
+    assert house.vacuum("one") == 5 and house.vacuum("one") == 0 and house.vacuum("nobody") == 0
+    assert content("one") == (rows, ledger) and content("two") == other
