@@ -45,8 +45,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHARDS = 3
 #: Bits of the table of marks: at least, at most, and for each word.
 LEAST_BITS, MOST_BITS, BITS_PER_WORD = 1 << 20, 1 << 29, 1
-#: Bytes of text, or of hashes, that are worked on together, and words that a task remembers to have told.
-TOGETHER, TOLD = 8 << 20, 400_000
+#: Bytes of text, and of hashes, that are worked on together, words that a task remembers to have told, and rows that
+#: travel together.
+TEXT, TOGETHER, TOLD, ROWS = 2 << 20, 8 << 20, 200_000, 1 << 15
 #: Places of a stored part of a text.
 PART = 1 << 14
 #: Marks travel in pieces of this many bytes.
@@ -86,7 +87,7 @@ def _dealt(docs: DataFrame, path: str, shards: int, longest: int, seed: int) ->
         number, told = TaskContext.get().partitionId(), set()
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), binary(batch.column(1))
-            for start, stop in groups(texts, len, TOGETHER):
+            for start, stop in groups(texts, len, TEXT):
                 words, ends = [], []
                 for text in texts[start:stop]:
                     words += words_of(text)
@@ -209,9 +210,12 @@ def _scan(shard: DataFrame, longest: int, now: Broadcast | None, before: Broadca
                     place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                     may_start = place < np.repeat(starts[chosen], lengths)
                     for k, at, n in _phrases(tokens, may_start, int(lang), longest, marks, earlier, single):
-                        none = np.zeros(len(at), np.int64)
-                        columns = [tokens[at + j] if j < k else none for j in range(LONGEST)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(at), lang), *columns, n.astype(np.int64))], names=[*KEY, "n"])
+                        for row in range(0, len(at), ROWS):
+                            here = at[row : row + ROWS]
+                            none = np.zeros(len(here), np.int64)
+                            columns = [tokens[here + j] if j < k else none for j in range(LONGEST)]
+                            columns = [np.full(len(here), lang), *columns, n[row : row + ROWS].astype(np.int64)]
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*KEY, "n"])
 
     return shard.select("g", "starts", "tokens").mapInArrow(run, ", ".join(f"{c} long" for c in [*KEY, "n"]))
 
@@ -294,7 +298,8 @@ def counted(docs: DataFrame, least: int = 30, longest: int = LONGEST, lang_col:
             if likely is not None:
                 found = found.unionByName(likely)
             paths.append(new_path(spark, "phrase-counts"))
-            found = written(found.groupBy(*KEY).agg(F.sum("n").alias("n"), F.sum("here").alias("here")), "", "zstd", paths[-1])
+            # A batch tells a phrase once, so rows move by key before they are added: sums within tasks would find little.
+            found = written(found.repartition(*KEY).groupBy(*KEY).agg(F.sum("n").alias("n"), F.sum("here").alias("here")), "", "zstd", paths[-1])
             counts.append(found.filter("here > 0").select(*KEY, F.col("here").alias("n")))
             shorter = found.filter(F.col(f"w{longest}") == 0)
             new = _marked(shorter.filter(F.col("n") >= least), data)
