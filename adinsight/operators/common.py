@@ -97,34 +97,41 @@ def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
     return ranked.filter(F.col(rank) <= k)
 
 
-def exact_medians(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """Exact lower and upper median per group without sorting a group in one task.
-
-    A mergeable quantile sketch brackets the middle ranks (its rank error is
-    about 1/10000 of the group, the bracket reaches ten times as far on both
-    sides).  Only distinct values inside the bracket are ranked, offset by the
-    exact number of rows below it, so the result is exact.  The groups must be a
-    short label list (categories of the configuration): their edges are broadcast.
+def exact_medians(df: DataFrame, groups: Sequence[str], value: str, salts: int = 16) -> DataFrame:
+    """Exact lower and upper median per group, for any number of groups and without sorting a group in one task.
+
+    A mergeable quantile sketch proposes edges, close together around the middle.  Rows
+    are counted between the edges exactly, so the counts, not the sketch, say which
+    stretch holds a middle rank; only the distinct values of that stretch are ranked,
+    offset by the rows before it.  A poor edge makes a stretch longer, never a result
+    wrong.  The edges meet the distinct values by (group, salt), so a group with most
+    rows is spread.  A null group is a group, null values count for nothing.
     """
-    accuracy, reach = 10_000, 0.001
-    bracket = F.percentile_approx(value, F.array(F.lit(0.5 - reach), F.lit(0.5 + reach)), F.lit(accuracy))
-    edges = df.groupBy(*groups).agg(F.count(value).alias("n"), bracket.alias("edge"))
-    near = (
-        df.join(F.broadcast(edges), list(groups))
-        .withColumn("_low", F.col(value) < F.col("edge")[0])
-        .filter(F.col(value).isNotNull() & (F.col(value) <= F.col("edge")[1]))
-        .groupBy(*groups, "n", F.when(~F.col("_low"), F.col(value)).alias("v"))
-        .agg(F.count("*").alias("rows"))
-    )
-    upto = Window.partitionBy(*groups).orderBy(F.col("v").asc_nulls_first())
-    ranked = near.withColumn("last", F.sum("rows").over(upto))
-    # The bracket must hold the middle: fewer rows below it than the lower rank, enough rows up to its end.
-    below = F.when(F.col("v").isNull(), F.col("rows")).otherwise(0)
-    held = ranked.groupBy(*groups).agg(F.sum(below).alias("below"), F.max("last").alias("upto"), F.max("n").alias("n"))
-    missed = (F.col("n") > 0) & ((F.col("below") >= F.floor((F.col("n") + 1) / 2)) | (F.col("upto") < F.floor(F.col("n") / 2) + 1))
-    checked = held.select(*groups, F.when(missed, F.raise_error(F.lit("the quantile bracket misses the median"))).otherwise(F.lit(True)).alias("held"))
-    ranked = ranked.join(F.broadcast(checked), list(groups)).filter("held")
+    reach = 0.001
+    shares = F.array(*[F.lit(x) for x in (0.25, 0.45, 0.5 - reach, 0.5 + reach, 0.55, 0.75)])
+    seen = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).alias("v"))
+    counted = seen.groupBy(*groups, "v").agg(F.count("*").alias("rows"))
+    edges = seen.groupBy(*groups).agg(F.count("*").alias("n"), F.percentile_approx("v", shares, F.lit(10_000)).alias("edge"))
+    salted = edges.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    place = sum(((F.col("v") > F.get("edge", F.lit(i))).cast("int") for i in range(6)), F.lit(0))
+    placed = same_keys(counted.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")), salted, [*groups, "_salt"])
+    placed = placed.select(*groups, "v", "rows", "n", place.alias("place"))
+    upto = F.sum("held").over(Window.partitionBy(*groups).orderBy("place"))
+    stretches = placed.groupBy(*groups, "place").agg(F.sum("rows").alias("held"), F.max("n").alias("n")).withColumn("upto", upto)
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    before = F.col("upto") - F.col("held")
+    middle = stretches.filter((before < high) & (F.col("upto") >= low)).select(*groups, "place", before.alias("before"))
+    near = same_keys(placed, middle, [*groups, "place"])
+    running = F.sum("rows").over(Window.partitionBy(*groups, "place").orderBy("v"))
+    ranked = near.withColumn("last", F.col("before") + running)
     return ranked.groupBy(*groups).agg(
-        F.min(F.when(F.col("last") >= F.floor((F.col("n") + 1) / 2), F.col("v"))).alias("lower_median"),
-        F.min(F.when(F.col("last") >= F.floor(F.col("n") / 2) + 1, F.col("v"))).alias("upper_median"),
+        F.min(F.when(F.col("last") >= low, F.col("v"))).alias("lower_median"),
+        F.min(F.when(F.col("last") >= high, F.col("v"))).alias("upper_median"),
     )
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys that may be null; the keys come from the left side."""
+    other = right.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    return left.join(other, match).drop(*[f"_key{i}" for i in range(len(keys))])

@@ -158,6 +158,14 @@ def category_rollup(ads: DataFrame, cfg: ClientConfig) -> DataFrame:
     )
 
 
+def page_medians(ads: DataFrame, cfg: ClientConfig) -> DataFrame:
+    """Per page: median of its categories' rates, with the values on both sides of the middle."""
+    rows = exact_medians(_cvr_cells(ads, cfg), ["url"], "cvr")
+    middle = (F.col("lower_median") + F.col("upper_median")) / 2
+    return rows.select("url", rounded("lower_median", 4).alias("lower_median"), rounded(middle, 4).alias("median_cvr"),
+                       rounded("upper_median", 4).alias("upper_median"))
+
+
 def device_rollup(pages: DataFrame) -> DataFrame:
     """Per device: pages, cost, clicks, click-weighted rate, shares, best and worst page.
 

@@ -97,6 +97,9 @@ select category, lps_running, spend, min_cvr, median_cvr, max_cvr, best_lp, wors
 register("l06_lp_category_rollup", lambda f: landing_pages.category_rollup(f[ADS], CONFIG), f"""with {CELLS}, {EXT} select category, {cnt()} as pages, {rnd('sum(us)', 2)} as spend,
  {rnd(pick('r', 'lo=1'), 4)} as min_cvr, {rnd(f'({LOWER}+{UPPER})/2', 4)} as median_cvr, {rnd(pick('r', 'hi=1'), 4)} as max_cvr, {pick('url', 'hi=1')} as best_lp, {pick('url', 'lo=1')} as worst_lp
  from o join (select url, s us from u) u using (url) group by 1""")
+register("l06_median_by_page", lambda f: landing_pages.page_medians(f[ADS], CONFIG), f"""with {CELLS}, x as (select *, {divn('v', 'k')} r from c),
+ o as (select *, row_number() over (partition by url order by r, category) lo, count(*) over (partition by url) n from x where r is not null)
+select url, {rnd(LOWER, 4)} as lower_median, {rnd(f'({LOWER}+{UPPER})/2', 4)} as median_cvr, {rnd(UPPER, 4)} as upper_median from o group by 1""")
 
 
 def device_sql() -> str:

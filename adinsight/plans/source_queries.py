@@ -13,7 +13,7 @@ from adinsight.plans.oracle import cnt, rnd, tot
 from adinsight.plans.registry import register
 from adinsight.plans.sample_facts import Facts, needed
 from adinsight.sources import budget_files, bundle_sink, report_files, warehouse
-from adinsight.streaming.arrivals import watch_folder
+from adinsight.streaming.arrivals import watch_clients, watch_folder
 
 VARCHAR = ("as string", "as varchar")
 
@@ -263,3 +263,19 @@ def arrived(f: Facts) -> DataFrame:
 
 
 register("r06_file_arrivals", arrived, f"select 'one' as client_id, strftime(month_start,'%B %Y') as date, {cnt()} as rows, {rnd(tot('cost'), 2)} as cost from {{{CAMP}}} group by month_start")
+
+
+def many_arrived(f: Facts) -> DataFrame:
+    """Reports of three clients, a file a batch; the third client's arrives after a restart, then nothing new does."""
+    home = scratch(f.spark)
+    rows = f[CAMP].withColumn("pick", F.lit(0))
+    house = warehouse.Warehouse(f.spark, f"{home}/house")
+    for clients in ((0, 1), (2,), ()):
+        for c in clients:
+            export(f, rows.filter(F.month("month_start") % 3 == c), CAMPAIGN_COLUMNS, f"{home}/in/client{c}", 1)
+        watch_clients(house, f"{home}/in", f"{home}/progress", 1).awaitTermination()
+    return house.rows().groupBy("client_id", "date").agg(F.count("*").alias("rows"), numbers.rounded(numbers.total("cost"), 2).alias("cost"))
+
+
+register("r06_stateful_arrivals", many_arrived, f"""select 'client'||(month(month_start)%3) as client_id, strftime(month_start,'%B %Y') as date, {cnt()} as rows, {rnd(tot('cost'), 2)} as cost
+ from {{{CAMP}}} group by month_start""")

@@ -358,6 +358,22 @@ def detect_report(slugs: Column | str) -> Column:
     return chain.when(has("campaign") & has("campaign_type") & ~has("ad_group"), "campaign_performance")
 
 
+def headers_of(files: DataFrame) -> DataFrame:
+    """The header row of each file named in column ``file``; works on streams, too.
+
+    Rows are as those of :func:`read_cells` for headers; a file that is too short gives none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(path, *row) for path in batch.column(0).to_pylist() for row in _records(Piece(path), True, True)]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in found], schema)
+
+    names = ["file", "row_index", "window_raw", "cells"]
+    schema = pa.schema(zip(names, [pa.string(), pa.int64(), pa.string(), pa.list_(pa.string())]))
+    return files.select("file").mapInArrow(run, "file string, row_index bigint, window_raw string, cells array<string>")
+
+
 # --- report frames ----------------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from adinsight.sources.budget_files import budget_lines, find_header, read_budge
 from adinsight.sources.warehouse import (
     Warehouse, client_rollup, client_slug, coverage, load_folder, unmapped_files,
 )
-from adinsight.streaming.arrivals import watch_folder
+from adinsight.streaming.arrivals import accept, watch_clients, watch_folder
 
 TERMS = (
     "﻿Search terms report\n"
@@ -260,6 +261,59 @@ def test_the_last_name_wins_whatever_the_batches(spark, tmp_path_factory, limit)
     assert {r["date"] for r in house.rows().collect()} == {"January 2025", "February 2025"}
 
 
+@pytest.mark.parametrize("limit", [1, 4])
+def test_arrivals_of_many_clients_equal_one_load(spark, tmp_path_factory, limit):
+    root, check = tmp_path_factory.mktemp("in"), str(tmp_path_factory.mktemp("check"))
+    house, other = (Warehouse(spark, str(tmp_path_factory.mktemp(n))) for n in ("house", "other"))
+    march = CAMPAIGNS.replace("February 2025", "March 2025")
+
+    def put(client, name, text, age):
+        (root / client).mkdir(exist_ok=True)
+        (root / client / name).write_text(text, encoding="utf-8")
+        os.utime(root / client / name, (1_700_000_000 + age, 1_700_000_000 + age))
+
+    def run():
+        query = watch_clients(house, str(root), check, limit)
+        query.awaitTermination(180)
+        assert query.exception() is None
+
+    put("two", "c.csv", march, 1), put("one", "b.csv", CAMPAIGNS, 2), put("two", "a.csv", CAMPAIGNS, 3)
+    put("one", "t.csv", TERMS, 4), put("one", "a.csv", march, 5), put("one", "short.csv", "x\n", 6), (root / "stray.csv").write_text(CAMPAIGNS)
+    run()
+    put("three", "k.csv", KEYWORDS.format(qs=3, lp="Average"), 7), put("two", "b.csv", CAMPAIGNS, 8), put("one", "z.csv", march, 9)
+    run()
+    stamp = house.uploads().agg(F.max("uploaded_at")).first()[0]
+    run()
+    assert house.uploads().agg(F.max("uploaded_at")).first()[0] == stamp
+    for client in ("one", "two", "three"):
+        load_folder(other, client, str(root / client))
+    for table in ("rows", "uploads"):
+        kept = [c for c in getattr(house, table)().columns if c not in ("upload_id", "uploaded_at")]
+        got, want = (sorted(repr(tuple(r)) for r in getattr(w, table)().select(*kept).collect()) for w in (house, other))
+        assert got == want and got
+    names = {(r["client_id"], r["report_type"]): r["source_file"] for r in house.uploads().collect()}
+    assert names == {("one", "campaign_performance"): "z.csv", ("one", "search_terms"): "t.csv",
+                     ("two", "campaign_performance"): "c.csv", ("three", "search_keyword_qs"): "k.csv"}
+
+
+def test_accept_keeps_the_last_name():
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    state = State()
+
+    def names(*arrived):
+        frames = iter([pd.DataFrame({"source_file": list(arrived), "file": [f"/in/{a}" for a in arrived]})])
+        return [f for out in accept(("one", "ads"), frames, state) for f in out["file"]]
+
+    assert names("b", "a") == ["/in/a", "/in/b"]
+    assert names("a") == [] and state.get == ("b",)
+    assert names("a", "b", "c") == ["/in/b", "/in/c"] and state.get == ("c",)
+
+
 ODD = ("t\nw\nSearch term,Clicks\n\"a \"\"b\"\", c\",1\n\"two\n\"\"lines\"\"\n\",2\n5\" pipe,\"3\"\n\"x\"y\"z,4\n\n,\nTotal,9\n"
        "\"\",\"\"\n\u00e9\u00df\"\u4e2d,5\r\n\"cr\r\nlf\",6\rlone,7\n\",\n,\",8\nlast \"open,9\nq,\"no end\n,")
 

@@ -102,6 +102,26 @@ def test_medians_equal_brute_force(spark, n, ties):
     assert got["cold"] == (0.25, 0.75)
 
 
+def test_medians_of_many_skewed_and_constant_groups(spark):
+    rng = random.Random(3)
+    data = [(f"g{i}", float(rng.choice([0, 0, 0, 1, 10**9]))) for i in range(10_000) for _ in range(rng.randint(1, 4))]
+    data += [("constant", 7.0)] * 500 + [("skewed", 2.0 ** rng.randint(-1000, 1000)) for _ in range(5001)] + [(None, 1.0), (None, 4.0)]
+    held = {}
+    for g, v in data:
+        held.setdefault(g, []).append(v)
+    got = common.exact_medians(spark.createDataFrame(data, "g string, v double"), ["g"], "v").collect()
+    assert {r["g"]: (r["lower_median"], r["upper_median"]) for r in got} == {g: (statistics.median_low(v), statistics.median_high(v)) for g, v in held.items()}
+    assert len(got) == len(held)
+
+
+@pytest.mark.parametrize("edge", [F.min, F.max])
+def test_medians_do_not_rest_on_good_edges(spark, monkeypatch, edge):
+    monkeypatch.setattr(common.F, "percentile_approx", lambda v, shares, accuracy: F.array(*[edge(v)] * 6))
+    data = [("a", float(i)) for i in range(100)] + [("b", 3.0)]
+    got = common.exact_medians(spark.createDataFrame(data, "g string, v double"), ["g"], "v").collect()
+    assert {r["g"]: (r["lower_median"], r["upper_median"]) for r in got} == {"a": (49.0, 50.0), "b": (3.0, 3.0)}
+
+
 def test_top_per_group_equals_brute_force_on_a_hot_group(spark):
     rng = random.Random(5)
     data = [("hot", f"k{i}", rng.randint(0, 50)) for i in range(3000)] + [("cold", f"k{i}", i) for i in range(3)]
