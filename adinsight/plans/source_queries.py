@@ -139,10 +139,16 @@ select 'domain'||s_suppkey||'.example' as domain, (s_suppkey%100+0.5e0)/100 as i
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir`` or the warehouse; both must be shared on a cluster."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    if root.startswith(("/", "file:")) and not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{root} is a local folder; set spark.checkpoint.dir to one that driver and executors share")
+    """A new folder below ``spark.checkpoint.dir`` or the warehouse; both must be shared on a cluster.
+
+    A folder that was named may be a mounted one, whatever its scheme; Spark's default warehouse on the driver's disk is not shared.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        unnamed = root.startswith(("/", "file:")) and root.rstrip("/").endswith("/spark-warehouse")
+        if unnamed and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{root} is a local folder; set spark.checkpoint.dir to one that driver and executors share")
     return f"{root.rstrip('/')}/adinsight-{uuid.uuid4().hex}"
 
 

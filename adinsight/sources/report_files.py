@@ -11,6 +11,9 @@ block is read once for each state it may begin in (:func:`scan_block`), the stat
 are chained from block to block, and each range then begins behind the first line
 break that ends a record.  The second pass counts the records of the ranges, so
 that rows carry the numbers that one task would have given them.
+
+Files in a store that only Spark opens come as contents from its binary file reader,
+one task a file of any size that reader takes (2 GB).
 """
 
 from __future__ import annotations
@@ -71,6 +74,7 @@ METRICS = {"clicks": "clicks", "impr": "impressions", "cost": "cost", "conversio
            "conv_value": "conv_value"}
 
 FORMAT = "ad_report"
+CELLS = "file string, row_index bigint, window_raw string, cells array<string>"
 HEADER_ROW = -1
 BATCH_ROWS = 8192
 SPLIT_BYTES = 64 << 20  # files up to this size are read by one task
@@ -101,8 +105,28 @@ def open_filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
+def opens(path: str) -> bool:
+    """Whether Arrow knows the filesystem of a path; if not, only Spark's readers reach it."""
+    try:
+        open_filesystem(path)
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
+def _contents(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
+    """(path, content) of CSV files, by Spark's reader; the names are no patterns."""
+    literal = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", recursive)
+    return reader.load(literal).select("path", "content")
+
+
 def list_reports(folder: str, recursive: bool = False) -> list[str]:
-    """CSV files inside a folder (any filesystem Arrow can open), by name."""
+    """CSV files inside a folder (any filesystem that Arrow or Spark can open), by name."""
+    if not opens(folder):
+        names = [r["path"] for r in _contents(SparkSession.active(), [folder], True).select("path").collect()]
+        depth = folder.rstrip("/").count("/") + 1
+        return sorted(n for n in names if recursive or n.count("/") == depth)
     fs, root = open_filesystem(folder)
     found = fs.get_file_info(pafs.FileSelector(root, recursive=recursive))
     names = sorted(i.path for i in found if i.type == pafs.FileType.File and i.path.endswith(".csv"))
@@ -127,15 +151,21 @@ class Piece(InputPartition):
     first: int = 0
 
 
-def _head(path: str) -> tuple[list[str], int]:
-    """The first lines of a file, four at most, and where the fourth begins."""
+def _opened(path: str, content: pa.Buffer | None = None) -> pa.NativeFile:
+    """A file, or its content where that is given."""
+    if content is not None:
+        return pa.BufferReader(content)
     fs, inner = open_filesystem(path)
+    return fs.open_input_file(inner)
+
+
+def _head(file: pa.NativeFile) -> tuple[list[str], int]:
+    """The first lines of a file, four at most, and where the fourth begins."""
     found = b""
-    with fs.open_input_stream(inner) as raw:
-        while chunk := raw.read(CHUNK_BYTES):
-            found += chunk
-            if len(re.findall(rb"\r\n?|\n", found[:-1])) > 3:
-                break
+    while chunk := file.read(CHUNK_BYTES):
+        found += chunk
+        if len(re.findall(rb"\r\n?|\n", found[:-1])) > 3:
+            break
     breaks = [m.end() for m in re.finditer(rb"\r\n?|\n", found)]
     start = breaks[2] if len(breaks) > 2 else len(found)
     text = io.TextIOWrapper(io.BytesIO(found[:start]), encoding="utf-8-sig")
@@ -144,12 +174,11 @@ def _head(path: str) -> tuple[list[str], int]:
 
 def _data_start(path: str, preamble: bool) -> int | None:
     """Where the records of a file begin; None where it has none."""
-    if preamble:
-        lines, start = _head(path)
-        return start if len(lines) == 4 else None
-    fs, inner = open_filesystem(path)
-    with fs.open_input_stream(inner) as raw:
-        return 3 if raw.read(3) == b"\xef\xbb\xbf" else 0
+    with _opened(path) as file:
+        if preamble:
+            lines, start = _head(file)
+            return start if len(lines) == 4 else None
+        return 3 if file.read(3) == b"\xef\xbb\xbf" else 0
 
 
 def _kept(cells: list[str], preamble: bool) -> bool:
@@ -157,22 +186,21 @@ def _kept(cells: list[str], preamble: bool) -> bool:
     return not blank and not (preamble and cells[0].strip().lower() == "total")
 
 
-def _records(piece: Piece, preamble: bool, headers_only: bool) -> Iterator[tuple]:
+def _records(piece: Piece, preamble: bool, headers_only: bool, content: pa.Buffer | None = None) -> Iterator[tuple]:
     """(row_index, window_raw, cells) of a piece; the header comes as row -1."""
     csv.field_size_limit(CELL_CHARACTERS)
     window = ""
     start = piece.start
-    if preamble:
-        lines, begin = _head(piece.path)
-        if len(lines) < 4:
-            return
-        window = window_text(lines[1])
-        if headers_only:
-            yield HEADER_ROW, window, next(csv.reader([lines[2]]), [])
-            return
-        start = begin if start is None else start
-    fs, inner = open_filesystem(piece.path)
-    with fs.open_input_file(inner) as file:
+    with _opened(piece.path, content) as file:
+        if preamble:
+            lines, begin = _head(file)
+            if len(lines) < 4:
+                return
+            window = window_text(lines[1])
+            if headers_only:
+                yield HEADER_ROW, window, next(csv.reader([lines[2]]), [])
+                return
+            start = begin if start is None else start
         end = file.size() if piece.end is None else piece.end
         with file.get_stream(start or 0, end - (start or 0)) as raw, \
                 io.TextIOWrapper(io.BufferedReader(raw), encoding="utf-8" if start else "utf-8-sig") as text:
@@ -181,6 +209,28 @@ def _records(piece: Piece, preamble: bool, headers_only: bool) -> Iterator[tuple
                 yield index, window, cells
 
 
+def _batches(path: str, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """The rows of a file as batches of CELLS."""
+    schema = pa.schema([("file", pa.string()), ("row_index", pa.int64()), ("window_raw", pa.string()),
+                        ("cells", pa.list_(pa.string()))])
+    while batch := list(itertools.islice(rows, BATCH_ROWS)):
+        index, window, cells = zip(*batch)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([path] * len(batch)), pa.array(index, pa.int64()), pa.array(window, pa.string()),
+             pa.array(cells, pa.list_(pa.string()))], schema=schema)
+
+
+def _parsed(files: DataFrame, preamble: bool, headers_only: bool) -> DataFrame:
+    """Cells of the files (path, content), a null content for one that Arrow opens; works on streams, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield from _batches(path, _records(Piece(path), preamble, headers_only, content.as_buffer()))
+
+    return files.select("path", "content").mapInArrow(run, CELLS)
+
+
 class ReportReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.pieces = [Piece(*p) for p in json.loads(options.get("pieces", "[]"))]
@@ -191,14 +241,7 @@ class ReportReader(DataSourceReader):
         return self.pieces
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        rows = _records(partition, self.preamble, self.part == "headers")
-        schema = pa.schema([("file", pa.string()), ("row_index", pa.int64()), ("window_raw", pa.string()),
-                            ("cells", pa.list_(pa.string()))])
-        while batch := list(itertools.islice(rows, BATCH_ROWS)):
-            index, window, cells = zip(*batch)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([partition.path] * len(batch)), pa.array(index, pa.int64()), pa.array(window, pa.string()),
-                 pa.array(cells, pa.list_(pa.string()))], schema=schema)
+        return _batches(partition.path, _records(partition, self.preamble, self.part == "headers"))
 
 
 class ReportSource(DataSource):
@@ -209,7 +252,7 @@ class ReportSource(DataSource):
         return FORMAT
 
     def schema(self) -> str:
-        return "file string, row_index bigint, window_raw string, cells array<string>"
+        return CELLS
 
     def reader(self, schema: object) -> ReportReader:
         return ReportReader(dict(self.options))
@@ -316,7 +359,11 @@ def read_cells(spark: SparkSession, paths: list[str], part: str = "rows", preamb
                split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Cells of the files; no paths give an empty frame."""
     if not paths:
-        return spark.createDataFrame([], "file string, row_index bigint, window_raw string, cells array<string>")
+        return spark.createDataFrame([], CELLS)
+    if apart := [p for p in paths if not opens(p)]:
+        cells = _parsed(_contents(spark, apart), preamble, part == "headers")
+        rest = [p for p in paths if p not in set(apart)]
+        return cells.unionByName(read_cells(spark, rest, part, preamble, split_bytes)) if rest else cells
     spark.dataSource.register(ReportSource)
     pieces = [Piece(p) for p in paths] if part == "headers" else split_files(spark, paths, preamble, split_bytes)
     listed = json.dumps([(p.path, p.start, p.end, p.first) for p in pieces])
@@ -359,19 +406,12 @@ def detect_report(slugs: Column | str) -> Column:
 
 
 def headers_of(files: DataFrame) -> DataFrame:
-    """The header row of each file named in column ``file``; works on streams, too.
+    """The header row of each file named in column ``file``, read from ``content`` if there is such a column; works on streams, too.
 
     Rows are as those of :func:`read_cells` for headers; a file that is too short gives none.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(path, *row) for path in batch.column(0).to_pylist() for row in _records(Piece(path), True, True)]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in found], schema)
-
-    names = ["file", "row_index", "window_raw", "cells"]
-    schema = pa.schema(zip(names, [pa.string(), pa.int64(), pa.string(), pa.list_(pa.string())]))
-    return files.select("file").mapInArrow(run, "file string, row_index bigint, window_raw string, cells array<string>")
+    content = F.col("content") if "content" in files.columns else F.lit(None).cast("binary").alias("content")
+    return _parsed(files.select(F.col("file").alias("path"), content), True, True)
 
 
 # --- report frames ----------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Load report files as they arrive.
 
-The stream tracks file names only (the content column is pruned away); each
+The stream tracks file names only (the content column is pruned away, unless the
+headers lie in a store that only Spark opens); each
 micro-batch loads its files through the snapshot-replace path, which is
 idempotent, so a batch that is retried after a failure changes nothing.
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from adinsight.sources.report_files import describe_files, headers_of
+from adinsight.sources.report_files import describe_files, headers_of, opens
 from adinsight.sources.warehouse import Warehouse, load_files
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -38,10 +39,10 @@ def _local(path: str) -> str:
     return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
-def _names(spark: SparkSession, folder: str, files_per_batch: int, nested: bool = False) -> DataFrame:
+def _names(spark: SparkSession, folder: str, files_per_batch: int, nested: bool = False, content: bool = False) -> DataFrame:
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.csv")
     files = files.option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", nested).option("maxFileAge", FILE_AGE)
-    return files.load(folder).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    return files.load(folder).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), *["content"] * content)
 
 
 def watch_folder(warehouse: Warehouse, client_id: str, folder: str, checkpoint: str,
@@ -56,7 +57,7 @@ def watch_folder(warehouse: Warehouse, client_id: str, folder: str, checkpoint:
     stream = _names(warehouse.spark, folder, files_per_batch)
 
     def load(batch: DataFrame, _: int) -> None:
-        names = sorted(r["path"] for r in batch.collect())
+        names = sorted({r["path"] for r in batch.collect()})  # Spark may list a file twice beside one whose name is a pattern
         if names:
             load_files(warehouse, client_id, names, keep_newer=True)
 
@@ -75,7 +76,7 @@ def accept(key: tuple[str, str], frames: Iterator[pd.DataFrame], state: GroupSta
 
 
 def accepted_files(names: DataFrame, root: str) -> DataFrame:
-    """Rows (client_id, report_type, file) of a stream of paths below ``root/<client>/``.
+    """Rows (client_id, report_type, file) of a stream of paths, or of paths and contents, below ``root/<client>/``.
 
     Files directly in ``root``, and files that are no report, are left out.
     """
@@ -98,12 +99,12 @@ def watch_clients(warehouse: Warehouse, root: str, checkpoint: str, files_per_ba
     same files, which changes nothing.  The ledger is asked, too, so that a new checkpoint
     does not bring back older files.
     """
-    accepted = accepted_files(_names(warehouse.spark, root, files_per_batch, nested=True), root)
+    accepted = accepted_files(_names(warehouse.spark, root, files_per_batch, nested=True, content=not opens(root)), root)
 
     def load(batch: DataFrame, _: int) -> None:
         found = batch.collect()  # at most files_per_batch rows
         for client in sorted({r["client_id"] for r in found}):
-            load_files(warehouse, client, sorted(r["file"] for r in found if r["client_id"] == client), keep_newer=True)
+            load_files(warehouse, client, sorted({r["file"] for r in found if r["client_id"] == client}), keep_newer=True)
 
     writer = accepted.writeStream.outputMode("append").foreachBatch(load).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from adinsight.plans import source_queries
 from adinsight.sources import bundle_sink, report_files, typed_views
 from adinsight.sources.budget_files import budget_lines, find_header, read_budget
 from adinsight.sources.warehouse import (
@@ -399,3 +400,53 @@ def test_a_load_lost_before_its_commit_leaves_the_old_snapshot(spark, folder, tm
     assert len(ledger) == 3 and content("two") == other
     assert house.vacuum("one") == 5 and house.vacuum("one") == 0 and house.vacuum("nobody") == 0
     assert content("one") == (rows, ledger) and content("two") == other
+
+
+@pytest.fixture
+def store(spark, folder, tmp_path_factory):
+    """A store that only Spark opens, with the reports in ``in/one``."""
+    top = tmp_path_factory.mktemp("store")
+    (top / "in").mkdir()
+    (top / "in" / "one").symlink_to(folder)
+    (folder / "[a]{b}.csv").write_text(CAMPAIGNS, encoding="utf-8")
+    name = f"t{os.path.basename(top).lower().replace('_', '')}{os.getpid()}"
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{name}.link./s", f"file://{top}")
+    return f"viewfs://{name}/s"
+
+
+def test_reports_in_a_store_that_only_spark_opens(spark, store, folder, tmp_path_factory):
+    assert not report_files.opens(store) and report_files.opens(str(folder)) and report_files.opens(f"file://{folder}")
+    names = sorted(os.listdir(folder))
+    assert [p.rsplit("/", 1)[1] for p in report_files.list_reports(f"{store}/in/one")] == names
+    assert report_files.list_reports(f"{store}/in") == [] and len(report_files.list_reports(f"{store}/in", True)) == len(names)
+    here, there = Warehouse(spark, str(tmp_path_factory.mktemp("house"))), Warehouse(spark, f"{store}/house")
+    load_folder(here, "one", str(folder)), load_folder(there, "one", f"{store}/in/one")
+    for table, gone in (("rows", []), ("uploads", ["upload_id", "uploaded_at"])):
+        want, got = (sorted(map(str, getattr(w, table)().drop(*gone).collect())) for w in (here, there))
+        assert got == want and got
+    mixed = report_files.read_cells(spark, [f"{folder}/m.csv", f"{store}/in/one/a_terms.csv"])
+    assert mixed.count() == 7
+
+
+def test_arrivals_in_a_store_that_only_spark_opens(spark, store):
+    for watch, root in ((watch_clients, "in"), (watch_folder, "in/one")):
+        house, args = Warehouse(spark, f"{store}/house-{watch.__name__}"), [] if watch is watch_clients else ["one"]
+        for _ in range(2):
+            query = watch(house, *args, f"{store}/{root}", f"{store}/check-{watch.__name__}")
+            query.awaitTermination(180)
+            assert query.exception() is None
+        assert {(r["client_id"], r["report_type"]): r["row_count"] for r in house.uploads().collect()} == {
+            ("one", "search_terms"): 5, ("one", "search_keyword_qs"): 2, ("one", "campaign_performance"): 2}
+
+
+def test_a_named_folder_counts_as_shared(spark):
+    class Session:
+        sparkContext = type("Context", (), {"master": "spark://host"})
+
+        def __init__(self, **named):
+            self.conf = {k.replace("_", "."): v for k, v in named.items()}
+
+    assert source_queries.scratch(Session(spark_checkpoint_dir="file:///mnt/shared")).startswith("file:///mnt/shared/adinsight-")
+    assert source_queries.scratch(Session(spark_sql_warehouse_dir="file:/mnt/house")).startswith("file:/mnt/house/adinsight-")
+    with pytest.raises(ValueError, match="set spark.checkpoint.dir"):
+        source_queries.scratch(Session(spark_sql_warehouse_dir="file:/home/me/spark-warehouse"))
