@@ -187,7 +187,8 @@ def scanned(f: Facts, count: int, split_bytes: int = report_files.SPLIT_BYTES) -
     folder = export(f, rows, TERM_COLUMNS, scratch(f.spark), count)
     paths = report_files.list_reports(folder, recursive=True)
     files = report_files.describe_files(report_files.read_cells(f.spark, paths, "headers"))
-    return report_files.land_rows(report_files.records(report_files.read_cells(f.spark, paths, split_bytes=split_bytes), files))
+    rows = report_files.records(report_files.read_cells(f.spark, paths, split_bytes=split_bytes), files)
+    return report_files.land_rows(rows.withColumn("source_file", F.col("file")))  # a task gives its files in several folders one name
 
 
 def scan_sums(rows: DataFrame, *more: Column) -> DataFrame:

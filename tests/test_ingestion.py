@@ -450,3 +450,11 @@ def test_a_named_folder_counts_as_shared(spark):
     assert source_queries.scratch(Session(spark_sql_warehouse_dir="file:/mnt/house")).startswith("file:/mnt/house/adinsight-")
     with pytest.raises(ValueError, match="set spark.checkpoint.dir"):
         source_queries.scratch(Session(spark_sql_warehouse_dir="file:/home/me/spark-warehouse"))
+
+
+def test_places_of_equally_named_files_are_told_apart(spark):
+    rows = spark.range(400).selectExpr("concat('term ', id) search_term", "cast(id as int) row_index", "'Added' added_excluded", "id clicks", "id impressions",
+                                       "id / 4e0 cost", "id conversions")
+    facts = type("Facts", (dict,), {"spark": spark})(fx_search_terms=rows)
+    found = source_queries.scanned(facts, 24)
+    assert found.select("source_file", "row_index").distinct().count() == found.count() == 400
