@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adinsight.llm.common import Generations, groups, table, whole, worker_cache
+from adinsight.llm.common import Generations, groups, table, tidy, whole, worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -295,7 +295,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     columns.append(pa.array([coder.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(F.col(id_col), whole(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), whole(text_col)).mapInArrow(tidy(run), schema)
 
 
 def decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

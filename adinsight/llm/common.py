@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -19,6 +20,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not
 #: A word of the contracts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _own_folder: list[str] = []
+#: Spark's setting that deletes shuffle files when their query has ended, instead of when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,11 +46,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, compression: str | None = None, path: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage.
 
-    The caller may name the path, to :func:`remove` the table when its reader is done.
+    The caller may name the path, to :func:`remove` the table when its reader is done. Shuffle files of the write are
+    deleted with it.
     """
     spark = df.sparkSession
-    path = path or new_path(spark, name)
-    df.write.parquet(path, compression=compression)
+    path, before = path or new_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -99,6 +107,25 @@ def worker_cache(name: str, make: Callable[[], Any], version: object = None) ->
     return store["entry"][1]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *drop: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, after which the worker gives free memory back, and its cache if that has a name of ``drop``.
+
+    Workers wait for their next task beside the executor's heap, with all that they hold.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        store = sys.modules.get("_adinsight_worker_cache", types.ModuleType("none")).__dict__
+        if drop and "entry" in store and store["entry"][0][0] in drop:
+            store.pop("entry")
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def binary(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, a null as b""."""
     if isinstance(column, pa.ChunkedArray):

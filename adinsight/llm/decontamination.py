@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adinsight.llm.common import packed, table, unpacked, worker_cache
+from adinsight.llm.common import packed, table, tidy, unpacked, worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -233,7 +233,7 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
                     names=[*kept, *(f.name for f in found)])
 
         keep = base if carry or last else [*base, docs.schema[text_col]]
-        rows = rows.mapInArrow(run, T.StructType([*keep, *found]))
+        rows = rows.mapInArrow(tidy(run), T.StructType([*keep, *found]))
     return rows
 
 
@@ -282,7 +282,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                 columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    clean = found.select(*rows.columns, "__spans").mapInArrow(cut, rows.schema)
+    clean = found.select(*rows.columns, "__spans").mapInArrow(tidy(cut), rows.schema)
     return clean.select(*unpacked(clean, docs, text_col))
 
 

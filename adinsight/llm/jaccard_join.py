@@ -31,12 +31,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adinsight.llm.common import WORD, Generations, binary, new_path, packed, remove, table, unpacked, worker_cache, written
+from adinsight.llm.common import WORD, Generations, binary, groups, new_path, packed, remove, table, tidy, unpacked, worker_cache, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -45,8 +46,8 @@ LEAST_COUNTERS, MOST_COUNTERS, BYTES_PER_COUNTER = 1 << 16, 1 << 22, 256
 _COUNTER_BLOCK = 1 << 16
 #: Size ratios between similar sets that a band is wide.
 BAND = 2
-#: Bytes of each generation of a worker's memos.
-MEMO = 48 << 20
+#: Bytes of each generation of a task's memos, and of text that is worked on together.
+MEMO, TOGETHER = 24 << 20, 4 << 20
 #: Parts of the rows of one class when they get its name.
 SALTS = 16
 BLOCK_SETS = 4096
@@ -120,6 +121,15 @@ def counters_for(docs: DataFrame) -> int:
     return min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (size // BYTES_PER_COUNTER).bit_length()))
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The columns of batches, some of their rows at a time; the last column as bytes."""
+    for batch in batches:
+        *others, texts = batch.columns
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        for start, stop in groups(lengths, int, TOGETHER):
+            yield *(c.slice(start, stop - start) for c in others), binary(texts.slice(start, stop - start))
+
+
 def _first_pass(docs: DataFrame, n: int, counters: int) -> DataFrame:
     """Rows (id, thash, cls, c, n, low, bits) of documents and rows (block, counts) of hashed counters.
 
@@ -136,18 +146,18 @@ def _first_pass(docs: DataFrame, n: int, counters: int) -> DataFrame:
 
         arrow, shingle = to_arrow_schema(schema), _shingler(n)
         counts = np.zeros(counters, np.int64)
-        for batch in batches:
+        for ids, hashes, texts in _grouped(batches):
             classes, sizes, lows, maps = [], [], [], []
-            for text in binary(batch.column(2)):
+            for text in texts:
                 s = shingle(text)
                 np.add.at(counts, (s & np.uint64(counters - 1)).astype(np.int64), 1)
                 classes.append(_class(s) if len(s) else None)
                 sizes.append(len(s))
                 lows.append(int(s[:1].view(np.int64)[0]) if len(s) else None)
                 maps.append(bitmap(s, width_of(len(s))).tobytes() if len(s) else None)
-            size = batch.num_rows
+            size = len(texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(classes, pa.binary()),
+                [ids, hashes, pa.array(classes, pa.binary()),
                  pa.array([c and _short(c) for c in classes], pa.int64()), pa.array(sizes, pa.int64()),
                  pa.array(lows, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=arrow)
         used = np.flatnonzero(counts.reshape(-1, _COUNTER_BLOCK).any(1))
@@ -155,7 +165,7 @@ def _first_pass(docs: DataFrame, n: int, counters: int) -> DataFrame:
             data = np.minimum(counts[b * _COUNTER_BLOCK : (b + 1) * _COUNTER_BLOCK], 65535).astype("<u2").tobytes()
             yield pa.RecordBatch.from_pylist([{"block": int(b), "counts": data}], schema=arrow)
 
-    return docs.select("id", "thash", "text").mapInArrow(run, schema)
+    return docs.select("id", "thash", "text").mapInArrow(tidy(run, "shingler"), schema)
 
 
 def _counters(first: DataFrame, counters: int) -> np.ndarray:
@@ -199,9 +209,9 @@ def _prefixes(docs: DataFrame, counters: np.ndarray, n: int, num: int, den: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, counts = _shingler(n), shared.value
         told = Generations(lambda _: False, MEMO)  # classes of this task: copies add nothing
-        for batch in batches:
+        for (texts,) in _grouped(batches):
             keys, places, classes = [], [], []
-            for text in binary(batch.column(0)):
+            for text in texts:
                 s = shingle(text)
                 c = _short(_class(s))
                 if not len(s) or told[c]:
@@ -216,7 +226,7 @@ def _prefixes(docs: DataFrame, counters: np.ndarray, n: int, num: int, den: int)
             if keys:
                 yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys), "band": np.concatenate(places), "c": np.concatenate(classes)})
 
-    return docs.select("text").mapInArrow(run, "key long, band int, c long")
+    return docs.select("text").mapInArrow(tidy(run, "shingler"), "key long, band int, c long")
 
 
 # --- signature trees -----------------------------------------------------------------------------------------------
@@ -387,7 +397,7 @@ def _block_links(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
         if out := links():
             yield out
 
-    return members.mapInArrow(run, "a binary, b binary")
+    return members.mapInArrow(tidy(run, "shingler"), "a binary, b binary")
 
 
 def _with_partners(members: DataFrame, num: int, den: int) -> DataFrame:
@@ -418,7 +428,7 @@ def _with_partners(members: DataFrame, num: int, den: int) -> DataFrame:
         if out := found():
             yield out
 
-    return members.mapInArrow(run, schema)
+    return members.mapInArrow(tidy(run), schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
