@@ -13,8 +13,9 @@ last word, so that a text's score is the sum of its unigram terms and of the wei
 by slices of the weights: phrases are dealt by their hashes into slices of about ``SLICE`` entries, each is broadcast,
 and the sums of all slices are added up. The number of slices follows the tree, their size does not.
 
-Training emits a phrase only where bits of a fixed-size table say that its parts may be frequent enough; the joins
-decide, so that a fuller table costs work, not phrases. The unigrams of the words that make up ``SHARE`` of the tokens or
+Training counts a phrase only where bits of a fixed-size table say that its parts may be frequent enough. Most of those
+are too rare themselves, so each level first adds up hashes alone, in packed arrays, and emits with their parts only the
+phrases that have the least count there; the joins decide, so that a fuller table costs work, not phrases. The unigrams of the words that make up ``SHARE`` of the tokens or
 more (at most 1 / share words) are broadcast, those of all others reach the documents by a join on the word.
 
 Nulls: a null text has its end only. A document with a null id is held out. Rows with the same id are documents of
@@ -37,7 +38,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adinsight.llm.common import binary, groups, table, whole, written
+from adinsight.llm import hash_counts
+from adinsight.llm.common import binary, groups, new_path, remove, table, tidy, whole, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -108,7 +110,7 @@ def _count_words(docs: DataFrame) -> DataFrame:
                 hashes, number, _ = _numbered(texts[start:stop])
                 yield pa.RecordBatch.from_pydict({"hash": hashes, "n": np.bincount(number, minlength=len(hashes)).astype(np.int64)})
 
-    return docs.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(tidy(run), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 class Counts(NamedTuple):
@@ -170,7 +172,7 @@ def _encoded(docs: DataFrame, known: Counts) -> DataFrame:
                     data.cast(pa.binary()), lists.cast(arrow.field("rare").type)], schema=arrow)
                 row += n
 
-    return docs.select("id", "held_out", "text").mapInArrow(run, schema)
+    return docs.select("id", "held_out", "text").mapInArrow(tidy(run), schema)
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -187,25 +189,19 @@ def _marked(hashes: DataFrame, bits: int) -> np.ndarray:
     """A table of so many bits with those of the rows (q)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = np.zeros(bits, bool)
-        for batch in batches:
-            data[batch.column(0).to_numpy() & (bits - 1)] = True
-        if data.any():
-            packed = np.packbits(data).reshape(-1, LEAST_BITS // 8)
-            used = np.flatnonzero(packed.any(1))
-            yield pa.RecordBatch.from_pydict({"piece": pa.array(used.astype(np.int32)), "data": pa.array([packed[i].tobytes() for i in used], pa.binary())})
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[int, np.ndarray] = {}  # no more than the table has
         for batch in batches:
-            for i, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                more = np.frombuffer(more, np.uint8)
-                pieces[i] = pieces[i] | more if i in pieces else more
-        for i, held in pieces.items():
-            yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int32()), "data": pa.array([held.tobytes()], pa.binary())})
+            at = np.unique(batch.column(1).to_numpy() & (bits - 1))
+            held, first = np.unique(at // LEAST_BITS, return_index=True)
+            for p, ours in zip(held.tolist(), np.split(at % LEAST_BITS, first[1:])):
+                pieces.setdefault(p, np.zeros(LEAST_BITS, bool))[ours] = True
+        for p, data in pieces.items():
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([p], pa.int32()), "data": pa.array([np.packbits(data).tobytes()], pa.binary())})
 
     out = np.zeros((bits // LEAST_BITS, LEAST_BITS // 8), np.uint8)
-    for row in hashes.mapInArrow(run, "piece int, data binary").repartition(2, "piece").mapInArrow(merge, "piece int, data binary").toLocalIterator():
+    # A piece of the table is made in one task, from nothing but the hashes that lie in it.
+    place = F.shiftright(F.col("q").bitwiseAND(F.lit(bits - 1)), LEAST_BITS.bit_length() - 1)
+    for row in hashes.select(place.alias("piece"), "q").repartition("piece").mapInArrow(run, "piece int, data binary").toLocalIterator():
         out[row.piece] = np.frombuffer(row.data, np.uint8)
     return out.ravel()
 
@@ -215,8 +211,8 @@ def _has(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _count_phrases(encoded: DataFrame, marks: Broadcast, level: int) -> DataFrame:
-    """(q, context, shorter, n) of the phrases of level + 1 words whose parts are marked."""
+def _likely(encoded: DataFrame, marks: Broadcast, level: int, least: int, bits: int) -> DataFrame:
+    """(q) of the phrases of level + 1 words whose parts are marked and that occur ``least`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, pairs = marks.value
@@ -227,11 +223,32 @@ def _count_phrases(encoded: DataFrame, marks: Broadcast, level: int) -> DataFram
                 at = np.flatnonzero(inside[1:]) + 1
                 at = at[_has(contexts, shorter[at - 1])]
                 at = at[_has(pairs, shorter[at])]
+                hashes, n = np.unique(q[at].view(np.uint64), return_counts=True)
+                used, data = hash_counts.buckets(bits, hashes, n)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+    def merge(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        hashes, n = hash_counts.distinct(*map(np.concatenate, zip(*(hash_counts.unpack(data, 1) for _, data in rows))))
+        yield pa.RecordBatch.from_pydict({"q": hashes[n >= least].view(np.int64)})
+
+    return hash_counts.merged(encoded.select("tokens").mapInArrow(tidy(run), "bucket int, data binary"), merge, "q long", "bucket")
+
+
+def _count_phrases(encoded: DataFrame, marks: Broadcast, level: int) -> DataFrame:
+    """(q, context, shorter, n) of the phrases of level + 1 words that are marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, tokens, ends in _tokens(batch.column(0)):
+                found = phrases(tokens, ends, level + 1)
+                (q, inside), (shorter, _) = found[level], found[level - 1]
+                at = np.flatnonzero(inside[1:]) + 1
+                at = at[_has(marks.value, q[at])]
                 distinct, first, n = np.unique(q[at], return_index=True, return_counts=True)
                 at = at[first]
                 yield pa.RecordBatch.from_pydict({"q": distinct, "context": shorter[at - 1], "shorter": shorter[at], "n": n.astype(np.int64)})
 
-    rows = encoded.select("tokens").mapInArrow(run, "q long, context long, shorter long, n long")
+    rows = encoded.select("tokens").mapInArrow(tidy(run), "q long, context long, shorter long, n long")
     return rows.groupBy("q", "context", "shorter").agg(F.sum("n").alias("n"))
 
 
@@ -242,9 +259,15 @@ def grow(encoded: DataFrame, known: Counts, depth: int = DEPTH, least_context: i
     # Phrases of the level below with their count and log10 probability there: at first the words.
     tested = known.words.filter(F.col("n") >= least_pair).select(
         F.col("hash").alias("q"), "n", F.log10((F.col("n") + ADDED) / known.unit).alias("p"))
+    packed_bits = hash_counts.bits_for(known.tokens)
     weights = []
     for level in range(1, depth + 1):
         marks = spark.sparkContext.broadcast((_marked(tested.filter(F.col("n") >= least_context).select("q"), bits), _marked(tested.select("q"), bits)))
+        path = new_path(spark, "lm-likely")
+        likely = written(_likely(encoded, marks, level, least_pair, packed_bits), "", "zstd", path)
+        marks.unpersist()
+        marks = spark.sparkContext.broadcast(_marked(likely, bits))
+        remove(spark, path)
         pairs = _count_phrases(encoded, marks, level).filter(F.col("n") >= least_pair)
         contexts = tested.filter((F.col("n") >= least_context) & (F.col("q") != word_hash(END))).select(F.col("q").alias("context"), F.col("n").alias("all"))
         below = tested.select(F.col("q").alias("shorter"), F.col("p").alias("low"))
@@ -267,13 +290,15 @@ def grow(encoded: DataFrame, known: Counts, depth: int = DEPTH, least_context: i
     return reduce(DataFrame.unionByName, weights).groupBy("q").agg(F.sum("weight").alias("weight"))
 
 
-def token_scores(hashes: np.ndarray, weights: np.ndarray, tokens: np.ndarray, ends: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """What the given weights (in the order of their hashes) add to the unigram term of each token."""
+def token_scores(hashes: np.ndarray, weights: np.ndarray, tokens: np.ndarray, ends: np.ndarray, depth: int = DEPTH, marks: np.ndarray | None = None) -> np.ndarray:
+    """What the given weights (in the order of their hashes) add to the unigram term of each token; marks spare searches."""
     out = np.zeros(len(tokens))
     if not len(hashes):
         return out
     for q, inside in phrases(tokens, ends, depth + 1):
         at = np.flatnonzero(inside)
+        if marks is not None:
+            at = at[_has(marks, q[at])]
         place = np.minimum(np.searchsorted(hashes, q[at]), len(hashes) - 1)
         out[at] += np.where(hashes[place] == q[at], weights[place], 0.0)
     return out
@@ -283,13 +308,18 @@ def _added(encoded: DataFrame, shared: Broadcast, depth: int) -> DataFrame:
     """(row, tree): what a slice of the weights adds to the score of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, weights = shared.value
+        bits = 1 << max(16, (8 * len(hashes)).bit_length())
+        marks = np.zeros(bits, bool)
+        marks[hashes & (bits - 1)] = True
+        marks = np.packbits(marks)
         for batch in batches:
             for start, stop, tokens, ends in _tokens(batch.column(1)):
-                added = token_scores(*shared.value, tokens, ends, depth)
+                added = token_scores(hashes, weights, tokens, ends, depth, marks)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(np.add.reduceat(added, np.concatenate([[0], ends[:-1] + 1])))],
                                                  names=["row", "tree"])
 
-    return encoded.select("row", "tokens").mapInArrow(run, "row long, tree double")
+    return encoded.select("row", "tokens").mapInArrow(tidy(run), "row long, tree double")
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_context: int = LEAST_CONTEXT,

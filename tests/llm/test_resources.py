@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from adinsight.llm import common, jaccard_join
+from adinsight.llm import common, hash_counts, jaccard_join, suffix_tree_lm
 
 
 def test_a_written_table_leaves_no_shuffle_files(spark):
@@ -40,3 +40,37 @@ def test_texts_are_worked_on_a_few_at_a_time(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["abcdef", None, "ghijkl", "", "é"])], names=["id", "text"])
     got = [(ids.to_pylist(), texts) for ids, texts in jaccard_join._grouped(iter([batch, batch.slice(0, 0)]))]
     assert got == [([0, 1, 2], [b"abcdef", b"", b"ghijkl"]), ([3, 4], [b"", "é".encode()])]
+
+
+def test_packed_counts_are_added_by_bucket(spark):
+    rng = np.random.default_rng(1)
+    parts = [rng.integers(0, 1 << 64, 400, dtype=np.uint64) for _ in range(3)]
+    parts = [np.unique(np.concatenate([p, parts[0][:50], np.array([0, (1 << 64) - 1], np.uint64)])) for p in parts]
+    rows = [x for p in parts for x in zip(*hash_counts.buckets(3, p, np.full(len(p), 2)))]
+
+    def merge(held):
+        hashes, n = hash_counts.distinct(*map(np.concatenate, zip(*(hash_counts.unpack(data, 1) for _, data in held))))
+        yield pa.RecordBatch.from_pydict({"q": hashes.view(np.int64), "n": n})
+
+    got = hash_counts.merged(spark.createDataFrame(rows, "bucket int, data binary"), merge, "q long, n long", "bucket").collect()
+    wanted = collections.Counter(int(h) for p in parts for h in p.view(np.int64))
+    assert len(got) == len(wanted) and {r.q: r.n for r in got} == {h: 2 * n for h, n in wanted.items()}
+
+
+def test_only_phrases_with_the_least_count_get_rows(spark):
+    lm, rng = suffix_tree_lm, random.Random(5)
+    docs = spark.createDataFrame([(" ".join(str(rng.randrange(60)) for _ in range(400)),) for _ in range(20)], "text string").repartition(4)
+    known = lm.count_words(docs)
+    encoded = common.written(lm._encoded(docs.select(F.lit(1).alias("id"), F.lit(False).alias("held_out"), "text"), known), "tokens")
+    every = spark.sparkContext.broadcast((np.full(1 << 15, 255, np.uint8),) * 2)
+    counts = collections.Counter()
+    for r in docs.collect():
+        tokens = [lm.word_hash(w) for w in r.text.encode().split()] + [lm.word_hash(lm.END)]
+        pairs = lm._longer(np.array(tokens[1:], np.int64), np.array(tokens[:-1], np.int64))
+        counts.update(pairs.tolist())
+    wanted = {q for q, n in counts.items() if n >= 4}
+    likely = lm._likely(encoded, every, 1, 4, 3)
+    assert {r.q for r in likely.collect()} == wanted and 0 < len(wanted) < len(counts)
+    marks = spark.sparkContext.broadcast(lm._marked(likely, 1 << 20))
+    told = {r.q: r.n for r in lm._count_phrases(encoded, marks, 1).collect()}
+    assert wanted <= set(told) and len(told) < len(wanted) + 20 and all(counts[q] == n for q, n in told.items())
