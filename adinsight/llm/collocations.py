@@ -5,7 +5,9 @@ cycles. Words are counted from the first scan on. After every scan, what has rea
 longer phrase is active as soon as its first and its last words (all but one each) are marked, and is counted from the
 next scan on until each shard has been scanned with it active, so that lengths are interleaved and each phrase is
 counted over one full cycle. Sums over scans go on for what has its share of the least count already; the rest is added
-up once a cycle. The scans end with a cycle that has marked nothing new.
+up once a cycle. The scans end with a cycle that has marked nothing new. Nearly all active phrases stay below the least
+count, so the scans count hashes of phrases, in packed arrays; a last scan counts with their words the phrases whose
+hashes have reached it, and what is truly below falls out there.
 
 Marks are bits of a fixed-size table of phrase hashes, which is broadcast. Different phrases on one bit may make a phrase
 active too early, never too late: an occurrence is counted in the first scan of its shard that finds its phrase active,
@@ -13,7 +15,7 @@ so no count holds an occurrence twice, a phrase whose parts truly have the least
 stays below it. The size of the table follows the texts up to ``MOST_BITS``; a fuller table lets more phrases be
 counted, with the same result.
 
-Phrases are counted by the 64-bit hashes of their words. Should two words or two languages of the corpus have one hash,
+In the last scan phrases are counted by the 64-bit hashes of their words. Should two words or two languages of the corpus have one hash,
 which the table of words shows, all is done again with another seed, so that counts are exact.
 
 Scores, subsumption and ranks are DataFrame operations on the phrases with the least count.
@@ -38,16 +40,17 @@ from pyspark import Broadcast, TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from adinsight.llm.common import binary, groups, new_path, remove, table, whole, written
+from adinsight.llm import hash_counts
+from adinsight.llm.common import binary, groups, new_path, remove, table, tidy, whole, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHARDS = 3
 #: Bits of the table of marks: at least, at most, and for each word.
 LEAST_BITS, MOST_BITS, BITS_PER_WORD = 1 << 20, 1 << 29, 1
-#: Bytes of text, and of hashes, that are worked on together, words that a task remembers to have told, and rows that
-#: travel together.
-TEXT, TOGETHER, TOLD, ROWS = 2 << 20, 8 << 20, 200_000, 1 << 15
+#: Bytes of text, and of hashes, that are worked on together, words that a task remembers to have told, rows that travel
+#: together, and phrases that a task adds up before it tells them.
+TEXT, TOGETHER, TOLD, ROWS, HELD = 2 << 20, 8 << 20, 200_000, 1 << 15, 1 << 19
 #: Places of a stored part of a text.
 PART = 1 << 14
 #: Marks travel in pieces of this many bytes.
@@ -78,9 +81,9 @@ def word_hash(word: bytes, seed: int = 0) -> int:
 
 
 def _dealt(docs: DataFrame, path: str, shards: int, longest: int, seed: int) -> None:
-    """Write rows (shard, g, lang, starts, tokens) of the documents (lang, text), and in shard -1 rows (h, word).
+    """Write rows (shard, g, lang, starts, words, tokens) of the documents (lang, text), and in shard -1 rows (h, word).
 
-    Phrases start at the first ``starts`` of the tokens; each row ends with a 0.
+    Phrases start at the first ``starts`` of the tokens, ``words`` of which are words; each row ends with a 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,11 +105,11 @@ def _dealt(docs: DataFrame, path: str, shards: int, longest: int, seed: int) ->
                     for at in range(first, end, PART):
                         upto = min(at + PART, end)
                         tokens = data[at : min(upto + longest - 1, end)].tobytes() + (b"" if upto == end else bytes(8))
-                        rows.append((number % shards, word_hash(lang.encode(), seed), lang, upto - at, tokens))
+                        rows.append((number % shards, word_hash(lang.encode(), seed), lang, upto - at, int(np.count_nonzero(data[at:upto])), tokens))
                         number += 1
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.binary()])] + [
+                    pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary()])] + [
                     pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names=names)
                 # a word is told once a task, or again after so many others
                 new = [k for k, h in enumerate(hashes) if h and h not in told]
@@ -115,15 +118,15 @@ def _dealt(docs: DataFrame, path: str, shards: int, longest: int, seed: int) ->
                 told.update(hashes)
                 n = len(new)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                    pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
                     pa.array([hashes[k] for k in new], pa.int64()), numbered.dictionary.take(pa.array(new, pa.int64())).cast(pa.binary()).cast(pa.string())], names=names)
 
-    names = ["shard", "g", "lang", "starts", "tokens", "h", "word"]
-    rows = docs.mapInArrow(run, _DEALT)
+    names = ["shard", "g", "lang", "starts", "words", "tokens", "h", "word"]
+    rows = docs.mapInArrow(tidy(run), _DEALT)
     rows.write.partitionBy("shard").parquet(path, compression="zstd")
 
 
-_DEALT = "shard int, g long, lang string, starts int, tokens binary, h long, word string"
+_DEALT = "shard int, g long, lang string, starts int, words long, tokens binary, h long, word string"
 
 
 # --- marks and scans -------------------------------------------------------------------------------------------------
@@ -168,14 +171,15 @@ def _distinct(ids: np.ndarray, size: int, at: np.ndarray, k: int) -> tuple[np.nd
 
 def _phrases(tokens: np.ndarray, may_start: np.ndarray, lang: int, longest: int, now: Marks | None, before: Marks | None,
              single: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(k, first places, occurrences) of the words, and of phrases that are active now and were not at the shard's last scan."""
+    """(k, places, their hashes) of the words, and of phrases that are active now and were not at the shard's last scan."""
     words, ids = np.unique(tokens, return_inverse=True)
     inside = tokens != 0
+    hashes = _first(words, lang)
     if single:
-        yield 1, *_distinct(ids, len(words), np.flatnonzero(inside & may_start), 1)
+        at = np.flatnonzero(inside & may_start)
+        yield 1, at, hashes[ids[at]]
     if now is None:
         return
-    hashes = _first(words, lang)
     shorter, on = hashes[ids], now(hashes)[ids]
     was = before(hashes)[ids] if before is not None else None
     for k in range(2, longest + 1):
@@ -186,42 +190,101 @@ def _phrases(tokens: np.ndarray, may_start: np.ndarray, lang: int, longest: int,
         active = inside & on[:-1] & on[1:] & may_start[: len(inside)]
         if was is not None:
             active &= ~(was[:-1] & was[1:])
+        shorter = _longer(shorter[:-1], tokens[k - 1 :])
         at = np.flatnonzero(active)
         if len(at):
-            yield k, *_distinct(ids, len(words), at, k)
-        if k < longest:
-            shorter = _longer(shorter[:-1], tokens[k - 1 :])
+            yield k, at, shorter[at]
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Language, tokens and where phrases may start, for groups of rows (g, starts, tokens) of one language."""
+    for batch in batches:
+        langs = batch.column(0).to_numpy()
+        starts, parts = batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        for lang in np.unique(langs):
+            rows = np.flatnonzero(langs == lang).tolist()
+            for first, last in groups(rows, lambda i: len(parts[i]), TOGETHER):
+                chosen = rows[first:last]
+                tokens = np.frombuffer(b"".join([parts[i] for i in chosen]), np.int64)
+                lengths = np.array([len(parts[i]) // 8 for i in chosen])
+                place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                yield int(lang), tokens, place < np.repeat(starts[chosen], lengths)
+
+
+def _turned(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes whose leading bits name their place in a table of so many marks, so that a bucket's marks stand together."""
+    low = bits.bit_length() - 1
+    return (hashes << np.uint64(64 - low)) | (hashes >> np.uint64(low))
+
 
+#: Packed counts of the phrases of k words: all sums so far, and those of one scan.
+_PACKED = "k int, bucket int, data binary"
 
-def _scan(shard: DataFrame, longest: int, now: Broadcast | None, before: Broadcast | None, single: bool) -> DataFrame:
-    """Rows of the key and n for what this scan counts in the rows (g, starts, tokens); not yet summed over tasks."""
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int32(), pa.binary()])], names=["k", "bucket", "data"])
+
+
+def _scan(shard: DataFrame, longest: int, now: Broadcast | None, before: Broadcast | None, single: bool, bits: int, size: int) -> DataFrame:
+    """Packed rows of what this scan counts in the rows (g, starts, tokens), for marks of ``size`` bytes; not yet summed over tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, earlier = now and Marks(now.value), before and Marks(before.value)
-        for batch in batches:
-            langs = batch.column(0).to_numpy()
-            starts, parts = batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            for lang in np.unique(langs):
-                rows = np.flatnonzero(langs == lang).tolist()
-                for first, last in groups(rows, lambda i: len(parts[i]), TOGETHER):
-                    chosen = rows[first:last]
-                    tokens = np.frombuffer(b"".join([parts[i] for i in chosen]), np.int64)
-                    lengths = np.array([len(parts[i]) // 8 for i in chosen])
-                    place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                    may_start = place < np.repeat(starts[chosen], lengths)
-                    for k, at, n in _phrases(tokens, may_start, int(lang), longest, marks, earlier, single):
-                        for row in range(0, len(at), ROWS):
-                            here = at[row : row + ROWS]
-                            none = np.zeros(len(here), np.int64)
-                            columns = [tokens[here + j] if j < k else none for j in range(LONGEST)]
-                            columns = [np.full(len(here), lang), *columns, n[row : row + ROWS].astype(np.int64)]
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*KEY, "n"])
-
-    return shard.select("g", "starts", "tokens").mapInArrow(run, ", ".join(f"{c} long" for c in [*KEY, "n"]))
-
-
-def _marked(reached: DataFrame, data: np.ndarray) -> np.ndarray:
-    """The marks with those of the rows of keys; their size is fixed."""
+        for lang, tokens, may_start in _texts(batches):
+            for k, _, hashes in _phrases(tokens, may_start, lang, longest, marks, earlier, single):
+                hashes, n = np.unique(_turned(hashes, 8 * size), return_counts=True)
+                if len(hashes):
+                    yield _batch([(k, *x) for x in zip(*hash_counts.buckets(bits, hashes, n, n))])
+
+    return shard.select("g", "starts", "tokens").mapInArrow(tidy(run), _PACKED)
+
+
+def _summed(found: DataFrame, likely: DataFrame | None, longest: int, least: int, shards: int) -> DataFrame:
+    """Packed rows (sums so far, counts of this scan): ``found``, with the sums of ``likely`` that are on their way to the least count."""
+
+    def merge(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for k, _, data, old in rows:
+            hashes, n, here = hash_counts.unpack(data, 2)
+            if old:
+                on = (n < least) & (n >= -(-least // shards)) if k < longest else np.zeros(len(n), bool)
+                hashes, n, here = hashes[on], n[on], np.zeros(on.sum(), np.int64)
+            parts.append((hashes, n, here))
+        hashes, n, here = hash_counts.distinct(*map(np.concatenate, zip(*parts)))
+        if len(hashes):
+            yield _batch([(*rows[0][:2], hash_counts.pack(hashes, n, here))])
+
+    rows = found.withColumn("old", F.lit(False))
+    if likely is not None:
+        rows = rows.unionByName(likely.withColumn("old", F.lit(True)))
+    return hash_counts.merged(rows, merge, _PACKED, "k", "bucket")
+
+
+def _totals(counts: list[DataFrame], before: DataFrame | None, cycle: int, least: int) -> DataFrame:
+    """Packed rows (sum, first cycle) of a cycle's scans and of the totals before.
+
+    What came up before this cycle and has stayed below the least count is counted in full and left out.
+    """
+
+    def merge(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for _, _, data, old in rows:
+            hashes, n, other = hash_counts.unpack(data, 2)
+            on = (n >= least) | (other >= cycle - 1) if old else other > 0
+            hashes, n, other = hashes[on], n[on], other[on]
+            parts.append((hashes, n, other) if old else (hashes, other, np.full(len(hashes), cycle)))
+        hashes, n, first = hash_counts.distinct(*map(np.concatenate, zip(*parts)), by=(np.add, np.minimum))
+        if len(hashes):
+            yield _batch([(*rows[0][:2], hash_counts.pack(hashes, n, first))])
+
+    rows = reduce(DataFrame.unionByName, counts).withColumn("old", F.lit(False))
+    if before is not None:
+        rows = rows.unionByName(before.withColumn("old", F.lit(True)))
+    return hash_counts.merged(rows, merge, _PACKED, "k", "bucket")
+
+
+def _marked(packed: DataFrame, least: int, data: np.ndarray) -> np.ndarray:
+    """The marks with those of the packed rows that have the least count; their size is fixed."""
     bits = 8 * len(data)
 
     def pieces_of(pieces: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -231,16 +294,16 @@ def _marked(reached: DataFrame, data: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[int, np.ndarray] = {}  # no more than the table has
         for batch in batches:
-            lang, *words = (c.to_numpy() for c in batch.columns)
-            hashes = _first(words[0], lang)
-            for w in words[1:]:
-                hashes = np.where(w != 0, _longer(hashes, w), hashes)
-            at = (hashes & np.uint64(bits - 1)).astype(np.int64)
+            reached = []
+            for packed in batch.column(0).to_pylist():
+                hashes, n, _ = hash_counts.unpack(packed, 2)
+                reached.append(hashes[n >= least])
+            at = (np.concatenate(reached) >> np.uint64(65 - bits.bit_length())).astype(np.int64) if reached else np.zeros(0, np.int64)
+            at.sort()
             piece = at // (8 * PIECE)
-            for p in np.unique(piece).tolist():
-                ours = at[piece == p]
-                held = pieces.setdefault(p, np.zeros(PIECE, np.uint8))
-                np.bitwise_or.at(held, (ours >> 3) % PIECE, (1 << (ours & 7)).astype(np.uint8))
+            held, first = np.unique(piece, return_index=True)
+            for p, ours in zip(held.tolist(), np.split(at, first[1:])):
+                np.bitwise_or.at(pieces.setdefault(p, np.zeros(PIECE, np.uint8)), (ours >> 3) % PIECE, (1 << (ours & 7)).astype(np.uint8))
         yield from pieces_of(pieces)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,12 +315,61 @@ def _marked(reached: DataFrame, data: np.ndarray) -> np.ndarray:
         yield from pieces_of(pieces)
 
     out = data.copy()
-    parts = reached.select(*KEY).mapInArrow(run, "piece int, bits binary").repartition(2, "piece")
+    parts = packed.select("data").mapInArrow(run, "piece int, bits binary").repartition(2, "piece")
     for row in parts.mapInArrow(merge, "piece int, bits binary").toLocalIterator():
         out[row.piece * PIECE : (row.piece + 1) * PIECE] |= np.frombuffer(row.bits, np.uint8)
     return data if np.array_equal(out, data) else out
 
 
+def _counted(texts: DataFrame, longest: int, marks: Broadcast, least: int) -> DataFrame:
+    """Rows (key, a) of the marked phrases of the rows (g, starts, tokens) that occur ``least`` times, told with their words."""
+
+    def told(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (key, n) with sums of equal keys; should two phrases have one hash, as they are."""
+        order = np.argsort(hashes, kind="stable")
+        hashes, rows = hashes[order], rows[order]
+        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+        first = np.flatnonzero(new)
+        if (rows[first[np.cumsum(new) - 1], :-1] != rows[:, :-1]).any():
+            return hashes, rows
+        n = np.add.reduceat(rows[:, -1], first)
+        return hashes[first], np.column_stack([rows[first, :-1], n])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, held, size = Marks(marks.value), [], 0
+
+        def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(rows), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[at : at + ROWS].T], names=[*KEY, "a"])
+
+        for lang, tokens, may_start in _texts(batches):
+            ids = np.unique(tokens, return_inverse=True)[1]
+            for k, at, hashes in _phrases(tokens, may_start, lang, longest, wanted, None, True):
+                on = wanted(hashes)
+                at, hashes = at[on], hashes[on]
+                if not len(at):
+                    continue
+                place, n = _distinct(ids, int(ids.max()) + 1, at, k)
+                rows = np.zeros((len(place), len(KEY) + 1), np.int64)
+                rows[:, 0], rows[:, -1] = lang, n
+                for j in range(k):
+                    rows[:, 1 + j] = tokens[place + j]
+                held.append((hashes[np.searchsorted(at, place)], rows))
+                size += len(rows)
+                if size > HELD:
+                    held = [told(*map(np.concatenate, zip(*held)))]
+                    size = len(held[0][1])
+                    if size > HELD // 2:
+                        yield from out(held[0][1])
+                        held, size = [], 0
+        if held:
+            yield from out(told(*map(np.concatenate, zip(*held)))[1])
+
+    rows = texts.select("g", "starts", "tokens").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in [*KEY, "a"]))
+    # A task has added up what it tells, so rows move by key before they are added: sums within tasks would find little.
+    return rows.repartition(*KEY).groupBy(*KEY).agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
+
+
 class Counted:
     """Tables of :func:`counted`: phrases (key, a), texts of the words (h, word) and languages (g, lang, n)."""
 
@@ -276,15 +388,16 @@ def counted(docs: DataFrame, least: int = 30, longest: int = LONGEST, lang_col:
         words = every.filter("shard = -1").groupBy("h").agg(F.min("word").alias("word"), F.max("word").alias("other"))
         words = written(words, "phrase-words", "zstd")
         texts = every.filter("shard >= 0")
-        languages = texts.groupBy("g").agg(F.min("lang").alias("lang"), F.max("lang").alias("other"), F.sum(F.octet_length("tokens")).alias("bytes")).collect()
+        languages = texts.groupBy("g").agg(F.min("lang").alias("lang"), F.max("lang").alias("other"), F.sum("words").alias("n")).collect()
         if words.filter("word <> other").isEmpty() and all(x.lang == x.other for x in languages):
             break
         remove(spark, dealt)
-    size = sum(x.bytes for x in languages) // 8 * BITS_PER_WORD  # a row a language
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << int(size).bit_length())) // 8
+    size = sum(x.n for x in languages)  # a row a language
+    bits = hash_counts.bits_for(size)
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << int(size * BITS_PER_WORD).bit_length())) // 8
     # The marks before each scan of the last cycle, oldest first, as arrays and as broadcasts of a fixed size.
     marks: list[tuple[np.ndarray, Broadcast | None]] = [(np.zeros(size, np.uint8), None)]
-    likely, totals, by_lang, scan = None, None, None, 0
+    likely, totals, scan = None, None, 0
     while scan == 0 or scan % shards or marks[0][0] is not marks[-1][0]:
         cycle = scan // shards
         if scan % shards == 0:
@@ -294,26 +407,16 @@ def counted(docs: DataFrame, least: int = 30, longest: int = LONGEST, lang_col:
         before = marks[0][1] if len(marks) > shards else None
         new = data
         if cycle == 0 or marks[0][0] is not data:  # otherwise the last scan of this shard found the same
-            found = _scan(texts.filter(F.col("shard") == scan % shards), longest, now, before, cycle == 0).select(*KEY, "n", F.col("n").alias("here"))
-            if likely is not None:
-                found = found.unionByName(likely)
+            found = _scan(texts.filter(F.col("shard") == scan % shards), longest, now, before, cycle == 0, bits, size)
             paths.append(new_path(spark, "phrase-counts"))
-            # A batch tells a phrase once, so rows move by key before they are added: sums within tasks would find little.
-            found = written(found.repartition(*KEY).groupBy(*KEY).agg(F.sum("n").alias("n"), F.sum("here").alias("here")), "", "zstd", paths[-1])
-            counts.append(found.filter("here > 0").select(*KEY, F.col("here").alias("n")))
-            shorter = found.filter(F.col(f"w{longest}") == 0)
-            new = _marked(shorter.filter(F.col("n") >= least), data)
             # Sums go on with what is on its way to the least count; the others are added up at the end of the cycle.
-            likely = shorter.filter((F.col("n") < least) & (F.col("n") >= -(-least // shards))).withColumn("here", F.lit(0).cast("long"))
+            likely = written(_summed(found, likely, longest, least, shards), "", "zstd", paths[-1])
+            counts.append(likely)
+            new = _marked(likely.filter(F.col("k") < longest), least, data)
         if scan % shards == shards - 1 and counts:
-            every = reduce(DataFrame.unionByName, counts).withColumn("cycle", F.lit(cycle))
-            if totals is not None:  # what came up before this cycle and has stayed below the least count is counted in full
-                every = every.unionByName(totals.filter((F.col("n") >= least) | (F.col("cycle") >= cycle - 1)))
             old_totals, totals_path = totals_path if totals is not None else None, new_path(spark, "phrase-totals")
-            totals = written(every.groupBy(*KEY).agg(F.sum("n").alias("n"), F.min("cycle").alias("cycle")), "", "zstd", totals_path)
-            if cycle == 0:
-                by_lang = written(totals.filter("w2 = 0").groupBy("g").agg(F.sum("n").alias("n")), "phrase-languages")
-            new = _marked(totals.filter((F.col("n") >= least) & (F.col(f"w{longest}") == 0)), new)
+            totals = written(_totals(counts, totals, cycle, least), "", "zstd", totals_path)
+            new = _marked(totals.filter(F.col("k") < longest), least, new)
             likely = None  # these sums are in the totals; a new cycle begins its own
             for path in [*paths, *([old_totals] if old_totals else [])]:
                 remove(spark, path)
@@ -323,10 +426,13 @@ def counted(docs: DataFrame, least: int = 30, longest: int = LONGEST, lang_col:
             if old is not None and all(old is not b for _, b in marks):
                 old.unpersist()
         scan += 1
+    reached = spark.sparkContext.broadcast(_marked(totals, least, np.zeros(size, np.uint8)))
+    remove(spark, totals_path)
+    phrases = written(_counted(texts, longest, reached, least), "phrases", "zstd")
+    reached.unpersist()
     remove(spark, dealt)
-    phrases = totals.filter(F.col("n") >= least).select(*KEY, F.col("n").alias("a"))
-    names = spark.createDataFrame([(x.g, x.lang) for x in languages], "g long, lang string")
-    return Counted(phrases, words.drop("other"), by_lang.join(names, "g"))
+    names = spark.createDataFrame([(x.g, x.lang, x.n) for x in languages if x.n], "g long, lang string, n long")
+    return Counted(phrases, words.drop("other"), names)
 
 
 # --- scores ----------------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from adinsight.llm import common, hash_counts, jaccard_join, suffix_tree_lm
+from adinsight.llm import collocations, common, hash_counts, jaccard_join, suffix_tree_lm
 
 
 def test_a_written_table_leaves_no_shuffle_files(spark):
@@ -74,3 +74,14 @@ def test_only_phrases_with_the_least_count_get_rows(spark):
     marks = spark.sparkContext.broadcast(lm._marked(likely, 1 << 20))
     told = {r.q: r.n for r in lm._count_phrases(encoded, marks, 1).collect()}
     assert wanted <= set(told) and len(told) < len(wanted) + 20 and all(counts[q] == n for q, n in told.items())
+
+
+def test_a_scan_tells_packed_rows(spark):
+    texts = [("en", " ".join(f"w{(7 * i * i + j) % 900}" for i in range(3000))) for j in range(4)]
+    path = common.new_path(spark, "dealt")
+    collocations._dealt(spark.createDataFrame(texts, "lang string, text string").repartition(2), path, 1, 4, 0)
+    every = spark.read.schema(collocations._DEALT).parquet(path).filter("shard >= 0")
+    rows = collocations._scan(every, 4, None, None, True, 3, 1 << 17).collect()
+    words = [hash_counts.unpack(bytes(r.data), 2) for r in rows]
+    assert len(rows) <= 8 * 2 * 2 < sum(len(h) for h, *_ in words)
+    assert sum(int(n.sum()) for _, n, _ in words) == 12000 == every.agg(F.sum("words")).first()[0]
