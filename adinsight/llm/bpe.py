@@ -276,8 +276,12 @@ def _coder(definition: str) -> WordBpe:
     return worker_cache("word-bpe", lambda: WordBpe(definition), zlib.crc32(definition.encode()))
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """Per row: its id, n_tokens, ids (little-endian unsigned 32-bit integers) and, if asked for, their decoding."""
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False,
+           keep: bool = True) -> DataFrame:
+    """Per row: its id, n_tokens, ids (little-endian unsigned 32-bit integers) and, if asked for, their decoding.
+
+    Workers keep their memos for later tasks, unless told not to.
+    """
     definition = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
     schema = T.StructType([
         docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()),
@@ -295,7 +299,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     columns.append(pa.array([coder.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(F.col(id_col), whole(text_col)).mapInArrow(tidy(run), schema)
+    return docs.select(F.col(id_col), whole(text_col)).mapInArrow(tidy(run, *["word-bpe"] * (not keep)), schema)
 
 
 def decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

@@ -51,7 +51,8 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents and the digests of ids and decoded text."""
     import public_tokenizers
 
-    rows = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True)
+    # workers stay beside stages of other kinds, without the memos
+    rows = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True, keep=False)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "ids")
 
