@@ -14,9 +14,11 @@ by slices of the weights: phrases are dealt by their hashes into slices of about
 and the sums of all slices are added up. The number of slices follows the tree, their size does not.
 
 Training counts a phrase only where bits of a fixed-size table say that its parts may be frequent enough. Most of those
-are too rare themselves, so each level first adds up hashes alone, in packed arrays, and emits with their parts only the
-phrases that have the least count there; the joins decide, so that a fuller table costs work, not phrases. The unigrams of the words that make up ``SHARE`` of the tokens or
-more (at most 1 / share words) are broadcast, those of all others reach the documents by a join on the word.
+are too rare themselves, so each level adds up hashes alone, in packed arrays, and keeps those that have the least count.
+The texts are stored in units, and the parts of a phrase are told by the first unit that holds it, which bits of a table
+name as well; the joins decide, so that a fuller table costs work, not phrases. The unigrams of the words that make up
+``SHARE`` of the tokens or more (at most 1 / share words) are broadcast, those of all others reach the documents by a
+join on the word.
 
 Nulls: a null text has its end only. A document with a null id is held out. Rows with the same id are documents of
 their own. A text of any length is read as a whole. An empty table gives no rows; without training documents every token
@@ -54,8 +56,8 @@ ADDED = 0.1
 SHARE = 1e-6
 #: The end of a document as a word; words hold no white space.
 END = b" end"
-#: Bytes of text, or of tokens, that are worked on together.
-TOGETHER = 4 << 20
+#: Bytes of text, or of tokens, that are worked on together; bytes of tokens of a unit.
+TOGETHER, UNIT = 4 << 20, 16 << 20
 #: Weights that are broadcast together (16 bytes each).
 SLICE = 3_000_000
 #: Bits of the tables of marks: at least, at most, and for each token.
@@ -142,7 +144,7 @@ def _encoded(docs: DataFrame, known: Counts) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((known.hashes, np.log10((known.counts + ADDED) / known.unit)))
     rare = T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("m", T.LongType())]))
     schema = T.StructType([
-        T.StructField("row", T.LongType()), docs.schema["id"], docs.schema["held_out"], T.StructField("n_tokens", T.LongType()),
+        T.StructField("row", T.LongType()), T.StructField("unit", T.LongType()), docs.schema["id"], docs.schema["held_out"], T.StructField("n_tokens", T.LongType()),
         T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("tokens", T.BinaryType()), T.StructField("rare", rare),
     ])
 
@@ -150,7 +152,8 @@ def _encoded(docs: DataFrame, known: Counts) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, (frequent, terms) = to_arrow_schema(schema), shared.value
-        row = TaskContext.get().partitionId() << 40
+        row = unit = TaskContext.get().partitionId() << 40  # a unit is named by its first row
+        size = 0
         for batch in batches:
             texts = binary(batch.column(2))
             for start, stop in groups(texts, len, TOGETHER):
@@ -167,20 +170,25 @@ def _encoded(docs: DataFrame, known: Counts) -> DataFrame:
                 tokens = hashes[number]
                 data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(8 * np.append(starts, len(tokens))), pa.py_buffer(tokens)])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(row, row + n)), batch.column(0).slice(start, n), batch.column(1).slice(start, n), pa.array(ends - starts + 1),
+                    pa.array(np.arange(row, row + n)), pa.array(np.full(n, unit)), batch.column(0).slice(start, n), batch.column(1).slice(start, n), pa.array(ends - starts + 1),
                     pa.array(np.add.reduceat(often[number].astype(np.int64), starts)), pa.array(np.add.reduceat(term[number], starts)),
                     data.cast(pa.binary()), lists.cast(arrow.field("rare").type)], schema=arrow)
-                row += n
+                row, size = row + n, size + 8 * len(tokens)
+                if size >= UNIT:
+                    unit, size = row, 0
 
     return docs.select("id", "held_out", "text").mapInArrow(tidy(run), schema)
 
 
-def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Bounds of groups of documents, their tokens in one array, and the places of their ends."""
+def _tokens(column: pa.Array, units: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Bounds of groups of documents (of one unit, if units are given), their tokens in one array, and the places of their ends."""
     texts = column.to_pylist()
-    for start, stop in groups(texts, len, 4 * TOGETHER):
-        lengths = np.array([len(t) // 8 for t in texts[start:stop]])
-        yield start, stop, np.frombuffer(b"".join(texts[start:stop]), np.int64), np.cumsum(lengths) - 1
+    edges = [0, *([] if units is None else (np.flatnonzero(np.diff(units)) + 1).tolist()), len(texts)]
+    for first, last in zip(edges, edges[1:]):
+        for start, stop in groups(texts[first:last], len, 4 * TOGETHER):
+            chosen = texts[first + start : first + stop]
+            lengths = np.array([len(t) // 8 for t in chosen])
+            yield first + start, first + stop, np.frombuffer(b"".join(chosen), np.int64), np.cumsum(lengths) - 1
 
 
 # --- the tree --------------------------------------------------------------------------------------------------------
@@ -201,8 +209,10 @@ def _marked(hashes: DataFrame, bits: int) -> np.ndarray:
     out = np.zeros((bits // LEAST_BITS, LEAST_BITS // 8), np.uint8)
     # A piece of the table is made in one task, from nothing but the hashes that lie in it.
     place = F.shiftright(F.col("q").bitwiseAND(F.lit(bits - 1)), LEAST_BITS.bit_length() - 1)
-    for row in hashes.select(place.alias("piece"), "q").repartition("piece").mapInArrow(run, "piece int, data binary").toLocalIterator():
-        out[row.piece] = np.frombuffer(row.data, np.uint8)
+    # One job brings all pieces, no more than the table has; an iterator would run one for each partition.
+    pieces = hashes.select(place.alias("piece"), "q").repartition("piece").mapInArrow(tidy(run), "piece int, data binary").toArrow()
+    for piece, data in zip(pieces.column("piece").to_pylist(), pieces.column("data")):
+        out[piece] = np.frombuffer(data.as_buffer(), np.uint8)
     return out.ravel()
 
 
@@ -211,13 +221,22 @@ def _has(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
+def _in_unit(hashes: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """Hashes of phrases together with a unit."""
+    return _longer(hashes, units)
+
+
 def _likely(encoded: DataFrame, marks: Broadcast, level: int, least: int, bits: int) -> DataFrame:
-    """(q) of the phrases of level + 1 words whose parts are marked and that occur ``least`` times."""
+    """(q, n, first) of the phrases of level + 1 words whose parts are marked and that occur ``least`` times.
+
+    ``first`` is the hash of a phrase together with the first unit that holds it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, pairs = marks.value
         for batch in batches:
-            for _, _, tokens, ends in _tokens(batch.column(0)):
+            units = batch.column(0).to_numpy()
+            for start, _, tokens, ends in _tokens(batch.column(1), units):
                 found = phrases(tokens, ends, level + 1)
                 (q, inside), (shorter, _) = found[level], found[level - 1]
                 at = np.flatnonzero(inside[1:]) + 1
@@ -225,31 +244,44 @@ def _likely(encoded: DataFrame, marks: Broadcast, level: int, least: int, bits:
                 at = at[_has(pairs, shorter[at])]
                 hashes, n = np.unique(q[at].view(np.uint64), return_counts=True)
                 used, data = hash_counts.buckets(bits, hashes, n)
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), units[start])), pa.array(data, pa.binary())], names=["bucket", "unit", "data"])
 
     def merge(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        hashes, n = hash_counts.distinct(*map(np.concatenate, zip(*(hash_counts.unpack(data, 1) for _, data in rows))))
-        yield pa.RecordBatch.from_pydict({"q": hashes[n >= least].view(np.int64)})
+        parts = [(*hash_counts.unpack(data, 1), unit) for _, unit, data in rows]
+        parts = [(hashes, n, np.full(len(n), unit)) for hashes, n, unit in parts]
+        hashes, n, unit = hash_counts.distinct(*map(np.concatenate, zip(*parts)), by=(np.add, np.minimum))
+        q, n, unit = hashes[n >= least].view(np.int64), n[n >= least], unit[n >= least]
+        yield pa.RecordBatch.from_pydict({"q": q, "n": n, "first": _in_unit(q, unit)})
 
-    return hash_counts.merged(encoded.select("tokens").mapInArrow(tidy(run), "bucket int, data binary"), merge, "q long", "bucket")
+    rows = encoded.select("unit", "tokens").mapInArrow(tidy(run), "bucket int, unit long, data binary")
+    return hash_counts.merged(rows, merge, "q long, n long, first long", "bucket")
 
 
-def _count_phrases(encoded: DataFrame, marks: Broadcast, level: int) -> DataFrame:
-    """(q, context, shorter, n) of the phrases of level + 1 words that are marked."""
+def _count_phrases(encoded: DataFrame, marks: Broadcast, level: int, likely: DataFrame | None = None) -> DataFrame:
+    """(q, context, shorter, n) of the phrases of level + 1 words that are marked.
+
+    With ``likely`` they are marked with their first units, which tell their parts, and their counts are taken from there.
+    """
+    placed = likely is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, tokens, ends in _tokens(batch.column(0)):
+            units = batch.column(0).to_numpy()
+            for start, _, tokens, ends in _tokens(batch.column(1), units):
                 found = phrases(tokens, ends, level + 1)
                 (q, inside), (shorter, _) = found[level], found[level - 1]
                 at = np.flatnonzero(inside[1:]) + 1
-                at = at[_has(marks.value, q[at])]
+                at = at[_has(marks.value, _in_unit(q[at], units[start : start + 1]) if placed else q[at])]
                 distinct, first, n = np.unique(q[at], return_index=True, return_counts=True)
                 at = at[first]
                 yield pa.RecordBatch.from_pydict({"q": distinct, "context": shorter[at - 1], "shorter": shorter[at], "n": n.astype(np.int64)})
 
-    rows = encoded.select("tokens").mapInArrow(tidy(run), "q long, context long, shorter long, n long")
-    return rows.groupBy("q", "context", "shorter").agg(F.sum("n").alias("n"))
+    rows = encoded.select("unit", "tokens").mapInArrow(tidy(run), "q long, context long, shorter long, n long")
+    if likely is None:
+        return rows.groupBy("q", "context", "shorter").agg(F.sum("n").alias("n"))
+    none = F.lit(None).cast("long")
+    rows = rows.withColumn("n", F.lit(0).cast("long")).unionByName(likely.select("q", none.alias("context"), none.alias("shorter"), "n"))
+    return rows.groupBy("q").agg(F.max("context").alias("context"), F.max("shorter").alias("shorter"), F.sum("n").alias("n"))
 
 
 def grow(encoded: DataFrame, known: Counts, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_pair: int = LEAST_PAIR) -> DataFrame:
@@ -266,9 +298,8 @@ def grow(encoded: DataFrame, known: Counts, depth: int = DEPTH, least_context: i
         path = new_path(spark, "lm-likely")
         likely = written(_likely(encoded, marks, level, least_pair, packed_bits), "", "zstd", path)
         marks.unpersist()
-        marks = spark.sparkContext.broadcast(_marked(likely, bits))
-        remove(spark, path)
-        pairs = _count_phrases(encoded, marks, level).filter(F.col("n") >= least_pair)
+        marks = spark.sparkContext.broadcast(_marked(likely.select(F.col("first").alias("q")), bits))
+        pairs = _count_phrases(encoded, marks, level, likely).filter(F.col("n") >= least_pair)
         contexts = tested.filter((F.col("n") >= least_context) & (F.col("q") != word_hash(END))).select(F.col("q").alias("context"), F.col("n").alias("all"))
         below = tested.select(F.col("q").alias("shorter"), F.col("p").alias("low"))
         joined = pairs.join(contexts, "context").join(below, "shorter")
@@ -276,6 +307,8 @@ def grow(encoded: DataFrame, known: Counts, depth: int = DEPTH, least_context: i
         far = F.abs(F.col("own") - F.col("low")) * np.log(10.0)
         diverges = (far >= float(np.log(RATIO))) & (F.col("n") * far >= GAIN)
         joined = written(joined.withColumn("own", own).withColumn("kept", diverges).drop("all", "shorter"), "lm-pairs")
+        remove(spark, path)
+        marks.unpersist()
         power = lambda c: F.pow(F.lit(10.0), F.col(c))
         rest = joined.filter("kept").groupBy("context").agg(F.sum(power("own")).alias("mass"), F.sum(power("low")).alias("below"))
         least = F.lit(1e-9)
@@ -286,21 +319,41 @@ def grow(encoded: DataFrame, known: Counts, depth: int = DEPTH, least_context: i
                                           F.when(F.col("kept"), F.col("own") - F.col("low") - F.col("rest")).alias("more")), "lm-level")
         weights += [rest.select(F.col("context").alias("q"), F.col("rest").alias("weight")), tested.filter("more is not null").select("q", F.col("more").alias("weight"))]
         tested = tested.select("q", "n", "p")
-        marks.unpersist()
     return reduce(DataFrame.unionByName, weights).groupBy("q").agg(F.sum("weight").alias("weight"))
 
 
-def token_scores(hashes: np.ndarray, weights: np.ndarray, tokens: np.ndarray, ends: np.ndarray, depth: int = DEPTH, marks: np.ndarray | None = None) -> np.ndarray:
+def _begins(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Where the sorted hashes with each value of their leading bits begin, and the number of the other bits."""
+    bits = max(8, (2 * len(hashes)).bit_length())
+    return np.concatenate([[0], np.cumsum(np.bincount((hashes >> (64 - bits)) + (1 << bits - 1), minlength=1 << bits))]).astype(np.int32), 64 - bits
+
+
+def _find(hashes: np.ndarray, begins: np.ndarray, rest: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the wanted are among the sorted hashes, and where; leading bits leave a hash or two to compare."""
+    value = (wanted >> rest) + (1 << 63 - rest)
+    place, end = begins[value], begins[value + 1]
+    left, found, where = np.arange(len(wanted)), [], []
+    on = place < end
+    while on.any():
+        left, place, end = left[on], place[on], end[on]
+        hit = hashes[place] == wanted[left]
+        found.append(left[hit])
+        where.append(place[hit])
+        place = place + 1
+        on = ~hit & (place < end)
+    return (np.concatenate(found), np.concatenate(where)) if found else (left[:0], place[:0])
+
+
+def token_scores(hashes: np.ndarray, weights: np.ndarray, tokens: np.ndarray, ends: np.ndarray, depth: int = DEPTH, marks: np.ndarray | None = None, begins: tuple[np.ndarray, int] | None = None) -> np.ndarray:
     """What the given weights (in the order of their hashes) add to the unigram term of each token; marks spare searches."""
     out = np.zeros(len(tokens))
     if not len(hashes):
         return out
+    begins, rest = begins or _begins(hashes)
     for q, inside in phrases(tokens, ends, depth + 1):
-        at = np.flatnonzero(inside)
-        if marks is not None:
-            at = at[_has(marks, q[at])]
-        place = np.minimum(np.searchsorted(hashes, q[at]), len(hashes) - 1)
-        out[at] += np.where(hashes[place] == q[at], weights[place], 0.0)
+        at = np.flatnonzero(inside if marks is None else inside & _has(marks, q))
+        found, place = _find(hashes, begins, rest, q[at])
+        out[at[found]] += weights[place]
     return out
 
 
@@ -312,10 +365,10 @@ def _added(encoded: DataFrame, shared: Broadcast, depth: int) -> DataFrame:
         bits = 1 << max(16, (8 * len(hashes)).bit_length())
         marks = np.zeros(bits, bool)
         marks[hashes & (bits - 1)] = True
-        marks = np.packbits(marks)
+        marks, begins = np.packbits(marks), _begins(hashes)
         for batch in batches:
             for start, stop, tokens, ends in _tokens(batch.column(1)):
-                added = token_scores(hashes, weights, tokens, ends, depth, marks)
+                added = token_scores(hashes, weights, tokens, ends, depth, marks, begins)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(np.add.reduceat(added, np.concatenate([[0], ends[:-1] + 1])))],
                                                  names=["row", "tree"])
 
@@ -342,7 +395,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     p = F.log10((F.coalesce("n", F.lit(0)) + ADDED) / F.lit(known.unit))
     found = asked.join(known.words, "hash", "left").groupBy("row").agg(
         F.sum(F.col("m") * p).alias("rare_p"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("rare_known"))
-    rows = encoded.drop("tokens", "rare").join(found, "row", "left")
+    rows = encoded.drop("tokens", "rare", "unit").join(found, "row", "left")
     if sums:
         rows = rows.join(reduce(DataFrame.unionByName, sums).groupBy("row").agg(F.sum("tree").alias("tree")), "row", "left")
     else:

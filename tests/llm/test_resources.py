@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from adinsight.llm import collocations, common, hash_counts, jaccard_join, suffix_tree_lm
@@ -85,3 +86,49 @@ def test_a_scan_tells_packed_rows(spark):
     words = [hash_counts.unpack(bytes(r.data), 2) for r in rows]
     assert len(rows) <= 8 * 2 * 2 < sum(len(h) for h, *_ in words)
     assert sum(int(n.sum()) for _, n, _ in words) == 12000 == every.agg(F.sum("words")).first()[0]
+
+
+def _jobs(spark):
+    return spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+
+
+@pytest.fixture
+def many_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_marks_of_the_tree_take_no_job_for_each_partition(spark, monkeypatch, many_partitions):
+    monkeypatch.setattr(suffix_tree_lm, "LEAST_BITS", 1 << 10)
+    hashes = np.random.default_rng(2).integers(0, 1 << 63, 500)
+    rows = spark.createDataFrame([(int(h),) for h in hashes], "q long")
+    before = _jobs(spark)
+    marks = suffix_tree_lm._marked(rows, 1 << 16)
+    assert suffix_tree_lm._has(marks, hashes).all() and _jobs(spark) - before < 10
+
+
+def test_the_first_unit_tells_the_parts_of_a_phrase(spark, monkeypatch):
+    lm, rng = suffix_tree_lm, random.Random(6)
+    monkeypatch.setattr(lm, "UNIT", 1)
+    monkeypatch.setattr(lm, "TOGETHER", 100)
+    docs = spark.createDataFrame([(" ".join(str(rng.randrange(30)) for _ in range(300)),) for _ in range(12)], "text string").repartition(3)
+    encoded = common.written(lm._encoded(docs.select(F.lit(1).alias("id"), F.lit(False).alias("held_out"), "text"), lm.count_words(docs)), "tokens")
+    assert encoded.select("unit").distinct().count() == 12
+    every = spark.sparkContext.broadcast((np.full(1 << 15, 255, np.uint8),) * 2)
+    likely = common.written(lm._likely(encoded, every, 1, 4, 3), "likely")
+    plain = lm._count_phrases(encoded, spark.sparkContext.broadcast(lm._marked(likely, 1 << 20)), 1).filter("n >= 4").select("q", "context", "shorter", "n")
+    first = spark.sparkContext.broadcast(lm._marked(likely.select(F.col("first").alias("q")), 1 << 20))
+    told = lm._count_phrases(encoded, first, 1, likely).filter("n >= 4").select("q", "context", "shorter", "n")
+    assert sorted(told.collect()) == sorted(plain.collect()) and plain.count() > 100
+
+
+def test_weights_are_found_by_their_leading_bits():
+    lm, rng = suffix_tree_lm, np.random.default_rng(3)
+    for n in (1, 2, 900):
+        hashes = np.unique(np.concatenate([rng.integers(-(1 << 63), (1 << 63) - 1, n), (1 << 40) + np.arange(n)]))  # many with the same bits
+        wanted = np.concatenate([rng.choice(hashes, 500), rng.integers(-(1 << 63), (1 << 63) - 1, 500), np.array([-(1 << 63), (1 << 63) - 1])])
+        found, place = lm._find(hashes, *lm._begins(hashes), wanted)
+        assert sorted(found) == np.flatnonzero(np.isin(wanted, hashes)).tolist() and (hashes[place] == wanted[found]).all()
