@@ -158,34 +158,32 @@ class Marks:
         return (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _distinct(ids: np.ndarray, size: int, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """First places and counts of the phrases of k words at the given places; word ids are below ``size``."""
-    code = ids[at]
-    for j in range(1, k):
-        if j > 1 and size**3 >= 1 << 63 or j > 2:  # numbers of the phrases so far, so that products stay within 64 bits
-            code = np.unique(code, return_inverse=True)[1]
-        code = code * size + ids[at + j]
-    _, first, n = np.unique(code, return_index=True, return_counts=True)
-    return at[first], n
+def _distinct(tokens: np.ndarray, hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """First places (as numbers of ``at``) and counts of the phrases of k words at the given places, which have these hashes.
+
+    Should two phrases have one hash, each occurrence stands for itself.
+    """
+    order = np.argsort(hashes)
+    new = np.concatenate([[True], np.diff(hashes[order]) != 0])
+    first, place = np.flatnonzero(new), at[order]
+    same = ~new[1:]
+    if any((tokens[place[1:] + j] != tokens[place[:-1] + j])[same].any() for j in range(k)):
+        return np.arange(len(at)), np.ones(len(at), np.int64)
+    return order[first], np.diff(first, append=len(order))
 
 
 def _phrases(tokens: np.ndarray, may_start: np.ndarray, lang: int, longest: int, now: Marks | None, before: Marks | None,
              single: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(k, places, their hashes) of the words, and of phrases that are active now and were not at the shard's last scan."""
-    words, ids = np.unique(tokens, return_inverse=True)
-    inside = tokens != 0
-    hashes = _first(words, lang)
+    inside, shorter = tokens != 0, _first(tokens, lang)
     if single:
         at = np.flatnonzero(inside & may_start)
-        yield 1, at, hashes[ids[at]]
+        yield 1, at, shorter[at]
     if now is None:
         return
-    shorter, on = hashes[ids], now(hashes)[ids]
-    was = before(hashes)[ids] if before is not None else None
     for k in range(2, longest + 1):
-        if k > 2:
-            on = now(shorter)
-            was = before(shorter) if before is not None else None
+        on = now(shorter)
+        was = before(shorter) if before is not None else None
         inside = inside[:-1] & tokens[k - 1 :].astype(bool)
         active = inside & on[:-1] & on[1:] & may_start[: len(inside)]
         if was is not None:
@@ -316,8 +314,10 @@ def _marked(packed: DataFrame, least: int, data: np.ndarray) -> np.ndarray:
 
     out = data.copy()
     parts = packed.select("data").mapInArrow(run, "piece int, bits binary").repartition(2, "piece")
-    for row in parts.mapInArrow(merge, "piece int, bits binary").toLocalIterator():
-        out[row.piece * PIECE : (row.piece + 1) * PIECE] |= np.frombuffer(row.bits, np.uint8)
+    # One job brings all pieces, no more than the table has; an iterator would run one for each partition.
+    pieces = parts.mapInArrow(merge, "piece int, bits binary").toArrow()
+    for piece, held in zip(pieces.column("piece").to_pylist(), pieces.column("bits")):
+        out[piece * PIECE : (piece + 1) * PIECE] |= np.frombuffer(held.as_buffer(), np.uint8)
     return data if np.array_equal(out, data) else out
 
 
@@ -343,18 +343,17 @@ def _counted(texts: DataFrame, longest: int, marks: Broadcast, least: int) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[at : at + ROWS].T], names=[*KEY, "a"])
 
         for lang, tokens, may_start in _texts(batches):
-            ids = np.unique(tokens, return_inverse=True)[1]
             for k, at, hashes in _phrases(tokens, may_start, lang, longest, wanted, None, True):
                 on = wanted(hashes)
                 at, hashes = at[on], hashes[on]
                 if not len(at):
                     continue
-                place, n = _distinct(ids, int(ids.max()) + 1, at, k)
-                rows = np.zeros((len(place), len(KEY) + 1), np.int64)
+                chosen, n = _distinct(tokens, hashes, at, k)
+                rows = np.zeros((len(chosen), len(KEY) + 1), np.int64)
                 rows[:, 0], rows[:, -1] = lang, n
                 for j in range(k):
-                    rows[:, 1 + j] = tokens[place + j]
-                held.append((hashes[np.searchsorted(at, place)], rows))
+                    rows[:, 1 + j] = tokens[at[chosen] + j]
+                held.append((hashes[chosen], rows))
                 size += len(rows)
                 if size > HELD:
                     held = [told(*map(np.concatenate, zip(*held)))]

@@ -132,3 +132,23 @@ def test_weights_are_found_by_their_leading_bits():
         wanted = np.concatenate([rng.choice(hashes, 500), rng.integers(-(1 << 63), (1 << 63) - 1, 500), np.array([-(1 << 63), (1 << 63) - 1])])
         found, place = lm._find(hashes, *lm._begins(hashes), wanted)
         assert sorted(found) == np.flatnonzero(np.isin(wanted, hashes)).tolist() and (hashes[place] == wanted[found]).all()
+
+
+def test_marks_of_a_scan_take_no_job_for_each_partition(spark, monkeypatch, many_partitions):
+    monkeypatch.setattr(collocations, "PIECE", 1 << 7)
+    plain = type(spark.range(0)).repartition  # as on a cluster where more partitions are set
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, n, *cols: plain(self, max(n, 40) if isinstance(n, int) else n, *cols))
+    hashes = np.sort(np.random.default_rng(2).integers(0, 1 << 63, 500).view(np.uint64))
+    rows = spark.createDataFrame([(1, 0, hash_counts.pack(hashes, np.full(500, 3), np.full(500, 3)))], collocations._PACKED)
+    before = _jobs(spark)
+    marks = collocations._marked(rows, 2, np.zeros(1 << 13, np.uint8))
+    assert 400 < int(np.unpackbits(marks).sum()) <= 500 and _jobs(spark) - before < 10
+
+
+def test_phrases_with_equal_hashes_stay_apart():
+    tokens = np.array([5, 6, 5, 6, 5, 7, 0], np.int64)
+    at = np.array([0, 2, 4])
+    chosen, n = collocations._distinct(tokens, np.array([9, 9, 8], np.uint64), at, 2)
+    assert sorted(zip(at[chosen].tolist(), n.tolist())) in ([(0, 2), (4, 1)], [(2, 2), (4, 1)])
+    chosen, n = collocations._distinct(tokens, np.array([9, 9, 9], np.uint64), at, 2)
+    assert at[chosen].tolist() == [0, 2, 4] and n.tolist() == [1, 1, 1]
